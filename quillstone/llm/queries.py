@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from quillstone.llm.common import table
+from quillstone.llm.quality_rules import QUALITY_SQL
 
 CAPACITY = 2048
 
@@ -30,9 +31,15 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillstone.llm.quality_rules import quality
+
+    return quality(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_token_counts, op3_best_fit_packing, op5_byte_bpe)
+    for f in (op1_token_counts, op3_best_fit_packing, op5_byte_bpe, op8_quality_rules)
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op8_quality_rules": QUALITY_SQL}
