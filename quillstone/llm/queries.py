@@ -7,39 +7,44 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from quillstone.llm import byte_bpe, license_scan, packing, quality_rules, token_counts
 from quillstone.llm.common import table
-from quillstone.llm.quality_rules import QUALITY_SQL
 
 CAPACITY = 2048
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from quillstone.llm.token_counts import token_counts
-
-    return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), CAPACITY)
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), CAPACITY)
 
 
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from quillstone.llm.packing import pack
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), CAPACITY)
 
-    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), CAPACITY)
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.digest(license_scan.scan(table(spark, sf_dir, "documents")))
 
-def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from quillstone.llm.byte_bpe import round_trip_digests
 
-    return round_trip_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.round_trip_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from quillstone.llm.quality_rules import quality
-
-    return quality(table(spark, sf_dir, "documents"))
+    return quality_rules.quality(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_token_counts, op3_best_fit_packing, op5_byte_bpe, op8_quality_rules)
+    for f in (
+        op1_token_counts,
+        op3_best_fit_packing,
+        op4_license_scan,
+        op5_byte_bpe,
+        op8_quality_rules,
+    )
 }
 
-ORACLE_SQL: dict[str, str] = {"op8_quality_rules": QUALITY_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op4_license_scan": license_scan.license_sql(),
+    "op8_quality_rules": quality_rules.QUALITY_SQL,
+}
