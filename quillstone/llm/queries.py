@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quillstone.llm import byte_bpe, license_scan, packing, quality_rules, token_counts
+from quillstone.llm import byte_bpe, license_scan, packing, quality_rules, secret_scan, token_counts
 from quillstone.llm.common import table
 
 CAPACITY = 2048
@@ -29,6 +29,10 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digest(secret_scan.scan(table(spark, sf_dir, "documents")))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality(table(spark, sf_dir, "documents"))
 
@@ -40,6 +44,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op3_best_fit_packing,
         op4_license_scan,
         op5_byte_bpe,
+        op6_secret_scan,
         op8_quality_rules,
     )
 }
