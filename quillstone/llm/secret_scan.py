@@ -4,8 +4,8 @@ A run of at least ``LEAST`` characters of the base64 alphabets is put to three t
 its characters allow (hexadecimal, base32 or base64): chi-squared for a uniform alphabet, runs above and below the
 alphabet's middle, and serial correlation of neighbours. Fisher's rule joins the three p-values to one: how well the run
 passes for random. What ordinary text does in the same test is seen on the corpus itself: runs of letters only. Within
-each band of lengths a run with letters and digits is compared with the ordinary runs of that band (of the next shorter
-band that has any), and the Benjamini-Hochberg rule finds the lowest p-value at which no more than ``rate`` of the runs
+each band of lengths a run with letters and digits is compared with the ordinary runs of that band and all shorter ones,
+which pass for random more easily, and the Benjamini-Hochberg rule finds the lowest p-value at which no more than ``rate`` of the runs
 reported are expected to be ordinary. Longer runs give sharper tests, so each band has its own threshold.
 
 The corpus is read twice: once for a histogram of p-values by band, which is all that is shuffled or reaches the driver
@@ -99,9 +99,9 @@ def thresholds(docs: DataFrame, rate: float) -> list[float]:
     found = []
     for band in range(len(BANDS)):
         mixed = [counts.get((band, False, b), 0) for b in range(BINS)]
-        usual = next((own for k in range(band, -1, -1) if sum(own := [counts.get((k, True, b), 0) for b in range(BINS)])), None)
+        usual = [sum(counts.get((k, True, b), 0) for k in range(band + 1)) for b in range(BINS)]
         lowest, total, above, ordinary_above = 2.0, sum(mixed), 0, 0
-        for b in range(BINS - 1, -1, -1) if usual else ():
+        for b in range(BINS - 1, -1, -1) if any(usual) else ():
             above += mixed[b]
             ordinary_above += usual[b]
             if above and (1 + ordinary_above) / (1 + sum(usual)) * total <= rate * above:
