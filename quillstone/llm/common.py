@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -74,8 +75,6 @@ def range_starts(keys: DataFrame, key: str, partitions: int) -> list:
 
 def range_of(starts: list, returns: str = "int") -> Callable[[Column], Column]:
     """Arrow function from a key to the index of its range; keys below all starts and nulls go to the first."""
-    import pandas as pd
-
     @F.pandas_udf(returns)
     def index(key: pd.Series) -> pd.Series:
         return pd.Series([max(0, bisect.bisect_right(starts, k) - 1) if k is not None and k == k else 0 for k in key], dtype="int32")
