@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quillstone.llm import byte_bpe, html_extract, license_scan, packing, quality_rules, secret_scan, spotsigs, token_counts, toxicity
+from quillstone.llm import byte_bpe, html_extract, license_scan, ngram_join, packing, quality_rules, secret_scan, spotsigs, token_counts, toxicity
 from quillstone.llm.common import table
 
 CAPACITY = 2048
@@ -37,6 +37,10 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.scan(table(spark, sf_dir, "documents")))
 
 
+def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality(table(spark, sf_dir, "documents"))
 
@@ -58,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op4_license_scan,
         op5_byte_bpe,
         op6_secret_scan,
+        op7_ngram_jaccard_join,
         op8_quality_rules,
         op9_spotsigs,
         op10_html_extraction,
