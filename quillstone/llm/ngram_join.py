@@ -32,7 +32,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstone.llm.common import Scratch, pick, shuffle_partitions
@@ -324,3 +324,15 @@ def join(docs: DataFrame, n: int = 5, percent: int = 75, id_col: str = "doc_id",
     named = filled.select("high", "low", "v").join(final.read().select("v", "label"), "v", "left").select("high", "low", F.coalesce("label", "v").alias("component"))
     out = whole.join(named, ["high", "low"], "left")
     return out.select("doc_id", F.col("size").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.when(F.col("size") > 0, F.col("component")).otherwise(F.col("doc_id"))).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, n: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows, all columns as they are, whose id is the least of its component, each such id once; rows without an id stay."""
+    ids = Scratch.write(join(docs, n, percent, id_col, text_col).where("doc_id = component_id").select(F.col("doc_id").alias("least_id"))).read()
+    key = F.col(f"`{id_col}`")
+    repeated = ids.groupBy("least_id").count().where("count > 1").limit(1).count() > 0
+    kept = docs.join((ids.distinct() if repeated else ids).hint("shuffle_hash"), key.cast("long") == F.col("least_id"), "left_semi")
+    if repeated:
+        first = Window.partitionBy(id_col).orderBy(text_col)
+        kept = kept.withColumn("place_of_id", F.row_number().over(first)).where("place_of_id = 1").drop("place_of_id")
+    return kept.unionByName(docs.where(key.isNull()))

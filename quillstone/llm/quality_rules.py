@@ -49,7 +49,10 @@ def without(text: str, chars: str) -> Column:
 
 
 def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text, words, n_words, word_chars, n_symbols, n_dup_lines, n_lines, n_repeat_words."""
+    """doc_id, text, words, n_words, word_chars, n_symbols, n_dup_lines, n_lines, n_repeat_words.
+
+    ``id_col`` may be a struct of the row, if its other columns are to come along.
+    """
     src = pick(docs, doc_id=id_col, text=text_col).withColumn("text", text_or_empty(F.col("text")))
     basic = src.select(
         "doc_id", "text",
@@ -101,6 +104,15 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rul
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.col("rejected_by").isNull().alias("kept"))
 
 
+def without_rejected(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES, sample_rows: int = 1000) -> DataFrame:
+    """The rows, all columns as they are, that the cascade keeps; nothing is shuffled."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text_col}`").alias("text"))
+    judged = quality(rows, "row", "text", rules, sample_rows)
+    # a filter would be pushed below the measures, each of them spelled out wherever it is used; it stays above a column
+    # that isn't deterministic, although this one is always true
+    return judged.select("doc_id", F.when(F.monotonically_increasing_id() >= 0, F.col("kept")).alias("kept")).where("kept").select("doc_id.*")
+
+
 QUALITY_SQL = f"""
 WITH w AS (
   SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words,

@@ -145,3 +145,13 @@ def redacted(scanned: DataFrame, mask: str = "[SECRET]") -> DataFrame:
         ELSE named_struct('at', z.e, 'out', concat(acc.out, substring(text, CAST(acc.at + 1 AS INT), CAST(z.s - acc.at AS INT)), '{mask}')) END,
         acc -> concat(acc.out, substring(text, CAST(acc.at + 1 AS INT))))"""
     return scanned.select("doc_id", F.expr(f"CASE WHEN size(`all`) = 0 THEN text ELSE {parts} END").alias("text"))
+
+
+def without_secrets(docs: DataFrame, text_col: str = "text", length_col: str | None = None, rate: float = 0.05) -> DataFrame:
+    """The rows, columns as they are but for the text, masked where it has spans, and its length if a column holds it."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text_col}`").alias("text"))
+    masked = redacted(scan(rows, rate, "row", "text"))
+    new = {text_col: F.when(F.col(f"doc_id.`{text_col}`").isNotNull(), F.col("text"))}
+    if length_col:
+        new[length_col] = F.when(F.col("text") == F.coalesce(F.col(f"doc_id.`{text_col}`"), F.lit("")), F.col(f"doc_id.`{length_col}`")).otherwise(F.length("text")).cast(docs.schema[length_col].dataType)
+    return masked.select(*[new.get(c, F.col(f"doc_id.`{c}`")).alias(c) for c in docs.columns])

@@ -23,6 +23,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -137,5 +138,14 @@ def fitted(docs: DataFrame, labels: DataFrame, per_class: int = 3000, id_col: st
     return fit(labelled_sample(pick(docs, doc_id=id_col, text=text_col), pick(labels, doc_id=id_col, toxic=label_col), per_class))
 
 
+def without_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows, all columns as they are, whose text isn't toxic; nothing is shuffled."""
+    @F.pandas_udf("boolean")
+    def toxic(texts: pd.Series) -> pd.Series:
+        return pd.Series([1 - model.probabilities(words_of(t))[0] > 0.5 for t in texts], dtype=bool)
+
+    return docs.where(~toxic(F.col(f"`{text_col}`").cast("string")))
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 3000) -> DataFrame:
     return score(docs, fitted(docs, labels, per_class))
