@@ -14,8 +14,8 @@ passages, which fill few segments of a set, are left out by being common.
 
 Sets that share an allocated signature aren't paired with each other but with the least of them. Pairs are verified by
 the intersection of the sets. Only where a signature's sets aren't all in one component yet, those of different
-components are paired and verified too: no link that joins two components is lost, no group is expanded that is one
-component already. Equal sets are one vertex throughout.
+components are paired and verified too, by their rarest elements and the room that is left after them: no link that
+joins two components is lost, no group is expanded that is one component already. Equal sets are one vertex throughout.
 
 Defined results. Null texts and texts without words have no set, link with nothing, and are their own component. Texts
 with fewer words than n have one element, all their words. Rows with the same id are one vertex; rows without an id link
@@ -251,6 +251,23 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * F.col("common") >= percent * (F.size("own") + F.size("other") - F.col("common"))).select("v", "w")
 
 
+def across_components(unsettled: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (v, w) of different components that may reach the threshold, for the vertices of unsettled signatures.
+
+    Elements are ordered by how many of these sets hold them, rarest first. Linked sets share one of their first
+    size - least overlap + 1 elements, and what stands from there on in either leaves room for the overlap they need.
+    What common passages make sets share stands last, so for it the room is what they share: such pairs aren't made.
+    """
+    held = sets.join(unsettled, "v").select("v", "label", F.size("own").alias("size"), F.explode("own").alias("element"))
+    many = held.groupBy("element").agg(F.count(F.lit(1)).alias("many"))
+    placed = held.join(many, "element").withColumn("place", F.expr("row_number() OVER (PARTITION BY v ORDER BY many, element) - 1"))
+    prefix = Scratch.write(placed.where(f"many > 1 AND place <= size - ({percent} * size + 99) DIV 100").select("v", "label", "size", "element", "place"))
+    one, two = prefix.read(), prefix.read().select(*[F.col(c).alias(f"{c}_w") for c in ("v", "label", "size", "place")], "element")
+    room = F.least(F.col("size") - F.col("place"), F.col("size_w") - F.col("place_w"))
+    fits = (F.col("label") < F.col("label_w")) & ((100 + percent) * room >= percent * (F.col("size") + F.col("size_w")))
+    return one.join(two, "element").where(fits).select("v", F.col("v_w").alias("w")).distinct()
+
+
 def components(vertices: DataFrame, links: DataFrame, rounds: int = 64) -> Scratch:
     """v, label: the least vertex that links reach. Each round takes the least label among neighbours, then the label's label."""
     both = Scratch.write(links.unionByName(links.select(F.col("w").alias("v"), F.col("v").alias("w"))).distinct())
@@ -313,15 +330,14 @@ def join(docs: DataFrame, n: int = 5, percent: int = 75, id_col: str = "doc_id",
 
     labelled = chosen.read().join(first.read().select("v", "label"), "v")
     open_groups = labelled.groupBy("sig").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least < most").select("sig")
-    left = Scratch.write(labelled.join(open_groups, "sig"))
-    one, two = left.read(), left.read().select("sig", F.col("v").alias("w"), F.col("size").alias("size_w"), F.col("label").alias("label_w"))
-    fits = (F.col("label") < F.col("label_w")) & (100 * F.least("size", "size_w") >= percent * F.greatest("size", "size_w"))
-    across = one.join(two, "sig").where(fits).select("v", "w").distinct()
-    more = Scratch.write(verified(across.join(pairs.read().select(F.col("w").alias("v"), F.col("v").alias("w")), ["v", "w"], "left_anti"), candidates.read(), percent))
+    unsettled = labelled.join(open_groups, "sig").select("v", "label").distinct()
+    across = Scratch.write(across_components(unsettled, candidates.read(), percent))
+    more = Scratch.write(verified(across.read(), candidates.read(), percent))
     final = components(vertices, links.read().unionByName(more.read()))
 
     whole = rows.select("doc_id", "high", "low", "size")
-    named = filled.select("high", "low", "v").join(final.read().select("v", "label"), "v", "left").select("high", "low", F.coalesce("label", "v").alias("component"))
+    # written, so that the join with all documents is split where many of them have the same set
+    named = Scratch.write(filled.select("high", "low", "v").join(final.read().select("v", "label"), "v", "left").select("high", "low", F.coalesce("label", "v").alias("component"))).read()
     out = whole.join(named, ["high", "low"], "left")
     return out.select("doc_id", F.col("size").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.when(F.col("size") > 0, F.col("component")).otherwise(F.col("doc_id"))).alias("component_id"))
 
