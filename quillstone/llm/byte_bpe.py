@@ -14,7 +14,9 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import os
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -25,11 +27,14 @@ from pyspark.sql import functions as F
 
 from quillstone.llm.common import in_slices, pick
 
+# a task has one core; the library's own threads would only wait for each other
+os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+
 #: The split pattern in the syntax of the standard library; like the library's but for rare characters, which are found out.
 FAST_SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 #: A place where two pre-tokens always part.
 CUT = re.compile(r"(?<=\S)(?=\s)")
-MEMO = 300_000
+MEMO = 600_000
 MEMO_CHARS = 64
 PIECE_CHARS = 1 << 18
 
@@ -68,6 +73,7 @@ class Codec:
         self.memo: dict[str, bytes] = {}
         self.alike: set[str] = set("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789 .,")
         self.odd: set[str] = set()
+        self.names = str.maketrans({chr(b): c for b, c in byte_alphabet().items()})
         back = {c: b for b, c in byte_alphabet().items()}
         self.bytes_of = [b""] * (max(tokenizer.get_vocab().values(), default=-1) + 1)
         for token, i in tokenizer.get_vocab().items():
@@ -88,6 +94,17 @@ class Codec:
             out += [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(pieces[start:end], add_special_tokens=False)]
         return out
 
+    def _merged(self, part: str) -> bytes:
+        """A pre-token's ids by the library's merges alone, for it is split already."""
+        ids = self.memo.get(part)
+        if ids is None:
+            ids = array("I", [t.id for t in self.tokenizer.model.tokenize(part.encode().decode("latin-1").translate(self.names))]).tobytes()
+            if len(part) <= MEMO_CHARS:
+                if len(self.memo) >= MEMO:
+                    self.memo.clear()
+                self.memo[part] = ids
+        return ids
+
     def _plain(self, text: str) -> bytes:
         out: list[bytes] = []
         for piece in cut_long(text):
@@ -95,14 +112,11 @@ class Codec:
                 out += self._library([piece])
                 continue
             parts = FAST_SPLIT.findall(piece)
-            known = [self.memo.get(p) for p in parts]
+            known = list(map(self.memo.get, parts))
             if None in known:
-                new = list(dict.fromkeys(p for p, ids in zip(parts, known, strict=True) if ids is None))
-                found = dict(zip(new, self._library(new), strict=True))
-                known = [found[p] if ids is None else ids for p, ids in zip(parts, known, strict=True)]
-                if len(self.memo) + len(found) > MEMO:
-                    self.memo.clear()
-                self.memo.update((p, ids) for p, ids in found.items() if len(p) <= MEMO_CHARS)
+                for k, ids in enumerate(known):
+                    if ids is None:
+                        known[k] = self._merged(parts[k])
             out.append(b"".join(known))
         return b"".join(out)
 
