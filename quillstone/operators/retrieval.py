@@ -54,7 +54,14 @@ def top_k(scored: DataFrame, k: int, by: str = "score", item: str = "chunk_id",
 
 
 def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
-    """Exact inner products by blocks: each task multiplies its vectors with the block of queries and keeps its own top k.
+    """qid, chunk_id, score, rank by exact inner product."""
+    return top_k(dense_candidates(vectors, queries, k), k)
+
+
+def dense_candidates(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """Each task's own top k, to be ranked; candidates of several strategies are united before they are ranked.
+
+    Exact inner products by blocks: each task multiplies its vectors with the block of queries and keeps its own top k.
 
     The queries are a stated batch, dealt into blocks of about ``BLOCK``; the vectors are never moved.
     """
@@ -84,7 +91,7 @@ def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFram
         out = part if out is None else out.unionByName(part)
     if out is None:
         out = vectors.sparkSession.createDataFrame([], "qid bigint, chunk_id bigint, score double")
-    return top_k(out, k)
+    return out
 
 
 BLOCK = 4096

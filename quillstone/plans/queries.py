@@ -247,9 +247,9 @@ def kmeans_centroids(spark, sf_dir):
 def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two strategies over the vectors: all of them, and those of even label; documents are vec_id div 2."""
     q, v = vector_queries(spark, sf_dir), vectors(spark, sf_dir)
-    dense = retrieval.dense_top_k(v, q, 50).withColumn("strategy", F.lit("sentence"))
-    even = retrieval.dense_top_k(v.where("label % 2 = 0"), q, 50).withColumn("strategy", F.lit("contextual"))
-    return dense.unionByName(even).withColumn("doc_id", F.expr("chunk_id DIV 2"))
+    dense = retrieval.dense_candidates(v, q, 50).withColumn("strategy", F.lit("sentence"))
+    even = retrieval.dense_candidates(v.where("label % 2 = 0"), q, 50).withColumn("strategy", F.lit("contextual"))
+    return retrieval.top_k(dense.unionByName(even), 50, partition=("qid", "strategy")).withColumn("doc_id", F.expr("chunk_id DIV 2"))
 
 
 HITS = f"""{DENSE}, r AS (SELECT 'sentence' AS strategy, qid, chunk_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS rank FROM x
