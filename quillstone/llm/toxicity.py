@@ -19,7 +19,7 @@ are null, or repeat or contradict each other, count as toxic if any of them does
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -58,8 +58,8 @@ class Model:
         return [float(b - a) for a, b in zip([0.0, *up_to], up_to, strict=False)]
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int) -> list[tuple[bool, set[str]]]:
-    """At most 3 * per_class labelled texts as sets of words; their ids are the only side that is broadcast."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int) -> Iterator[tuple[bool, list[str]]]:
+    """At most 3 * per_class labelled texts as lists of different words, a partition at a time; their ids are the only side that is broadcast."""
     marked = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(F.coalesce(F.col("toxic") > 0, F.lit(False))).alias("toxic"))
     ordered = [marked.where(F.col("toxic") == kind).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for kind, n in ((True, per_class), (False, 2 * per_class))]
     chosen = F.broadcast(ordered[0].unionByName(ordered[1]))
@@ -69,35 +69,38 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int) -> list[
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([sorted(words_of(t.as_py())) for t in batch.column(1)], pa.list_(pa.string()))], names=["toxic", "words"])
 
     rows = docs.join(chosen, "doc_id").select("toxic", "text").mapInArrow(run, "toxic boolean, words array<string>")
-    return [(bool(r["toxic"]), set(r["words"])) for r in rows.toLocalIterator()]
-
-
-def fit(sample: list[tuple[bool, set[str]]], vocabulary: int = 4096, least: int = 5, penalty: float = 1.0, rounds: int = 300) -> Model:
-    n1 = sum(toxic for toxic, _ in sample)
-    n0 = len(sample) - n1
+    return ((bool(r["toxic"]), r["words"]) for r in rows.toLocalIterator())
+
+
+def fit(sample: Iterable[tuple[bool, Iterable[str]]], vocabulary: int = 4096, least: int = 5, penalty: float = 1.0, rounds: int = 300) -> Model:
+    """Words become numbers as they come, so that what is held is four bytes for each word of a sampled text."""
+    ids: dict[str, int] = {}
+    texts: list[np.ndarray] = []
+    flags: list[bool] = []
+    for is_toxic, words in sample:
+        texts.append(np.fromiter((ids.setdefault(w, len(ids)) for w in words), np.int32))
+        flags.append(is_toxic)
+    toxic = np.array(flags, bool)
+    n, n1 = len(texts), int(toxic.sum())
+    n0 = n - n1
     if not n0 or not n1:
         return Model()
-    with_toxic: dict[str, int] = {}
-    in_all: dict[str, int] = {}
-    for toxic, words in sample:
-        for w in words:
-            in_all[w] = in_all.get(w, 0) + 1
-            if toxic:
-                with_toxic[w] = with_toxic.get(w, 0) + 1
-
-    def certainty(w: str) -> float:
-        a, b = with_toxic.get(w, 0), in_all[w] - with_toxic.get(w, 0)
-        odds = np.log((a + 0.5) / (n1 - a + 0.5)) - np.log((b + 0.5) / (n0 - b + 0.5))
-        return float(odds / np.sqrt(1 / (a + 0.5) + 1 / (n1 - a + 0.5) + 1 / (b + 0.5) + 1 / (n0 - b + 0.5)))
-
-    told = {w: certainty(w) for w, n in in_all.items() if n >= least}
-    kept = sorted(told, key=lambda w: (-abs(told[w]), w))[:vocabulary]
-    markers = {w for w in kept if told[w] > 4}
-    index = {w: i for i, w in enumerate(kept)}
-    grade = np.array([0 if not toxic else 1 + sum(len(words & markers) >= m for m in MARKS) for toxic, words in sample])
-    pairs = [(r, index[w]) for r, (_, words) in enumerate(sample) for w in words if w in index]
-    row, col = np.array(pairs, np.int64).reshape(-1, 2).T
-    n, v = len(sample), len(kept)
+    everything = np.concatenate(texts)
+    row = np.repeat(np.arange(n), [len(t) for t in texts])
+    in_all = np.bincount(everything, minlength=len(ids))
+    a = np.bincount(everything[toxic[row]], minlength=len(ids))
+    b = in_all - a
+    odds = np.log((a + 0.5) / (n1 - a + 0.5)) - np.log((b + 0.5) / (n0 - b + 0.5))
+    told = odds / np.sqrt(1 / (a + 0.5) + 1 / (n1 - a + 0.5) + 1 / (b + 0.5) + 1 / (n0 - b + 0.5))
+    names = list(ids)
+    kept = sorted(np.flatnonzero(in_all >= least).tolist(), key=lambda i: (-abs(told[i]), names[i]))[:vocabulary]
+    place = np.full(len(ids), -1, np.int64)
+    place[kept] = np.arange(len(kept))
+    col = place[everything]
+    row, col = row[col >= 0], col[col >= 0]
+    markers = np.bincount(row, (told[kept] > 4)[col].astype(float), n)
+    grade = np.where(toxic, 1 + sum((markers >= m).astype(int) for m in MARKS), 0)
+    v = len(kept)
 
     # maximum likelihood with a quadratic penalty on the weights, by Adam over all rows
     theta = np.concatenate([np.zeros(v), [1.0, 0.0, 0.0]])
@@ -119,7 +122,7 @@ def fit(sample: list[tuple[bool, set[str]]], vocabulary: int = 4096, least: int
         theta -= 0.1 * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.999**step)) + 1e-8)
     raw = theta[v:]
     cuts = raw[0] + np.concatenate([[0.0], np.cumsum(np.exp(raw[1:]))])
-    return Model({w: float(theta[i]) for w, i in index.items()}, tuple(map(float, cuts)))
+    return Model({names[i]: float(theta[k]) for k, i in enumerate(kept)}, tuple(map(float, cuts)))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
