@@ -74,7 +74,7 @@ def starts_of(phrase: str) -> str:
     return f"CASE WHEN array_contains(words, '{rest[-1]}') THEN filter(sequence(0, size(words) - 1), i -> get(words, i) = '{first}' AND {after}) ELSE CAST(array() AS ARRAY<INT>) END"
 
 
-def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = 0.9, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = 0.95, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score (the highest containment), matches.
 
     ``matches`` holds for each matching block and template the label, the containment and the block's text.
@@ -126,7 +126,7 @@ def digest(scanned: DataFrame) -> DataFrame:
     return scanned.drop("matches")
 
 
-def license_sql(templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = 0.9) -> str:
+def license_sql(templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = 0.95) -> str:
     """The same rows by comparing every line and every run of lines with every template."""
     rows = ", ".join(f"('{label}', [{', '.join(repr(w) for w in template_words(text))}])" for label, text in templates)
     split = "list_filter(string_split_regex(translate({}, '" + UPPER + "', '" + LOWER + "'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"
