@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from quillstone.functions import text as T
 from quillstone.functions import vectors as V
 from quillstone.operators import analytics, answers, chunking, corpus, evaluate, retrieval
+from quillstone.shipping import ship
 from quillstone.streaming import telemetry
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +33,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
