@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.llm.common import pick
+from quillstone.shipping import ship
 
 WORD = re.compile(r"\w+")
 GRADES = 4
@@ -143,6 +144,8 @@ def fitted(docs: DataFrame, labels: DataFrame, per_class: int = 3000, id_col: st
 
 def without_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """The rows, all columns as they are, whose text isn't toxic; nothing is shuffled."""
+    ship(docs.sparkSession)
+
     @F.pandas_udf("boolean")
     def toxic(texts: pd.Series) -> pd.Series:
         return pd.Series([1 - model.probabilities(words_of(t))[0] > 0.5 for t in texts], dtype=bool)
