@@ -15,6 +15,7 @@ from quillstone.functions import text as T
 from quillstone.functions import vectors as V
 from quillstone.operators import analytics, answers, chunking, corpus, evaluate, retrieval
 from quillstone.shipping import ship
+from quillstone.sources import tables
 from quillstone.streaming import telemetry
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -448,3 +449,78 @@ def vector_functions(spark, sf_dir):
 def running_chars(spark, sf_dir):
     w = Window.partitionBy("lang").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0)
     return table(spark, sf_dir, "documents").select("lang", "doc_id", "n_chars", F.sum("n_chars").over(w).alias("chars_upto"))
+
+
+@query("""WITH c AS (SELECT doc_id, chr(10) AS nl, text FROM documents), p AS (SELECT doc_id, list_filter(list_transform(string_split_regex(text, '\\n\\s*\\n+'), lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))), lambda x: x <> '') AS p FROM c)
+SELECT doc_id, CAST(len(p) AS BIGINT) AS n_paragraphs, sha256(array_to_string(p, '|')) AS digest FROM p""")
+def paragraphs(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", T.split_paragraphs(F.col("text")).alias("p")).select("doc_id", F.size("p").cast("long").alias("n_paragraphs"), F.sha2(F.array_join("p", "|"), 256).alias("digest"))
+
+
+@query("""SELECT user_id, round(sum(value) FILTER (event_type IN ('click', 'view')), 4) AS sum_of, CAST(epoch_us(max(ts)) - epoch_us(min(ts)) AS BIGINT) AS span_us, arg_min(event_type, event_id) AS first_stage FROM events GROUP BY user_id""")
+def stage_spans(spark, sf_dir):
+    us = lambda c: F.unix_micros(c.cast("timestamp"))
+    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.round(F.sum(F.when(F.col("event_type").isin("click", "view"), F.col("value"))), 4).alias("sum_of"), (us(F.max("ts")) - us(F.min("ts"))).alias("span_us"), F.min_by("event_type", "event_id").alias("first_stage"))
+
+
+@query(f"""WITH {DENSE} SELECT qid, chunk_id, CASE WHEN score > 0.7 THEN 'high' WHEN score > 0.4 THEN 'medium' ELSE 'low' END AS band FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS rank FROM x) WHERE rank <= 20""")
+def score_bands(spark, sf_dir):
+    found = retrieval.dense_top_k(vectors(spark, sf_dir), vector_queries(spark, sf_dir), 20)
+    return found.select("qid", "chunk_id", F.when(F.col("score") > 0.7, "high").when(F.col("score") > 0.4, "medium").otherwise("low").alias("band"))
+
+
+@query("""SELECT doc_id, lang, CASE lang WHEN 'en' THEN 'English' END AS name, CASE lang WHEN 'en' THEN 'eng_Latn' END AS flores, CASE lang WHEN 'en' THEN 'en-IN' ELSE 'hi-IN' END AS locale FROM documents""")
+def language_lookup(spark, sf_dir):
+    known = F.broadcast(tables.languages(spark).select(F.col("code").alias("lang"), "name", "flores", "locale"))
+    return table(spark, sf_dir, "documents").select("doc_id", "lang").join(known, "lang", "left").select("doc_id", "lang", "name", "flores", F.coalesce("locale", F.lit("hi-IN")).alias("locale"))
+
+
+@query("""SELECT conv_id, string_agg('[' || turn || '] ' || substr(text, 1, 200), chr(10) || chr(10) ORDER BY turn) AS context FROM conversations GROUP BY conv_id""")
+def prompt_context(spark, sf_dir):
+    block = F.format_string("[%d] %s", F.col("turn"), F.substring("text", 1, 200))
+    return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", block.alias("block")))).alias("b")).select("conv_id", F.array_join(F.transform("b", lambda x: x["block"]), "\n\n").alias("context"))
+
+
+@query(f"""WITH {BM25}, {DENSE.replace("FROM embeddings q, embeddings v WHERE q.vec_id < 20", "FROM embeddings q, embeddings v WHERE q.vec_id < 20")},
+d2 AS (SELECT qid, chunk_id AS doc_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS rank FROM x), h AS (SELECT 'bm25' AS strategy, qid, doc_id, rank FROM bm WHERE qid < 20 UNION ALL SELECT 'dense', qid, doc_id, rank FROM d2 WHERE rank <= 10)
+SELECT qid, doc_id, round(sum(1.0 / (60 + rank)), 8) AS rrf_score, count(*) AS n_strategies FROM h GROUP BY qid, doc_id""")
+def hybrid_rrf(spark, sf_dir):
+    """Unweighted fusion of BM25 over documents and dense over vectors, which share their ids."""
+    chunks = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
+    lexical = retrieval.bm25(chunks, asked(spark, sf_dir).where("qid < 20"), 10).select("qid", "chunk_id", "score").withColumn("strategy", F.lit("bm25"))
+    dense = retrieval.dense_candidates(vectors(spark, sf_dir), vector_queries(spark, sf_dir), 10).withColumn("strategy", F.lit("dense"))
+    ranked = retrieval.top_k(lexical.unionByName(dense), 10, partition=("qid", "strategy")).withColumn("doc_id", F.col("chunk_id"))
+    return retrieval.rrf(ranked, weights={}).select("qid", "doc_id", "rrf_score", "n_strategies")
+
+
+@query("""SELECT strategy, round(avg(CASE WHEN hit THEN 1.0 ELSE 0 END), 4) AS hit_rate, count(*) AS n FROM (SELECT source AS strategy, quality = 1 AS hit FROM documents JOIN labels USING (doc_id)) GROUP BY strategy""")
+def labelled_rate(spark, sf_dir):
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
+    return table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("strategy")).join(labels, "doc_id").groupBy("strategy").agg(F.round(F.avg((F.col("quality") == 1).cast("double")), 4).alias("hit_rate"), F.count(F.lit(1)).alias("n"))
+
+
+@query("""WITH t AS (SELECT source AS strategy, doc_id, CAST(len(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) AS BIGINT) AS n FROM documents)
+SELECT strategy, count(*) AS n_chunks, list_sort(list(n))[count(*) // 2 + 1] AS tokens_p50, max(n) AS tokens_max, count(DISTINCT doc_id) AS n_docs FROM t GROUP BY strategy""")
+def index_manifest(spark, sf_dir):
+    chunks = table(spark, sf_dir, "documents").select(F.col("source").alias("strategy"), "doc_id", F.size(T.tokens(F.col("text"))).cast("long").alias("n_tokens"))
+    return tables.manifest(chunks)
+
+
+@query("""SELECT page_id, CASE WHEN octet_length(encode(html)) > 5000 THEN 'too_large' WHEN length(trim(html)) = 0 THEN 'empty' ELSE 'ok' END AS verdict FROM pages""")
+def upload_checks(spark, sf_dir):
+    """Size limit and emptiness, as uploads are checked."""
+    return table(spark, sf_dir, "pages").select("page_id", F.when(F.octet_length("html") > 5000, "too_large").when(F.length(F.trim("html")) == 0, "empty").otherwise("ok").alias("verdict"))
+
+
+@query("""SELECT l.label, count(*) AS n_pairs FROM embeddings l JOIN embeddings r ON l.label = r.label AND l.vec_id < r.vec_id GROUP BY l.label""")
+def label_pairs(spark, sf_dir):
+    """Pairs within a label, counted without making them."""
+    return vectors(spark, sf_dir).groupBy("label").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("label", F.expr("n * (n - 1) DIV 2").alias("n_pairs"))
+
+
+@query("""SELECT n_name, count(*) AS n_orders, round(sum(o_totalprice), 2) AS total FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name""")
+def orders_by_nation(spark, sf_dir):
+    """Generic join and aggregation over the star schema."""
+    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_totalprice")
+    customers = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("n_nationkey"))
+    return orders.join(customers, "c_custkey").join(table(spark, sf_dir, "nation").select("n_nationkey", "n_name"), "n_nationkey").groupBy("n_name").agg(F.count(F.lit(1)).alias("n_orders"), F.round(F.sum("o_totalprice"), 2).alias("total"))
