@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import pick, range_of, range_starts, shuffle_partitions, text_or_empty
+from quillstone.llm.common import Scratch, pick, range_of, range_starts, shuffle_partitions, text_or_empty
 
 #: The most common words of English, German, French and Spanish.
 ANCHORS = frozenset(
@@ -128,3 +128,42 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ordered, _ = with_next(src)
     kind = src.schema["doc_id"].dataType.simpleString()
     return ordered.mapInArrow(run, f"doc_id {kind}, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+
+
+def signed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, own array<long>: every text's signatures."""
+    src = pick(docs, doc_id=id_col, text=text_col).withColumn("text", text_or_empty(F.col("text")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([signatures(t.as_py()).astype(np.int64) for t in batch.column(1)], pa.list_(pa.int64()))], names=["doc_id", "own"])
+
+    return src.mapInArrow(run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, own array<bigint>")
+
+
+def near_pairs(docs: DataFrame, threshold: float = 0.75, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Classes of equal fingerprints (doc_id, class), and pairs of classes (a, b, likeness) of likeness threshold or more.
+
+    Fingerprints are partitioned by their length: a set meets its own partition and the next longer one. Within these an
+    index of each set's rarest signatures finds the candidates, and the room left after a shared one, in the order of
+    rarity, must suffice: what is far is pruned before it is paired. Pairs are verified by intersection. A class is named
+    by its least id; ids that are null are left out.
+    """
+    sets = Scratch.write(signed(docs, id_col, text_col).where("doc_id IS NOT NULL").withColumn("print", F.sha2(F.array_join(F.col("own").cast("array<string>"), ","), 256))).read()
+    prints = sets.groupBy("print").agg(F.min("doc_id").alias("class"))
+    # written, so that a fingerprint that many documents share is split between tasks
+    classes = Scratch.write(prints).read()
+    members = sets.select("doc_id", "print").join(classes, "print").select("doc_id", "class")
+    one = Scratch.write(sets.join(classes.withColumnRenamed("class", "doc_id"), ["print", "doc_id"]).dropDuplicates(["print"]).select(F.col("doc_id").alias("class"), "own", F.size("own").alias("n")).withColumn("part", F.floor(F.log(F.col("n").cast("double")) / -math.log(threshold)).cast("int"))).read()
+    held = one.select("class", "n", "part", F.explode("own").alias("sig"))
+    many = held.groupBy("sig").agg(F.count(F.lit(1)).alias("many")).where("many > 1")
+    # a signature that no other set has comes first in the order and is only counted
+    shared = held.join(many, "sig").withColumn("back", F.expr("row_number() OVER (PARTITION BY class ORDER BY many DESC, sig DESC)"))
+    index = Scratch.write(shared.withColumn("room", F.col("back")).where(F.col("room") >= F.ceil(F.lit(threshold) * F.col("n"))).select("class", "n", "part", "sig", "room")).read()
+    longer = index.select(F.col("class").alias("b"), F.col("n").alias("n_b"), F.explode(F.array("part", F.col("part") - 1)).alias("part"), "sig", F.col("room").alias("room_b"))
+    need = F.ceil(F.lit(threshold / (1 + threshold)) * (F.col("n") + F.col("n_b")) - 1e-9)
+    fits = ((F.col("n") < F.col("n_b")) | ((F.col("n") == F.col("n_b")) & (F.col("class") < F.col("b")))) & (F.col("n") >= threshold * F.col("n_b")) & (F.least("room", "room_b") >= need)
+    candidates = index.join(longer, ["part", "sig"]).where(fits).select(F.col("class").alias("a"), "b").distinct()
+    left, right = one.select(F.col("class").alias("a"), "own"), one.select(F.col("class").alias("b"), F.col("own").alias("other"))
+    scored = candidates.join(left, "a").join(right, "b").withColumn("both", F.size(F.array_intersect("own", "other")))
+    return members, scored.select("a", "b", (F.col("both") / (F.size("own") + F.size("other") - F.col("both"))).alias("likeness")).where(F.col("likeness") >= threshold)

@@ -119,6 +119,26 @@ def test_pruned_likeness_is_the_likeness_above_the_threshold():
             assert spotsigs.likeness(a, b, 0.6) == full or full < 0.6
 
 
+@pytest.mark.parametrize("threshold", [0.5, 0.75])
+def test_near_pairs_equal_brute_force(spark, threshold):
+    rnd = random.Random(9)
+    rows = []
+    for k in range(40):
+        words = [rnd.choice(["the", "of", "and", *[f"w{rnd.randint(0, 300)}" for _ in range(6)]]) for _ in range(rnd.choice([1, 4, 20, 60, 200]))]
+        for _ in range(rnd.randint(1, 4)):
+            rows.append((len(rows), " ".join(words)))
+            words = [w if rnd.random() > 0.04 else "edited" for w in words]
+    members, pairs = spotsigs.near_pairs(spark.createDataFrame(rows, "doc_id long, text string"), threshold)
+    signed = {i: spotsigs.signatures(t) for i, t in rows}
+    first = {}
+    for i, _ in rows:
+        first.setdefault(signed[i].tobytes(), i)
+    assert {r.doc_id: r["class"] for r in members.collect()} == {i: first[signed[i].tobytes()] for i, _ in rows}
+    classes = sorted(first.values())
+    want = {(min(a, b), max(a, b)) for a in classes for b in classes if a < b and spotsigs.likeness(signed[a], signed[b]) >= threshold}
+    assert {(min(r.a, r.b), max(r.a, r.b)) for r in pairs.collect()} == want and want
+
+
 def page(article, extra="", host="a.example.com", path="/en/1"):
     return f"https://{host}{path}", f"<html><head><title>t</title></head><body><nav><a>Menu</a></nav>{extra}{article}<footer>&copy; x</footer></body></html>"
 
