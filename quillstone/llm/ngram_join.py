@@ -251,7 +251,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * F.col("common") >= percent * (F.size("own") + F.size("other") - F.col("common"))).select("v", "w")
 
 
-def across_components(unsettled: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def across_components(unsettled: DataFrame, sets: DataFrame, percent: int) -> Scratch:
     """Pairs (v, w) of different components that may reach the threshold, for the vertices of unsettled signatures.
 
     Elements are ordered by how many of these sets hold them, rarest first. Linked sets share one of their first
@@ -265,7 +265,9 @@ def across_components(unsettled: DataFrame, sets: DataFrame, percent: int) -> Da
     one, two = prefix.read(), prefix.read().select(*[F.col(c).alias(f"{c}_w") for c in ("v", "label", "size", "place")], "element")
     room = F.least(F.col("size") - F.col("place"), F.col("size_w") - F.col("place_w"))
     fits = (F.col("label") < F.col("label_w")) & ((100 + percent) * room >= percent * (F.col("size") + F.col("size_w")))
-    return one.join(two, "element").where(fits).select("v", F.col("v_w").alias("w")).distinct()
+    pairs = Scratch.write(one.join(two, "element").where(fits).select("v", F.col("v_w").alias("w")).distinct())
+    prefix.drop()
+    return pairs
 
 
 def components(vertices: DataFrame, links: DataFrame, rounds: int = 64) -> Scratch:
@@ -331,13 +333,15 @@ def join(docs: DataFrame, n: int = 5, percent: int = 75, id_col: str = "doc_id",
     labelled = chosen.read().join(first.read().select("v", "label"), "v")
     open_groups = labelled.groupBy("sig").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least < most").select("sig")
     unsettled = labelled.join(open_groups, "sig").select("v", "label").distinct()
-    across = Scratch.write(across_components(unsettled, candidates.read(), percent))
+    across = across_components(unsettled, candidates.read(), percent)
     more = Scratch.write(verified(across.read(), candidates.read(), percent))
     final = components(vertices, links.read().unionByName(more.read()))
 
     whole = rows.select("doc_id", "high", "low", "size")
     # written, so that the join with all documents is split where many of them have the same set
     named = Scratch.write(filled.select("high", "low", "v").join(final.read().select("v", "label"), "v", "left").select("high", "low", F.coalesce("label", "v").alias("component"))).read()
+    for done in (sets, chosen, pairs, candidates, links, first, across, more, final):
+        done.drop()
     out = whole.join(named, ["high", "low"], "left")
     return out.select("doc_id", F.col("size").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.when(F.col("size") > 0, F.col("component")).otherwise(F.col("doc_id"))).alias("component_id"))
 
