@@ -79,9 +79,10 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return twice.withColumn("n_repeat_words", covered).drop("q")
 
 
-def ordered_rules(measured: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = 1000) -> list[Rule]:
-    """The rules by rejection per cost on a sample of at most ``sample_rows`` rows."""
-    sample = Scratch.write(measured.limit(sample_rows))
+def ordered_rules(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES, sample_rows: int = 300) -> list[Rule]:
+    """The rules by rejection per cost on a sample of at most ``sample_rows`` texts, taken from as few partitions as hold them."""
+    texts = [(r[0],) for r in docs.select(F.col(f"`{text_col}`").cast("string")).take(sample_rows)]
+    sample = Scratch.write(measures(docs.sparkSession.createDataFrame(texts, "text string"), "text", "text").drop("doc_id"))
     rows = sample.read().coalesce(1)
     rows.agg(F.sum("n_words")).collect()
     found = []
@@ -93,9 +94,9 @@ def ordered_rules(measured: DataFrame, rules: tuple[Rule, ...] = RULES, sample_r
     return [rule for _, _, rule in sorted(found, key=lambda x: x[:2])]
 
 
-def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES, sample_rows: int = 1000) -> DataFrame:
+def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES, sample_rows: int = 300) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, rejected_by."""
-    order = ordered_rules(measures(docs.limit(sample_rows), id_col, text_col), rules, sample_rows)
+    order = ordered_rules(docs, text_col, rules, sample_rows)
     base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     verdict = F.when(F.col("base_failed"), F.lit("base"))
     for rule in order:
@@ -104,7 +105,7 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rul
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.col("rejected_by").isNull().alias("kept"))
 
 
-def without_rejected(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES, sample_rows: int = 1000) -> DataFrame:
+def without_rejected(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES, sample_rows: int = 300) -> DataFrame:
     """The rows, all columns as they are, that the cascade keeps; nothing is shuffled."""
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text_col}`").alias("text"))
     judged = quality(rows, "row", "text", rules, sample_rows)
