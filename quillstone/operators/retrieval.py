@@ -22,10 +22,17 @@ RRF_K = 60
 WEIGHTS = {"contextual": 1.2, "bm25": 0.8}
 
 
-def postings(chunks: DataFrame) -> DataFrame:
-    """chunk_id, term, tf, dl."""
+#: Terms of a query batch up to which they are broadcast; beyond, they are joined by shuffle.
+BROADCAST_TERMS = 200_000
+
+
+def postings(chunks: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """chunk_id, term, tf, dl; only for the wanted terms, which are sieved out before anything is counted or shuffled."""
     words = chunks.select("chunk_id", T.tokens(F.col("text")).alias("tokens"))
     terms = words.select("chunk_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
+    if wanted is not None:
+        few = wanted.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
+        terms = terms.join(F.broadcast(wanted) if few else wanted, "term", "left_semi")
     return terms.groupBy("chunk_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").cast("long").alias("dl"))
 
 
@@ -38,7 +45,7 @@ def bm25(chunks: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """qid, chunk_id, score, rank. Query terms are the small side; they reduce the postings before anything is shuffled by chunk."""
     size = chunks.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size(T.tokens(F.col("text")))).alias("avgdl")).collect()[0]
     wanted = queries.select("qid", F.explode(T.tokens(F.col("text"))).alias("term")).groupBy("qid", "term").agg(F.count(F.lit(1)).alias("qtf"))
-    index = postings(chunks).join(wanted.select("term").distinct(), "term", "left_semi")
+    index = postings(chunks, wanted.select("term").distinct())
     terms = term_statistics(index, size["n"])
     avgdl = size["avgdl"] or 1.0
     weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / avgdl))
@@ -114,10 +121,12 @@ def binary_search(vectors: DataFrame, queries: DataFrame, limit: int = 10, overs
 
 
 def centroid_gate(vectors: DataFrame, centroids: DataFrame, threshold: float = 0.70) -> DataFrame:
-    """Highest cosine with any centroid (a table of at most 64 rows), and whether it reaches the threshold."""
+    """Highest cosine with any centroid (a table of at most 64 rows), and whether it reaches the threshold; vectors stay where they are."""
     if centroids.limit(BLOCK + 1).count() > BLOCK:
         raise ValueError("more centroids than one block")
-    near = vectors.crossJoin(F.broadcast(centroids.select(F.col("centroid")))).groupBy("vec_id").agg(F.round(F.max(V.dot(F.col("embedding"), F.col("centroid"))), 6).alias("similarity"))
+    one_row = F.broadcast(centroids.agg(F.collect_list("centroid").alias("centroids")))
+    highest = F.array_max(F.transform("centroids", lambda c: V.dot(F.col("embedding"), c)))
+    near = vectors.crossJoin(one_row).select("vec_id", F.round(highest, 6).alias("similarity"))
     return near.withColumn("on_topic", F.col("similarity") >= threshold)
 
 
