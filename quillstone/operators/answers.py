@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstone.functions import text as T
+from quillstone.functions import vectors as V
 
 #: Input patterns of the two profiles.
 INJECTION_V2 = (
@@ -104,6 +105,37 @@ def grounding_v1(answers: DataFrame, tau: float = 0.35) -> DataFrame:
     return scored.select("aid", "claim", score.alias("score"), ((score >= tau) & ~F.col("missing")).alias("supported"))
 
 
+def grounding_v2(sentences: DataFrame, tau: float = 0.55, refuse: float = 0.60, warn: float = 0.85) -> DataFrame:
+    """For (aid, sentence, embedding, contexts array<array<double>>): share of sentences over 15 characters whose best cosine reaches tau.
+
+    None to verify passes with 1. One row an answer.
+    """
+    best = F.coalesce(F.array_max(F.transform("contexts", lambda c: V.dot(F.col("embedding"), c))), F.lit(0.0))
+    long = F.length("sentence") > 15
+    each = sentences.groupBy("aid").agg(F.count_if(long).alias("n"), F.count_if(long & (best >= tau)).alias("supported"))
+    ratio = F.when(F.col("n") == 0, 1.0).otherwise(F.round(F.col("supported") / F.col("n"), 6))
+    return each.withColumn("ratio", ratio).withColumn("verdict", F.when(F.col("ratio") < refuse, "refuse").when(F.col("ratio") < warn, "warn").otherwise("pass"))
+
+
+def composed_v2(verdicts: dict[str, Column], reasons: dict[str, str]) -> Column:
+    """The reason of the first guard, in the order G1, G2, G3, G4, G4b, G6, G5, whose verdict is a refusal; null if all pass."""
+    order = ["G1", "G2", "G3", "G4", "G4b", "G6", "G5"]
+    return F.coalesce(*[F.when(verdicts[g].startswith("refuse"), F.lit(reasons[g])) for g in order if g in verdicts])
+
+
+def providers_in_order(providers: DataFrame) -> DataFrame:
+    """Configured providers whose circuit isn't open, in failover order, of (name, position, configured, is_open)."""
+    return providers.where(F.col("configured") & ~F.col("is_open")).orderBy("position")
+
+
+def speech_text(text: Column, most: int = 1500) -> Column:
+    """At most ``most`` characters, to a sentence's end if one is past 60 % of them; terminators are tried in a fixed order."""
+    cut = F.substring(text, 1, most)
+    ends = [F.length(cut) - F.instr(F.reverse(cut), mark) + 1 for mark in "।.?!"]
+    usable = [F.when((F.instr(cut, mark) > 0) & (end > most * 0.6), F.substring(cut, F.lit(1), end)) for mark, end in zip("।.?!", ends, strict=True)]
+    return F.when(F.length(text) <= most, text).otherwise(F.coalesce(*usable, cut))
+
+
 def parse_answer(raw: Column) -> Column:
     """(answer, citations, repaired): fenced or plain JSON, JSON within prose, a truncated object's answer, or the text itself."""
     @F.pandas_udf("answer string, citations array<int>, repaired boolean")

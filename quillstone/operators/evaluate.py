@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -34,3 +34,8 @@ def bake_off(hits: DataFrame, relevant: DataFrame) -> DataFrame:
     parts = ir_metrics(hits.withColumn("qid", F.struct("strategy", "qid")), relevant.join(hits.select("strategy").distinct()).withColumn("qid", F.struct("strategy", "qid")))
     names = [c for c in parts.columns if c not in ("qid", "n_relevant")]
     return parts.groupBy("qid.strategy").agg(*[F.round(F.avg(c), 4).alias(c) for c in names]).orderBy(F.desc("recall_10"), "strategy")
+
+
+def without_warmup(runs: DataFrame, group: str, order: str, n: int) -> DataFrame:
+    """Without the first n rows of each group."""
+    return runs.withColumn("nth", F.row_number().over(Window.partitionBy(group).orderBy(order))).where(F.col("nth") > n).drop("nth")

@@ -122,3 +122,21 @@ def manifest(chunks: DataFrame) -> DataFrame:
     middle = F.expr("n DIV 2 + 1")
     sizes = placed.groupBy("strategy").agg(F.max("n").alias("n_chunks"), F.max(F.when((F.col("to") - F.col("c") < middle) & (middle <= F.col("to")), F.col("n_tokens"))).alias("tokens_p50"), F.max("n_tokens").alias("tokens_max"))
     return sizes.join(chunks.groupBy("strategy").agg(F.count_distinct("doc_id").alias("n_docs")), "strategy")
+
+
+def write_csv(df: DataFrame, path: str) -> None:
+    df.write.mode("overwrite").option("header", True).csv(path)
+
+
+def migrate(spark: SparkSession, source: str, target: str, vector: str = "embedding") -> tuple[int, int]:
+    """Copies a vector table without rows that have no vector; rows read and written."""
+    rows = spark.read.parquet(source)
+    write_table(rows.where(F.col(vector).isNotNull()), target)
+    return rows.count(), spark.read.parquet(target).count()
+
+
+def self_retrieval(vectors: DataFrame, probes: DataFrame) -> DataFrame:
+    """Whether each probe (qid, embedding) finds itself first."""
+    from quillstone.operators.retrieval import dense_top_k
+
+    return dense_top_k(vectors, probes, 1).select("qid", (F.col("qid") == F.col("chunk_id")).alias("found"))

@@ -196,6 +196,35 @@ def test_grounding(spark):
     assert got[1].supported and not got[2].supported and got[2].score < 0.35
 
 
+def test_grounding_by_cosine(spark):
+    rows = [(1, "a sentence that is long", [1.0, 0.0], [[1.0, 0.0]]), (1, "another long sentence here", [0.0, 1.0], [[1.0, 0.0]]), (2, "short", [1.0, 0.0], [[0.0, 1.0]])]
+    got = {r.aid: r for r in answers.grounding_v2(spark.createDataFrame(rows, "aid long, sentence string, embedding array<double>, contexts array<array<double>>")).collect()}
+    assert (got[1].ratio, got[1].verdict) == (0.5, "refuse") and (got[2].ratio, got[2].verdict) == (1.0, "pass")
+
+
+def test_first_refusal_wins(spark):
+    df = spark.createDataFrame([("pass", "refuse:low", "refuse"), ("pass", "pass", "strip")], "g1 string, g4 string, g6 string")
+    reason = answers.composed_v2({"G1": F.col("g1"), "G4": F.col("g4"), "G6": F.col("g6")}, {"G1": "UNSAFE", "G4": "LOW", "G6": "UNGROUNDED"})
+    assert [r[0] for r in df.select(reason).collect()] == ["LOW", None]
+
+
+def test_speech_text_ends_with_a_sentence(spark):
+    assert one(spark, "word " * 220 + "end. " + "tail " * 200, answers.speech_text(F.col("text"))).endswith("end.")
+    assert one(spark, "x" * 2000, answers.speech_text(F.col("text"))) == "x" * 1500
+
+
+def test_providers_warmup_and_migration(spark, tmp_path):
+    p = spark.createDataFrame([("a", 2, True, False), ("b", 1, True, True), ("c", 1, True, False), ("d", 0, False, False)], "name string, position int, configured boolean, is_open boolean")
+    assert [r.name for r in answers.providers_in_order(p).collect()] == ["c", "a"]
+    runs = spark.createDataFrame([("g", i) for i in range(5)], "g string, i int")
+    assert sorted(r.i for r in evaluate.without_warmup(runs, "g", "i", 2).collect()) == [2, 3, 4]
+    v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, None)], "vec_id long, embedding array<double>")
+    v.write.parquet(str(tmp_path / "a"))
+    assert tables.migrate(spark, str(tmp_path / "a"), str(tmp_path / "b")) == (3, 2)
+    kept = spark.read.parquet(str(tmp_path / "b"))
+    assert all(r.found for r in tables.self_retrieval(kept, kept.withColumnRenamed("vec_id", "qid")).collect())
+
+
 @pytest.mark.parametrize(
     ("raw", "answer", "cited", "repaired"),
     [
