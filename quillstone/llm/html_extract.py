@@ -139,6 +139,13 @@ def address(url: str | None) -> tuple[str, str]:
     return host, m[2].rstrip("/") or "/"
 
 
+def sort_key(page_id: object, url: str | None) -> str:
+    """Orders by host, then path, then id; a null id comes first."""
+    host, path = address(url)
+    last = f"{page_id:020d}" if isinstance(page_id, int) else "" if page_id is None else str(page_id)
+    return f"{host}\x01{path}\x01{last}"
+
+
 def nearness(a: str, b: str) -> int:
     n = 0
     for x, y in zip(a, b, strict=False):
@@ -201,8 +208,7 @@ def parsed(pages: DataFrame) -> DataFrame:
         for batch in batches:
             keys, lines = [], []
             for i, url, html in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                host, path = address(url)
-                keys.append(f"{host}\x01{path}\x01{i if i is not None else -1:020d}" if isinstance(i, int) or i is None else f"{host}\x01{path}\x01{i}")
+                keys.append(sort_key(i, url))
                 lines.append(json.dumps(lines_of(html), ensure_ascii=False, separators=(",", ":")))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.string()), pa.array(lines, pa.string())], names=["page_id", "url", "key", "lines"])
 
@@ -214,8 +220,7 @@ def keys_only(pages: DataFrame) -> DataFrame:
         for batch in batches:
             keys = []
             for i, url in zip(*(batch.column(k).to_pylist() for k in range(2)), strict=True):
-                host, path = address(url)
-                keys.append(f"{host}\x01{path}\x01{i if i is not None else -1:020d}" if isinstance(i, int) or i is None else f"{host}\x01{path}\x01{i}")
+                keys.append(sort_key(i, url))
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string())], names=["key"])
 
     return pages.select("page_id", "url").mapInArrow(run, "key string")
