@@ -138,7 +138,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     return src.mapInArrow(run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, severity double, grade int, p_toxic double, toxic boolean")
 
 
-def fitted(docs: DataFrame, labels: DataFrame, per_class: int = 3000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
+def fitted(docs: DataFrame, labels: DataFrame, per_class: int = 2000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     return fit(labelled_sample(pick(docs, doc_id=id_col, text=text_col), pick(labels, doc_id=id_col, toxic=label_col), per_class))
 
 
@@ -153,5 +153,5 @@ def without_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> Data
     return docs.where(~toxic(F.col(f"`{text_col}`").cast("string")))
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 3000) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 2000) -> DataFrame:
     return score(docs, fitted(docs, labels, per_class))
