@@ -8,27 +8,35 @@ longer beginning of the path (the one before it in a tie); shared lines are the
 Lines of an article or main element are the page's whatever they say, for two articles may quote the same passage; on
 pages without such an element all lines that aren't marked are open.
 
-Neighbours meet without a global sort in one task: (host, path, id) is dealt into ranges, each a partition, and the first
-and last pages of a range are also sent, as guests, to its neighbours. Hosts may hold any share of the pages. Only
-extracted lines are shuffled, once.
+Pages that say the same (equal lines but for the marked ones) are copies of one page: repeated rows, twins by query string,
+print or mobile address. Where they follow each other they are one run, whose neighbours are the pages before and after it.
+So no page is compared with its copy, which would delete all of its lines.
+
+Neighbours meet without a global sort in one task: (host, path, id) is dealt into ranges, each a partition. A first pass over
+digests of the lines finds the runs at the ends of all ranges, and so the pages that a range needs of others, however many
+copies lie between; these are sent to it as guests. Hosts may hold any share of the pages. Extracted lines are shuffled once,
+pages are parsed twice.
 
 Defined results. Null and empty html: empty text. A null or broken URL counts as the empty host and its own text as path.
-Repeated rows are extracted once each; equal URLs are ordered by id, then by their lines. A host with one page has
-nothing to compare. Unclosed elements end where their container ends. Extra columns are ignored.
+Repeated rows are extracted once each; equal URLs are ordered by id, then by the digest of their lines. A host with one
+page, or with copies of one, has nothing to compare. Unclosed elements end where their container ends. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import bisect
 import json
 import re
+from collections import deque
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import pick, range_of, range_starts, shuffle_partitions
+from quillstone.llm.common import pick, range_starts, shuffle_partitions
 
 #: Elements by what they mean for the lines in them.
 UNREAD = frozenset("script style head template noscript iframe object svg math canvas audio video select textarea title".split())
@@ -48,6 +56,8 @@ MARKS = re.compile(
 #: White space as the contract's blocks know it.
 SPACE = re.compile(r"\s+")
 OPEN, ARTICLE, SITE = 0, 1, 2
+#: Results in a batch at most.
+SLICE = 1000
 
 
 class Lines(HTMLParser):
@@ -199,20 +209,18 @@ def main_text(lines: list[tuple[int, str]], neighbour: list[tuple[int, str]] | N
     return "\n".join(text for k, (kind, text) in enumerate(lines) if kind == ARTICLE or k in kept)
 
 
-KEYED = "page_id {}, url string, key string, lines string"
+#: Runs of equal pages that a range is told of at each of its ends, and that a page's neighbours are looked for in.
+EDGE, REACH = 4, 2
+DEALT = "page_id {}, url string, key string, digest string, lines string, range int, guest boolean"
 
 
-def parsed(pages: DataFrame) -> DataFrame:
-    """page_id, url, key (orders by host, then path, then id), lines (JSON, a list of [kind, text])."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys, lines = [], []
-            for i, url, html in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                keys.append(sort_key(i, url))
-                lines.append(json.dumps(lines_of(html), ensure_ascii=False, separators=(",", ":")))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.string()), pa.array(lines, pa.string())], names=["page_id", "url", "key", "lines"])
+def digest_of(lines: list[tuple[int, str]]) -> str:
+    """The same for pages that say the same, whatever menus and notices the markup names."""
+    return xxhash.xxh3_128_hexdigest("\n".join(text for kind, text in lines if kind != SITE))
+
 
-    return pages.mapInArrow(run, KEYED.format(pages.schema["page_id"].dataType.simpleString()))
+def host_of(key: str) -> str:
+    return key.partition("\x01")[0]
 
 
 def keys_only(pages: DataFrame) -> DataFrame:
@@ -226,52 +234,140 @@ def keys_only(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", "url").mapInArrow(run, "key string")
 
 
+def place_of(starts: list[str], key: str) -> int:
+    return max(0, bisect.bisect_right(starts, key) - 1)
+
+
+def ends_of_ranges(pages: DataFrame, starts: list[str]) -> dict[int, list[tuple[str, str, str, str]]]:
+    """For each range its first and last runs of equal pages, in order: host, digest, key of the first page and of the last."""
+    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, found = [], []
+            for i, url, html in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                keys.append(sort_key(i, url))
+                found.append(digest_of(lines_of(html)))
+            ranges = [place_of(starts, k) for k in keys]
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(found, pa.string()), pa.array(ranges, pa.int32())], names=["key", "digest", "range"])
+
+    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first: list[list] = []
+        last: deque[list] = deque(maxlen=EDGE)
+        place, n = None, 0
+        for batch in batches:
+            for key, digest, place in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                if last and last[-1][1] == digest and host_of(last[-1][2]) == host_of(key):
+                    last[-1][3] = key
+                    continue
+                last.append([n, digest, key, key])
+                n += 1
+                if len(first) < EDGE:
+                    first.append(last[-1])
+        found = first + [x for x in last if x[0] >= len(first)]
+        columns = list(zip(*found, strict=True)) if found else [()] * 4
+        yield pa.RecordBatch.from_arrays([pa.array([place] * len(found), pa.int32()), *[pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.string(), pa.string()), strict=True)]], names=["range", "n", "digest", "low", "high"])
+
+    ordered = pages.mapInArrow(digests, "key string, digest string, range int").repartitionById(max(1, len(starts)), F.col("range")).sortWithinPartitions("key", "digest")
+    runs: dict[int, list[tuple[str, str, str, str]]] = {}
+    for r in sorted(ordered.mapInArrow(ends, "range int, n bigint, digest string, low string, high string").collect()):  # 2 x EDGE rows a range
+        runs.setdefault(r["range"], []).append((host_of(r["low"]), r["digest"], r["low"], r["high"]))
+    return runs
+
+
+def guests_of(runs: dict[int, list[tuple[str, str, str, str]]]) -> dict[tuple[str, str], list[int]]:
+    """From a page's key and digest to the other ranges that must see it: of the runs next to a range, the pages next to it."""
+    guests: dict[tuple[str, str], list[int]] = {}
+    ranges = sorted(runs)
+    for at, r in enumerate(ranges):
+        before = ((host, digest, high) for s in reversed(ranges[:at]) for host, digest, _, high in reversed(runs[s]))
+        after = ((host, digest, low) for s in ranges[at + 1 :] for host, digest, low, _ in runs[s])
+        for own, others in ((runs[r][0][0], before), (runs[r][-1][0], after)):
+            seen: list[str] = []
+            for host, digest, key in others:
+                if host != own:
+                    break
+                if seen and seen[-1] == digest:
+                    continue
+                # the first may be the beginning or the end of the range's own run
+                if len(seen) > REACH:
+                    break
+                seen.append(digest)
+                guests.setdefault((key, digest), []).append(r)
+    return guests
+
+
+def dealt(pages: DataFrame, starts: list[str], guests: dict[tuple[str, str], list[int]]) -> DataFrame:
+    """Each page with its key (orders by host, then path, then id), digest and lines (JSON, a list of [kind, text]), for its range and as a guest for others."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for k, (i, url, html) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True)):
+                key, lines = sort_key(i, url), lines_of(html)
+                digest, text = digest_of(lines), json.dumps(lines, ensure_ascii=False, separators=(",", ":"))
+                rows.append((k, key, digest, text, place_of(starts, key), False))
+                rows += [(k, key, digest, text, r, True) for r in guests.get((key, digest), ())]
+            columns = list(zip(*rows, strict=True)) if rows else [()] * 6
+            which = pa.array(columns[0], pa.int64())
+            out = [pa.array(c, t) for c, t in zip(columns[1:], (pa.string(), pa.string(), pa.string(), pa.int32(), pa.bool_()), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(which), batch.column(1).take(which), *out], names=["page_id", "url", "key", "digest", "lines", "range", "guest"])
+
+    return pages.mapInArrow(run, DEALT.format(pages.schema["page_id"].dataType.simpleString()))
+
+
+class Run:
+    """Pages of a host that follow each other and say the same: their lines once, and what tells them apart."""
+
+    def __init__(self, host: str, digest: str, path: str, lines: str):
+        self.host, self.digest, self.first, self.last = host, digest, path, path
+        self.lines: list[tuple[int, str]] = json.loads(lines)
+        self.pages: list[tuple[object, str | None, str]] = []
+
+
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, text, n_chars."""
     spark = pages.sparkSession
     src = pick(pages, page_id=id_col, url=url_col, html=html_col).withColumns({"url": F.col("url").cast("string"), "html": F.col("html").cast("string")})
     starts = range_starts(keys_only(src), "key", shuffle_partitions(spark))
-    n = max(1, len(starts))
-    ranged = parsed(src).withColumn("own", range_of(starts)(F.col("key")))
-    # the last page of a range isn't known by its key, so a range's ends travel by a second, small pass over keys
-    ends = keys_only(src).withColumn("own", range_of(starts)(F.col("key"))).groupBy("own").agg(F.max("key").alias("last"))
-    lasts = {r["own"]: r["last"] for r in ends.collect()}  # one key a range
-    firsts_sql, lasts_sql = F.array(*[F.lit(s) for s in starts or [""]]), F.array(*[F.lit(lasts.get(k, "")) for k in range(n)])
-    place = lambda r: F.struct(r.cast("int").alias("range"))
-    here = F.col("own")
-    to_before = F.when((F.col("key") == F.element_at(firsts_sql, here + 1)) & (here > 0), F.array(place(here - 1)))
-    to_after = F.when((F.col("key") == F.element_at(lasts_sql, here + 1)) & (here < n - 1), F.array(place(here + 1)))
-    none = F.array().cast("array<struct<range:int>>")
-    dealt = ranged.select("page_id", "url", "key", "lines", "own", F.inline(F.concat(F.array(place(here)), F.coalesce(to_before, none), F.coalesce(to_after, none))))
-    ordered = dealt.repartitionById(n, F.col("range")).sortWithinPartitions("key", "lines").select("page_id", "url", "key", "lines", (F.col("own") != F.col("range")).alias("guest"))
+    # a range's ends travel by a pass over digests: how far its neighbours are isn't known where pages repeat
+    guests = guests_of(ends_of_ranges(src, starts))
+    ordered = dealt(src, starts, guests).repartitionById(max(1, len(starts)), F.col("range")).sortWithinPartitions("key", "digest").select("page_id", "url", "key", "digest", "lines", "guest")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before = current = None
+        near: deque[Run] = deque()  # up to REACH runs that are done, then those that wait for REACH runs after them
+        kind, done = None, 0
+
+        def results(at: int) -> Iterator[pa.RecordBatch]:
+            own = near[at]
+            before = [r for r in list(near)[max(0, at - REACH) : at][::-1] if r.host == own.host]
+            after = [r for r in list(near)[at + 1 : at + 1 + REACH] if r.host == own.host]
+            texts: dict[bool, str] = {}
+            for start in range(0, len(own.pages), SLICE):
+                rows = []
+                for i, url, path in own.pages[start : start + SLICE]:
+                    later = bool(after) and (not before or nearness(after[0].first, path) > nearness(before[0].last, path))
+                    if later not in texts:
+                        best = after[0] if later else before[0] if before else None
+                        texts[later] = main_text(own.lines, best.lines if best else None)
+                    rows.append((i, url, texts[later], len(texts[later])))
+                columns = list(zip(*rows, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (kind, pa.string(), pa.string(), pa.int64()), strict=True)], names=["page_id", "url", "text", "n_chars"])
+            own.pages.clear()
 
-        def result(page: tuple, after: tuple | None) -> tuple:
-            near = [p for p in (before, after) if p is not None and p[2] == page[2]]
-            best = max(near, key=lambda p: nearness(p[3], page[3]), default=None)
-            text = main_text(page[4], best[4] if best else None)
-            return page[0], page[1], text, len(text)
-
-        kind = None
         for batch in batches:
             kind = batch.schema.field(0).type
-            rows = []
-            for i, url, key, lines, guest in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+            for i, url, key, digest, lines, guest in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
                 host, path, _ = key.split("\x01", 2)
-                page = (i, url, host, path, json.loads(lines), guest)
-                if current is not None:
-                    if not current[5]:
-                        rows.append(result(current, page))
-                    before = current
-                current = page
-            yield emitted(rows, kind)
-        if current is not None and not current[5]:
-            yield emitted([result(current, None)], kind)
-
-    def emitted(rows: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
-        columns = list(zip(*rows, strict=True)) if rows else [()] * 4
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (kind, pa.string(), pa.string(), pa.int64()), strict=True)], names=["page_id", "url", "text", "n_chars"])
+                if not near or near[-1].host != host or near[-1].digest != digest:
+                    near.append(Run(host, digest, path, lines))
+                    if len(near) - 1 - done > REACH:
+                        yield from results(done)
+                        done += 1
+                    if done > REACH:
+                        near.popleft()
+                        done -= 1
+                near[-1].last = path
+                if not guest:
+                    near[-1].pages.append((i, url, path))
+        for at in range(done, len(near)):
+            yield from results(at)
 
     return ordered.mapInArrow(run, f"page_id {src.schema['page_id'].dataType.simpleString()}, url string, text string, n_chars bigint")

@@ -190,3 +190,19 @@ def test_longest_common_subsequence():
         a, b = ([rnd.choice("abcde") for _ in range(rnd.randint(0, 12))] for _ in range(2))
         found = html_extract.shared(a, b)
         assert len(found) == brute_length(a, b)
+
+
+def test_copies_do_not_erase_each_other(spark):
+    story = lambda k: f"<div>Welcome</div><div>Story {k}</div>"
+    rows = [(3, "not a url", "<p>x</p>"), (3, "not a url", "<p>x</p>"), (10, *page(story("a"), path="/a")), (11, *page(story("a"), path="/a?print=1")), (12, *page(story("a"), host="m.a.example.com", path="/a"))]
+    rows += [(13, *page(story("b"), path="/b")), (20, *page("<div>Alone</div>", host="b.example.com")), (21, *page("<div>Alone</div>", host="www.b.example.com"))]
+    got = sorted((r.page_id, r.text) for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect())
+    assert got == [(3, "x"), (3, "x"), (10, "Story a"), (11, "Story a"), (12, "Story a"), (13, "Story b"), (20, "Alone"), (21, "Alone")]
+
+
+def test_runs_of_copies_over_many_ranges(spark):
+    """All pages of one host, copies in runs longer than a range: each is compared with the nearest page that differs."""
+    told = [0] * 3 + [1] * 40 + [2, 1, 2] + [3] * 30 + [4]
+    rows = [(k, *page(f"<div>Welcome</div><div>Story {n}</div>", path=f"/{k:03d}")) for k, n in enumerate(told)]
+    got = html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)).collect()
+    assert sorted((r.page_id, r.text) for r in got) == [(k, f"Story {n}") for k, n in enumerate(told)]
