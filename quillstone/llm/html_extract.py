@@ -1,12 +1,13 @@
 """Main text of web pages: markup rules, and nearest-URL page differencing.
 
 Every page is parsed into lines, one for each block, in page order. A line under a menu, header, footer, sidebar, notice,
-advert, form, script or comment section is marked by its element or its class; a line within an article or main element
-is body. What the markup leaves open is settled by differencing: the pages of a host are ordered by URL path, and each
-page is aligned, by the longest common subsequence of its open lines, with whichever neighbour in that order shares the
-longer beginning of the path (the one before it in a tie); shared lines are the site's, not the page's, and are deleted.
-Lines of an article or main element are the page's whatever they say, for two articles may quote the same passage; on
-pages without such an element all lines that aren't marked are open.
+advert, form, script or comment section is marked by its element or its class; a line within an article is the page's
+whatever it says, for two articles may quote the same passage. Differencing settles the rest: the pages of a host are ordered
+by URL path, and each page is aligned by the longest common subsequence of lines with those near it in that order. Open lines,
+outside of any article or main element, also on pages that have one, are compared with whichever neighbour shares the longer
+beginning of the path (the one before it in a tie); shared ones are the site's and are deleted. Lines of a main element that
+are in no article are deleted where the two nearest pages that differ, at most two away on either side, both share them: what
+one page shares may be a quotation. With fewer than two such pages they stay.
 
 Pages that say the same (equal lines but for the marked ones) are copies of one page: repeated rows, twins by query string,
 print or mobile address. Where they follow each other they are one run, whose neighbours are the pages before and after it.
@@ -55,7 +56,7 @@ MARKS = re.compile(
 )
 #: White space as the contract's blocks know it.
 SPACE = re.compile(r"\s+")
-OPEN, ARTICLE, SITE = 0, 1, 2
+OPEN, ARTICLE, SITE, MAIN = 0, 1, 2, 3
 #: Results in a batch at most.
 SLICE = 1000
 
@@ -65,20 +66,20 @@ class Lines(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, bool, bool, bool]] = []  # name, unread, marked, body: each of it or what holds it
+        self.stack: list[tuple[str, bool, bool, int]] = []  # name, unread, marked, body (OPEN, MAIN or ARTICLE): each of it or what holds it
         self.parts: list[str] = []
         self.lines: list[tuple[int, str]] = []
         self.kind = OPEN
 
-    def state(self) -> tuple[bool, bool, bool]:
-        return self.stack[-1][1:] if self.stack else (False, False, False)
+    def state(self) -> tuple[bool, bool, int]:
+        return self.stack[-1][1:] if self.stack else (False, False, OPEN)
 
     def flush(self) -> None:
         text = SPACE.sub(" ", "".join(self.parts)).strip()
         self.parts.clear()
         if text:
             _, marked, body = self.state()
-            self.lines.append((SITE if marked else ARTICLE if body else OPEN, text))
+            self.lines.append((SITE if marked else body, text))
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in BLOCK:
@@ -92,7 +93,8 @@ class Lines(HTMLParser):
         named = any(k in ("class", "id", "role") and v and MARKS.search(v) for k, v in attrs)
         hidden = any(k == "hidden" or k == "aria-hidden" and v == "true" for k, v in attrs)
         marked = marked or tag in MARKED or tag == "header" and not body or named and tag not in BODY and tag not in ("html", "body") or hidden
-        self.stack.append((tag, unread or tag in UNREAD, marked, body or tag in BODY))
+        body = ARTICLE if tag == "article" else MAIN if tag == "main" and body == OPEN else body
+        self.stack.append((tag, unread or tag in UNREAD, marked, body))
 
     def close_open(self, tag: str) -> None:
         """An element of these kinds ends an open one like it in the same container."""
@@ -201,12 +203,17 @@ def shared(own: list[str], other: list[str]) -> set[int]:
     return found
 
 
-def main_text(lines: list[tuple[int, str]], neighbour: list[tuple[int, str]] | None) -> str:
-    has_body = any(kind == ARTICLE for kind, _ in lines)
+def main_text(lines: list[tuple[int, str]], neighbour: list[tuple[int, str]] | None, witnesses: list[list[tuple[int, str]]] = ()) -> str:
+    """The lines of articles, open lines that the neighbour doesn't share, and lines of main that not both witnesses share."""
+    deleted: set[int] = set()
     open_lines = [k for k, (kind, _) in enumerate(lines) if kind == OPEN]
-    deleted = shared([lines[k][1] for k in open_lines], [t for kind, t in neighbour if kind == OPEN]) if neighbour and open_lines else set()
-    kept = {k for i, k in enumerate(open_lines) if i not in deleted} if not has_body else set()
-    return "\n".join(text for k, (kind, text) in enumerate(lines) if kind == ARTICLE or k in kept)
+    if neighbour and open_lines:
+        deleted |= {open_lines[i] for i in shared([lines[k][1] for k in open_lines], [t for kind, t in neighbour if kind == OPEN])}
+    main_lines = [k for k, (kind, _) in enumerate(lines) if kind == MAIN]
+    if len(witnesses) == 2 and main_lines:
+        one, two = (shared([lines[k][1] for k in main_lines], [t for kind, t in w if kind in (OPEN, MAIN)]) for w in witnesses)
+        deleted |= {main_lines[i] for i in one & two}
+    return "\n".join(text for k, (kind, text) in enumerate(lines) if kind != SITE and k not in deleted)
 
 
 #: Runs of equal pages that a range is told of at each of its ends, and that a page's neighbours are looked for in.
@@ -339,6 +346,10 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
             own = near[at]
             before = [r for r in list(near)[max(0, at - REACH) : at][::-1] if r.host == own.host]
             after = [r for r in list(near)[at + 1 : at + 1 + REACH] if r.host == own.host]
+            witnesses: list[Run] = []
+            for r in sorted([*enumerate(before), *enumerate(after)], key=lambda x: x[0]):
+                if r[1].digest not in {own.digest, *(w.digest for w in witnesses)}:
+                    witnesses.append(r[1])
             texts: dict[bool, str] = {}
             for start in range(0, len(own.pages), SLICE):
                 rows = []
@@ -346,7 +357,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
                     later = bool(after) and (not before or nearness(after[0].first, path) > nearness(before[0].last, path))
                     if later not in texts:
                         best = after[0] if later else before[0] if before else None
-                        texts[later] = main_text(own.lines, best.lines if best else None)
+                        texts[later] = main_text(own.lines, best.lines if best else None, [r.lines for r in witnesses[:2]])
                     rows.append((i, url, texts[later], len(texts[later])))
                 columns = list(zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (kind, pa.string(), pa.string(), pa.int64()), strict=True)], names=["page_id", "url", "text", "n_chars"])

@@ -206,3 +206,14 @@ def test_runs_of_copies_over_many_ranges(spark):
     rows = [(k, *page(f"<div>Welcome</div><div>Story {n}</div>", path=f"/{k:03d}")) for k, n in enumerate(told)]
     got = html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)).collect()
     assert sorted((r.page_id, r.text) for r in got) == [(k, f"Story {n}") for k, n in enumerate(told)]
+
+
+def test_differencing_settles_open_lines_beside_articles_and_notices_in_main(spark):
+    beside = lambda k: f"<div>Welcome</div><div>Lead {k}</div><article><p>Told {k}</p></article>"
+    teaser = lambda k: f"<div>Story {k}</div><div>Imprint</div><article><p>Read on</p></article>"
+    notice = lambda k: f"<main><p>We moved house.</p><p>Own {k}</p><article><p>Told {k}</p></article></main>"
+    rows = [(k * 10 + i, *page(f(i), host=f"{k}.example.com", path=f"/{i}")) for k, f in enumerate((beside, teaser, notice), 1) for i in range(4)]
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [got[10 + i] for i in range(4)] == [f"Lead {i}\nTold {i}" for i in range(4)]
+    assert [got[20 + i] for i in range(4)] == [f"Story {i}\nRead on" for i in range(4)]
+    assert [got[30 + i] for i in range(4)] == [f"Own {i}\nTold {i}" for i in range(4)]
