@@ -270,23 +270,27 @@ def across_components(unsettled: DataFrame, sets: DataFrame, percent: int) -> Sc
     return pairs
 
 
-def components(vertices: DataFrame, links: DataFrame, rounds: int = 64) -> Scratch:
-    """v, label: the least vertex that links reach. Each round takes the least label among neighbours, then the label's label."""
+def components(vertices: DataFrame, links: DataFrame) -> Scratch:
+    """v, label: the least vertex that links reach.
+
+    Each round takes the least label among neighbours, tells it to the vertex that the old label names, so that all with
+    that label follow, then takes the label's label. Labels only fall, and rounds go on until none does: their number
+    grows with the logarithm of a chain's length where ids are in no order (11 for 300, 22 for 100,000).
+    """
     both = Scratch.write(links.unionByName(links.select(F.col("w").alias("v"), F.col("v").alias("w"))).distinct())
     labels = Scratch.write(vertices.select("v", F.col("v").alias("label")))
-    for _ in range(rounds):
+    changed = 1
+    while changed:
         now = labels.read()
         offered = both.read().join(now.select(F.col("v").alias("w"), "label"), "w").groupBy("v").agg(F.min("label").alias("offer"))
         lowered = now.join(offered, "v", "left").select("v", F.col("label").alias("old"), F.least("label", F.coalesce("offer", "label")).alias("label"))
+        own, root = F.struct("v", "old", "label"), F.struct(F.col("old").alias("v"), F.lit(None).cast("long").alias("old"), "label")
+        told = lowered.select(F.inline(F.when(F.col("label") < F.col("old"), F.array(own, root)).otherwise(F.array(own)))).groupBy("v").agg(F.max("old").alias("old"), F.min("label").alias("label"))
         jump = now.select(F.col("v").alias("label"), F.col("label").alias("further"))
-        new = Scratch.write(lowered.join(jump, "label").select("v", "old", F.least("label", "further").alias("label")))
+        new = Scratch.write(told.join(jump, "label").select("v", "old", F.least("label", "further").alias("label")))
         labels.drop()
         changed = new.read().where("old <> label").limit(1).count()
         labels = new
-        if not changed:
-            break
-    else:
-        raise RuntimeError("labels still change after the last round")
     both.drop()
     return labels
 

@@ -217,3 +217,15 @@ def test_differencing_settles_open_lines_beside_articles_and_notices_in_main(spa
     assert [got[10 + i] for i in range(4)] == [f"Lead {i}\nTold {i}" for i in range(4)]
     assert [got[20 + i] for i in range(4)] == [f"Story {i}\nRead on" for i in range(4)]
     assert [got[30 + i] for i in range(4)] == [f"Own {i}\nTold {i}" for i in range(4)]
+
+
+@pytest.mark.parametrize("order", ["shuffled", "adverse"])
+def test_components_of_a_long_chain(spark, order):
+    ids = list(range(300))
+    random.Random(5).shuffle(ids)
+    if order == "adverse":  # only next to the end is a lesser neighbour
+        ids = [k for pair in zip(range(150), range(299, 149, -1), strict=True) for k in pair]
+    links = spark.createDataFrame(list(zip(ids, ids[1:], strict=False)), "v long, w long")
+    found = ngram_join.components(spark.createDataFrame([(k,) for k in [*ids, 1000]], "v long"), links)
+    assert {r.v: r.label for r in found.read().collect()} == dict.fromkeys(range(300), 0) | {1000: 1000}
+    found.drop()
