@@ -132,3 +132,12 @@ def test_toxicity_cases(spark, awkward):
     kept = toxicity.without_toxic(awkward, toxicity.Model())
     assert kept.columns == awkward.columns and kept.count() == 9
     assert toxicity.toxicity(awkward.limit(0), labels).count() == 0
+
+
+def test_one_random_key_is_found_without_long_words_and_among_slugs(spark):
+    key = "q7RkZx2LmV9tBw4HsYc8NdPf3GjKa6Ue1TiXo5Qb"
+    find = lambda rows: {r.doc_id: r.spans for r in secret_scan.digest(secret_scan.scan(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    few = find([(0, f"use {key} now"), *[(i, f"plain words in row {i}") for i in range(1, 10)]])
+    assert few == {0: "random:4:44", **dict.fromkeys(range(1, 10), "")}
+    among = find([(0, f"use {key} now"), *[(i, f"see blog/2024/the-story-of-house-number-{i} here") for i in range(1, 100)]])
+    assert among == {0: "random:4:44", **dict.fromkeys(range(1, 100), "")}
