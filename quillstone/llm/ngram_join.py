@@ -3,8 +3,8 @@
 Two sets that reach the threshold differ in at most U elements, a number that follows from their sizes. Sizes are dealt
 into overlapping bands so that any two sets that can link share a band. In a band, elements are hashed into segments;
 what a set holds in a segment, hashed, is a signature. Each differing element spoils one segment at most, so a set with
-more than U filled segments shares one of them with every partner (pigeonhole). In the band of the smallest sizes, where U
-is 1, there is one segment, and its one-deletion neighbourhood (the set, and the set without each element in turn) makes
+more than U filled segments shares one of them with every partner (pigeonhole). In the band of the smallest sizes (to 5, or
+less below 70 percent), where U is 1 at most, there is one segment, and its one-deletion neighbourhood (the set, and the set without each element in turn) makes
 partners meet. A band's number of segments is the cheapest that leaves every size of the band enough filled segments
 with seven standard deviations to spare; whether every set has them is counted, and if one hasn't, another seed is taken.
 
@@ -70,8 +70,14 @@ class Bands:
     """Sizes, segments and needed signatures for a threshold of percent / 100."""
 
     def __init__(self, percent: int, seed: int = 0):
+        if not 50 < percent <= 100:
+            raise ValueError("below 51 percent a set of two can differ from its partner in as many elements as it has")
         self.percent, self.seed = percent, seed
-        self.tops = [5 * 2**k for k in range(48)]
+        # band 0 goes as far as its one-deletion neighbourhoods serve
+        for top in (5, 4, 3, 2, 1):
+            self.tops = [top * 2**k for k in range(48)]
+            if all(Bands.spoiled.__wrapped__(self, s, 0) <= 1 for s in range(1, top + 1)):
+                break
 
     def need(self, total: int) -> int:
         """Least intersection of two linked sets whose sizes add up to ``total``: i * 100 >= percent * (total - i)."""
@@ -98,7 +104,8 @@ class Bands:
             return 1
         top, low = self.tops[band], self.least(band)
         if top <= 40:
-            return 4096
+            # where a small set needs all of its elements in segments of their own, none may meet
+            return 4096 if self.tops[0] == 5 else 1 << 32
         sizes = sorted({low, *range(low, top, max(1, (top - low) // 16)), top})
         m = 0.3 * top
         while True:

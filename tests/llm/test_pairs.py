@@ -229,3 +229,20 @@ def test_components_of_a_long_chain(spark, order):
     found = ngram_join.components(spark.createDataFrame([(k,) for k in [*ids, 1000]], "v long"), links)
     assert {r.v: r.label for r in found.read().collect()} == dict.fromkeys(range(300), 0) | {1000: 1000}
     found.drop()
+
+
+@pytest.mark.parametrize("percent", [51, 60, 65])
+def test_small_sets_link_at_low_thresholds(spark, percent):
+    words = [f"w{i}" for i in range(40)]
+    rows = [(10 * k + n, " ".join(words[3 * k : 3 * k + n + 4])) for k in range(4) for n in (1, 3, 5, 8)]
+    rnd = random.Random(1)
+    rows += [(100 + k, " ".join(rnd.sample(words, rnd.randint(5, 12)))) for k in range(20)]
+    label, _ = brute(rows, percent)
+    got = ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string"), percent=percent)
+    assert {r.doc_id: r.component_id for r in got.collect()} == label
+
+
+def test_thresholds_that_signatures_cannot_serve_are_refused():
+    with pytest.raises(ValueError, match="51 percent"):
+        ngram_join.Bands(50)
+    assert [ngram_join.Bands(p).tops[0] for p in (60, 65, 70, 75)] == [3, 4, 5, 5]
