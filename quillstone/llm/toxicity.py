@@ -1,25 +1,28 @@
 """Toxicity by cumulative-link ordinal regression on sparse text features.
 
-Severity has the grades 0 to 3: a row that isn't labelled toxic has grade 0; a toxic one has 1, 2 or 3 by how many
-different marker words it holds (under 3, under 6, more), markers being the words whose log-odds between toxic and other
-labelled rows are beyond doubt. The model is P(grade <= j) = sigmoid(threshold_j - weights . x): one weight for each word
-shared by all thresholds, and thresholds that are kept in order by being sums of positive steps. x has a one for each
-vocabulary word in the text, and for each beginning of four or five letters of its words. The expected severity is the mean of the grade; a document is toxic if a grade above 0 is
-more likely than not.
+Severity has the grades 0 to 3. Labels that hold grades are taken as they are. Labels that only say toxic or not have no
+severity of their own: there a toxic row's grade is 1, 2 or 3 by how many different marker words it holds (under 3, under 6,
+more), markers being the words whose log-odds between toxic and other rows are beyond doubt in the half of the sample that
+the row isn't in, so that no row's words decide their own grade. The model is P(grade <= j) = sigmoid(threshold_j -
+weights . x): one weight for each word shared by all thresholds, and thresholds that are kept in order by being sums of
+positive steps. x has a one for each vocabulary word in the text, and for each beginning of four or five letters of its
+words. The expected severity is the mean of the grade; the grade is its median, and a document is toxic if that is above 0.
 
 Only the fit uses a sample: at most ``per_class`` toxic rows and twice as many others, those with the smallest hash of
-their id, and the ``vocabulary`` words that tell most between them. All documents are scored, whole, in a map over the
-scan; the model, of bounded size, travels with the function.
+their id, and the ``vocabulary`` words that tell most between them. The sample's words are counted where they are; one task
+fits, on at most ``vocabulary`` numbers a row, and what reaches the driver is the model. All documents are scored, whole, in
+a map over the scan; the model, of bounded size, travels with the function.
 
 Defined results. Null and empty texts, and texts without known words, get the thresholds' own severity and aren't toxic.
-Repeated rows: one result each. Without labelled rows of both kinds every severity is 0 and nothing is toxic. Labels that
-are null, or repeat or contradict each other, count as toxic if any of them does. Extra columns are ignored.
+Words of more than 64 characters aren't known. Repeated rows: one result each. Without labelled rows of both kinds every
+severity is 0 and nothing is toxic. Labels that are null count as 0; of those that repeat or contradict each other the
+highest counts. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -28,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import pick
+from quillstone.llm.common import Scratch, pick
 from quillstone.shipping import ship
 
 WORD = re.compile(r"\w+")
@@ -37,11 +40,14 @@ MARKS = (3, 6)
 
 
 PREFIXES = (4, 5)
+WORD_CHARS = 64
+#: A word's log-odds, in standard errors, from which it is a marker.
+BEYOND_DOUBT = 4
 
 
 def words_of(text: str | None) -> set[str]:
     """The text's different words, and their beginnings, marked by an asterisk, which inflected forms share."""
-    words = set(WORD.findall(text.lower())) if text else set()
+    words = {w for w in WORD.findall(text.lower()) if len(w) <= WORD_CHARS} if text else set()
     return words.union(*({w[:n] + "*" for w in words if len(w) > n} for n in PREFIXES))
 
 
@@ -59,58 +65,57 @@ class Model:
         return [float(b - a) for a, b in zip([0.0, *up_to], up_to, strict=False)]
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int) -> Iterator[tuple[bool, list[str]]]:
-    """At most 3 * per_class labelled texts as lists of different words, a partition at a time; their ids are the only side that is broadcast."""
-    marked = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(F.coalesce(F.col("toxic") > 0, F.lit(False))).alias("toxic"))
-    ordered = [marked.where(F.col("toxic") == kind).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for kind, n in ((True, per_class), (False, 2 * per_class))]
+def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int) -> Scratch:
+    """grade, words, half of at most 3 * per_class labelled texts; their ids are the only side that is broadcast."""
+    marked = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(F.greatest(F.coalesce(F.col("toxic").cast("int"), F.lit(0)), F.lit(0))).alias("grade"))
+    ordered = [marked.where(kind).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for kind, n in (("grade > 0", per_class), ("grade = 0", 2 * per_class))]
     chosen = F.broadcast(ordered[0].unionByName(ordered[1]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([sorted(words_of(t.as_py())) for t in batch.column(1)], pa.list_(pa.string()))], names=["toxic", "words"])
-
-    rows = docs.join(chosen, "doc_id").select("toxic", "text").mapInArrow(run, "toxic boolean, words array<string>")
-    return ((bool(r["toxic"]), r["words"]) for r in rows.toLocalIterator())
-
-
-def fit(sample: Iterable[tuple[bool, Iterable[str]]], vocabulary: int = 4096, least: int = 5, penalty: float = 1.0, rounds: int = 300) -> Model:
-    """Words become numbers as they come, so that what is held is four bytes for each word of a sampled text."""
-    ids: dict[str, int] = {}
-    texts: list[np.ndarray] = []
-    flags: list[bool] = []
-    for is_toxic, words in sample:
-        texts.append(np.fromiter((ids.setdefault(w, len(ids)) for w in words), np.int32))
-        flags.append(is_toxic)
-    toxic = np.array(flags, bool)
-    n, n1 = len(texts), int(toxic.sum())
-    n0 = n - n1
-    if not n0 or not n1:
-        return Model()
-    everything = np.concatenate(texts)
-    row = np.repeat(np.arange(n), [len(t) for t in texts])
-    in_all = np.bincount(everything, minlength=len(ids))
-    a = np.bincount(everything[toxic[row]], minlength=len(ids))
-    b = in_all - a
-    odds = np.log((a + 0.5) / (n1 - a + 0.5)) - np.log((b + 0.5) / (n0 - b + 0.5))
-    told = odds / np.sqrt(1 / (a + 0.5) + 1 / (n1 - a + 0.5) + 1 / (b + 0.5) + 1 / (n0 - b + 0.5))
-    names = list(ids)
-    kept = sorted(np.flatnonzero(in_all >= least).tolist(), key=lambda i: (-abs(told[i]), names[i]))[:vocabulary]
-    place = np.full(len(ids), -1, np.int64)
-    place[kept] = np.arange(len(kept))
-    col = place[everything]
-    row, col = row[col >= 0], col[col >= 0]
-    markers = np.bincount(row, (told[kept] > 4)[col].astype(float), n)
-    grade = np.where(toxic, 1 + sum((markers >= m).astype(int) for m in MARKS), 0)
-    v = len(kept)
-
-    # maximum likelihood with a quadratic penalty on the weights, by Adam over all rows
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([sorted(words_of(t.as_py())) for t in batch.column(2)], pa.list_(pa.string()))], names=["grade", "half", "words"])
+
+    rows = docs.join(chosen, "doc_id").select("grade", F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2)).cast("int").alias("half"), F.col("text").cast("string"))
+    return Scratch.write(rows.mapInArrow(run, "grade int, half int, words array<string>"))
+
+
+def telling(a: str, n_a: str, b: str, n_b: str) -> str:
+    """SQL for a word's log-odds between a of n_a toxic rows and b of n_b others, in standard errors."""
+    odds = f"(ln(({a} + 0.5) / ({n_a} - {a} + 0.5)) - ln(({b} + 0.5) / ({n_b} - {b} + 0.5)))"
+    return f"{odds} / sqrt(1 / ({a} + 0.5) + 1 / ({n_a} - {a} + 0.5) + 1 / ({b} + 0.5) + 1 / ({n_b} - {b} + 0.5))"
+
+
+def vocabulary_of(sample: DataFrame, size: int, least: int) -> list[tuple[str, bool, bool]]:
+    """The words that tell most, at most ``size``, and whether each is a marker for rows of half 0 and of half 1, by the other half."""
+    kinds = [f"{kind} AND half = {half}" for half in (0, 1) for kind in ("grade > 0", "grade = 0")]
+    totals = sample.agg(*[F.count_if(F.expr(k)).alias(f"n{i}") for i, k in enumerate(kinds)]).first()
+    n = [totals[f"n{i}"] for i in range(4)]
+    if not n[0] + n[2] or not n[1] + n[3]:
+        return []
+    counts = sample.select("grade", "half", F.explode("words").alias("word")).groupBy("word").agg(*[F.count_if(F.expr(k)).alias(f"c{i}") for i, k in enumerate(kinds)])
+    told = counts.where(f"c0 + c1 + c2 + c3 >= {least}").select(
+        "word", F.expr(telling("(c0 + c2)", str(n[0] + n[2]), "(c1 + c3)", str(n[1] + n[3]))).alias("told"),
+        F.expr(telling("c2", str(n[2]), "c3", str(n[3]))).alias("for_0"), F.expr(telling("c0", str(n[0]), "c1", str(n[1]))).alias("for_1"),
+    )
+    chosen = told.orderBy(F.abs("told").desc(), "word").limit(size).collect()  # at most ``size`` words
+    return [(r["word"], r["for_0"] > BEYOND_DOUBT, r["for_1"] > BEYOND_DOUBT) for r in chosen]
+
+
+def graded(toxic: np.ndarray, markers: np.ndarray) -> np.ndarray:
+    """Grades of rows that only say toxic or not, by their numbers of markers."""
+    return np.where(toxic, 1 + sum((markers >= m).astype(int) for m in MARKS), 0)
+
+
+def maximum_likelihood(grade: np.ndarray, row: np.ndarray, col: np.ndarray, v: int, penalty: float = 1.0, rounds: int = 300) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and thresholds for a one in each (row, col), with a quadratic penalty on the weights, by Adam over all rows."""
+    n = len(grade)
     theta = np.concatenate([np.zeros(v), [1.0, 0.0, 0.0]])
     mean, square = np.zeros_like(theta), np.zeros_like(theta)
+    cuts_of = lambda raw: raw[0] + np.concatenate([[0.0], np.cumsum(np.exp(raw[1:]))])
     for step in range(1, rounds + 1):
         weights, raw = theta[:v], theta[v:]
-        cuts = raw[0] + np.concatenate([[0.0], np.cumsum(np.exp(raw[1:]))])
         score = np.bincount(row, weights[col], n)
-        below = np.concatenate([np.zeros((n, 1)), 1 / (1 + np.exp(-np.clip(cuts[None, :] - score[:, None], -40, 40))), np.ones((n, 1))], axis=1)
+        below = np.concatenate([np.zeros((n, 1)), 1 / (1 + np.exp(-np.clip(cuts_of(raw)[None, :] - score[:, None], -40, 40))), np.ones((n, 1))], axis=1)
         at = np.arange(n)
         upper, lower = below[at, grade + 1], below[at, grade]
         likely = np.maximum(upper - lower, 1e-12)
@@ -121,25 +126,56 @@ def fit(sample: Iterable[tuple[bool, Iterable[str]]], vocabulary: int = 4096, le
         gradient = np.concatenate([np.bincount(col, d_score[row], v) + penalty * weights, [d_cuts.sum()], [d_cuts[1:].sum() * steps[0], d_cuts[2:].sum() * steps[1]]]) / n
         mean, square = 0.9 * mean + 0.1 * gradient, 0.999 * square + 0.001 * gradient**2
         theta -= 0.1 * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.999**step)) + 1e-8)
-    raw = theta[v:]
-    cuts = raw[0] + np.concatenate([[0.0], np.cumsum(np.exp(raw[1:]))])
-    return Model({names[i]: float(theta[k]) for k, i in enumerate(kept)}, tuple(map(float, cuts)))
+    return theta[:v], cuts_of(theta[v:])
+
+
+def fit(sample: DataFrame, most: int, vocabulary: int = 4096, least: int = 5) -> Model:
+    """From rows of grade, half, words: the words are chosen by counts, then one task fits on numbers of words, of ``most`` rows at most."""
+    known = vocabulary_of(sample, vocabulary, least)
+    if not known:
+        return Model()
+    place = {w: k for k, (w, _, _) in enumerate(known)}
+    marks = np.array([[m0, m1] for _, m0, m1 in known])
+
+    def numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([[place[w] for w in words if w in place] for words in batch.column(2).to_pylist()], pa.list_(pa.int32()))], names=["grade", "half", "own"])
+
+    def fitting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grades, halves, own = [], [], []
+        for batch in batches:
+            grades.append(batch.column(0).to_numpy())
+            halves.append(batch.column(1).to_numpy())
+            own += [np.array(x, np.int32) for x in batch.column(2).to_pylist()]
+        grade, half = np.concatenate(grades).astype(np.int64), np.concatenate(halves)
+        col = np.concatenate(own)
+        row = np.repeat(np.arange(len(own)), [len(x) for x in own])
+        if grade.max() == 1:
+            grade = graded(grade > 0, np.bincount(row, marks[col, half[row]].astype(float), len(grade)))
+        weights, cuts = maximum_likelihood(np.minimum(grade, GRADES - 1), row, col, len(place))
+        yield pa.RecordBatch.from_arrays([pa.array([weights.tolist()], pa.list_(pa.float64())), pa.array([cuts.tolist()], pa.list_(pa.float64()))], names=["weights", "cuts"])
+
+    found = sample.mapInArrow(numbers, "grade int, half int, own array<int>").limit(most).repartition(1).mapInArrow(fitting, "weights array<double>, cuts array<double>").first()
+    return Model(dict(zip(place, found["weights"], strict=True)), tuple(found["cuts"]))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, severity (expected grade), grade (most likely), p_toxic, toxic."""
+    """doc_id, severity (expected grade), grade (the median), p_toxic, toxic (grade above 0)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             p = np.array([model.probabilities(words_of(t.as_py())) for t in batch.column(1)], np.float64).reshape(-1, GRADES)
-            toxic = 1 - p[:, 0]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p @ np.arange(GRADES)), pa.array(p.argmax(axis=1).astype(np.int32)), pa.array(toxic), pa.array(toxic > 0.5)], names=["doc_id", "severity", "grade", "p_toxic", "toxic"])
+            grade = (p.cumsum(axis=1) < 0.5).sum(axis=1).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p @ np.arange(GRADES)), pa.array(grade), pa.array(1 - p[:, 0]), pa.array(grade > 0)], names=["doc_id", "severity", "grade", "p_toxic", "toxic"])
 
     src = pick(docs, doc_id=id_col, text=text_col).withColumn("text", F.col("text").cast("string"))
     return src.mapInArrow(run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, severity double, grade int, p_toxic double, toxic boolean")
 
 
 def fitted(docs: DataFrame, labels: DataFrame, per_class: int = 2000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    return fit(labelled_sample(pick(docs, doc_id=id_col, text=text_col), pick(labels, doc_id=id_col, toxic=label_col), per_class))
+    sample = labelled_sample(pick(docs, doc_id=id_col, text=text_col), pick(labels, doc_id=id_col, toxic=label_col), per_class)
+    model = fit(sample.read(), 3 * per_class)
+    sample.drop()
+    return model
 
 
 def without_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
@@ -148,7 +184,7 @@ def without_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> Data
 
     @F.pandas_udf("boolean")
     def toxic(texts: pd.Series) -> pd.Series:
-        return pd.Series([1 - model.probabilities(words_of(t))[0] > 0.5 for t in texts], dtype=bool)
+        return pd.Series([model.probabilities(words_of(t))[0] < 0.5 for t in texts], dtype=bool)
 
     return docs.where(~toxic(F.col(f"`{text_col}`").cast("string")))
 

@@ -1,8 +1,10 @@
 import hashlib
+import math
 import re
 from collections import Counter
 
 import duckdb
+import numpy as np
 import pytest
 
 from quillstone.llm import license_scan, quality_rules, queries, secret_scan, toxicity
@@ -114,13 +116,50 @@ def test_masking(spark, awkward):
     assert secret_scan.without_secrets(awkward).columns == awkward.columns
 
 
+def labelled(spark):
+    tables = [spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels")]
+    return tables[0].join(tables[1], "doc_id").select("doc_id", "toxic", "text")
+
+
 def test_toxicity_held_out(spark):
-    rows = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").join(spark.read.parquet("/root/testdata/sf0.1/labels.parquet"), "doc_id").select("toxic", "text").collect()
-    sample = [(bool(r.toxic), toxicity.words_of(r.text)) for r in rows]
-    model = toxicity.fit(sample[::2])
-    flagged = [(t, 1 - model.probabilities(w)[0] > 0.5) for t, w in sample[1::2]]
-    assert sum(t == f for t, f in flagged) / len(flagged) > 0.95
-    assert list(model.thresholds) == sorted(model.thresholds)
+    rows = labelled(spark)
+    model = toxicity.fitted(rows.where("doc_id % 4 < 2"), rows.select("doc_id", "toxic"))
+    held = rows.where("doc_id % 4 >= 2").collect()
+    flagged = {r.doc_id: r for r in toxicity.score(rows.where("doc_id % 4 >= 2"), model).collect()}
+    assert sum(flagged[r.doc_id].toxic == bool(r.toxic) for r in held) / len(held) > 0.95
+    assert all(r.toxic == (r.grade > 0) == (r.p_toxic > 0.5) and 0 <= r.severity <= 3 for r in flagged.values())
+    assert list(model.thresholds) == sorted(model.thresholds) and len(model.weights) <= 4096
+
+
+def test_ordinal_likelihood_against_an_independent_one():
+    """The gradient is that of the written-out likelihood: nudging any parameter doesn't lower the penalised loss."""
+    rnd = np.random.default_rng(4)
+    n, v = 120, 6
+    x = rnd.random((n, v)) < 0.4
+    grade = np.clip((x @ np.array([2, 1, 0, -1, 0.5, 0]) + rnd.normal(size=n)).astype(int), 0, 3)
+    row, col = np.nonzero(x)
+    weights, cuts = toxicity.maximum_likelihood(grade, row, col, v, rounds=4000)
+
+    def loss(w, c):
+        total = 0.5 * float(w @ w)
+        for own, g in zip(x, grade, strict=True):
+            up_to = [0.0, *[1 / (1 + math.exp(own @ w - t)) for t in c], 1.0]
+            total -= math.log(up_to[g + 1] - up_to[g])
+        return total
+
+    best = loss(weights, cuts)
+    for k in range(v):
+        assert all(loss(weights + d * np.eye(v)[k], cuts) >= best - 1e-3 for d in (-0.05, 0.05))
+    for k in range(3):
+        assert all(loss(weights, cuts + d * np.eye(3)[k]) >= best - 1e-3 for d in (-0.02, 0.02))
+
+
+def test_labels_that_hold_grades_are_taken_as_they_are(spark):
+    words = {0: "plain calm", 1: "rude", 2: "rude vile", 3: "rude vile brutal"}
+    rows = [(i, f"{words[i % 4]} text number {i}", i % 4) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    got = {r.doc_id: r.grade for r in toxicity.toxicity(df.drop("toxic"), df.drop("text")).collect()}
+    assert sum(got[i] == i % 4 for i in range(400)) > 380
 
 
 def test_toxicity_cases(spark, awkward):
