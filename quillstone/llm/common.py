@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import bisect
+import os
+import re
+import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -30,10 +33,12 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir; one of its own only where none is set."""
+    """The shared folder that the cluster names in spark.checkpoint.dir; one of its own only where none is set and all tasks run in this process."""
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not configured:
-        spark.sparkContext.setCheckpointDir("/tmp/quillstone-checkpoints")
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(os.path.join(tempfile.gettempdir(), "quillstone-checkpoints"))
         configured = spark.sparkContext.getCheckpointDir()
     return configured
 
