@@ -3,20 +3,26 @@
 Two sets that reach the threshold differ in at most U elements, a number that follows from their sizes. Sizes are dealt
 into overlapping bands so that any two sets that can link share a band. In a band, elements are hashed into segments;
 what a set holds in a segment, hashed, is a signature. Each differing element spoils one segment at most, so a set with
-more than U filled segments shares one of them with every partner (pigeonhole). In the band of the smallest sizes (to 5, or
-less below 70 percent), where U is 1 at most, there is one segment, and its one-deletion neighbourhood (the set, and the set without each element in turn) makes
-partners meet. A band's number of segments is the cheapest that leaves every size of the band enough filled segments
-with seven standard deviations to spare; whether every set has them is counted, and if one hasn't, another seed is taken.
+more than U filled segments shares one of them with every partner (pigeonhole). Where U is 1 at most (sizes to 5, or less
+below 70 percent), one segment with its one-deletion neighbourhood (the set, and the set without each element in turn)
+makes partners meet as well; so it does for any number of segments, each worth two if it holds two elements. A band takes
+exact segments or neighbourhoods, whichever costs less: signatures, and unrelated sets that they are expected to meet. Its
+number of segments is the cheapest that leaves every size of the band enough of them with seven standard deviations to
+spare; whether every set has enough is counted, and if one hasn't, another seed is taken.
 
-Signatures are allocated by cost: of a set's N signatures it needs only the U + 1 rarest of the corpus, as its partner has
-at least N - U of them in common. A set with U + 1 signatures that nobody shares can have no partner; very common
-passages, which fill few segments of a set, are left out by being common.
+Within a set, signatures are allocated by cost too: of its N it needs only the U + 1 rarest of the corpus, as its partner
+has at least N - U of them in common; the rest of its segments get none. A set with U + 1 signatures that nobody shares can
+have no partner; very common passages, which fill few segments of a set, are left out by being common.
 
 Sets that share an allocated signature aren't paired with each other but with the least of them. Pairs are verified by
 the intersection of the sets. Only where a signature's sets aren't all in one component yet, those of different
 components are paired and verified too, by their rarest elements and the room that is left after them: no link that
 joins two components is lost, no group is expanded that is one component already. Equal sets are one vertex throughout.
 
+Signatures travel packed, a few thousand to a row. A task sends a set once, however many copies of it it reads; a bucket
+is worked off in runs of neighbouring signatures, so that what is held is a small share of it, and the number of buckets
+follows the bytes of the input.
+
 Defined results. Null texts and texts without words have no set, link with nothing, and are their own component. Texts
 with fewer words than n have one element, all their words. Rows with the same id are one vertex; rows without an id link
 with nothing and have a null component. Texts are read whole. No rows: no rows. Extra columns are ignored.
@@ -32,7 +38,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from quillstone.llm.common import Scratch, pick, shuffle_partitions
@@ -41,7 +47,13 @@ U64 = np.uint64
 #: Odd multipliers for the words of an n-gram and for mixing.
 ODD = [U64(x | 1) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
 SLICE = 1500
+#: Signature records that a task packs at a time, and the most rows that it packs them into.
+RECORDS, PACKS = 1 << 20, 1 << 14
+#: Bytes of the input for each bucket at most.
+BUCKET_BYTES = 64 << 20
 SIG_BITS, NODE_BITS = 39, 48
+#: The cost of a signature's meeting unrelated sets, in signatures, and the share of elements that unrelated sets have in common.
+MEETING, COMMON = 50, 0.05
 RECORD = np.dtype([("sig", "V5"), ("node", "V6")])
 
 
@@ -99,19 +111,29 @@ class Bands:
         return max((size + other - 2 * self.need(size + other) for other in range(max(low, high - 8), high + 1)), default=0)
 
     @lru_cache(maxsize=None)  # noqa: B019
-    def segments(self, band: int) -> int:
-        if band == 0:
-            return 1
+    def exact_segments(self, band: int) -> int:
         top, low = self.tops[band], self.least(band)
         if top <= 40:
             # where a small set needs all of its elements in segments of their own, none may meet
             return 4096 if self.tops[0] == 5 else 1 << 32
+        return self.fewest(band, 0.3 * top, sorted({low, *range(low, top, max(1, (top - low) // 16)), top}), self.filled)
+
+    @lru_cache(maxsize=None)  # noqa: B019
+    def deletion_segments(self, band: int) -> int:
+        """0 where no number of neighbourhoods is sure to be enough."""
+        top, low = self.tops[band], self.least(band)
         sizes = sorted({low, *range(low, top, max(1, (top - low) // 16)), top})
-        m = 0.3 * top
-        while True:
-            if all(self.filled(s, m) >= self.spoiled(s, band) + 1 for s in sizes):
-                return int(m) + 1
+        if all(min(s, 2) > self.spoiled(s, band) for s in sizes):
+            return 1
+        return self.fewest(band, 0.1 * top, sizes, self.units) if top > 40 else 0
+
+    def fewest(self, band: int, m: float, sizes: list[int], enough) -> int:
+        """The number of segments from ``m`` on that gives all sizes enough; 0 if none up to a thousand an element does."""
+        while not all(enough(s, m) >= self.spoiled(s, band) + 1 for s in sizes):
             m *= 1.03
+            if m > 1000 * self.tops[band]:
+                return 0
+        return int(m) + 1
 
     @staticmethod
     def filled(size: int, m: float) -> float:
@@ -119,25 +141,59 @@ class Bands:
         a = size / m
         return m * (1 - math.exp(-a)) - 7 * math.sqrt(m * math.exp(-a) * (1 - (1 + a) * math.exp(-a)))
 
-    def signatures(self, own: np.ndarray, band: int) -> np.ndarray:
+    @staticmethod
+    def units(size: int, m: float) -> float:
+        """What neighbourhoods are worth, one for a segment with one element and two for others, but for seven standard deviations."""
+        a = size / m
+        none, one = math.exp(-a), a * math.exp(-a)
+        mean = one + 2 * (1 - none - one)
+        spread = one + 4 * (1 - none - one) - mean**2 - (2 * a - one - a * mean) ** 2 / a
+        return m * mean - 7 * math.sqrt(m * max(0.0, spread))
+
+    @lru_cache(maxsize=None)  # noqa: B019
+    def costs(self, band: int) -> tuple[float, float]:
+        """Of exact segments and of neighbourhoods for the band's largest size: signatures, and what they meet."""
+        size = self.tops[band]
+
+        def total(m: int, own) -> float:
+            if m == 1:
+                return own(size)
+            a = size / m
+            return m * sum(math.exp(-a + k * math.log(a) - math.lgamma(k + 1)) * own(k) for k in range(1, int(a + 12 * math.sqrt(a) + 12)))
+
+        one = lambda k: 1 + MEETING * COMMON**k
+        deletion = self.deletion_segments(band)
+        return total(self.exact_segments(band), one), total(deletion, lambda k: one(k) + (k * one(k - 1) if k > 1 else 0)) if deletion else math.inf
+
+    @lru_cache(maxsize=None)  # noqa: B019
+    def deletes(self, band: int) -> bool:
+        exact, deletion = self.costs(band)
+        return deletion < exact
+
+    def segments(self, band: int) -> int:
+        return self.deletion_segments(band) if self.deletes(band) else self.exact_segments(band)
+
+    def signatures(self, own: np.ndarray, band: int) -> tuple[np.ndarray, int]:
+        """The set's signatures in the band, and how many spoiling elements they are proof against, plus one."""
         salt = U64((band * 0x9E3779B97F4A7C15 + self.seed * 0xD1B54A32D192ED03 + 1) & (2**64 - 1))
-        m = self.segments(band)
         content = mix(own + salt)
-        if band == 0:
-            whole = content.sum(dtype=U64)
-            return mix(np.unique(np.append(whole - content, whole)) + salt) if len(own) > 1 else mix(np.array([whole]) + salt)
-        segment = (mix(own ^ salt) >> U64(32)) * U64(m) >> U64(32)
+        segment = (mix(own ^ salt) >> U64(32)) * U64(self.segments(band)) >> U64(32)
         order = np.argsort(segment)
-        sorted_segments = segment[order]
-        starts = np.flatnonzero(np.append(True, sorted_segments[1:] != sorted_segments[:-1]))
-        return mix(np.add.reduceat(content[order], starts) + mix(sorted_segments[starts] + salt))
+        segment, content = segment[order], content[order]
+        starts = np.flatnonzero(np.append(True, segment[1:] != segment[:-1]))
+        whole, named = np.add.reduceat(content, starts), mix(segment[starts] + salt)
+        if not self.deletes(band):
+            return mix(whole + named), len(starts)
+        held = np.diff(np.append(starts, len(own)))
+        several = np.repeat(held > 1, held)
+        return mix(np.unique(np.append(whole + named, (np.repeat(whole + named, held) - content)[several]))), int(np.minimum(held, 2).sum())
 
-    def needed(self, size: int, band: int, n: int) -> int:
-        """How many of its n signatures a set must show; all of them in the band of neighbourhoods."""
-        return n if band == 0 else self.spoiled(size, band) + 1
+    def needed(self, size: int, band: int) -> int:
+        """How many of its signatures a set must show."""
+        return self.spoiled(size, band) + 1
 
 
-DEALT = "bucket int, kind int, blob binary"
+DEALT = "bucket int, run int, blob binary"
 FOUND = "kind int, a bigint, b bigint, c bigint, d bigint, e bigint, f bigint"
 DOC, SHARED = 0, 1
 
@@ -152,63 +208,82 @@ def as_numbers(values: np.ndarray, n: int) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
+def buckets_for(docs: DataFrame) -> int:
+    """At least as many as shuffle partitions, more where the planner knows the input to hold more bytes than they should."""
+    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return max(shuffle_partitions(docs.sparkSession), min(size // BUCKET_BYTES, 1 << 20) if size < 1 << 60 else 0)
+
+
+def run_bits(buckets: int) -> int:
+    """Leading bits of a signature by which a bucket is parted into runs, as many as leave packs of some size."""
+    return max(0, min(6, (PACKS // buckets).bit_length() - 1))
+
+
 def dealt(docs: DataFrame, n: int, bands: Bands, buckets: int) -> DataFrame:
-    """Packed records: each document's digest, size and numbers of signatures; each signature with its set's digest."""
+    """Packed records: each document's digest, size and what its signatures are worth (run -1); each signature with its set's digest."""
+    bits = run_bits(buckets)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for start in range(0, whole.num_rows, SLICE):
-                batch = whole.slice(start, SLICE)
-                rows, sigs, nodes = [], [], []
-                seen: set[bytes] = set()
-                for i, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                    own = shingles(text.as_py(), n)
-                    digest = xxhash.xxh3_128_digest(own.tobytes())
-                    high, low = (int.from_bytes(digest[k : k + 8], "little") for k in (0, 8))
-                    counts = [0, 0]
-                    if len(own):
-                        for band in bands.of(len(own)):
-                            s = bands.signatures(own, band)
-                            counts[band % 2] = len(s)
-                            if digest not in seen:
-                                sigs.append((s >> U64(64 - SIG_BITS)) << U64(1) | U64(band % 2) | (s % U64(buckets)) << U64(40))
-                                nodes.append(np.full(len(s), high >> 16, U64))
-                        seen.add(digest)
-                    rows.append((0 if i is None else i, high, low, len(own), counts[0] | (i is None) << 62, counts[1]))
-                table = np.array([[x & (2**64 - 1) for x in r] for r in rows], U64)
-                where = (table[:, 1] % U64(buckets)).astype(np.int64)
-                out = [(int(b), DOC, table[where == b].tobytes()) for b in np.unique(where)]
-                if sigs:
-                    sig, node = np.concatenate(sigs), np.concatenate(nodes)
-                    bucket = sig >> U64(40)
-                    order = np.argsort(bucket, kind="stable")
-                    record = np.empty(len(sig), RECORD)
-                    record["sig"], record["node"] = as_bytes(sig[order], 5), as_bytes(node[order], 6)
-                    bounds = np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=U64))
-                    out += [(b, SHARED, record[bounds[b] : bounds[b + 1]].tobytes()) for b in range(buckets) if bounds[b] < bounds[b + 1]]
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.int32()), pa.array([x[2] for x in out], pa.binary())], names=["bucket", "kind", "blob"])
+        seen: set[bytes] = set()  # 16 bytes for each different text of the task
+        rows: list[tuple] = []
+        sigs: list[np.ndarray] = []
+        nodes: list[np.ndarray] = []
+        held = 0
+
+        def packed() -> pa.RecordBatch:
+            table = np.array([[x & (2**64 - 1) for x in r] for r in rows], U64)
+            where = (table[:, 1] % U64(buckets)).astype(np.int64)
+            out = [(int(b), -1, table[where == b].tobytes()) for b in np.unique(where)]
+            if sigs:
+                sig, node = np.concatenate(sigs), np.concatenate(nodes)
+                order = np.argsort(sig)
+                sig = sig[order]
+                record = np.empty(len(sig), RECORD)
+                record["sig"], record["node"] = as_bytes(sig, 5), as_bytes(node[order], 6)
+                place = sig >> U64(40 - bits)
+                starts = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
+                ends = np.append(starts[1:], len(sig))
+                out += [(int(place[a]) >> bits, int(place[a]) & ((1 << bits) - 1), record[a:b].tobytes()) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+            rows.clear(), sigs.clear(), nodes.clear()
+            bucket, part, blob = zip(*out, strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array(part, pa.int32()), pa.array(blob, pa.binary())], names=["bucket", "run", "blob"])
+
+        for batch in batches:
+            for i, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                own = shingles(text.as_py(), n)
+                digest = xxhash.xxh3_128_digest(own.tobytes())
+                high, low = (int.from_bytes(digest[k : k + 8], "little") for k in (0, 8))
+                worth = [0, 0]
+                if len(own):
+                    for band in bands.of(len(own)):
+                        s, worth[band % 2] = bands.signatures(own, band)
+                        if digest not in seen:
+                            sigs.append((s >> U64(64 - SIG_BITS)) << U64(1) | U64(band % 2) | (s % U64(buckets)) << U64(40))
+                            nodes.append(np.full(len(s), high >> 16, U64))
+                            held += len(s)
+                    seen.add(digest)
+                rows.append((0 if i is None else i, high, low, len(own), worth[0] | (i is None) << 62, worth[1]))
+                if held >= RECORDS or len(rows) >= RECORDS:
+                    yield packed()
+                    held = 0
+        if rows:
+            yield packed()
 
     return docs.mapInArrow(run, DEALT)
 
 
 def met(deal: DataFrame, buckets: int) -> DataFrame:
     """DOC rows as they came; for each signature of two sets or more a SHARED row for each of them: node, signature, parity of the band, number of sets."""
+    names = ["kind", *"abcdef"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["kind", *"abcdef"]
-        gathered: dict[int, list[bytes]] = {}
-        for batch in batches:
-            docs = []
-            for bucket, kind, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                (docs if kind == DOC else gathered.setdefault(bucket, [])).append(blob.as_py())
-            if docs:
-                table = np.frombuffer(b"".join(docs), np.int64).reshape(-1, 6)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(table), DOC, np.int32)), *[pa.array(table[:, k].copy()) for k in range(6)]], names=names)
-        for bucket, blobs in gathered.items():
+        def met_in(bucket: int, blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
             record = np.frombuffer(b"".join(blobs), RECORD)
             blobs.clear()
             sig, node = as_numbers(record["sig"], 5), as_numbers(record["node"], 6)
             order = np.lexsort((node, sig))
             sig, node = sig[order], node[order]
-            first = np.append(True, (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])) if len(sig) else np.zeros(0, bool)
+            first = np.append(True, (sig[1:] != sig[:-1]) | (node[1:] != node[:-1]))
             sig, node = sig[first], node[first]
             starts = np.flatnonzero(np.append(True, sig[1:] != sig[:-1]))
             count = np.diff(np.append(starts, len(sig)))
@@ -220,11 +295,25 @@ def met(deal: DataFrame, buckets: int) -> DataFrame:
                 none = pa.array(np.zeros(len(s), np.int64))
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), SHARED, np.int32)), pa.array(v.astype(np.int64)), pa.array((s | U64(bucket) << U64(40)).astype(np.int64)), pa.array((s & U64(1)).astype(np.int64)), pa.array(c.astype(np.int64)), none, none], names=names)
 
-    return deal.repartitionById(buckets, F.col("bucket")).mapInArrow(run, FOUND)
+        place, gathered = (0, -1), []
+        for batch in batches:
+            for bucket, part, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                if part < 0:
+                    table = np.frombuffer(blob.as_py(), np.int64).reshape(-1, 6)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(table), DOC, np.int32)), *[pa.array(table[:, k].copy()) for k in range(6)]], names=names)
+                    continue
+                if gathered and (bucket, part) != place:
+                    yield from met_in(place[0], gathered)
+                place = bucket, part
+                gathered.append(blob.as_py())
+        if gathered:
+            yield from met_in(place[0], gathered)
+
+    return deal.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket", "run").mapInArrow(run, FOUND)
 
 
 def allocation(bands: Bands) -> object:
-    """Arrow function from a set's size and a band's parity to the number of signatures that it must show; -1: all."""
+    """Arrow function from a set's size and a band's parity to what its signatures must be worth; negative where all of them are shown."""
     @F.pandas_udf("long")
     def needed(size: pd.Series, parity: pd.Series) -> pd.Series:
         memo: dict[tuple[int, int], int] = {}
@@ -232,7 +321,7 @@ def allocation(bands: Bands) -> object:
         for s, p in zip(size, parity, strict=True):
             if (s, p) not in memo:
                 band = next((b for b in bands.of(int(s)) if b % 2 == p), None)
-                memo[s, p] = 0 if band is None else -1 if band == 0 else bands.spoiled(int(s), band) + 1
+                memo[s, p] = 0 if band is None else bands.needed(int(s), band) * (-1 if bands.deletes(band) else 1)
             out.append(memo[s, p])
         return pd.Series(out, dtype="int64")
 
@@ -247,7 +336,7 @@ def sets_of(docs: DataFrame, vertices: DataFrame, n: int) -> DataFrame:
                 part = batch.slice(start, SLICE)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingles(t.as_py(), n).view(np.int64) for t in part.column(1)], pa.list_(pa.int64()))], names=["v", "own"])
 
-    wanted = vertices.select(F.col("v").alias("doc_id")).hint("shuffle_hash")
+    wanted = vertices.select(F.col("v").alias("doc_id")).hint("merge")
     return docs.join(wanted, "doc_id").select(F.col("doc_id").alias("v"), "text").mapInArrow(run, "v bigint, own array<bigint>")
 
 
@@ -261,18 +350,23 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def across_components(unsettled: DataFrame, sets: DataFrame, percent: int) -> Scratch:
     """Pairs (v, w) of different components that may reach the threshold, for the vertices of unsettled signatures.
 
-    Elements are ordered by how many of these sets hold them, rarest first. Linked sets share one of their first
-    size - least overlap + 1 elements, and what stands from there on in either leaves room for the overlap they need.
-    What common passages make sets share stands last, so for it the room is what they share: such pairs aren't made.
+    Elements are ordered by how many of these sets hold them, rarest first. The first element that two linked sets share
+    is among the first size - least overlap + 1 of either, where the overlap of the smaller one is at least what two sets
+    of its size need, and what stands from there on in either leaves room for the overlap they need. What common passages
+    make sets share stands last, so for it the room is what they share: a set of which they aren't six sevenths (at 75
+    percent) never shows them as the smaller one, and sets that only such sets show are compared with nobody. Sets meet
+    only where their sizes are in the same or neighbouring classes.
     """
-    held = sets.join(unsettled, "v").select("v", "label", F.size("own").alias("size"), F.explode("own").alias("element"))
-    many = held.groupBy("element").agg(F.count(F.lit(1)).alias("many"))
-    placed = held.join(many, "element").withColumn("place", F.expr("row_number() OVER (PARTITION BY v ORDER BY many, element) - 1"))
-    prefix = Scratch.write(placed.where(f"many > 1 AND place <= size - ({percent} * size + 99) DIV 100").select("v", "label", "size", "element", "place"))
-    one, two = prefix.read(), prefix.read().select(*[F.col(c).alias(f"{c}_w") for c in ("v", "label", "size", "place")], "element")
+    held = sets.join(unsettled.hint("merge"), "v").select("v", "label", F.size("own").alias("size"), F.explode("own").alias("element"))
+    many = held.groupBy("element").agg(F.count(F.lit(1)).alias("many")).where("many > 1")
+    placed = held.groupBy("element", "v", "label", "size").count().drop("count").join(many.hint("merge"), "element", "left").withColumn("place", F.expr("row_number() OVER (PARTITION BY v ORDER BY many, element) - 1"))
+    prefix = Scratch.write(placed.where(f"many > 1 AND place <= size - ({percent} * size + 99) DIV 100").select("v", "label", "size", "element", "place", F.floor(F.log(F.col("size").cast("double")) / math.log(100 / percent) if percent < 100 else F.lit(0)).cast("int").alias("class")))
+    small = prefix.read().where(f"place <= size - ({2 * percent} * size + {99 + percent}) DIV {100 + percent}")
+    large = prefix.read().select(*[F.col(c).alias(f"{c}_w") for c in ("v", "label", "size", "place")], "element", F.explode(F.array("class", F.col("class") - 1)).alias("class"))
     room = F.least(F.col("size") - F.col("place"), F.col("size_w") - F.col("place_w"))
-    fits = (F.col("label") < F.col("label_w")) & ((100 + percent) * room >= percent * (F.col("size") + F.col("size_w")))
-    pairs = Scratch.write(one.join(two, "element").where(fits).select("v", F.col("v_w").alias("w")).distinct())
+    smaller = (F.col("size") < F.col("size_w")) | ((F.col("size") == F.col("size_w")) & (F.col("v") < F.col("v_w")))
+    fits = (F.col("label") != F.col("label_w")) & smaller & ((100 + percent) * room >= percent * (F.col("size") + F.col("size_w")))
+    pairs = Scratch.write(small.join(large.hint("merge"), ["element", "class"]).where(fits).select("v", F.col("v_w").alias("w")).distinct())
     prefix.drop()
     return pairs
 
@@ -282,31 +376,31 @@ def components(vertices: DataFrame, links: DataFrame) -> Scratch:
 
     Each round takes the least label among neighbours, tells it to the vertex that the old label names, so that all with
     that label follow, then takes the label's label. Labels only fall, and rounds go on until none does: their number
-    grows with the logarithm of a chain's length where ids are in no order (11 for 300, 22 for 100,000).
+    grows with the logarithm of a chain's length where ids are in no order (11 for 300, 22 for 100,000). A round is one
+    job, which counts the labels that fell while it writes them; nothing in it is broadcast.
     """
     both = Scratch.write(links.unionByName(links.select(F.col("w").alias("v"), F.col("v").alias("w"))).distinct())
     labels = Scratch.write(vertices.select("v", F.col("v").alias("label")))
     changed = 1
     while changed:
         now = labels.read()
-        offered = both.read().join(now.select(F.col("v").alias("w"), "label"), "w").groupBy("v").agg(F.min("label").alias("offer"))
-        lowered = now.join(offered, "v", "left").select("v", F.col("label").alias("old"), F.least("label", F.coalesce("offer", "label")).alias("label"))
+        offered = both.read().join(now.select(F.col("v").alias("w"), "label").hint("merge"), "w").groupBy("v").agg(F.min("label").alias("offer"))
+        lowered = now.join(offered.hint("merge"), "v", "left").select("v", F.col("label").alias("old"), F.least("label", F.coalesce("offer", "label")).alias("label"))
         own, root = F.struct("v", "old", "label"), F.struct(F.col("old").alias("v"), F.lit(None).cast("long").alias("old"), "label")
         told = lowered.select(F.inline(F.when(F.col("label") < F.col("old"), F.array(own, root)).otherwise(F.array(own)))).groupBy("v").agg(F.max("old").alias("old"), F.min("label").alias("label"))
         jump = now.select(F.col("v").alias("label"), F.col("label").alias("further"))
-        new = Scratch.write(told.join(jump, "label").select("v", "old", F.least("label", "further").alias("label")))
+        new, seen = told.join(jump.hint("merge"), "label").select("v", "old", F.least("label", "further").alias("label")), Observation()
+        written = Scratch.write(new.observe(seen, F.count_if(F.col("old") != F.col("label")).alias("changed")))
         labels.drop()
-        changed = new.read().where("old <> label").limit(1).count()
-        labels = new
+        changed, labels = seen.get["changed"], written
     both.drop()
     return labels
 
 
 def join(docs: DataFrame, n: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (least id that links reach)."""
-    spark = docs.sparkSession
     src = pick(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    buckets = shuffle_partitions(spark)
+    buckets = buckets_for(src)
     for seed in range(8):
         bands = Bands(percent, seed)
         found = Scratch.write(met(dealt(src, n, bands, buckets), buckets))
@@ -319,7 +413,7 @@ def join(docs: DataFrame, n: int = 5, percent: int = 75, id_col: str = "doc_id",
         # one row for each set and band: how many signatures it has, and how many it must show
         shown = filled.select("high", "v", "size", F.inline(F.array(*[F.struct(F.lit(p).cast("long").alias("parity"), F.col(f"n{p}").alias("n")) for p in (0, 1)]))).where("n > 0").withColumn("must", needed("size", "parity"))
         sets = Scratch.write(shown.select("v", F.shiftrightunsigned("high", 16).alias("node"), "size", "parity", "n", "must"))
-        if not sets.read().where("must > n").limit(1).count():
+        if not sets.read().where("abs(must) > n").limit(1).count():
             break
         found.drop()
         sets.drop()
@@ -362,7 +456,7 @@ def one_of_each(docs: DataFrame, n: int = 5, percent: int = 75, id_col: str = "d
     ids = Scratch.write(join(docs, n, percent, id_col, text_col).where("doc_id = component_id").select(F.col("doc_id").alias("least_id"))).read()
     key = F.col(f"`{id_col}`")
     repeated = ids.groupBy("least_id").count().where("count > 1").limit(1).count() > 0
-    kept = docs.join((ids.distinct() if repeated else ids).hint("shuffle_hash"), key.cast("long") == F.col("least_id"), "left_semi")
+    kept = docs.join((ids.distinct() if repeated else ids).hint("merge"), key.cast("long") == F.col("least_id"), "left_semi")
     if repeated:
         first = Window.partitionBy(id_col).orderBy(text_col)
         kept = kept.withColumn("place_of_id", F.row_number().over(first)).where("place_of_id = 1").drop("place_of_id")
