@@ -47,8 +47,8 @@ U64 = np.uint64
 #: Odd multipliers for the words of an n-gram and for mixing.
 ODD = [U64(x | 1) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
 SLICE = 1500
-#: Signature records that a task packs at a time, and the most rows that it packs them into.
-RECORDS, PACKS = 1 << 20, 1 << 14
+#: Signature records that a task packs at a time, the fewest for which a bucket's are parted, and into how many packs at most (powers of 2).
+RECORDS, PACK, RUNS = 1 << 20, 64, 6
 #: Bytes of the input for each bucket at most.
 BUCKET_BYTES = 64 << 20
 SIG_BITS, NODE_BITS = 39, 48
@@ -214,15 +214,11 @@ def buckets_for(docs: DataFrame) -> int:
     return max(shuffle_partitions(docs.sparkSession), min(size // BUCKET_BYTES, 1 << 20) if size < 1 << 60 else 0)
 
 
-def run_bits(buckets: int) -> int:
-    """Leading bits of a signature by which a bucket is parted into runs, as many as leave packs of some size."""
-    return max(0, min(6, (PACKS // buckets).bit_length() - 1))
-
-
 def dealt(docs: DataFrame, n: int, bands: Bands, buckets: int) -> DataFrame:
-    """Packed records: each document's digest, size and what its signatures are worth (run -1); each signature with its set's digest."""
-    bits = run_bits(buckets)
+    """Packed records: each document's digest, size and what its signatures are worth (run -1); each signature with its set's digest.
 
+    A pack of signatures is named by the run, the leading bits, of its first one; where a task has many, packs end with their runs.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()  # 16 bytes for each different text of the task
         rows: list[tuple] = []
@@ -240,10 +236,11 @@ def dealt(docs: DataFrame, n: int, bands: Bands, buckets: int) -> DataFrame:
                 sig = sig[order]
                 record = np.empty(len(sig), RECORD)
                 record["sig"], record["node"] = as_bytes(sig, 5), as_bytes(node[order], 6)
+                bits = max(0, min(RUNS, (len(sig) // (buckets * PACK)).bit_length() - 1))
                 place = sig >> U64(40 - bits)
                 starts = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
                 ends = np.append(starts[1:], len(sig))
-                out += [(int(place[a]) >> bits, int(place[a]) & ((1 << bits) - 1), record[a:b].tobytes()) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+                out += [(int(place[a]) >> bits, (int(place[a]) & ((1 << bits) - 1)) << (RUNS - bits), record[a:b].tobytes()) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
             rows.clear(), sigs.clear(), nodes.clear()
             bucket, part, blob = zip(*out, strict=True)
             return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array(part, pa.int32()), pa.array(blob, pa.binary())], names=["bucket", "run", "blob"])
@@ -277,10 +274,7 @@ def met(deal: DataFrame, buckets: int) -> DataFrame:
     names = ["kind", *"abcdef"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def met_in(bucket: int, blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
-            record = np.frombuffer(b"".join(blobs), RECORD)
-            blobs.clear()
-            sig, node = as_numbers(record["sig"], 5), as_numbers(record["node"], 6)
+        def met_in(bucket: int, sig: np.ndarray, node: np.ndarray) -> Iterator[pa.RecordBatch]:
             order = np.lexsort((node, sig))
             sig, node = sig[order], node[order]
             first = np.append(True, (sig[1:] != sig[:-1]) | (node[1:] != node[:-1]))
@@ -295,19 +289,31 @@ def met(deal: DataFrame, buckets: int) -> DataFrame:
                 none = pa.array(np.zeros(len(s), np.int64))
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), SHARED, np.int32)), pa.array(v.astype(np.int64)), pa.array((s | U64(bucket) << U64(40)).astype(np.int64)), pa.array((s & U64(1)).astype(np.int64)), pa.array(c.astype(np.int64)), none, none], names=names)
 
-        place, gathered = (0, -1), []
+        def complete(bucket: int, upto: int) -> Iterator[pa.RecordBatch]:
+            """Works off the signatures before a run; packs still to come begin with it or later ones."""
+            if waiting:
+                sig, node = (np.concatenate(x) for x in zip(*waiting, strict=True))
+                waiting.clear()
+                done = sig < U64(upto << (40 - RUNS))
+                if done.any():
+                    yield from met_in(bucket, sig[done], node[done])
+                if not done.all():
+                    waiting.append((sig[~done], node[~done]))
+
+        place: tuple[int, int] = (0, 0)
+        waiting: list[tuple[np.ndarray, np.ndarray]] = []
         for batch in batches:
             for bucket, part, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 if part < 0:
                     table = np.frombuffer(blob.as_py(), np.int64).reshape(-1, 6)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(table), DOC, np.int32)), *[pa.array(table[:, k].copy()) for k in range(6)]], names=names)
                     continue
-                if gathered and (bucket, part) != place:
-                    yield from met_in(place[0], gathered)
-                place = bucket, part
-                gathered.append(blob.as_py())
-        if gathered:
-            yield from met_in(place[0], gathered)
+                if (bucket, part) != place:
+                    yield from complete(place[0], part if bucket == place[0] else 1 << RUNS)
+                    place = bucket, part
+                record = np.frombuffer(blob.as_py(), RECORD)
+                waiting.append((as_numbers(record["sig"], 5), as_numbers(record["node"], 6)))
+        yield from complete(place[0], 1 << RUNS)
 
     return deal.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket", "run").mapInArrow(run, FOUND)
 
