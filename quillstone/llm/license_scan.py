@@ -1,16 +1,17 @@
 """Licence scan: an exact set-similarity join of text blocks with licence templates, in DataFrame operations only.
 
-A block is a line, or a run of lines between blank lines. It matches a template if it holds at least ``threshold`` of
-the template's distinct words. Words are ordered by the number of documents of the whole corpus that hold them, rarest
-first; a block that matches must share a word with the template's prefix (prefix filter), must hold enough words that
-any template knows (length filter), and its first shared word must leave enough words after it in both (positional
-filter); what passes is verified by the intersection. The templates are a fixed parameter of bounded size, so they are
-literals of the plan: the join is a map over the scan, and no row is shuffled or collected but one count for each
-template word.
+A block is a window of a text's words, a quarter longer than the template that it is compared with: a notice may be
+reflowed, broken by blank lines or interrupted, but its words must stand together. A block matches a template if it holds at
+least ``threshold`` of the template's distinct words. Words are ordered by the number of documents of the whole corpus that
+hold them, rarest first; a text with a matching block must share a word with the template's prefix (prefix filter), must hold
+enough words that any template knows (length filter), and its first shared word must leave enough words after it in both
+(positional filter). In what passes, only windows around a word of the prefix can match, and they are verified by the
+intersection. The templates are a fixed parameter of bounded size, so they are literals of the plan: the join is a map over
+the scan, and no row is shuffled or collected but one count for each template word.
 
 Defined results. Null and empty texts have no words, no places and no labels. Repeated rows: one result each. A word
-with equal frequency as another is ordered by its spelling. Texts are scanned whole. No rows: no rows. Extra columns are
-ignored.
+with equal frequency as another is ordered by its spelling. Of equally good windows the first counts. Texts are scanned
+whole. No rows: no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,21 +30,67 @@ NO_WORD = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 #: Phrases whose places count, and their labels.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
-#: Notices as licences and the public give them, by label.
+#: Notices and whole licences as their publishers give them, by label; names and years are left out.
 TEMPLATES = (
     ("mit", "Released under the MIT License"),
+    (
+        "mit",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction,"
+        " including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished"
+        " to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS"
+        " PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT"
+        " SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE"
+        " SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    ),
     ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the software without restriction"),
     ("apache", "Licensed under the Apache License, Version 2.0"),
-    ("apache", "You may not use this file except in compliance with the License. You may obtain a copy of the License at http www apache org licenses LICENSE-2.0"),
+    (
+        "apache",
+        "you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in"
+        " writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language"
+        " governing permissions and limitations under the License.",
+    ),
     ("gpl", "This work is licensed under the GNU General Public License, version 3"),
     ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"),
+    (
+        "gpl",
+        "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General"
+        " Public License for more details. You should have received a copy of the GNU General Public License along with this program.",
+    ),
     ("lgpl", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License"),
+    ("agpl", "under the terms of the GNU Affero General Public License as published by the Free Software Foundation"),
     ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    (
+        "bsd",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above"
+        " copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following"
+        " disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES,"
+        " INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY"
+        " DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS"
+        " INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN"
+        " IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+    ),
+    (
+        "isc",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all"
+        " copies. THE SOFTWARE IS PROVIDED AS IS AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.",
+    ),
     ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
     ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
+    (
+        "zlib",
+        "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to"
+        " anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions",
+    ),
+    ("boost", "Distributed under the Boost Software License, Version 1.0"),
     ("cc-by", "Licensed under a Creative Commons Attribution 4.0 International License"),
     ("cc-by-nc", "Licensed under CC BY-NC 4.0"),
     ("cc-by-sa", "Licensed under CC BY-SA 4.0"),
+    (
+        "unlicense",
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a"
+        " compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    ),
     ("unlicense", "This is free and unencumbered software released into the public domain"),
 )
 
@@ -53,7 +100,12 @@ def word_list(text: Column) -> Column:
 
 
 def template_words(text: str) -> list[str]:
-    return list(dict.fromkeys(w for w in re.split(NO_WORD.replace("\\x", "\\x"), text.lower()) if w))
+    return list(dict.fromkeys(w for w in re.split(NO_WORD, text.lower()) if w))
+
+
+def window_of(text: str) -> int:
+    """Words in a block that is compared with the template: a quarter more than it has."""
+    return math.ceil(1.25 * len([w for w in re.split(NO_WORD, text.lower()) if w]))
 
 
 def strings(values: list[str]) -> str:
@@ -77,39 +129,44 @@ def starts_of(phrase: str) -> str:
 def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = 0.95, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score (the highest containment), matches.
 
-    ``matches`` holds for each matching block and template the label, the containment and the block's text.
+    ``matches`` holds for each matching template the label, the containment of its best block, and that block's first word
+    (its place, from 0) and words.
     """
     src = pick(docs, doc_id=id_col, text=text_col).withColumn("text", text_or_empty(F.col("text")))
-    sets = [(label, template_words(text)) for label, text in templates]
-    n = frequencies(src, sorted({w for _, words in sets for w in words}))
+    sets = [(label, template_words(text), window_of(text)) for label, text in templates]
+    n = frequencies(src, sorted({w for _, words, _ in sets for w in words}))
     order = sorted(n, key=lambda w: (n[w], w))
     place = {w: i for i, w in enumerate(order)}
     rows, prefixes = [], set()
-    for label, words in sets:
+    for label, words, window in sets:
         words = sorted(words, key=place.get)
         need = math.ceil(round(threshold * len(words), 9))
         prefix = words[: len(words) - need + 1]
         prefixes.update(prefix)
-        rows.append(f"named_struct('label', '{label}', 'words', {strings(words)}, 'prefix', {strings(prefix)}, 'need', {need})")
+        rows.append(f"named_struct('label', '{label}', 'words', {strings(words)}, 'prefix', {strings(prefix)}, 'need', {need}, 'window', {window})")
     templates_sql, known, rare = f"array({', '.join(rows)})", strings(order), strings(sorted(prefixes))
 
-    words = src.withColumn("words", word_list(F.col("text")))
+    words = src.select("doc_id", word_list(F.col("text")).alias("words"))
     found = words.select(
         "doc_id", "words", F.size("words").cast("long").alias("n_words"), *[F.expr(starts_of(p)).alias(f"at_{label}") for p, label in PHRASES.items()],
-        # only texts with a word of some prefix are parted into blocks
-        F.expr(f"CASE WHEN arrays_overlap(words, {rare}) THEN array_distinct(concat(split(text, '\\n'), split(text, '\\n[\\\\x20\\\\t\\r]*\\n'))) ELSE CAST(array() AS ARRAY<STRING>) END").alias("blocks"),
+        # the words of a text that templates know, in the global order; none if no prefix has any of them
+        F.expr(f"CASE WHEN arrays_overlap(words, {rare}) THEN array_intersect({known}, words) ELSE CAST(array() AS ARRAY<STRING>) END").alias("own"),
     )
-    # a block's words that templates know, in the global order
-    sorted_blocks = found.withColumn("sets", F.expr(f"transform(blocks, block -> named_struct('block', block, 'own', array_intersect({known}, split(translate(block, '{UPPER}', '{LOWER}'), '{NO_WORD.replace(chr(92), chr(92) * 2)}'))))"))
-    matched = sorted_blocks.withColumn("matches", F.expr(f"""
-        flatten(transform(sets, b -> transform(filter({templates_sql}, t ->
-            size(b.own) >= t.need
-            AND arrays_overlap(b.own, t.prefix)
-            AND least(size(b.own) - array_position(b.own, array_intersect(b.own, t.prefix)[0]),
-                      size(t.words) - array_position(t.words, array_intersect(b.own, t.prefix)[0])) + 1 >= t.need
-            AND size(array_intersect(b.own, t.words)) >= t.need),
-            t -> named_struct('label', t.label, 'score', CAST(size(array_intersect(b.own, t.words)) AS DOUBLE) / size(t.words), 'block', b.block))))
-    """)).drop("words", "blocks", "sets")
+    # few texts pass for any template
+    passed = found.withColumn("passed", F.expr(f"""CASE WHEN size(own) = 0 THEN filter({templates_sql}, t -> false) ELSE filter({templates_sql}, t ->
+        size(own) >= t.need
+        AND arrays_overlap(own, t.prefix)
+        AND least(size(own) - array_position(own, array_intersect(own, t.prefix)[0]),
+                  size(t.words) - array_position(t.words, array_intersect(own, t.prefix)[0])) + 1 >= t.need
+        AND size(array_intersect(own, t.words)) >= t.need) END"""))
+    # windows that begin with one of the template's words and reach one of its prefix
+    anchored = passed.withColumn("anchored", F.expr("""transform(passed, t -> named_struct('t', t, 'starts', filter(
+        array_distinct(flatten(transform(filter(sequence(0, size(words) - 1), i -> array_contains(t.prefix, words[i])), i -> sequence(greatest(0, i - t.window + 1), i)))),
+        i -> array_contains(t.words, words[i]))))"""))
+    best = anchored.withColumn("best", F.expr("""transform(anchored, x -> named_struct('t', x.t,
+        'top', array_max(transform(x.starts, i -> named_struct('n', size(array_intersect(x.t.words, slice(words, i + 1, x.t.window))), 'start', -i)))))"""))
+    matched = best.withColumn("matches", F.expr("""transform(filter(best, x -> x.top.n >= x.t.need), x -> named_struct('label', x.t.label, 'score', CAST(x.top.n AS DOUBLE) / size(x.t.words),
+        'start', -x.top.start, 'block', array_join(slice(words, 1 - x.top.start, x.t.window), ' ')))""")).drop("words", "own", "passed", "anchored", "best")
     places = F.concat(*[F.col(f"at_{label}") for label in PHRASES.values()])
     base = F.array_compact(F.array(*[F.when(F.size(f"at_{label}") > 0, F.lit(label)) for label in PHRASES.values()]))
     out = matched.select("doc_id", "n_words", places.alias("places"), base.alias("base"), "matches")
@@ -127,19 +184,20 @@ def digest(scanned: DataFrame) -> DataFrame:
 
 
 def license_sql(templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = 0.95) -> str:
-    """The same rows by comparing every line and every run of lines with every template."""
-    rows = ", ".join(f"('{label}', [{', '.join(repr(w) for w in template_words(text))}])" for label, text in templates)
-    split = "list_filter(string_split_regex(translate({}, '" + UPPER + "', '" + LOWER + "'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"
+    """The same rows by comparing every window that begins with a template's word with that template."""
+    rows = ", ".join(f"({k}, '{label}', [{', '.join(repr(w) for w in template_words(text))}], {window_of(text)})" for k, (label, text) in enumerate(templates))
+    split = "list_filter(string_split_regex(translate(text, '" + UPPER + "', '" + LOWER + "'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"
     phrases = " UNION ALL ".join(
         f"SELECT rid, '{label}' AS label, unnest(list_filter(range(1, len(words) + 1), lambda i: {' AND '.join(f'words[i + {k}] = {w!r}' for k, w in enumerate(p.split()))})) - 1 AS place FROM w" for p, label in PHRASES.items()
     )
     return f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
-w AS (SELECT *, {split.format("text")} AS words FROM d),
-t AS (SELECT * FROM (VALUES {rows}) AS v(label, words)),
-b AS (SELECT DISTINCT rid, unnest(list_concat(string_split(text, chr(10)), string_split_regex(text, '\\n[ \\t\\r]*\\n'))) AS block FROM d),
-s AS (SELECT rid, {split.format("block")} AS words FROM b),
-m AS (SELECT rid, t.label, len(list_intersect(t.words, list_distinct(s.words))) / len(t.words) AS score FROM s, t WHERE len(list_intersect(t.words, list_distinct(s.words))) >= ceil(round({threshold} * len(t.words), 9))),
+w AS (SELECT *, {split} AS words FROM d),
+t AS (SELECT *, ceil(round({threshold} * len(known), 9)) AS need FROM (VALUES {rows}) AS v(tid, label, known, size)),
+c AS (SELECT rid, tid, label, words, known, size, need FROM w, t WHERE len(list_intersect(known, list_distinct(words))) >= need),
+e AS (SELECT rid, tid, i, words[i] AS word FROM (SELECT rid, tid, words, known, unnest(range(1, len(words) + 1)) AS i FROM c) AS u WHERE list_contains(known, words[i])),
+n AS (SELECT a.rid, a.tid, a.i, count(DISTINCT b.word) AS n FROM e a JOIN e b ON a.rid = b.rid AND a.tid = b.tid JOIN t ON t.tid = a.tid WHERE b.i >= a.i AND b.i < a.i + size GROUP BY ALL),
+m AS (SELECT rid, label, max(n) / max(len(known)) AS score FROM n JOIN t USING (tid) WHERE n >= need GROUP BY rid, tid, label),
 p AS ({phrases}),
 a AS (SELECT rid, count(*) AS n, min(place) AS f, max(place) AS l, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM p GROUP BY rid),
 x AS (SELECT rid, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT rid, label FROM p UNION ALL SELECT rid, label FROM m) AS u GROUP BY rid),
