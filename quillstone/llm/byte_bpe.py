@@ -6,8 +6,9 @@ every character is checked once against the library's own pre-tokenizer, and a t
 splitter differs goes to the library whole.
 
 Defined results. Null text: empty. Empty text: no ids, the hashes of no bytes. Repeated rows: one result each. Texts of
-any length are encoded whole; long ones are cut only where white space follows another character, where two pre-tokens
-always part. Extra columns are ignored.
+any length are encoded whole; long ones are cut only where a blank or line feed follows a plain letter, digit, comma or full
+stop, where two pre-tokens always part (what other characters count as white space differs between libraries). Extra columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 #: The split pattern in the syntax of the standard library; like the library's but for rare characters, which are found out.
 FAST_SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 #: A place where two pre-tokens always part.
-CUT = re.compile(r"(?<=\S)(?=\s)")
+CUT = re.compile(r"(?<=[A-Za-z0-9.,])(?=[ \n])")
 MEMO = 600_000
 MEMO_CHARS = 64
 PIECE_CHARS = 1 << 18

@@ -19,6 +19,7 @@ longer than the capacity is cut so that its first piece is the short one. No row
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -28,14 +29,33 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillstone.llm.byte_bpe import Codec, codec_from_json, cut_long
+from quillstone.llm.byte_bpe import Codec, byte_alphabet, codec_from_json, cut_long
 from quillstone.llm.common import Scratch, pick, shuffle_partitions
 
 PIECES = "doc_id {}, piece int, start bigint, length bigint, ids_crc32 bigint"
 
 
+def merges_by_id(codec: Codec) -> bool:
+    """Whether merging any two neighbours whose joined bytes are a token, lowest id first, gives what the file's merges give.
+
+    It does if ids ascend with the merges and every token comes out whole from its own bytes. For take the first merge on
+    which the two differ, of neighbours a and b to token t: no merge has crossed the ends of t's bytes so far, so they look
+    as they do when t is merged on its own; there, all that t's own merge (c, d) needs has a lower id than t and is done, so
+    a and b are c and d.
+    """
+    model = json.loads(codec.tokenizer.to_str())["model"]
+    if model["type"] != "BPE" or model.get("dropout") or model.get("ignore_merges") or model.get("continuing_subword_prefix") or model.get("end_of_word_suffix"):
+        return False
+    vocab = model["vocab"]
+    made = [vocab.get("".join(m if isinstance(m, list) else m.split(" "))) for m in model["merges"]]
+    single = {vocab.get(c) for c in byte_alphabet().values()}
+    if None in single or None in made or any(a >= b for a, b in zip([max(single), *made], made, strict=False)):
+        return False
+    return {*vocab.values()} <= {*single, *made, *codec.specials.values()} and all(len(codec.tokenizer.model.tokenize(name)) == 1 for name, i in vocab.items() if i not in single and name not in codec.specials)
+
+
 class FastCodec(Codec):
-    """The same ids by a faster merge of the same vocabulary, for texts whose every character was seen to give the library's ids."""
+    """The same ids by a faster merge of the same vocabulary, where that is proven of the file, for texts that split alike; else by the library."""
 
     def __init__(self, codec: Codec):
         import tiktoken
@@ -43,10 +63,13 @@ class FastCodec(Codec):
 
         self.__dict__.update(codec.__dict__)
         self.alike, self.odd = set(), set()
+        self.proven = merges_by_id(codec)
         special = {*self.specials.values()}
         self.fast = tiktoken.Encoding("pack", pat_str=PATTERN, mergeable_ranks={raw: i for i, raw in enumerate(codec.bytes_of) if i not in special}, special_tokens={})
 
     def _splits_alike(self, text: str) -> bool:
+        if not self.proven:
+            return False
         chars = set(text)
         for c in chars - self.alike:
             if c not in self.odd:

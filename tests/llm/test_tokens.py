@@ -59,6 +59,20 @@ def test_counts_equal_library(texts):
         assert counter.count(text) == len(library.encode(text, add_special_tokens=False).ids)
 
 
+@pytest.mark.parametrize("odd", ["\x1c", "\x1f", "\x85", "\xa0", "\u2028", "\u180e", "\u200b", "'", "\r", "\t"])
+def test_long_texts_are_cut_where_the_libraries_part(reference, odd):
+    """Every place near the piece's end, next to characters that libraries take for white space or not."""
+    words, counter, codec = Tokenizer.from_file(WORDS), token_counts.Counter(WORDS), byte_bpe.codec_from_ranks(RANKS, P.PATTERN)
+    for tail in (f"---{odd}= end of it", f"b{odd} c d", f"{odd}s {odd} {odd}{odd}x y", f"a{odd}\n{odd} b 12{odd}3 z"):
+        text = ("ab " * 90_000)[: byte_bpe.PIECE_CHARS - 1] + tail * 3
+        assert counter.count(text) == len(words.encode(text, add_special_tokens=False).ids)
+        assert np.frombuffer(codec.encode(text), "<u4").tolist() == reference.encode_ordinary(text)
+
+
+def test_merges_by_id_are_proven_of_the_file():
+    assert packing.merges_by_id(byte_bpe.codec_from_json(JSON)) and packing.fast_codec(JSON).proven
+
+
 def test_whole_tokens_are_proven():
     library, counter = Tokenizer.from_file(WORDS), token_counts.Counter(WORDS)
     for word in sorted(counter.whole)[::500]:
