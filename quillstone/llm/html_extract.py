@@ -1,12 +1,13 @@
-"""Main text of web pages: markup rules, and nearest-URL page differencing.
-
-Every page is parsed into lines, one for each block, in page order. A line under a menu, header, footer, sidebar, notice,
-advert, form, script or comment section is marked by its element or its class; a line within an article is the page's
-whatever it says, for two articles may quote the same passage. Differencing settles the rest: the pages of a host are ordered
-by URL path, and each page is aligned by the longest common subsequence of lines with those near it in that order. Open lines,
-outside of any article or main element, also on pages that have one, are compared with whichever neighbour shares the longer
-beginning of the path (the one before it in a tie); shared ones are the site's and are deleted. Lines of a main element that
-are in no article are deleted where the two nearest pages that differ, at most two away on either side, both share them: what
+"""Main text of web pages: nearest-URL page differencing, with markup to protect articles and to settle what varies.
+
+Every page is parsed into lines, one for each block, in page order. The pages of a host are ordered by URL path, and each page
+is aligned by the longest common subsequence of lines with whichever neighbour in that order shares the longer beginning of
+the path (the one before it in a tie). Lines outside of articles and main elements that the neighbour shares are the site's and
+are deleted: menus, headers, footers, notices, whether or not markup names them, also on pages that have an article. Markup
+settles the rest. A line within an article is the page's whatever its neighbours say, for two articles may quote the same
+passage. A line that no neighbour shares is deleted only if an element or class marks it as a menu, header, footer, sidebar,
+notice, advert, form, script or comment: adverts, comments and menus vary from page to page. Lines of a main element that are
+in no article are deleted where the two nearest pages that differ, at most two away on either side, both share them: what
 one page shares may be a quotation. With fewer than two such pages they stay.
 
 Pages that say the same (equal lines but for the marked ones) are copies of one page: repeated rows, twins by query string,
@@ -20,7 +21,7 @@ pages are parsed twice.
 
 Defined results. Null and empty html: empty text. A null or broken URL counts as the empty host and its own text as path.
 Repeated rows are extracted once each; equal URLs are ordered by id, then by the digest of their lines. A host with one
-page, or with copies of one, has nothing to compare. Unclosed elements end where their container ends. Extra columns are ignored.
+page, or with copies of one, has nothing to compare. Copies have the counts of deleted lines of the first of them. Unclosed elements end where their container ends. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -203,17 +204,19 @@ def shared(own: list[str], other: list[str]) -> set[int]:
     return found
 
 
-def main_text(lines: list[tuple[int, str]], neighbour: list[tuple[int, str]] | None, witnesses: list[list[tuple[int, str]]] = ()) -> str:
-    """The lines of articles, open lines that the neighbour doesn't share, and lines of main that not both witnesses share."""
-    deleted: set[int] = set()
-    open_lines = [k for k, (kind, _) in enumerate(lines) if kind == OPEN]
-    if neighbour and open_lines:
-        deleted |= {open_lines[i] for i in shared([lines[k][1] for k in open_lines], [t for kind, t in neighbour if kind == OPEN])}
+def settled(lines: list[tuple[int, str]], neighbour: list[tuple[int, str]] | None, witnesses: list[list[tuple[int, str]]] = ()) -> tuple[str, int, int]:
+    """The text, and how many lines were deleted because neighbours share them, and by markup alone."""
+    common: set[int] = set()
+    outside = [k for k, (kind, _) in enumerate(lines) if kind in (OPEN, SITE)]
+    if neighbour and outside:
+        common |= {outside[i] for i in shared([lines[k][1] for k in outside], [t for kind, t in neighbour if kind in (OPEN, SITE)])}
     main_lines = [k for k, (kind, _) in enumerate(lines) if kind == MAIN]
     if len(witnesses) == 2 and main_lines:
         one, two = (shared([lines[k][1] for k in main_lines], [t for kind, t in w if kind in (OPEN, MAIN)]) for w in witnesses)
-        deleted |= {main_lines[i] for i in one & two}
-    return "\n".join(text for k, (kind, text) in enumerate(lines) if kind != SITE and k not in deleted)
+        common |= {main_lines[i] for i in one & two}
+    marked = [k for k, (kind, _) in enumerate(lines) if kind == SITE and k not in common]
+    deleted = common.union(marked)
+    return "\n".join(text for k, (_, text) in enumerate(lines) if k not in deleted), len(common), len(marked)
 
 
 #: Runs of equal pages that a range is told of at each of its ends, and that a page's neighbours are looked for in.
@@ -330,7 +333,7 @@ class Run:
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """page_id, url, text, n_chars."""
+    """page_id, url, text, n_chars, n_shared and n_marked (lines that differencing deleted, and markup alone)."""
     spark = pages.sparkSession
     src = pick(pages, page_id=id_col, url=url_col, html=html_col).withColumns({"url": F.col("url").cast("string"), "html": F.col("html").cast("string")})
     starts = range_starts(keys_only(src), "key", shuffle_partitions(spark))
@@ -350,17 +353,17 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
             for r in sorted([*enumerate(before), *enumerate(after)], key=lambda x: x[0]):
                 if r[1].digest not in {own.digest, *(w.digest for w in witnesses)}:
                     witnesses.append(r[1])
-            texts: dict[bool, str] = {}
+            texts: dict[bool, tuple[str, int, int]] = {}
             for start in range(0, len(own.pages), SLICE):
                 rows = []
                 for i, url, path in own.pages[start : start + SLICE]:
                     later = bool(after) and (not before or nearness(after[0].first, path) > nearness(before[0].last, path))
                     if later not in texts:
                         best = after[0] if later else before[0] if before else None
-                        texts[later] = main_text(own.lines, best.lines if best else None, [r.lines for r in witnesses[:2]])
-                    rows.append((i, url, texts[later], len(texts[later])))
+                        texts[later] = settled(own.lines, best.lines if best else None, [r.lines for r in witnesses[:2]])
+                    rows.append((i, url, texts[later][0], len(texts[later][0]), *texts[later][1:]))
                 columns = list(zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (kind, pa.string(), pa.string(), pa.int64()), strict=True)], names=["page_id", "url", "text", "n_chars"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (kind, pa.string(), pa.string(), *[pa.int64()] * 3), strict=True)], names=["page_id", "url", "text", "n_chars", "n_shared", "n_marked"])
             own.pages.clear()
 
         for batch in batches:
@@ -381,4 +384,4 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
         for at in range(done, len(near)):
             yield from results(at)
 
-    return ordered.mapInArrow(run, f"page_id {src.schema['page_id'].dataType.simpleString()}, url string, text string, n_chars bigint")
+    return ordered.mapInArrow(run, f"page_id {src.schema['page_id'].dataType.simpleString()}, url string, text string, n_chars bigint, n_shared bigint, n_marked bigint")

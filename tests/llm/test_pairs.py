@@ -152,6 +152,21 @@ def test_articles_equal_expected(spark):
         assert r.text == "\n".join(b for b in blocks if b) and r.n_chars == len(r.text)
 
 
+def test_differencing_deletes_lines_of_the_real_pages(spark):
+    """Without markup's marks, what neighbours share is deleted all the same; what they don't share is left for the marks."""
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    rows = html_extract.extract(pages).collect()
+    assert len(rows) == 2500 and sum(r.n_shared > 0 for r in rows) > 0.95 * len(rows)
+    assert sum(r.n_shared for r in rows) > sum(r.n_marked for r in rows)
+
+
+def test_unmarked_menus_and_footers_go_by_differencing(spark):
+    bare = lambda k: f"<html><body><div>Home</div><div>News</div><div>Share this</div><article><h1>Title {k}</h1><p>Told {k}</p></article><div>Imprint</div></body></html>"
+    rows = [(k, f"https://h/{k}", bare(k)) for k in range(4)]
+    got = {r.page_id: (r.text, r.n_shared, r.n_marked) for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {k: (f"Title {k}\nTold {k}", 4, 0) for k in range(4)}
+
+
 def test_differencing_settles_pages_without_article(spark):
     rows = [(k, *page(f"<div>Welcome to the site</div><div>Story {k} told here.</div><div>All rights reserved</div>", path=f"/en/{k}")) for k in range(4)]
     rows += [(10, *page("<div>Alone</div>", host="b.example.com")), (11, *page("<main><p>Quoted line</p><p>Own 11</p></main>", path="/q/11")), (12, *page("<main><p>Quoted line</p><p>Own 12</p></main>", path="/q/12"))]
@@ -161,7 +176,7 @@ def test_differencing_settles_pages_without_article(spark):
 
 
 def test_markup_rules():
-    text = lambda h: html_extract.main_text(html_extract.lines_of(h), None)
+    text = lambda h: html_extract.settled(html_extract.lines_of(h), None)[0]
     assert text("<article><header><h1>Title</h1></header><p>a &amp; b<p>c\n d<div class='share'>Share</div><section class='comments'><p>Nice!</p></section></article>") == "Title\na & b\nc d"
     assert text("<header>Site</header><aside>Side</aside><p>Body</p><form><input><button>Go</button></form><div id='cookie-notice'>Cookies</div>") == "Body"
     assert text("<p>one<br>two</p><script>x</p></script><style>p{}</style>") == "one\ntwo"

@@ -45,6 +45,28 @@ def test_quality_cases(spark, awkward):
     assert quality_rules.quality(awkward.limit(0)).count() == 0
 
 
+def test_windows_with_equal_hashes_are_told_apart(spark, monkeypatch):
+    """Hashes of three bits: nearly all neighbours differ, and counts are those of the words."""
+    for name in ("coded",):
+        monkeypatch.setitem(quality_rules.MEASURES, name, quality_rules.MEASURES[name].replace("shiftleft(v, place_bits)", "shiftleft(v % 8, place_bits)"))
+    rnd = np.random.default_rng(3)
+    rows = [(k, " ".join(f"w{x}" for x in rnd.integers(0, top, size))) for k, (top, size) in enumerate([(4, 60), (30, 80), (10**9, 120), (10**9, 3), (10**9, 4), (2, 5), (1, 9)])]
+    got = {r.doc_id: r.n_repeat_words for r in quality_rules.quality(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {k: base_quality(t)[4] for k, t in rows}
+
+
+def test_millions_of_different_words(spark):
+    """Where 64 bits less the position's make hashes meet: the true count is none."""
+    text = spark.range(1).selectExpr("id AS doc_id", "array_join(transform(sequence(10000000, 11000000), x -> hex(x)), ' ') AS text")
+    assert [(r.n_words, r.n_repeat_words) for r in quality_rules.quality(text).collect()] == [(1_000_001, 0)]
+
+
+def test_dear_measures_wait_behind_rules_that_reject(spark, docs):
+    plan = quality_rules.judged(quality_rules.texts_of(docs, "doc_id", "text"), [*quality_rules.BASE[:1], quality_rules.BASE[1]])
+    got = plan.select("n_words", "coded", "rejected_by").collect()
+    assert {r.coded is None for r in got if r.n_words < 50} == {True} and {r.coded is None for r in got if r.n_words >= 50} == {False}
+
+
 def test_quality_order_never_changes_verdicts(spark, docs):
     want = {r.doc_id: r.kept for r in quality_rules.quality(docs).collect()}
     assert want == {r.doc_id: r.kept for r in quality_rules.quality(docs, rules=quality_rules.RULES[::-1], sample_rows=1).collect()}
@@ -65,7 +87,19 @@ def test_license_blocks(spark):
     df = spark.createDataFrame([(1, f"Some words.\n\n{gpl}\n\nMore."), (2, "licensed under CC BY-NC 4.0"), (3, "licensed under CC BY 4.0"), (4, "Redistribution in any form")], "doc_id long, text string")
     got = {r.doc_id: r for r in license_scan.scan(df).collect()}
     assert [got[i].labels for i in (1, 2, 3, 4)] == ["gpl", "cc-by-nc", "", ""] and got[2].base_labels == "" and got[2].score == 1
-    assert got[2].matches[0].block == "licensed under CC BY-NC 4.0"
+    assert got[2].matches[0].block == "licensed under cc by nc 4 0" and got[2].matches[0].start == 0
+
+
+def test_license_words_must_stand_together(spark):
+    """Words of a notice that are strewn over a text don't make it; a notice that is reflowed, anywhere in a long text, does."""
+    filler = " ".join(f"w{i % 700}" for i in range(20_000))
+    reflowed = lambda text, n: "\n".join(" ".join(text.split()[k : k + n]) for k in range(0, len(text.split()), n))
+    rows = [(0, "He was released under bail, then the lab at MIT renewed her driving license."), (1, filler + " released " + filler + " under the MIT " + filler + " license")]
+    rows += [(10 + k, f"{filler}\n{reflowed(text, 3 + k % 9)}\n\n{filler}") for k, (_, text) in enumerate(license_scan.TEMPLATES)]
+    got = {r.doc_id: r for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[0].labels == got[1].labels == "" and got[0].score == 0
+    for k, (label, _) in enumerate(license_scan.TEMPLATES):
+        assert label in got[10 + k].labels.split(",") and got[10 + k].score == 1, label
 
 
 ASSIGN = re.compile(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
