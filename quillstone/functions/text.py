@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 TERMINATORS = {"v1": ".!?।॥۔؟。！？", "v2": ".!?।॥۔؟。！？…"}
 #: Abbreviations that don't end a sentence (v1 compares the last word, v2 is a pattern).
 ABBREVIATIONS_V1 = "mr mrs ms dr prof sr jr st vs etc inc ltd co corp no vol fig eg ie approx dept est min max avg".split()
-ABBREVIATIONS_V2 = r"(?i)\b(?:[A-Z]|Dr|Mr|Mrs|Ms|Prof|Sr|Jr|St|Rev|Hon|vs|etc|Inc|Ltd|Co|Corp|e\.g|i\.e|a\.m|p\.m|U\.S|U\.K|No)\.$"
+ABBREVIATIONS_V2 = r"[A-Z]|Dr|Mr|Mrs|Ms|Prof|Sr|Jr|St|Rev|Hon|vs|etc|Inc|Ltd|Co|Corp|e\.g|i\.e|a\.m|p\.m|U\.S|U\.K|No"
+#: Fixed value: v1 glues shorter parts to what stands before them.
+SHORT_V1 = 15
 #: Code point ranges that vote for a language.
 SCRIPTS = (
     ("hi", "0900", "097F"),
@@ -30,6 +32,7 @@ SCRIPTS = (
 #: Characters that can't be seen.
 INVISIBLE = "[\\u200B-\\u200F\\u202A-\\u202E\\u2060-\\u2064\\uFEFF]"
 TOKEN = "[\\p{L}\\p{N}_]+"
+GAP = "[^\\p{L}\\p{N}_]"
 
 
 def _unicode(form: str) -> Callable[[Column], Column]:
@@ -99,29 +102,21 @@ def raw_sentences(normalized: Column, profile: str = "v2") -> Column:
     return F.filter(F.split(normalized, f"(?<=[{TERMINATORS[profile]}])\\s+"), lambda s: s != "")
 
 
-def _joined(parts: Column, glue) -> Column:
-    """Folds the parts into sentences: a part is glued to the one before it where ``glue(before, part)`` says so."""
-    none = F.array().cast("array<string>")
-    start = F.struct(none.alias("done"), F.lit(None).cast("string").alias("open"))
-
-    def step(acc: Column, part: Column) -> Column:
-        glued = acc["open"].isNotNull() & glue(acc["open"], part)
-        done = F.when(acc["open"].isNull() | glued, acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["open"])))
-        return F.struct(done.alias("done"), F.when(glued, F.concat(acc["open"], F.lit(" "), part)).otherwise(part).alias("open"))
-
-    return F.aggregate(parts, start, step, lambda acc: F.when(acc["open"].isNull(), acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["open"]))))
-
-
 def split_sentences(normalized: Column, profile: str = "v2") -> Column:
-    """Sentences of a normalized text; v2 drops those under 2 characters, v1 glues those under 15 to their neighbours."""
-    parts = raw_sentences(normalized, profile)
+    """Sentences of a normalized text, by one split: look-arounds say where a part is glued to the one before it.
+
+    v2 glues after an abbreviation and drops sentences under 2 characters; v1 glues after a word of its list and parts under
+    15 characters, and folds a first sentence under 15 forward.
+    """
+    ends = f"(?<=[{TERMINATORS[profile]}])"
     if profile == "v2":
-        return F.filter(_joined(parts, lambda before, part: before.rlike(ABBREVIATIONS_V2)), lambda s: F.length(s) >= 2)
-    last = lambda s: F.regexp_replace(F.lower(F.element_at(F.split(F.rtrim(F.substring(s, F.lit(1), F.length(s) - 1)), " "), -1)), "^\\.+|\\.+$", "")
-    glue = lambda before, part: (before.endswith(".") & last(before).isin(ABBREVIATIONS_V1)) | (F.length(part) < 15)
-    merged = _joined(parts, glue)
+        parts = F.split(normalized, f"{ends}(?<!(?iU:\\b(?:{ABBREVIATIONS_V2})\\.))\\s+")
+        return F.filter(parts, lambda s: F.length(s) >= 2)
+    words = "|".join(ABBREVIATIONS_V1)
+    long = f"(?=(?:(?![{TERMINATORS[profile]}]\\s)(?s:.)){{{SHORT_V1 - 1}}}(?s:.))"
+    merged = F.filter(F.split(normalized, f"{ends}(?<!(?iu:(?:^|\\s)\\.{{0,9}}(?:{words})\\.{{0,9}}\\s?\\.))\\s+{long}"), lambda s: s != "")
     folded = F.concat(F.array(F.concat_ws(" ", F.get(merged, F.lit(0)), F.get(merged, F.lit(1)))), F.slice(merged, F.lit(3), F.greatest(F.size(merged) - 2, F.lit(0))))
-    return F.when((F.size(merged) > 1) & (F.length(F.get(merged, F.lit(0))) < 15), folded).otherwise(merged)
+    return F.when((F.size(merged) > 1) & (F.length(F.get(merged, F.lit(0))) < SHORT_V1), folded).otherwise(merged)
 
 
 def split_paragraphs(text: Column) -> Column:
@@ -144,3 +139,28 @@ def clean_for_speech(text: Column) -> Column:
 
 def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
+
+
+def n_tokens(text: Column) -> Column:
+    return F.size(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)))
+
+
+def count_tokens(text: Column) -> Column:
+    """As an embedding model counts: with the two that frame its input."""
+    return n_tokens(text) + 2
+
+
+def token_slices(text: Column, n: Column | int) -> Column:
+    """The text from its first token on, in slices of n tokens, each with what stands between it and the next one."""
+    pattern = F.concat(F.lit(f"(?:{TOKEN}+{GAP}*+){{1,"), F.lit(n).cast("string") if isinstance(n, int) else n.cast("string"), F.lit("}+"))
+    return F.regexp_extract_all(text, pattern, F.lit(0))
+
+
+def without_tail(text: Column) -> Column:
+    """Up to the end of the last token."""
+    return F.regexp_replace(text, f"{GAP}+$", "")
+
+
+def within_limit(text: Column, limit: Column | int) -> Column:
+    """The text itself if a model takes it, else slices of it, each of so many tokens at most, from a token's first character to a token's last."""
+    return F.when(count_tokens(text) <= limit, F.array(text)).otherwise(F.when(n_tokens(text) == 0, F.array(text)).otherwise(F.transform(token_slices(text, limit), without_tail)))

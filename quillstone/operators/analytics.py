@@ -2,23 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillstone.operators import ranks
+
 PERCENTILES = (50, 70, 90, 95, 99, 100)
 
 
 def percentiles(df: DataFrame, group: str, value: str, points: tuple[float, ...] = PERCENTILES, linear: bool = False) -> DataFrame:
-    """One row a group, columns p50 and so on, exact. Equal values are counted before the shuffle, so no group is gathered.
+    """One row a group, columns p50 and so on, exact. Equal values are counted before the shuffle, different ones are ranked in ranges: no group is gathered.
 
     Rounded nearest rank: the value at rank round-half-even(p/100 * n + 0.5), within 1 and n. Linear: between neighbours.
     """
-    counted = df.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.count(F.lit(1)).alias("c"))
-    upto = Window.partitionBy(group).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    placed = counted.withColumns({"to": F.sum("c").over(upto), "n": F.sum("c").over(Window.partitionBy(group))})
+    placed = ranks.counted(df, group, value)
 
     def at(rank: Column) -> Column:
-        return F.max(F.when((F.col("to") - F.col("c") < rank) & (rank <= F.col("to")), F.col(value)))
+        return ranks.at_rank(value, rank)
 
     out = []
     for p in points:
@@ -54,8 +54,8 @@ def last_n(df: DataFrame, order: str, n: int) -> DataFrame:
 
 def daily_cap(df: DataFrame, ts: str, order: str, cap: int) -> DataFrame:
     """Calendar variant: whether a request is among the first ``cap`` of its day."""
-    day = F.to_date(ts)
-    return df.withColumns({"day": day, "place": F.row_number().over(Window.partitionBy(day).orderBy(ts, order)).cast("long")}).withColumn("allowed", F.col("place") <= cap)
+    days = df.withColumn("day", F.to_date(ts))
+    return ranks.running(days, "day", ts, F.lit(1), "place", (order,)).drop("group_total").withColumn("allowed", F.col("place") <= cap)
 
 
 def sessions(df: DataFrame, user: str, ts: str, gap: str = "30 minutes") -> DataFrame:

@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import json
 import re
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,8 +61,15 @@ def confidence_v2(top: Column, flatness: Column, n: Column, tau: float = 0.72, l
     return F.when(n == 0, "refuse:none").when(top < tau, "refuse:low").when(F.coalesce(flatness, F.lit(1e9)) < least, "refuse:flat").otherwise("pass")
 
 
-def confidence_v1(scores: Column, tau: float = 0.35) -> Column:
-    return F.when(F.size(F.filter(scores, lambda s: s >= tau)) < 1, "block").when(F.array_max(scores) < 1.4 * tau, "warn").otherwise("pass")
+def confidence_v1(scores: Column, tau: float = 0.35, least: int = 1) -> Column:
+    """Of the final scores in rank order: block if fewer than ``least`` reach tau, warn if the first is under 1.4 tau."""
+    return F.when(F.size(F.filter(scores, lambda s: s >= tau)) < least, "block").when(F.get(scores, F.lit(0)) < 1.4 * tau, "warn").otherwise("pass")
+
+
+def confidence_details(scores: Column, tau: float = 0.35) -> Column:
+    """What the guard tells of its verdict: numbers of passages, the first score and the first five."""
+    rounded = F.transform(F.slice(scores, 1, 5), lambda s: F.round(s, 4))
+    return F.struct(F.size(scores).alias("retrieved"), F.size(F.filter(scores, lambda s: s >= tau)).alias("above"), F.round(F.get(scores, F.lit(0)), 4).alias("top_score"), rounded.alias("distribution"))
 
 
 def context_budget(ranked: DataFrame, budget: int = 6000) -> DataFrame:
@@ -80,29 +85,65 @@ def citations(cited: Column, available: Column) -> Column:
     return F.struct(valid.alias("valid"), verdict.alias("verdict"), F.when(F.size(cited) == 0, 1.0).otherwise(F.size(valid) / F.size(cited)).alias("ratio"))
 
 
+#: What an answer says that asserts nothing.
+HEDGES = (
+    "i don't know", "i do not know", "not enough information", "cannot determine", "no information", "does not contain", "unable to answer", "not mentioned", "insufficient", "पर्याप्त नहीं", "जानकारी नहीं",
+)
+MARKER = r"\[\s*\d+(?:\s*,\s*\d+)*\s*\]"
+NUMBER = r"(?U)\b\d[\d,.\-/]*\b"
+
+
+def hedged(answer: Column) -> Column:
+    return F.exists(F.array(*map(F.lit, HEDGES)), lambda m: F.contains(F.lower(answer), m))
+
+
+def numbers_of(text: Column) -> Column:
+    return F.array_distinct(F.regexp_extract_all(F.lower(F.regexp_replace(text, MARKER, " ")), F.lit(NUMBER), F.lit(0)))
+
+
 def claim_tokens(text: Column) -> Column:
-    """Distinct tokens without [n] markers; Latin ones of up to 3 letters don't count, numbers do."""
-    words = F.array_distinct(T.tokens(F.regexp_replace(text, r"\[\d+\]", " ")))
-    return F.filter(words, lambda w: w.rlike("^[0-9]") | ~w.rlike(r"^[\x00-\x7F]{1,3}$"))
+    """Distinct numbers and words without [n] markers; Latin words of up to 3 letters don't count."""
+    words = F.array_distinct(T.tokens(F.regexp_replace(text, MARKER, " ")))
+    return F.array_union(numbers_of(text), F.filter(words, lambda w: ~w.rlike(r"^[\x00-\x7F]{1,3}$")))
 
 
-def overlap(claim: Column, passage: Column) -> Column:
+def overlap(claim: Column, numbers: Column, passage: Column) -> Column:
     """Weighted share of a claim's tokens that the passage holds; numbers weigh 2."""
-    weight = lambda w: F.when(w.rlike("^[0-9]"), 2.0).otherwise(1.0)
-    total = F.aggregate(claim, F.lit(0.0), lambda s, w: s + weight(w))
-    held = F.aggregate(F.array_intersect(claim, passage), F.lit(0.0), lambda s, w: s + weight(w))
-    return F.when(total > 0, held / total).otherwise(0.0)
+    weight = lambda tokens: F.size(tokens) + F.size(F.array_intersect(tokens, numbers))
+    return F.when(F.size(claim) > 0, weight(F.array_intersect(claim, passage)) / weight(claim)).otherwise(0.0)
 
 
 def grounding_v1(answers: DataFrame, tau: float = 0.35) -> DataFrame:
-    """For (aid, claim, passages array<string>): supported if the best overlap reaches tau and no number is unsupported."""
-    sets = answers.withColumns({"claim_set": claim_tokens(F.col("claim")), "passage_sets": F.transform("passages", T.tokens)})
-    numbers = F.filter("claim_set", lambda w: w.rlike("^[0-9]"))
-    missing = F.size(F.array_except(numbers, F.flatten("passage_sets"))) > 0
-    best = F.coalesce(F.array_max(F.transform("passage_sets", lambda p: overlap(F.col("claim_set"), p))), F.lit(0.0))
-    scored = sets.withColumns({"missing": missing, "raw": best})
-    score = F.round(F.when(F.col("missing"), F.least("raw", F.lit(0.9 * tau))).otherwise(F.col("raw")), 6)
-    return scored.select("aid", "claim", score.alias("score"), ((score >= tau) & ~F.col("missing")).alias("supported"))
+    """For (aid, claim, passages array<string>): score, the best overlap, and whether a passage reaches tau and has all of the claim's numbers.
+
+    A passage that lacks one of them counts for 0.9 tau at most. Claims without tokens aren't claims.
+    """
+    sets = answers.withColumns({"claim_set": claim_tokens(F.col("claim")), "numbers": numbers_of(F.col("claim")), "passage_sets": F.transform("passages", claim_tokens)}).where(F.size("claim_set") > 0)
+    each = F.transform("passage_sets", lambda p: F.struct(overlap(F.col("claim_set"), F.col("numbers"), p).alias("raw"), (F.size(F.array_except("numbers", p)) > 0).alias("missing")))
+    scored = sets.withColumn("each", each)
+    best = F.coalesce(F.array_max(F.transform("each", lambda e: F.when(e["missing"], F.least(e["raw"], F.lit(0.9 * tau))).otherwise(e["raw"]))), F.lit(0.0))
+    return scored.select("aid", "claim", F.round(best, 4).alias("score"), F.exists("each", lambda e: (e["raw"] >= tau) & ~e["missing"]).alias("supported"))
+
+
+def grounded_v1(answers: DataFrame, tau: float = 0.35, least: float = 0.5) -> DataFrame:
+    """For (aid, answer, passages): verdict, ratio, n_claims, supported, and the first three unsupported claims, of 120 characters each.
+
+    An empty answer and one without context are blocked, one that declines passes, one without claims is warned of; else the
+    share of supported claims decides.
+    """
+    claims = answers.where(F.trim("answer") != "").select("aid", "passages", F.posexplode(T.split_sentences(T.normalize(F.col("answer"), "v1"), "v1")).alias("i", "claim"))
+    judged = grounding_v1(claims.withColumn("aid", F.struct("aid", "i")), tau)
+    sums = judged.groupBy(F.col("aid.aid").alias("aid")).agg(
+        F.count(F.lit(1)).alias("n_claims"), F.count_if("supported").alias("supported"),
+        F.transform(F.slice(F.array_sort(F.collect_list(F.when(~F.col("supported"), F.struct("aid.i", F.substring("claim", 1, 120).alias("claim"))))), 1, 3), lambda c: c["claim"]).alias("unsupported"),
+    )
+    joined = answers.join(sums, "aid", "left").withColumn("share", F.col("supported") / F.col("n_claims"))
+    verdict = (
+        F.when(F.trim("answer") == "", "block:empty").when(hedged(F.col("answer")), "pass:hedge").when(F.size("passages") == 0, "block:no_context").when(F.col("n_claims").isNull(), "warn:no_claims")
+        .when(F.col("share") < least, "block").when(F.col("share") < 1, "warn").otherwise("pass")
+    )
+    ratio = F.when(verdict == "pass:hedge", 1.0).when(verdict == "block:no_context", 0.0).otherwise(F.round("share", 4))
+    return joined.select("aid", verdict.alias("verdict"), ratio.alias("ratio"), F.coalesce("n_claims", F.lit(0)).alias("n_claims"), F.coalesce("supported", F.lit(0)).alias("supported"), F.coalesce("unsupported", F.array().cast("array<string>")).alias("unsupported"))
 
 
 def grounding_v2(sentences: DataFrame, tau: float = 0.55, refuse: float = 0.60, warn: float = 0.85) -> DataFrame:
@@ -136,30 +177,48 @@ def speech_text(text: Column, most: int = 1500) -> Column:
     return F.when(F.length(text) <= most, text).otherwise(F.coalesce(*usable, cut))
 
 
+ANSWER = "answer string, citations array<int>, sufficient_context boolean, repaired boolean"
+#: What a model is asked to answer with, in the two profiles.
+STRUCTURED = {"v1": "answer string, citations array<int>, sufficient_context boolean", "v2": "answer string, cited_chunk_ids array<string>, used_context boolean, self_confidence double"}
+
+
+def structured(raw: Column, profile: str = "v2") -> Column:
+    """Well-formed answers by their schema, with defaults for what they leave out."""
+    got = F.from_json(raw, STRUCTURED[profile])
+    if profile == "v1":
+        return F.struct(F.coalesce(got["answer"], F.lit("")).alias("answer"), F.coalesce(got["citations"], F.array().cast("array<int>")).alias("citations"), F.coalesce(got["sufficient_context"], F.lit(True)).alias("sufficient_context"))
+    return F.struct(F.coalesce(got["answer"], F.lit("")).alias("answer"), F.coalesce(got["cited_chunk_ids"], F.array().cast("array<string>")).alias("cited_chunk_ids"), F.coalesce(got["used_context"], F.lit(True)).alias("used_context"), F.coalesce(got["self_confidence"], F.lit(0.5)).alias("self_confidence"))
+
+
+def _object(json: Column, repaired: bool) -> Column:
+    """The answer in a JSON object that has one; null if the text isn't an object or has none."""
+    value = F.try_parse_json(F.when(json.rlike(r"(?s)^\{.*\}$"), json))
+    answer = F.try_variant_get(value, "$.answer", "string")
+    cited = F.coalesce(F.try_variant_get(value, "$.citations", "array<int>"), F.array().cast("array<int>"))
+    enough = F.coalesce(F.try_variant_get(value, "$.sufficient_context", "boolean"), F.lit(True))
+    return F.when(answer.isNotNull(), F.struct(answer.alias("answer"), cited.alias("citations"), enough.alias("sufficient_context"), F.lit(repaired).alias("repaired")))
+
+
 def parse_answer(raw: Column) -> Column:
-    """(answer, citations, repaired): fenced or plain JSON, JSON within prose, a truncated object's answer, or the text itself."""
-    @F.pandas_udf("answer string, citations array<int>, repaired boolean")
-    def parsed(texts: pd.Series) -> pd.DataFrame:
-        rows = []
-        for t in texts:
-            body = re.sub(r"\s*```$", "", re.sub(r"^```(?:json)?\s*", "", (t or "").strip())).strip()
-            found, repaired = None, False
-            for candidate, fixed in ((body, False), ((m[0] if (m := re.search(r"\{.*\}", body, re.S)) else None), True)):
-                if candidate and found is None:
-                    try:
-                        value = json.loads(candidate)
-                        found, repaired = (value, fixed) if isinstance(value, dict) else (None, False)
-                    except ValueError:
-                        pass
-            if found is None and (m := re.search(r'"answer"\s*:\s*"((?:[^"\\]|\\.)*)', body)):
-                cited = re.search(r'"citations"\s*:\s*\[([^\]]*)\]', body)
-                found, repaired = {"answer": m[1], "citations": [int(x) for x in re.findall(r"\d+", cited[1])] if cited else []}, True
-            if found is None:
-                found, repaired = {"answer": body, "citations": []}, bool(body)
-            rows.append((str(found.get("answer") or ""), [int(c) for c in found.get("citations") or [] if str(c).isdigit()], repaired))
-        return pd.DataFrame(rows, columns=["answer", "citations", "repaired"])
-
-    return parsed(raw)
+    """(answer, citations, sufficient_context, repaired): the first of an object, fenced or not; an object within prose; the
+    closed answer of a truncated object, with the citations of closed lists; the text itself. An empty text has no answer."""
+    none = F.array().cast("array<int>")
+    text = F.trim(F.regexp_replace(F.coalesce(raw, F.lit("")), r"^\s+|\s+$", ""))
+    body = F.when(text.rlike(r"(?s)^```(?:json)?\s*.*?\s*```$"), F.regexp_extract(text, r"(?s)^```(?:json)?\s*(.*?)\s*```$", 1)).otherwise(text)
+    within = F.regexp_extract(body, r"(?s)\{.*\}", 0)
+    quoted = r'(?s)"answer"\s*:\s*"((?:[^"\\]|\\.)*)"'
+    said = F.regexp_extract(body, quoted, 1)
+    unescaped = F.coalesce(F.try_variant_get(F.try_parse_json(F.concat(F.lit('"'), said, F.lit('"'))), "$", "string"), said)
+    listed = F.flatten(F.transform(F.regexp_extract_all(body, F.lit(r'"citations"\s*:\s*\[([\d,\s]*)\]'), F.lit(1)), lambda x: F.regexp_extract_all(x, F.lit(r"\d+"), F.lit(0))))
+    truncated = F.when(body.rlike(quoted), F.struct(unescaped.alias("answer"), listed.cast("array<int>").alias("citations"), F.lit(True).alias("sufficient_context"), F.lit(True).alias("repaired")))
+    plain = F.struct(body.alias("answer"), none.alias("citations"), (text != "").alias("sufficient_context"), F.lit(True).alias("repaired"))
+    return F.when(text == "", plain).otherwise(F.coalesce(_object(body, False), _object(within, True), truncated, plain))
+
+
+def kept_citations(cited: Column, available: Column, profile: str = "v2") -> Column:
+    """The available citations that are cited; if none is, the first three (v2) or the first (v1)."""
+    kept = F.filter(available, lambda c: F.array_contains(cited, c))
+    return F.when(F.size(kept) > 0, kept).otherwise(F.slice(available, 1, 3 if profile == "v2" else 1))
 
 
 def breaker_replay(attempts: DataFrame, key: str, order: str, failed: str, threshold: int = 3) -> DataFrame:
@@ -172,22 +231,25 @@ def breaker_replay(attempts: DataFrame, key: str, order: str, failed: str, thres
 
 
 class Breaker:
-    """Circuit with cool-down: closed, open, half open (one trial, whose failure opens it again)."""
+    """Circuit with cool-down. v1 lets one trial through when it is over, whose failure opens the circuit again; v2 starts anew."""
 
-    def __init__(self, threshold: int = 3, cooldown: float = 60.0):
-        self.threshold, self.cooldown, self.failures, self.opened = threshold, cooldown, 0, None
+    def __init__(self, threshold: int = 3, cooldown: float = 60.0, profile: str = "v1", failures: int = 0, opened: float | None = None):
+        self.threshold, self.cooldown, self.profile, self.failures, self.opened = threshold, cooldown, profile, failures, opened
+        self.trial = False
 
     def state(self, now: float) -> str:
-        if self.opened is None:
-            return "closed"
-        return "half_open" if now - self.opened >= self.cooldown else "open"
+        if self.opened is not None and now - self.opened >= self.cooldown:
+            self.opened, self.failures, self.trial = None, max(0, self.threshold - 1) if self.profile == "v1" else 0, self.profile == "v1"
+        return "open" if self.opened is not None else "half_open" if self.trial else "closed"
 
     def record(self, ok: bool, now: float) -> None:
+        self.state(now)
+        self.trial = False
         if ok:
             self.failures, self.opened = 0, None
         else:
-            self.failures = self.threshold if self.state(now) == "half_open" else self.failures + 1
-            if self.failures >= self.threshold:
+            self.failures += 1
+            if self.failures >= self.threshold and self.opened is None:
                 self.opened = now
 
 

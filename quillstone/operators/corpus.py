@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstone.functions import text as T
+from quillstone.operators import ranks
 
 MIN_CHARS = {"v1": 20, "v2": 40}
 
@@ -47,24 +48,40 @@ def gold_ids(rows: DataFrame, lang: str) -> DataFrame:
     return rows.select("query_id", named.alias("gold_doc_ids"))
 
 
-def first_wins(docs: DataFrame, key: Column, order: str) -> DataFrame:
-    """The first row of each key. A minimum is combined before the shuffle, so a key may hold any share of the rows."""
+def first_wins(docs: DataFrame, key: Column, order: str, columns: tuple[str, ...] = ()) -> DataFrame:
+    """dedup_key, the first row's ``order`` and ``columns``, n_copies. Combined before the shuffle, so a key may hold any share of the rows, and nothing but these columns moves."""
     keyed = docs.withColumn("dedup_key", key)
-    first = keyed.groupBy("dedup_key").agg(F.min(order).alias(order), F.count(F.lit(1)).alias("n_copies"))
-    return keyed.join(first, ["dedup_key", order])
+    return keyed.groupBy("dedup_key").agg(F.min(order).alias(order), *[F.min_by(c, order).alias(c) for c in columns], F.count(F.lit(1)).alias("n_copies"))
 
 
-def merged(docs: DataFrame, key: Column, order: str, ids: str, flag: str) -> DataFrame:
-    """One row a key: ids of all in order, flag true if any is; the rest from the first row."""
+#: Fixed value: ids of copies that a document lists at most.
+LISTED = 50
+
+
+def merged(docs: DataFrame, key: Column, order: str, ids: str, flag: str, listed: int = LISTED) -> DataFrame:
+    """One row a key: the first ``listed`` ids in order, the number of all, flag true if any is; the rest from the first row.
+
+    ``members`` has all ids of all keys, a row each.
+    """
     keyed = docs.withColumn("dedup_key", key)
-    return keyed.groupBy("dedup_key").agg(F.min(order).alias(order), F.min_by("lang", order).alias("lang"), F.array_sort(F.collect_list(ids)).alias("ids"), F.bool_or(flag).alias(flag), F.count(F.lit(1)).alias("n_copies"))
+    one = keyed.groupBy("dedup_key").agg(F.min(order).alias(order), F.min_by("lang", order).alias("lang"), F.bool_or(flag).alias(flag), F.count(F.lit(1)).alias("n_copies"))
+    # each task keeps its own first ones before the shuffle
+    nth = F.row_number().over(Window.partitionBy("dedup_key").orderBy(ids))
+    some = keyed.select("dedup_key", ids).withColumn("nth", nth).where(F.col("nth") <= listed).groupBy("dedup_key").agg(F.array_sort(F.collect_list(ids)).alias("ids"))
+    return one.join(some, "dedup_key")
+
+
+def members(docs: DataFrame, key: Column, ids: str) -> DataFrame:
+    """A row for each document: its key and the first id that has it."""
+    keyed = docs.select(F.col(ids), key.alias("dedup_key"))
+    return keyed.join(keyed.groupBy("dedup_key").agg(F.min(ids).alias("first_id")), "dedup_key").select(ids, "dedup_key", "first_id")
 
 
 def holdout(docs: DataFrame, group: str, order: str, share: float = 0.85) -> DataFrame:
-    """is_heldout: rows from position int(n * share) of their group on; n is the group's rows."""
-    place = F.row_number().over(Window.partitionBy(group).orderBy(order)) - 1
-    sizes = docs.groupBy(group).agg(F.count(F.lit(1)).alias("group_rows"))
-    return docs.withColumn("place", place).join(F.broadcast(sizes), group).withColumn("is_heldout", F.col("place") >= F.floor(F.col("group_rows") * share))
+    """is_heldout: rows from position int(n * share) of their group on; n is the group's rows. Ids are different within a group."""
+    placed = ranks.counted(docs, group, order)
+    first = placed.groupBy(group).agg(ranks.at_rank(order, F.floor(F.col("n") * share) + 1).alias("first_heldout")).withColumnRenamed(group, "group_of_first")
+    return docs.join(first, F.col(group).eqNullSafe(F.col("group_of_first"))).withColumn("is_heldout", F.coalesce(F.col(order) >= F.col("first_heldout"), F.lit(False))).drop("group_of_first", "first_heldout")
 
 
 def stratified_sample(docs: DataFrame, group: str, key: str, per_group: int, seed: int = 7) -> DataFrame:

@@ -10,6 +10,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,12 +43,106 @@ def term_statistics(index: DataFrame, n_chunks: int) -> DataFrame:
 
 
 def bm25(chunks: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
-    """qid, chunk_id, score, rank. Query terms are the small side; they reduce the postings before anything is shuffled by chunk."""
-    size = chunks.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size(T.tokens(F.col("text")))).alias("avgdl")).collect()[0]
+    """qid, chunk_id, score, rank.
+
+    The texts are read twice and nothing but counts and each task's own top k is shuffled: once for the chunks that hold each
+    query term and the mean length, once for the scores, a block of queries at a time. Terms up to ``BROADCAST_TERMS`` travel
+    with the function; beyond, postings are joined by shuffle.
+    """
     wanted = queries.select("qid", F.explode(T.tokens(F.col("text"))).alias("term")).groupBy("qid", "term").agg(F.count(F.lit(1)).alias("qtf"))
-    index = postings(chunks, wanted.select("term").distinct())
-    terms = term_statistics(index, size["n"])
-    avgdl = size["avgdl"] or 1.0
+    terms = [r["term"] for r in wanted.select("term").distinct().limit(BROADCAST_TERMS + 1).collect()]
+    if len(terms) > BROADCAST_TERMS or queries.limit(BLOCK + 1).count() > BLOCK:
+        return bm25_by_postings(postings(chunks, wanted.select("term").distinct()), chunks.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size(T.tokens(F.col("text")))).alias("avgdl")), wanted, k)
+    words = chunks.select("chunk_id", T.tokens(F.col("text")).alias("tokens"))
+
+    def counted(batch: pa.RecordBatch, value_set: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Chunk, term and number of each pair of both that meet, and the chunks' lengths."""
+        lengths = pc.fill_null(pc.list_value_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        place = pc.fill_null(pc.index_in(batch.column(1).flatten(), value_set=value_set), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        row = np.repeat(np.arange(len(lengths)), lengths)[place >= 0]
+        pair, tf = np.unique(row * len(value_set) + place[place >= 0], return_counts=True)
+        return pair // max(1, len(value_set)), pair % max(1, len(value_set)), tf, lengths
+
+    def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        value_set, n, length = pa.array(terms, pa.string()), 0, 0
+        df = np.zeros(len(terms), np.int64)
+        for batch in batches:
+            _, term, _, lengths = counted(batch, value_set)
+            df += np.bincount(term, minlength=len(terms))
+            n, length = n + len(lengths), length + int(lengths.sum())
+        held = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array([-2, -1, *held.tolist()], pa.int64()), pa.array([n, length, *df[held].tolist()], pa.int64())], names=["term", "n"])
+
+    sums = {r["term"]: r["n"] for r in words.mapInArrow(frequencies, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect()}
+    n, avgdl = sums.get(-2, 0), (sums.get(-1, 0) / sums[-2] if sums.get(-2) else 0) or 1.0
+    df = np.array([sums.get(i, 0) for i in range(len(terms))], np.float64)
+    idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
+    place = {t: i for i, t in enumerate(terms)}
+    asked: dict[int, list[tuple[int, float]]] = {}
+    ids: dict[object, int] = {}
+    for r in wanted.collect():  # at most ``BLOCK`` queries
+        asked.setdefault(place[r["term"]], []).append((ids.setdefault(r["qid"], len(ids)), float(r["qtf"])))
+    by_term = {t: (np.array([q for q, _ in own]), np.array([x for _, x in own]) * idf[t]) for t, own in asked.items()}
+    qids = list(ids)
+
+    def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        value_set, best = pa.array(terms, pa.string()), Best(len(qids), k)
+        for whole in batches:
+            for start in range(0, whole.num_rows, 1024):
+                batch = whole.slice(start, 1024)
+                row, term, tf, lengths = counted(batch, value_set)
+                weight = tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[row] / avgdl))
+                total = np.zeros((len(lengths), len(qids)))
+                order = np.argsort(term, kind="stable")
+                for own in np.split(order, np.flatnonzero(np.diff(term[order])) + 1):
+                    if len(own):
+                        q, x = by_term[int(term[own[0]])]
+                        total[np.ix_(row[own], q)] += weight[own, None] * x[None, :]
+                best.add(batch.column(0).to_numpy(zero_copy_only=False), np.round(total, 4), total > 0)
+        yield best.batch(qids, pa.int64())
+
+    found = words.withColumn("chunk_id", F.col("chunk_id").cast("long")).mapInArrow(scores, "qid bigint, chunk_id bigint, score double")
+    return top_k(found, k)
+
+
+class Best:
+    """A task's own top k of each query, by score and then id; what ties at the end is settled by id."""
+
+    def __init__(self, queries: int, k: int):
+        self.k = k
+        self.ids: list[np.ndarray] = [np.empty(0, np.int64)] * queries
+        self.scores: list[np.ndarray] = [np.empty(0)] * queries
+
+    def add(self, ids: np.ndarray, scores: np.ndarray, valid: np.ndarray | None = None) -> None:
+        """Scores of these ids (rows) for every query (columns)."""
+        for q in range(len(self.ids)):
+            s, i = scores[:, q], ids
+            if valid is not None:
+                s, i = s[valid[:, q]], i[valid[:, q]]
+            if len(self.ids[q]) == self.k:
+                keep = s >= self.scores[q][-1]
+                s, i = s[keep], i[keep]
+            if not len(s):
+                continue
+            s, i = np.append(self.scores[q], s), np.append(self.ids[q], i)
+            if len(s) > 4 * self.k:
+                keep = s >= -np.partition(-s, self.k - 1)[self.k - 1]
+                s, i = s[keep], i[keep]
+            order = np.lexsort((i, -s))[: self.k]
+            self.scores[q], self.ids[q] = s[order], i[order]
+
+    def batch(self, qids: list, kind: pa.DataType) -> pa.RecordBatch:
+        n = [len(x) for x in self.ids]
+        q = [qid for qid, m in zip(qids, n, strict=True) for _ in range(m)]
+        flat = lambda parts, empty: np.concatenate([empty, *parts]) if parts else empty
+        return pa.RecordBatch.from_arrays([pa.array(q, kind), pa.array(flat(self.ids, np.empty(0, np.int64)), pa.int64()), pa.array(flat(self.scores, np.empty(0)))], names=["qid", "chunk_id", "score"])
+
+
+def bm25_by_postings(index: DataFrame, size: DataFrame, wanted: DataFrame, k: int = 10) -> DataFrame:
+    """qid, chunk_id, score, rank from postings (chunk_id, term, tf, dl), one row of (n, avgdl), and query terms (qid, term, qtf)."""
+    held = size.first()
+    terms = term_statistics(index, held["n"])
+    avgdl = held["avgdl"] or 1.0
     weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / avgdl))
     weighted = index.join(terms, "term").select("term", "chunk_id", (F.col("idf") * weight).alias("w"))
     scored = weighted.join(wanted, "term").groupBy("qid", "chunk_id").agg(F.round(F.sum(F.col("qtf") * F.col("w")), 4).alias("score"))
@@ -65,59 +160,74 @@ def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFram
     return top_k(dense_candidates(vectors, queries, k), k)
 
 
+#: Queries and vectors that are multiplied at a time.
+BLOCK, VECTORS = 4096, 16_384
+#: Blocks of queries up to which they are broadcast to the vectors.
+BROADCAST_BLOCKS = 16
+
+
+def packed(rows: DataFrame, id_col: str, size: int) -> DataFrame:
+    """ids and their vectors end to end, at most ``size`` to a row; nothing is moved."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, size):
+                batch = whole.slice(start, size)
+                vectors = np.array(batch.column(1).to_pylist(), np.float64)
+                yield pa.RecordBatch.from_arrays([pa.array([batch.column(0).to_pylist()], pa.list_(pa.int64())), pa.array([vectors.tobytes()], pa.binary())], names=["ids", "vectors"])
+
+    return rows.where(F.col(id_col).isNotNull() & F.col("embedding").isNotNull()).select(F.col(id_col).cast("long"), "embedding").mapInArrow(run, "ids array<bigint>, vectors binary")
+
+
+def blocks_met(vectors: DataFrame, queries: DataFrame) -> DataFrame:
+    """Each block of the stated queries (qids, asked) beside each block of vectors (ids, vectors)."""
+    q = packed(queries.coalesce(1) if queries.limit(BLOCK + 1).count() <= BLOCK else queries, "qid", BLOCK).select(F.col("ids").alias("qids"), F.col("vectors").alias("asked"))
+    few = queries.limit(BROADCAST_BLOCKS * BLOCK + 1).count() <= BROADCAST_BLOCKS * BLOCK
+    return packed(vectors, "vec_id", VECTORS).crossJoin(F.broadcast(q) if few else q)
+
+
+def _matrices(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, list, np.ndarray]]:
+    for k in range(batch.num_rows):
+        ids, qids = np.array(batch.column(0)[k].as_py(), np.int64), batch.column(2)[k].as_py()
+        yield ids, np.frombuffer(batch.column(1)[k].as_py()).reshape(len(ids), -1), qids, np.frombuffer(batch.column(3)[k].as_py()).reshape(len(qids), -1)
+
+
 def dense_candidates(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """Each task's own top k, to be ranked; candidates of several strategies are united before they are ranked.
 
-    Exact inner products by blocks: each task multiplies its vectors with the block of queries and keeps its own top k.
-
-    The queries are a stated batch, dealt into blocks of about ``BLOCK``; the vectors are never moved.
+    Exact inner products of blocks of queries with blocks of vectors, by matrix products where the vectors are.
     """
-    n = _blocks(queries)
-    blocks = [queries.where(F.pmod(F.xxhash64("qid"), F.lit(n)) == i) for i in range(n)]
-    out = None
-    for block in blocks:
-        rows = block.select("qid", "embedding").collect()
-        if not rows:
-            continue
-        ids, matrix = [r["qid"] for r in rows], np.array([r["embedding"] for r in rows], np.float64)
-
-        def run(batches: Iterator[pa.RecordBatch], ids=ids, matrix=matrix) -> Iterator[pa.RecordBatch]:
-            best: dict[object, list[tuple[float, int]]] = {q: [] for q in ids}
-            for batch in batches:
-                own = batch.column(0).to_pylist()
-                if not own:
-                    continue
-                scores = np.round(np.array(batch.column(1).to_pylist(), np.float64) @ matrix.T, 6)
-                for j, q in enumerate(ids):
-                    pairs = best[q] + [(-s, i) for s, i in zip(scores[:, j].tolist(), own, strict=True)]
-                    best[q] = sorted(pairs)[:k]
-            flat = [(q, i, -s) for q, pairs in best.items() for s, i in pairs]
-            yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in flat], t) for j, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["qid", "chunk_id", "score"])
-
-        part = vectors.select(F.col("vec_id").cast("long"), "embedding").mapInArrow(run, "qid bigint, chunk_id bigint, score double")
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        out = vectors.sparkSession.createDataFrame([], "qid bigint, chunk_id bigint, score double")
-    return out
-
-
-BLOCK = 4096
-
-
-def _blocks(queries: DataFrame) -> int:
-    return max(1, -(-queries.count() // BLOCK))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for ids, own, qids, asked in _matrices(batch):
+                best = Best(len(qids), k)
+                for start in range(0, len(ids), 1024):
+                    best.add(ids[start : start + 1024], np.round(own[start : start + 1024] @ asked.T, 6))
+                yield best.batch(qids, pa.int64())
+
+    return blocks_met(vectors, queries).mapInArrow(run, "qid bigint, chunk_id bigint, score double")
 
 
 def binary_search(vectors: DataFrame, queries: DataFrame, limit: int = 10, oversampling: int = 3, filtered: bool = False) -> DataFrame:
-    """Shortlist by Hamming distance of sign bits, then cosine of the shortlist. Queries are a stated batch."""
+    """Shortlist by Hamming distance of sign bits, then cosine of the shortlist. Queries are a stated batch, met in blocks."""
     short = max(limit * oversampling, 3 * limit, 64) * (4 if filtered else 1)
-    coded = vectors.select("vec_id", "embedding", V.sign_words(F.col("embedding")).alias("bits"))
-    asked = F.broadcast(queries.select("qid", F.col("embedding").alias("q"), V.sign_words(F.col("embedding")).alias("q_bits"))) if queries.count() <= BLOCK else queries.select("qid", F.col("embedding").alias("q"), V.sign_words(F.col("embedding")).alias("q_bits"))
-    near = coded.crossJoin(asked).withColumn("hamming", V.hamming(F.col("bits"), F.col("q_bits")))
-    order = Window.partitionBy("qid").orderBy("hamming", "vec_id")
-    shortlist = near.withColumn("place", F.row_number().over(order)).where(F.col("place") <= short)
-    scored = shortlist.select("qid", F.col("vec_id").alias("chunk_id"), "hamming", F.round(V.dot(F.col("embedding"), F.col("q")), 6).alias("score"))
-    return top_k(scored, limit)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for ids, own, qids, asked in _matrices(batch):
+                bits, q_bits = np.where(own > 0, 1.0, -1.0), np.where(asked > 0, 1.0, -1.0)
+                best, place = Best(len(qids), short), {int(i): n for n, i in enumerate(ids)}
+                for start in range(0, len(ids), 1024):
+                    # the fewer signs differ, the higher their product
+                    best.add(ids[start : start + 1024], bits[start : start + 1024] @ q_bits.T)
+                out = best.batch(qids, pa.int64())
+                rows, column = [place[i] for i in out.column(1).to_pylist()], np.repeat(np.arange(len(qids)), [len(x) for x in best.ids])
+                hamming = ((own.shape[1] - out.column(2).to_numpy()) / 2).astype(np.int64)
+                score = np.round((own[rows] * asked[column]).sum(axis=1), 6)
+                yield pa.RecordBatch.from_arrays([out.column(0), out.column(1), pa.array(hamming), pa.array(score)], names=["qid", "chunk_id", "hamming", "score"])
+
+    near = blocks_met(vectors, queries).mapInArrow(run, "qid bigint, chunk_id bigint, hamming bigint, score double")
+    order = Window.partitionBy("qid").orderBy("hamming", "chunk_id")
+    return top_k(near.withColumn("place", F.row_number().over(order)).where(F.col("place") <= short).drop("place"), limit)
 
 
 def centroid_gate(vectors: DataFrame, centroids: DataFrame, threshold: float = 0.70) -> DataFrame:
@@ -173,11 +283,14 @@ def flatness(fused: DataFrame, depth: int = 10) -> DataFrame:
     return fused.groupBy("qid").agg(F.max("rrf_score").alias("top_score"), F.count(F.lit(1)).alias("n_candidates"), F.round(F.max("rrf_score") / F.max(F.when(F.col("rank") == depth, F.col("rrf_score"))), 6).alias("flatness"))
 
 
-def mmr(hits: DataFrame, vectors: DataFrame | None, top: int = 5, pool: int = 30, weight: float = 0.7) -> DataFrame:
-    """Greedy maximal marginal relevance over the first ``pool`` hits of each query; without vectors the order stays."""
-    few = hits.where(F.col("rank") <= pool).select("qid", "doc_id", "rank", "rrf_score")
+def mmr(hits: DataFrame, vectors: DataFrame | None, top: int = 5, pool: int = 30, weight: float = 0.7, key: str = "doc_id") -> DataFrame:
+    """Greedy maximal marginal relevance over the first ``pool`` hits of each query; without vectors the order stays.
+
+    ``key`` names the column, of hits and vectors, that a hit's vector is found by: its best chunk's, where there are several.
+    """
+    few = hits.where(F.col("rank") <= pool).select("qid", "doc_id", "rank", "rrf_score", *([key] if key != "doc_id" else []))
     kind = few.schema["doc_id"].dataType.simpleString()
-    few = few.join(vectors.select("doc_id", "embedding"), "doc_id", "left") if vectors is not None else few.withColumn("embedding", F.lit(None).cast("array<double>"))
+    few = few.join(vectors.select(key, "embedding"), key, "left") if vectors is not None else few.withColumn("embedding", F.lit(None).cast("array<double>"))
 
     def pick(group: pd.DataFrame) -> pd.DataFrame:
         rest = group.sort_values("rank").to_dict("records")

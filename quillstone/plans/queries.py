@@ -8,12 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstone.functions import text as T
 from quillstone.functions import vectors as V
-from quillstone.operators import analytics, answers, chunking, corpus, evaluate, retrieval
+from quillstone.operators import analytics, answers, chunking, corpus, evaluate, ranks, retrieval
 from quillstone.shipping import ship
 from quillstone.sources import tables
 from quillstone.streaming import telemetry
@@ -68,12 +68,17 @@ def dedup_first_wins(spark, sf_dir):
 
 
 @query(f"""WITH {DOCS}, h AS (SELECT n.*, substr(sha256(lower(text)), 1, 16) AS dedup_key, coalesce(l.quality, 0) = 1 AS is_selected FROM n LEFT JOIN labels l USING (doc_id))
-SELECT dedup_key, min(doc_id) AS doc_id, arg_min(lang, doc_id) AS lang, array_to_string(list_sort(list(doc_id)), ',') AS ids, bool_or(is_selected) AS is_selected, count(*) AS n_copies FROM h GROUP BY dedup_key""")
+SELECT dedup_key, min(doc_id) AS doc_id, arg_min(lang, doc_id) AS lang, array_to_string(list_sort(list(doc_id))[1:50], ',') AS ids, bool_or(is_selected) AS is_selected, count(*) AS n_copies FROM h GROUP BY dedup_key""")
 def dedup_merge(spark, sf_dir):
     flagged = normalized(spark, sf_dir).join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id", "left").withColumn("is_selected", F.coalesce(F.col("quality"), F.lit(0)) == 1)
     return corpus.merged(flagged, T.doc_hash(F.col("text")), "doc_id", "doc_id", "is_selected").withColumn("ids", F.array_join(F.col("ids").cast("array<string>"), ","))
 
 
+@query(f"WITH {DOCS} SELECT doc_id, substr(sha256(lower(text)), 1, 16) AS dedup_key, min(doc_id) OVER (PARTITION BY substr(sha256(lower(text)), 1, 16)) AS first_id FROM n")
+def dedup_members(spark, sf_dir):
+    return corpus.members(normalized(spark, sf_dir), T.doc_hash(F.col("text")), "doc_id")
+
+
 @query(f"WITH {DOCS} SELECT lang, count(*) AS n_docs, CAST(sum(length(text)) AS BIGINT) AS sum_chars, CAST(min(length(text)) AS BIGINT) AS min_chars, CAST(max(length(text)) AS BIGINT) AS max_chars, round(avg(length(text)), 2) AS avg_chars FROM n WHERE length(text) >= 40 GROUP BY lang")
 def corpus_statistics(spark, sf_dir):
     kept = normalized(spark, sf_dir).withColumn("n_chars", F.length("text").cast("long")).where(F.col("n_chars") >= 40)
@@ -100,18 +105,41 @@ def sentence_split_raw(spark, sf_dir):
     return normalized(spark, sf_dir).select("doc_id", F.posexplode(T.raw_sentences(F.col("text"))).alias("ordinal", "sentence")).withColumn("ordinal", F.col("ordinal").cast("long"))
 
 
-@query()
+def sentences_sql(profile: str) -> str:
+    """From n (doc_id, text) to sent (doc_id, k, sentence): parts after terminators, and sums over which of them open a sentence."""
+    if profile == "v2":
+        glued = rf"regexp_matches(lag(part) OVER w, '(?i)(^|[^\p{{L}}\p{{N}}_])({T.ABBREVIATIONS_V2})\.$')"
+        last = "SELECT doc_id, k, sentence FROM m WHERE length(sentence) >= 2"
+    else:
+        glued = rf"regexp_matches(coalesce(lag(part, 2) OVER w || ' ', '') || lag(part) OVER w, '(?i)(^|\s)\.*({'|'.join(T.ABBREVIATIONS_V1)})\.*\s?\.$') OR length(part) < 15"
+        last = """SELECT doc_id, k, string_agg(sentence, ' ' ORDER BY own) AS sentence FROM (SELECT doc_id, sentence, k AS own,
+            CASE WHEN k = 2 AND length(first_value(sentence) OVER (PARTITION BY doc_id ORDER BY k)) < 15 THEN 1 ELSE k END AS k FROM m) GROUP BY doc_id, k"""
+    return f"""raw AS (SELECT doc_id, {raw_sql(T.TERMINATORS[profile])} AS s FROM n WHERE text <> ''), part AS (SELECT doc_id, i, s[i] AS part FROM raw, unnest(range(1, len(s) + 1)) AS u(i)),
+o AS (SELECT doc_id, i, part, CASE WHEN i > 1 AND ({glued}) THEN 0 ELSE 1 END AS opens FROM part WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+g AS (SELECT doc_id, i, part, sum(opens) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM o), m AS (SELECT doc_id, k, string_agg(part, ' ' ORDER BY i) AS sentence FROM g GROUP BY doc_id, k),
+sent AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS k, sentence FROM ({last}))"""
+
+
+@query(f"WITH {DOCS}, {sentences_sql('v2')} SELECT doc_id, k - 1 AS ordinal, sentence FROM sent")
 def sentence_split_v2(spark, sf_dir):
-    return normalized(spark, sf_dir).select("doc_id", F.posexplode(T.split_sentences(F.col("text"))).alias("ordinal", "sentence"))
+    return normalized(spark, sf_dir).select("doc_id", F.posexplode(T.split_sentences(F.col("text"))).alias("ordinal", "sentence")).withColumn("ordinal", F.col("ordinal").cast("long"))
 
 
-@query()
+@query(f"WITH {DOCS}, {sentences_sql('v1')} SELECT doc_id, k - 1 AS ordinal, sentence FROM sent")
 def sentence_split_v1(spark, sf_dir):
-    return normalized(spark, sf_dir).select("doc_id", F.posexplode(T.split_sentences(F.col("text"), "v1")).alias("ordinal", "sentence"))
+    return normalized(spark, sf_dir).select("doc_id", F.posexplode(T.split_sentences(F.col("text"), "v1")).alias("ordinal", "sentence")).withColumn("ordinal", F.col("ordinal").cast("long"))
+
+
+def script_sql() -> str:
+    """The vote: characters of each script, the one that comes first in a tie."""
+    ranges = [("en", "len(list_filter(regexp_extract_all(text, '\\p{L}'), lambda c: unicode(c) < 1424))", "coalesce(list_position(list_transform(regexp_extract_all(text, '(?s).'), lambda c: regexp_matches(c, '\\p{L}') AND unicode(c) < 1424), true), 0)")]
+    ranges += [(lang, f"length(text) - length(regexp_replace(text, '[\\x{{{low}}}-\\x{{{high}}}]', '', 'g'))", f"length(regexp_extract(text, '(?s)^[^\\x{{{low}}}-\\x{{{high}}}]*')) + 1") for lang, low, high in T.SCRIPTS]
+    votes = ", ".join(f"{{'n': {n}, 'first': -({first}), 'lang': '{lang}'}}" for lang, n, first in ranges)
+    return f"list_max([{votes}])"
 
 
-@query("""WITH f AS (SELECT doc_id, length(text) AS n, length(regexp_replace(text, '[\\x00-\\x7F]', '', 'g')) AS x FROM documents)
-SELECT doc_id, CAST(CASE WHEN n = 0 THEN 0 ELSE greatest(1, floor(n / CASE WHEN x > n * 0.3 THEN 2.5 ELSE 4.0 END)) END AS BIGINT) AS n_tokens, 'en' AS script FROM f""")
+@query(f"""WITH f AS (SELECT doc_id, length(text) AS n, length(regexp_replace(text, '[\\x00-\\x7F]', '', 'g')) AS x, {script_sql()} AS vote FROM documents)
+SELECT doc_id, CAST(CASE WHEN n = 0 THEN 0 ELSE greatest(1, floor(n / CASE WHEN x > n * 0.3 THEN 2.5 ELSE 4.0 END)) END AS BIGINT) AS n_tokens, CASE WHEN vote.n > 0 THEN vote.lang ELSE 'en' END AS script FROM f""")
 def estimate_tokens_and_script(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.estimate_tokens(F.col("text")).alias("n_tokens"), T.script_lang(F.col("text")).alias("script"))
 
@@ -137,14 +165,15 @@ def chunk_fixed_size(spark, sf_dir):
     return chunks_of("fixed_size", spark, sf_dir)
 
 
-@query(f"""WITH {DOCS}, t AS (SELECT doc_id, text, {TOKENS.format('text')} AS t FROM n WHERE text <> ''),
-c AS (SELECT doc_id, k, CASE WHEN len(t) <= 256 THEN text ELSE array_to_string(t[k * 192 + 1 : k * 192 + 256], ' ') END AS text FROM t, unnest(range(0, CASE WHEN len(t) <= 256 THEN 1 ELSE CAST(floor((len(t) - 65) / 192.0) AS BIGINT) + 1 END)) AS u(k))
+@query(f"""WITH {DOCS}, t AS (SELECT doc_id, text, regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+') AS t, string_split_regex(text, '[\\p{{L}}\\p{{N}}_]+') AS gaps FROM n WHERE text <> ''),
+c AS (SELECT doc_id, k, CASE WHEN len(t) <= 256 THEN text ELSE array_to_string(list_transform(range(k * 192 + 1, least(k * 192 + 256, len(t)) + 1), lambda i: CASE WHEN i > k * 192 + 1 THEN gaps[i] ELSE '' END || t[i]), '') END AS text
+FROM t, unnest(range(0, CASE WHEN len(t) <= 256 THEN 1 ELSE CAST(floor((len(t) - 65) / 192.0) AS BIGINT) + 1 END)) AS u(k) WHERE len(t) > 0)
 SELECT doc_id, k AS ordinal, text, text AS display_text FROM c""")
 def chunk_fixed_tokens(spark, sf_dir):
     return chunks_of("fixed_tokens", spark, sf_dir)
 
 
-S1 = f"{DOCS}, s AS (SELECT doc_id, text, {raw_sql(T.TERMINATORS['v1'])} AS s FROM n WHERE text <> '')"
+S1 = f"{DOCS}, {sentences_sql('v1')}, s AS (SELECT doc_id, text, list(sentence ORDER BY k) AS s FROM n JOIN sent USING (doc_id) GROUP BY doc_id, text)"
 
 
 @query(f"WITH {S1} SELECT doc_id, i - 1 AS ordinal, s[i] AS text, array_to_string(s[greatest(i - 2, 1) : i + 2], ' ') AS display_text FROM s, unnest(range(1, len(s) + 1)) AS u(i)")
@@ -207,12 +236,12 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vector_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A stated query set: the vectors with the 20 lowest ids."""
-    return vectors(spark, sf_dir).where("vec_id < 20").select(F.col("vec_id").alias("qid"), "embedding")
+    """A stated query set: the vectors whose id is divisible by 50."""
+    return vectors(spark, sf_dir).where("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), "embedding")
 
 
 DOT = "round(list_inner_product(CAST({} AS DOUBLE[]), CAST({} AS DOUBLE[])), 6)"
-DENSE = f"x AS (SELECT q.vec_id AS qid, v.vec_id AS chunk_id, v.label, q.label AS q_label, {DOT.format('q.embedding', 'v.embedding')} AS score FROM embeddings q, embeddings v WHERE q.vec_id < 20)"
+DENSE = f"x AS (SELECT q.vec_id AS qid, v.vec_id AS chunk_id, v.label, q.label AS q_label, {DOT.format('q.embedding', 'v.embedding')} AS score FROM embeddings q, embeddings v WHERE q.vec_id % 50 = 0)"
 
 
 @query(f"WITH {DENSE} SELECT qid, chunk_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS rank FROM x) WHERE rank <= 10")
@@ -225,7 +254,7 @@ def dense_topk_filtered(spark, sf_dir):
     return retrieval.dense_top_k(vectors(spark, sf_dir).where(F.col("label").isin(0, 1, 2)), vector_queries(spark, sf_dir), 10)
 
 
-HAMMING = f"""h AS (SELECT q.vec_id AS qid, v.vec_id AS chunk_id, CAST(len(list_filter(list_zip(q.embedding, v.embedding), lambda z: (z[1] > 0) <> (z[2] > 0))) AS BIGINT) AS hamming, {DOT.format('q.embedding', 'v.embedding')} AS score FROM embeddings q, embeddings v WHERE q.vec_id < 20),
+HAMMING = f"""h AS (SELECT q.vec_id AS qid, v.vec_id AS chunk_id, CAST(len(list_filter(list_zip(q.embedding, v.embedding), lambda z: (z[1] > 0) <> (z[2] > 0))) AS BIGINT) AS hamming, {DOT.format('q.embedding', 'v.embedding')} AS score FROM embeddings q, embeddings v WHERE q.vec_id % 50 = 0),
 s AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY hamming, chunk_id) AS place FROM h) WHERE place <= 64)"""
 
 
@@ -282,8 +311,8 @@ def confidence_gate(spark, sf_dir):
 
 @query()
 def mmr_rerank(spark, sf_dir):
-    docs = vectors(spark, sf_dir).where("vec_id % 2 = 0").select(F.expr("vec_id DIV 2").alias("doc_id"), "embedding")
-    return retrieval.mmr(retrieval.rrf(hits(spark, sf_dir)), docs)
+    """Each document by the vector of its own best chunk."""
+    return retrieval.mmr(retrieval.rrf(hits(spark, sf_dir)), vectors(spark, sf_dir).select(F.col("vec_id").alias("best_chunk_id"), "embedding"), key="best_chunk_id")
 
 
 @query(f"""WITH {DENSE}, t AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS rank FROM x),
@@ -295,7 +324,7 @@ SELECT qid, n_relevant, round(h1 / n_relevant, 6) AS recall_1, round(h5 / n_rele
 def ir_metrics(spark, sf_dir):
     v = vectors(spark, sf_dir)
     found = retrieval.dense_top_k(v, vector_queries(spark, sf_dir), 50).withColumnRenamed("chunk_id", "doc_id")
-    relevant = v.where("vec_id < 20").select(F.col("vec_id").alias("qid"), "label").join(v.select(F.col("vec_id").alias("doc_id"), "label"), "label").select("qid", "doc_id")
+    relevant = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), "label").join(v.select(F.col("vec_id").alias("doc_id"), "label"), "label").select("qid", "doc_id")
     return evaluate.ir_metrics(found, relevant)
 
 
@@ -447,8 +476,7 @@ def vector_functions(spark, sf_dir):
 
 @query("""SELECT lang, doc_id, n_chars, CAST(sum(n_chars) OVER (PARTITION BY lang ORDER BY doc_id) AS BIGINT) AS chars_upto FROM documents""")
 def running_chars(spark, sf_dir):
-    w = Window.partitionBy("lang").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    return table(spark, sf_dir, "documents").select("lang", "doc_id", "n_chars", F.sum("n_chars").over(w).alias("chars_upto"))
+    return ranks.running(table(spark, sf_dir, "documents").select("lang", "doc_id", "n_chars"), "lang", "doc_id", F.col("n_chars"), "chars_upto").select("lang", "doc_id", "n_chars", "chars_upto")
 
 
 @query("""WITH c AS (SELECT doc_id, chr(10) AS nl, text FROM documents), p AS (SELECT doc_id, list_filter(list_transform(string_split_regex(text, '\\n\\s*\\n+'), lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))), lambda x: x <> '') AS p FROM c)
@@ -481,13 +509,13 @@ def prompt_context(spark, sf_dir):
     return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", block.alias("block")))).alias("b")).select("conv_id", F.array_join(F.transform("b", lambda x: x["block"]), "\n\n").alias("context"))
 
 
-@query(f"""WITH {BM25}, {DENSE.replace("FROM embeddings q, embeddings v WHERE q.vec_id < 20", "FROM embeddings q, embeddings v WHERE q.vec_id < 20")},
-d2 AS (SELECT qid, chunk_id AS doc_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS rank FROM x), h AS (SELECT 'bm25' AS strategy, qid, doc_id, rank FROM bm WHERE qid < 20 UNION ALL SELECT 'dense', qid, doc_id, rank FROM d2 WHERE rank <= 10)
+@query(f"""WITH {BM25}, {DENSE},
+d2 AS (SELECT qid, chunk_id AS doc_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS rank FROM x), h AS (SELECT 'bm25' AS strategy, qid, doc_id, rank FROM bm UNION ALL SELECT 'dense', qid, doc_id, rank FROM d2 WHERE rank <= 10)
 SELECT qid, doc_id, round(sum(1.0 / (60 + rank)), 8) AS rrf_score, count(*) AS n_strategies FROM h GROUP BY qid, doc_id""")
 def hybrid_rrf(spark, sf_dir):
     """Unweighted fusion of BM25 over documents and dense over vectors, which share their ids."""
     chunks = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
-    lexical = retrieval.bm25(chunks, asked(spark, sf_dir).where("qid < 20"), 10).select("qid", "chunk_id", "score").withColumn("strategy", F.lit("bm25"))
+    lexical = retrieval.bm25(chunks, asked(spark, sf_dir), 10).select("qid", "chunk_id", "score").withColumn("strategy", F.lit("bm25"))
     dense = retrieval.dense_candidates(vectors(spark, sf_dir), vector_queries(spark, sf_dir), 10).withColumn("strategy", F.lit("dense"))
     ranked = retrieval.top_k(lexical.unionByName(dense), 10, partition=("qid", "strategy")).withColumn("doc_id", F.col("chunk_id"))
     return retrieval.rrf(ranked, weights={}).select("qid", "doc_id", "rrf_score", "n_strategies")

@@ -113,14 +113,11 @@ def scroll(table: DataFrame, order: str, limit: int = 20, offset: int = 0) -> tu
 
 
 def manifest(chunks: DataFrame) -> DataFrame:
-    """For each strategy: chunks, documents, upper median and largest number of tokens. Equal sizes are counted before the shuffle."""
-    from pyspark.sql import Window
-
-    counted = chunks.groupBy("strategy", "n_tokens").agg(F.count(F.lit(1)).alias("c"))
-    upto = Window.partitionBy("strategy").orderBy("n_tokens").rowsBetween(Window.unboundedPreceding, 0)
-    placed = counted.withColumns({"to": F.sum("c").over(upto), "n": F.sum("c").over(Window.partitionBy("strategy"))})
-    middle = F.expr("n DIV 2 + 1")
-    sizes = placed.groupBy("strategy").agg(F.max("n").alias("n_chunks"), F.max(F.when((F.col("to") - F.col("c") < middle) & (middle <= F.col("to")), F.col("n_tokens"))).alias("tokens_p50"), F.max("n_tokens").alias("tokens_max"))
+    """For each strategy: chunks, documents, upper median and largest number of tokens; no strategy is gathered."""
+    from quillstone.operators import ranks
+
+    placed = ranks.counted(chunks, "strategy", "n_tokens")
+    sizes = placed.groupBy("strategy").agg(F.max("n").alias("n_chunks"), ranks.at_rank("n_tokens", F.expr("n DIV 2 + 1")).alias("tokens_p50"), F.max("n_tokens").alias("tokens_max"))
     return sizes.join(chunks.groupBy("strategy").agg(F.count_distinct("doc_id").alias("n_docs")), "strategy")
 
 
