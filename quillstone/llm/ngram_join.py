@@ -35,7 +35,6 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Observation, Window
@@ -318,20 +317,18 @@ def met(deal: DataFrame, buckets: int) -> DataFrame:
     return deal.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket", "run").mapInArrow(run, FOUND)
 
 
-def allocation(bands: Bands) -> object:
-    """Arrow function from a set's size and a band's parity to what its signatures must be worth; negative where all of them are shown."""
-    @F.pandas_udf("long")
-    def needed(size: pd.Series, parity: pd.Series) -> pd.Series:
-        memo: dict[tuple[int, int], int] = {}
-        out = []
-        for s, p in zip(size, parity, strict=True):
-            if (s, p) not in memo:
-                band = next((b for b in bands.of(int(s)) if b % 2 == p), None)
-                memo[s, p] = 0 if band is None else bands.needed(int(s), band) * (-1 if bands.deletes(band) else 1)
-            out.append(memo[s, p])
-        return pd.Series(out, dtype="int64")
-
-    return needed
+def needed_sql(bands: Bands) -> str:
+    """SQL from a set's size and a band's parity to what its signatures must be worth; negative where all of them are shown."""
+    p, last = bands.percent, 24  # no set has more elements than a text has bytes
+    band = f"CASE {' '.join(f'WHEN size <= {top} THEN {k}' for k, top in enumerate(bands.tops[:last]))} ELSE {last} END"
+    own = f"({band} + CASE WHEN ({band}) % 2 = parity THEN 0 ELSE 1 END)"
+    top = f"element_at(array({', '.join(f'{t}L' for t in bands.tops[: last + 2])}), CAST({own} + 1 AS INT))"
+    least = f"element_at(array({', '.join(f'{bands.least(k)}L' for k in range(last + 2))}), CAST({own} + 1 AS INT))"
+    high, low = f"least({top}, size * 100 DIV {p})", f"greatest({least}, (size * {p} + 99) DIV 100)"
+    spoiled = f"array_max(transform(sequence(greatest({low}, {high} - 8), {high}), other -> size + other - 2 * (({p} * (size + other) + {99 + p}) DIV {100 + p})))"
+    deleting = [k for k in range(last + 2) if bands.deletes(k)]
+    sign = f"CASE WHEN {own} IN ({', '.join(map(str, deleting))}) THEN -1 ELSE 1 END" if deleting else "1"
+    return f"CASE WHEN greatest({low}, {high} - 8) <= {high} THEN ({spoiled} + 1) * {sign} ELSE {sign} END"
 
 
 def sets_of(docs: DataFrame, vertices: DataFrame, n: int) -> DataFrame:
@@ -365,7 +362,7 @@ def across_components(unsettled: DataFrame, sets: DataFrame, percent: int) -> Sc
     """
     held = sets.join(unsettled.hint("merge"), "v").select("v", "label", F.size("own").alias("size"), F.explode("own").alias("element"))
     many = held.groupBy("element").agg(F.count(F.lit(1)).alias("many")).where("many > 1")
-    placed = held.groupBy("element", "v", "label", "size").count().drop("count").join(many.hint("merge"), "element", "left").withColumn("place", F.expr("row_number() OVER (PARTITION BY v ORDER BY many, element) - 1"))
+    placed = held.join(many.hint("merge"), "element", "left").withColumn("place", F.expr("row_number() OVER (PARTITION BY v ORDER BY many, element) - 1"))
     prefix = Scratch.write(placed.where(f"many > 1 AND place <= size - ({percent} * size + 99) DIV 100").select("v", "label", "size", "element", "place", F.floor(F.log(F.col("size").cast("double")) / math.log(100 / percent) if percent < 100 else F.lit(0)).cast("int").alias("class")))
     small = prefix.read().where(f"place <= size - ({2 * percent} * size + {99 + percent}) DIV {100 + percent}")
     large = prefix.read().select(*[F.col(c).alias(f"{c}_w") for c in ("v", "label", "size", "place")], "element", F.explode(F.array("class", F.col("class") - 1)).alias("class"))
@@ -414,10 +411,9 @@ def join(docs: DataFrame, n: int = 5, percent: int = 75, id_col: str = "doc_id",
             F.when(F.shiftright("e", 62) == 0, F.col("a")).alias("doc_id"), F.col("b").alias("high"), F.col("c").alias("low"), F.col("d").alias("size"),
             F.col("e").bitwiseAND(F.lit((1 << 62) - 1)).alias("n0"), F.col("f").alias("n1"),
         )
-        needed = allocation(bands)
         filled = rows.where("size > 0 AND doc_id IS NOT NULL").groupBy("high", "low").agg(F.min("doc_id").alias("v"), *[F.first(c).alias(c) for c in ("size", "n0", "n1")])
         # one row for each set and band: how many signatures it has, and how many it must show
-        shown = filled.select("high", "v", "size", F.inline(F.array(*[F.struct(F.lit(p).cast("long").alias("parity"), F.col(f"n{p}").alias("n")) for p in (0, 1)]))).where("n > 0").withColumn("must", needed("size", "parity"))
+        shown = filled.select("high", "v", "size", F.inline(F.array(*[F.struct(F.lit(p).cast("long").alias("parity"), F.col(f"n{p}").alias("n")) for p in (0, 1)]))).where("n > 0").withColumn("must", F.expr(needed_sql(bands)))
         sets = Scratch.write(shown.select("v", F.shiftrightunsigned("high", 16).alias("node"), "size", "parity", "n", "must"))
         if not sets.read().where("abs(must) > n").limit(1).count():
             break

@@ -71,6 +71,15 @@ def test_bands_hold_every_linkable_pair_and_enough_segments():
                 assert worth > bands.spoiled(s, band)
 
 
+@pytest.mark.parametrize("percent", [60, 75, 90, 100])
+def test_needed_signatures_in_sql(spark, percent):
+    bands = ngram_join.Bands(percent)
+    sizes = [*range(1, 300), 999, 1000, 4097, 30_000, 1_000_003]
+    rows = [(s, b % 2, bands.needed(s, b) * (-1 if bands.deletes(b) else 1)) for s in sizes for b in bands.of(s)]
+    got = spark.createDataFrame(rows, "size long, parity long, want long").selectExpr("size", "parity", "want", f"{ngram_join.needed_sql(bands)} AS got")
+    assert got.where("want <> got").collect() == []
+
+
 def test_join_cases(spark, awkward):
     rows = ngram_join.join(awkward).collect()
     assert len(rows) == 9
