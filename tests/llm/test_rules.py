@@ -214,3 +214,88 @@ def test_one_random_key_is_found_without_long_words_and_among_slugs(spark):
     assert few == {0: "random:4:44", **dict.fromkeys(range(1, 10), "")}
     among = find([(0, f"use {key} now"), *[(i, f"see blog/2024/the-story-of-house-number-{i} here") for i in range(1, 100)]])
     assert among == {0: "random:4:44", **dict.fromkeys(range(1, 100), "")}
+
+
+ALPHABETS = {
+    "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
+    "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
+    "hex": "0123456789ABCDEF",
+}
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_planted_runs_of_every_encoding_and_length_are_found(spark, sf):
+    import random
+
+    rnd, lengths, each = random.Random(1), (24, 32, 40, 64, 128), 20
+    sources = [(r.doc_id, r.text) for r in spark.read.parquet(f"/root/testdata/{sf}/documents.parquet").select("doc_id", "text").collect()]
+    kinds = [(kind, n) for kind in ALPHABETS for n in lengths for _ in range(each)]
+    chosen = rnd.sample(range(len(sources)), len(kinds))
+    planted = {}
+    for at, (kind, n) in zip(chosen, kinds, strict=True):
+        i, text = sources[at]
+        sources[at] = (i, f"see {''.join(rnd.choice(ALPHABETS[kind]) for _ in range(n))} here. {text or ''}")
+        planted[i] = (kind, n)
+    scanned = secret_scan.digest(secret_scan.scan(spark.createDataFrame(sources, "doc_id long, text string").repartition(4)))
+    found = {r.doc_id: [tuple(map(int, s.split(":")[1:])) for s in r.spans.split(",") if s.startswith("random")] for r in scanned.collect()}
+    hits = {k: 0 for k in set(planted.values())}
+    for i, (kind, n) in planted.items():
+        hits[kind, n] += any(a <= 6 and b >= 2 + n for a, b in found[i])
+    assert min(hits.values()) >= 0.9 * each and sum(map(len, hits)) == 2 * len(hits), hits
+    assert sum(bool(s) for i, s in found.items() if i not in planted) < 0.01 * len(found)
+
+
+def chi2_tail(x, k):
+    """Of the chi-squared distribution, by the series of the incomplete gamma function."""
+    if x <= 0:
+        return 1.0
+    a, h = k / 2, x / 2
+    term = total = 1 / a
+    for n in range(1, 2000):
+        term *= h / (a + n)
+        total += term
+    return max(0.0, 1 - total * math.exp(-h + a * math.log(h) - math.lgamma(a)))
+
+
+def p_value(run):
+    body = run.rstrip("=")
+    alphabet = next((a for pattern, a in (("[0-9a-f]+", "0123456789abcdef"), ("[0-9A-F]+", "0123456789ABCDEF"), ("[A-Z2-7]+=*", ALPHABETS["base32"])) if re.fullmatch(pattern, run)), ALPHABETS["base64"])
+    v = [alphabet.index({"-": "+", "_": "/"}.get(c, c)) for c in body]
+    n, k = len(v), len(alphabet)
+    chi = sum((v.count(a) - n / k) ** 2 / (n / k) for a in range(k))
+    high = [x >= k / 2 for x in v]
+    n1 = sum(high)
+    n2 = n - n1
+    runs = 1 + sum(a != b for a, b in zip(high, high[1:], strict=False))
+    mu = 2 * n1 * n2 / n + 1
+    var = (mu - 1) * (mu - 2) / (n - 1)
+    mean = sum(v) / n
+    r = sum((a - mean) * (b - mean) for a, b in zip(v, v[1:], strict=False)) / sum((a - mean) ** 2 for a in v)
+    ps = [chi2_tail(chi, k - 1), math.erfc(abs(runs - mu) / math.sqrt(var) / math.sqrt(2)), math.erfc(abs(r + 1 / n) * math.sqrt(n) / math.sqrt(2))]
+    h = -sum(math.log(max(p, 1e-300)) for p in ps)
+    return math.exp(-h) * (1 + h + h * h / 2)
+
+
+def test_p_values_against_an_independent_computation(spark):
+    import random
+
+    rnd = random.Random(8)
+    runs = ["".join(rnd.choice(a) for _ in range(n)) for a in ALPHABETS.values() for n in (20, 24, 33, 64, 128, 300) for _ in range(4)]
+    runs += ["blog-2024-the-story-of-house-number-12", "internationalisation2024edition", "aaaaaaaaaaaaaaaaaaaaab1", "abcabcabcabcabcabcabcabc123", "A1" * 20]
+    df = spark.createDataFrame([(k, r) for k, r in enumerate(runs)], "k long, text string")
+    got = {r.k: r.p for r in df.selectExpr("k", f"{secret_scan.battery(secret_scan.spans(3, secret_scan.RUN))}[0].p AS p").collect()}
+    for k, r in enumerate(runs):
+        assert got[k] == pytest.approx(p_value(r), abs=0.01), r
+
+
+def test_more_secrets_never_turn_a_band_off(spark):
+    import random
+
+    rnd = random.Random(3)
+    keys = ["".join(rnd.choice(ALPHABETS["base64"][:62]) for _ in range(40)) for _ in range(200)]
+    slugs = [f"see blog/2024/the-story-of-house-number-{i}-and-more here" for i in range(100)]
+    lowest = []
+    for n in (1, 5, 25, 100, 200):
+        rows = [(i, t) for i, t in enumerate([*slugs, *(f"use {k} now" for k in keys[:n])])]
+        lowest.append(secret_scan.thresholds(spark.createDataFrame(rows, "doc_id long, text string"), 0.05)[2])
+    assert lowest == sorted(lowest, reverse=True) and lowest[-1] <= 0.1
