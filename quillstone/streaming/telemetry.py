@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import time
+from collections import deque
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillstone.operators.answers import Breaker
+
 #: Event time must be TIMESTAMP for a watermark; the tables hold it without a zone.
 EVENT_TIME = "ts"
 
@@ -37,10 +42,70 @@ def deduplicated(events: DataFrame, key: str = "event_id") -> DataFrame:
 def last_n(events: DataFrame, key: str, n: int) -> DataFrame:
     """Bounded buffer of a key's last n values, as state: emits key, size and mean after each batch."""
     def update(k: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        values = list(state.get[0]) if state.exists else []
+        values = deque(state.get[0] if state.exists else (), maxlen=n)
         for b in batches:
-            values = (values + b["value"].tolist())[-n:]
-        state.update((values,))
+            values.extend(b["value"].tolist()[-n:])
+        state.update((list(values),))
         yield pd.DataFrame({"key": [str(k[0])], "size": [len(values)], "mean": [sum(values) / len(values) if values else 0.0]})
 
     return events.groupBy(key).applyInPandasWithState(update, "key string, size long, mean double", "values array<double>", "update", "NoTimeout")
+
+
+def anchored_cap(requests: DataFrame, cap: int, window_s: float = 86_400.0, key: str | None = None) -> DataFrame:
+    """Whether each request (id, at in seconds) is allowed: a window begins with the first request, or the first after the last
+    one's end; up to ``cap`` requests of it are allowed. State is kept for each key; without one there is a single window."""
+    def update(k: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        start, n = state.get if state.exists else (None, 0)
+        # a batch's parts are rows of one key in no order; their ids and times are all that is held
+        rows = pd.concat([b[["id", "at"]] for b in batches]).sort_values(["at", "id"])
+        out = []
+        for i, at in zip(rows["id"].tolist(), rows["at"].tolist(), strict=True):
+            if start is None or at - start >= window_s:
+                start, n = at, 0
+            out.append((i, n < cap))
+            n += n < cap
+        state.update((start, n))
+        yield pd.DataFrame(out, columns=["id", "allowed"])
+
+    keyed = requests.withColumn("scope", F.col(key).cast("string") if key else F.lit("all"))
+    return keyed.groupBy("scope").applyInPandasWithState(update, "id long, allowed boolean", "start double, n long", "append", "NoTimeout")
+
+
+def breaker(attempts: DataFrame, threshold: int, cooldown: float, profile: str) -> DataFrame:
+    """The circuit of each provider after each attempt (id, provider, at in seconds, ok), its state carried from batch to batch."""
+    def update(k: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        failures, opened = state.get if state.exists else (0, None)
+        circuit = Breaker(threshold, cooldown, profile, failures, opened)
+        rows = pd.concat([b[["id", "at", "ok"]] for b in batches]).sort_values(["at", "id"])
+        out = []
+        for i, at, ok in zip(rows["id"].tolist(), rows["at"].tolist(), rows["ok"].tolist(), strict=True):
+            if circuit.state(at) == "open":
+                out.append((i, k[0], "skipped", circuit.failures))
+                continue
+            circuit.record(bool(ok), at)
+            out.append((i, k[0], circuit.state(at), circuit.failures))
+        state.update((circuit.failures, circuit.opened))
+        yield pd.DataFrame(out, columns=["id", "provider", "state", "failures"])
+
+    return attempts.groupBy("provider").applyInPandasWithState(update, "id long, provider string, state string, failures long", "failures long, opened double", "append", "NoTimeout")
+
+
+class Stages:
+    """Stages of a request on the driver: start, end and whether each went well, also where one raises."""
+
+    def __init__(self, request: str, clock=time.perf_counter):
+        self.request, self.clock, self.began = request, clock, clock()
+        self.rows: list[tuple[str, str, float, float, float, bool]] = []
+
+    @contextmanager
+    def stage(self, name: str):
+        start, ok = self.clock(), False
+        try:
+            yield
+            ok = True
+        finally:
+            end = self.clock()
+            self.rows.append((self.request, name, round(1000 * (end - start), 3), 1000 * (start - self.began), 1000 * (end - self.began), ok))
+
+    def frame(self, spark: SparkSession) -> DataFrame:
+        return spark.createDataFrame(self.rows, "request string, stage string, ms double, start double, end double, ok boolean")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillstone.functions import text as T
 from quillstone.functions import vectors as V
-from quillstone.operators import analytics, answers, chunking, corpus, evaluate, retrieval, service
+from quillstone.operators import analytics, answers, chunking, corpus, evaluate, index, retrieval, service
 from quillstone.plans import queries as catalogue
 from quillstone.plans.engine import Engine
 from quillstone.sources import tables
@@ -403,3 +403,119 @@ def test_scopes_thresholds_and_uploads(spark):
     up = spark.createDataFrame([("hi", 10, "audio/wav; rate=8"), ("hi", 10, "audio/webm"), ("hi", 11_000_000, "audio/wav"), (" ", 10, "AUDIO/MP3"), ("", 0, "audio/wav")], "t string, n long, m string")
     assert [r[0] for r in up.select(service.upload(F.col("t"), F.col("n"), F.col("m"))).collect()] == ["ok", "unsupported", "too_large", "no_speech", "empty"]
     assert one(spark, "x", service.prefixed(F.col("text"), "query")) == "query: x"
+
+
+def toy_index(spark):
+    docs = spark.createDataFrame([(i, f"Topic {w} is told here at some length. It goes on about {w} for a while. {w.title()} again and again.", "en") for i, w in enumerate("apple pear plum fig".split())], "doc_id long, text string, lang string")
+    return docs, index.chunked(docs, ["sentence", "parent_child"], sentence={"budget": 12})
+
+
+def test_index_is_saved_loaded_and_searched(spark, tmp_path):
+    docs, chunks = toy_index(spark)
+    assert {r.strategy for r in chunks.select("strategy").distinct().collect()} == {"sentence", "parent_child"}
+    with pytest.raises(ValueError, match="Available"):
+        index.chunked(docs, ["sentence", "nothing"])
+    vectors = index.embedded(chunks, chunking.hashing_embedder)
+    folder = str(tmp_path / "i")
+    index.save(folder, chunks, vectors)
+    parts = index.load(spark, folder)
+    assert set(parts) == {"chunks", "vectors", "postings", "terms", "stats", "manifest"} and parts["chunks"].count() == chunks.count() == parts["vectors"].count()
+    queries = spark.createDataFrame([(1, "plum plum told"), (2, "fig")], "qid long, text string")
+    rows = lambda df: sorted((r.qid, r.chunk_id, round(r.score, 3), r["rank"]) for r in df.collect())
+    numbered = chunks.select(F.xxhash64("chunk_id").alias("chunk_id"), "text")
+    fresh = retrieval.bm25(numbered, queries, 5)
+    stored = index.bm25(parts, queries, 5)
+    assert sorted(round(r.score, 3) for r in fresh.collect()) == sorted(round(r.score, 3) for r in stored.collect()) and rows(stored)
+    size = chunks.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size(T.tokens(F.col("text")))).alias("avgdl"))
+    wanted = queries.select("qid", F.explode(T.tokens(F.col("text"))).alias("term")).groupBy("qid", "term").agg(F.count(F.lit(1)).alias("qtf"))
+    assert rows(retrieval.bm25_by_postings(retrieval.postings(chunks), size, wanted, 5)) == rows(stored)
+    with pytest.raises(ValueError, match="differ"):
+        index.checked(vectors.limit(2), chunks)
+    assert "payload" in index.payloads(chunks).columns and index.drop(spark, folder)
+    with pytest.raises(FileNotFoundError):
+        index.load(spark, folder)
+
+
+def test_search_by_buckets(spark):
+    rnd = np.random.default_rng(0)
+    points = rnd.normal(size=(400, 8))
+    points /= np.linalg.norm(points, axis=1, keepdims=True)
+    v = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)], "vec_id long, embedding array<double>")
+    centroids = retrieval.kmeans_centroids(v)
+    dealt = index.bucketed(v, centroids)
+    q = v.where("vec_id % 50 = 0").withColumnRenamed("vec_id", "qid")
+    exact = {(r.qid, r.chunk_id) for r in retrieval.dense_top_k(v, q, 10).collect()}
+    found = lambda probes: {(r.qid, r.chunk_id) for r in index.approximate_top_k(dealt, q, centroids, 10, probes).collect()}
+    assert found(centroids.count()) == exact and len(found(20) & exact) / len(exact) >= 0.9
+
+
+def test_languages_are_united(spark):
+    one_, two = (spark.createDataFrame(rows, "doc_id long, text string") for rows in ([(1, "a"), (2, "b")], [(3, "a"), (4, "c")]))
+    assert sorted(r.doc_id for r in index.union_of_languages([one_, two], F.sha1("text"), "doc_id").collect()) == [1, 2, 4]
+
+
+def test_evaluation_and_reports(spark, tmp_path):
+    hits = spark.createDataFrame([(q, f"c{q}{k}", (k + 1) // 2, k + 1) for q in range(1, 6) for k in range(4)], "qid long, chunk_id string, doc_id long, rank long")
+    relevant = evaluate.qrels(spark.createDataFrame([(q, 1) for q in range(1, 6)] * 2 + [(5, 99)], "q long, d long"), "q", "d")
+    assert relevant.count() == 6
+    assert [(r.doc_id, r["rank"]) for r in evaluate.documents_of(hits).where("qid = 1").orderBy("rank").collect()] == [(0, 1), (1, 2), (2, 3)]
+    runs = spark.createDataFrame([(q, s, 10.0 * q, q) for q in range(1, 6) for s in ("search", "total")], "qid long, stage string, ms double, nth int")
+    report = evaluate.evaluation(hits, relevant, runs, warmup=3, budget_ms=45)
+    assert report["metrics"].first().n_queries == 2 and report["per_query"].count() == 2
+    flags = {r.qid: r for r in report["per_query"].collect()}
+    assert (flags[5].relevant, flags[5].hit_at_1, flags[5].hit_at_10) == (2, False, True)
+    evaluate.save_report(report, str(tmp_path / "r"))
+    text = evaluate.format_report(spark, str(tmp_path / "r"))
+    assert "recall_10" in text and "within budget: 1 of 2 (50.0 %)" in text
+    assert [r.qid for r in evaluate.labelled(spark.createDataFrame([(1,), (77,)], "qid long"), relevant).collect()] == [1]
+
+
+def test_latency_reports(spark):
+    runs = spark.createDataFrame(
+        [("total", "en", "query", "answered", 150.0), ("total", "hi", "query", "refused", 250.0), ("total", "en", "retrieve", "answered", 9.0), ("retrieval", "en", "retrieve", "answered", 100.0), ("retrieval", "en", "query", "answered", 300.0)],
+        "stage string, lang string, endpoint string, outcome string, ms double",
+    )
+    report = evaluate.latency_report(runs)
+    stages = {r.stage: r for r in report["stages"].collect()}
+    assert stages["total"].n == 2 and stages["retrieval"].n == 2 and {r.lang for r in report["languages"].collect()} == {"en", "hi"}
+    assert report["objective"].first().pass_rate == 0.5 and report["answered"].first().answered_rate == 0.5
+    legs = spark.createDataFrame([(1, "stt", 1.0), (1, "tts", 2.0), (2, "stt", 3.0), (2, "other", 99.0)], "run long, leg string, ms double")
+    assert {r.leg: r.p100 for r in evaluate.leg_report(legs).collect()} == {"stt": 3.0, "tts": 2.0, "e2e": 3.0}
+    probes = spark.createDataFrame([("a", float(i)) for i in range(50)], "store string, ms double")
+    r = evaluate.probe_latency(probes).first()
+    assert (r.p50, r.p90, r.p100) == (25.0, 45.0, 49.0)
+    assert [(r.lang, r.width) for r in evaluate.bars(runs, "lang").collect()] == [("en", 1.0), ("hi", 0.25)]
+
+
+def test_stages_are_timed_also_where_they_raise(spark):
+    ticks = iter([0.0, 0.0, 0.1, 0.1, 0.4])
+    stages = telemetry.Stages("r1", lambda: next(ticks))
+    with stages.stage("retrieve"):
+        pass
+    with pytest.raises(RuntimeError), stages.stage("generate"):
+        raise RuntimeError
+    r = evaluate.request_totals(stages.frame(spark)).first()
+    assert (r.retrieval_ms, r.generation_ms, r.span_ms, r.ok) == (100.0, 300.0, 400.0, False)
+
+
+def streamed(spark, tmp_path, name, rows, ddl, build, files=2):
+    for k in range(files):
+        spark.createDataFrame(rows[k::files] if files == 1 else rows[len(rows) * k // files : len(rows) * (k + 1) // files], ddl).coalesce(1).write.mode("append").parquet(str(tmp_path / name))
+        q = build(spark.readStream.schema(ddl).parquet(str(tmp_path / name))).writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", str(tmp_path / f"{name}-c{k}")).trigger(availableNow=True).start()
+        q.awaitTermination(120)
+    return spark.table(name).collect()
+
+
+def test_cap_anchored_at_the_first_request(spark, tmp_path):
+    rows = [(i, float(at)) for i, at in enumerate([100, 101, 102, 103, 199, 201, 202, 203])]
+    got = {r.id: r.allowed for r in streamed(spark, tmp_path, "capped", rows, "id long, at double", lambda s: telemetry.anchored_cap(s, 2, 100.0), 1)}
+    assert [got[i] for i in range(8)] == [True, True, False, False, False, True, True, False]
+
+
+def test_breakers_as_streams(spark, tmp_path):
+    rows = [(i, "p", float(at), ok) for i, (at, ok) in enumerate([(0, False), (1, False), (2, False), (3, False), (10, True), (63, False), (64, True), (130, True)])]
+    ddl = "id long, provider string, at double, ok boolean"
+    v1 = {r.id: r.state for r in streamed(spark, tmp_path, "breaker1", rows, ddl, lambda s: telemetry.breaker(s, 3, 60.0, "v1"), 1)}
+    assert [v1[i] for i in range(8)] == ["closed", "closed", "open", "skipped", "skipped", "open", "skipped", "closed"]
+    v2 = {r.id: r.state for r in streamed(spark, tmp_path, "breaker2", rows, ddl, lambda s: telemetry.breaker(s, 4, 30.0, "v2"), 1)}
+    assert [v2[i] for i in range(8)] == ["closed", "closed", "closed", "open", "skipped", "closed", "closed", "closed"]
