@@ -2,25 +2,44 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import os
+from collections.abc import Callable, Mapping
+from dataclasses import dataclass, fields
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.operators import answers, retrieval
 from quillstone.functions import text as T
+from quillstone.operators import answers, retrieval, service
 
 
 @dataclass(frozen=True)
 class Settings:
+    """Every field can be set by an environment variable, its name in capitals behind a prefix."""
+
     top_k: int = 8
     pool: int = 50
     rrf_k: int = 60
+    mmr_weight: float = 0.7
+    mmr_pool: int = 30
     offtopic_tau: float = 0.70
     top_score_tau: float = 0.72
     flatness_min: float = 1.04
+    grounding_tau: float = 0.55
+    grounding_refuse: float = 0.60
+    grounding_warn: float = 0.85
     context_chars: int = 6000
+    answer_chars: int = 800
     budget_ms: float = 200.0
+    daily_cap: int = 200
+    breaker_threshold: int = 4
+    breaker_cooldown_s: float = 30.0
+
+    @classmethod
+    def from_environment(cls, prefix: str = "QUILLSTONE_", environment: Mapping[str, str] | None = None) -> Settings:
+        found = os.environ if environment is None else environment
+        return cls(**{f.name: type(f.default)(found[prefix + f.name.upper()]) for f in fields(cls) if prefix + f.name.upper() in found})
 
 
 def session(master: str | None = None, partitions: int | None = None) -> SparkSession:
@@ -35,46 +54,99 @@ def session(master: str | None = None, partitions: int | None = None) -> SparkSe
 
 @dataclass
 class Engine:
-    """``chunks`` (chunk_id, doc_id, strategy, text, display_text) and ``vectors`` (vec_id = chunk_id, embedding, strategy)."""
+    """``chunks`` (chunk_id, doc_id, strategy, text, display_text) and ``vectors`` (vec_id = chunk_id, embedding, strategy).
+
+    ``centroids`` (cid, centroid) gate topics where they are given. ``generate`` adds a column ``generated`` (answer,
+    cited_chunk_ids, used_context; null if it failed) to rows of qid, text and contexts; without one, answers are the
+    beginning of the first context. ``embed`` turns sentences into vectors for the groundedness check.
+    """
 
     chunks: DataFrame
     vectors: DataFrame
     settings: Settings = Settings()
+    centroids: DataFrame | None = None
+    generate: Callable[[DataFrame], DataFrame] | None = None
+    embed: Callable | None = None
 
-    def search(self, queries: DataFrame) -> DataFrame:
-        """Hits of every dense strategy and of BM25 for queries (qid, text, embedding), ranked in one window."""
+    def __post_init__(self) -> None:
+        if not self.vectors.limit(1).count():
+            raise ValueError("no dense index: at least one strategy must have vectors")
+
+    def search(self, queries: DataFrame, strategies: list[str] | None = None) -> DataFrame:
+        """Hits of the dense strategies and of BM25 for queries (qid, text, embedding), ranked in one window; all strategies, or those named."""
         pool = self.settings.pool
-        names = [r["strategy"] for r in self.vectors.select("strategy").distinct().collect()]
+        names = [r["strategy"] for r in self.vectors.select("strategy").distinct().collect() if strategies is None or r["strategy"] in strategies]
         parts = [retrieval.dense_candidates(self.vectors.where(F.col("strategy") == s), queries, pool).withColumn("strategy", F.lit(s)) for s in names]
-        lexical = retrieval.bm25(self.chunks.select("chunk_id", "text"), queries.select("qid", "text"), pool).select("qid", "chunk_id", "score").withColumn("strategy", F.lit("bm25"))
-        every = lexical
-        for p in parts:
-            every = every.unionByName(p)
-        ranked = retrieval.top_k(every, pool, partition=("qid", "strategy"))
+        if strategies is None or "bm25" in strategies:
+            parts.append(retrieval.bm25(self.chunks.select("chunk_id", "text"), queries.select("qid", "text"), pool).select("qid", "chunk_id", "score").withColumn("strategy", F.lit("bm25")))
+        if not parts:
+            raise ValueError(f"none of {strategies} is indexed")
+        ranked = retrieval.top_k(reduce(DataFrame.unionByName, parts), pool, partition=("qid", "strategy"))
         return ranked.join(self.chunks.select("chunk_id", "doc_id"), "chunk_id")
 
-    def retrieve(self, queries: DataFrame) -> DataFrame:
-        fused = retrieval.rrf(self.search(queries), k=self.settings.rrf_k)
+    def gate(self, queries: DataFrame) -> DataFrame:
+        """qid, similarity with the nearest centroid; null without centroids."""
+        if self.centroids is None:
+            return queries.select("qid", F.lit(None).cast("double").alias("similarity"))
+        return retrieval.centroid_gate(queries.select(F.col("qid").alias("vec_id"), "embedding"), self.centroids, self.settings.offtopic_tau).select(F.col("vec_id").alias("qid"), "similarity")
+
+    def retrieve(self, queries: DataFrame, strategies: list[str] | None = None, diverse: bool = False, explain: bool = False) -> DataFrame:
+        """The first documents of each query with their best chunk's text; ``diverse`` picks them by marginal relevance, ``explain`` adds their ranks by strategy."""
+        fused = retrieval.rrf(self.search(queries, strategies), k=self.settings.rrf_k)
+        if diverse:
+            keyed = self.vectors.select(F.col("vec_id").alias("best_chunk_id"), "embedding").dropDuplicates(["best_chunk_id"])
+            places = retrieval.mmr(fused, keyed, self.settings.top_k, self.settings.mmr_pool, self.settings.mmr_weight, "best_chunk_id")
+            first = fused.join(places, ["qid", "doc_id"]).withColumn("rank", F.col("place")).drop("place")
+        else:
+            first = fused.where(F.col("rank") <= self.settings.top_k)
         shown = F.coalesce(F.expr("nullif(display_text, '')"), "text", F.lit("")).alias("context")
-        texts = self.chunks.select(F.col("chunk_id").alias("best_chunk_id"), shown)
-        return fused.where(F.col("rank") <= self.settings.top_k).join(texts, "best_chunk_id", "left")
+        found = first.join(self.chunks.select(F.col("chunk_id").alias("best_chunk_id"), shown), "best_chunk_id", "left")
+        return found if explain else found.drop("strategies")
 
-    def query(self, queries: DataFrame) -> DataFrame:
-        """One row a query: the refusal reason, or the extractive answer from its first context. Refused queries aren't searched."""
-        guarded = queries.withColumn("verdict", answers.guard_input_v2(T.normalize(F.col("text"))))
-        passed = guarded.where("verdict = 'PASS'")
+    def query(self, queries: DataFrame, debug: bool = False) -> DataFrame:
+        """One row a query of (qid, text, embedding): answer or refusal, citations and checks, as service.answered_v2. Refused inputs aren't searched."""
+        asked = queries.withColumn("text", T.normalize(F.col("text")))
+        passed = asked.where(service.input_reason(F.col("text")).isNull())
         fused = retrieval.rrf(self.search(passed), k=self.settings.rrf_k)
-        top = fused.groupBy("qid").agg(F.max("best_dense_score").alias("top_score")).join(retrieval.flatness(fused).select("qid", "flatness", "n_candidates"), "qid")
-        gated = top.withColumn("confidence", answers.confidence_v2(F.col("top_score"), F.col("flatness"), F.col("n_candidates"), self.settings.top_score_tau, self.settings.flatness_min))
-        first = fused.where("rank = 1").join(self.chunks.select(F.col("chunk_id").alias("best_chunk_id"), "text"), "best_chunk_id").select("qid", F.substring("text", 1, 800).alias("answer"))
-        joined = guarded.select("qid", "verdict").join(gated, "qid", "left").join(first, "qid", "left")
-        reason = F.when(F.col("verdict") != "PASS", F.col("verdict")).when(F.coalesce("confidence", F.lit("refuse:none")) != "pass", "LOW_RETRIEVAL_CONFIDENCE")
-        return joined.select("qid", reason.alias("refusal_reason"), "top_score", "flatness", F.when(reason.isNull(), F.col("answer")).alias("answer"))
+        confidence = fused.groupBy("qid").agg(F.max("best_dense_score").alias("top_score")).join(retrieval.flatness(fused).select("qid", "flatness"), "qid")
+        shown = F.coalesce(F.expr("nullif(display_text, '')"), "text", F.lit("")).alias("context")
+        first = fused.where(F.col("rank") <= self.settings.top_k).join(self.chunks.select(F.col("chunk_id").alias("best_chunk_id"), shown), "best_chunk_id", "left")
+        contexts = first.groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", F.col("best_chunk_id").cast("string").alias("chunk_id"), F.col("context").alias("text")))), lambda c: F.struct(c["chunk_id"].alias("chunk_id"), c["text"].alias("text"))).alias("contexts"))
+        rows = asked.select("qid", "text").join(self.gate(passed), "qid", "left").join(confidence, "qid", "left").join(contexts, "qid", "left")
+        rows = rows.withColumn("contexts", F.coalesce("contexts", F.array().cast("array<struct<chunk_id:string,text:string>>")))
+        rows = self.generate(rows) if self.generate else rows.withColumn("generated", self._extract())
+        s = self.settings
+        return service.answered_v2(self._grounded(rows), s.offtopic_tau, s.top_score_tau, s.flatness_min, s.grounding_refuse, s.grounding_warn, debug)
+
+    def _extract(self):
+        first = F.get("contexts", F.lit(0))
+        return F.when(F.size("contexts") > 0, F.struct(F.substring(first["text"], 1, self.settings.answer_chars).alias("answer"), F.array(first["chunk_id"]).alias("cited_chunk_ids"), F.lit(True).alias("used_context")))
+
+    def _grounded(self, rows: DataFrame) -> DataFrame:
+        """With grounded: the share of the answer's sentences that a context supports."""
+        if self.embed is None:
+            return rows.withColumn("grounded", F.lit(None).cast("double"))
+        embed = self.embed
+
+        @F.pandas_udf("array<double>")
+        def vector(texts):
+            import pandas as pd
+
+            return pd.Series([v.tolist() for v in embed([t or "" for t in texts])], dtype=object)
+
+        said = rows.where("generated IS NOT NULL").select("qid", "contexts", F.explode(T.split_sentences(T.normalize(F.col("generated.answer")))).alias("sentence")).withColumn("embedding", vector("sentence"))
+        known = rows.select("qid", F.explode("contexts.text").alias("context")).withColumn("v", vector("context")).groupBy("qid").agg(F.collect_list("v").alias("known"))
+        s = self.settings
+        checked = answers.grounding_v2(said.join(known, "qid").select(F.col("qid").alias("aid"), "sentence", "embedding", F.col("known").alias("contexts")), s.grounding_tau, s.grounding_refuse, s.grounding_warn)
+        return rows.join(checked.select(F.col("aid").alias("qid"), F.col("ratio").alias("grounded")), "qid", "left")
 
     def statistics(self) -> DataFrame:
         return self.chunks.groupBy("strategy").agg(F.count(F.lit(1)).alias("n_chunks"), F.count_distinct("doc_id").alias("n_docs"))
 
-
-def refusal_message(reason):
-    """What a refusal says."""
-    return F.when(reason == "PROMPT_INJECTION", "That looks like an attempt to change my instructions.").when(reason == "UNSAFE_INPUT", "I can't help with that request.").otherwise("I couldn't find a reliable answer in the corpus.")
+    def health(self) -> dict[str, object]:
+        """Whether there is something to search, and what; never raises."""
+        try:
+            found = {r["strategy"]: r["n_chunks"] for r in self.statistics().collect()}
+        except Exception as e:  # noqa: BLE001
+            return {"ready": False, "error": type(e).__name__, "strategies": {}}
+        return {"ready": bool(found), "error": None, "strategies": found}

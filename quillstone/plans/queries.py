@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from quillstone.functions import text as T
 from quillstone.functions import vectors as V
-from quillstone.operators import analytics, answers, chunking, corpus, evaluate, ranks, retrieval
+from quillstone.operators import analytics, answers, chunking, corpus, evaluate, index, ranks, retrieval, service
 from quillstone.shipping import ship
 from quillstone.sources import tables
 from quillstone.streaming import telemetry
@@ -552,3 +552,86 @@ def orders_by_nation(spark, sf_dir):
     orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_totalprice")
     customers = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("n_nationkey"))
     return orders.join(customers, "c_custkey").join(table(spark, sf_dir, "nation").select("n_nationkey", "n_name"), "n_nationkey").groupBy("n_name").agg(F.count(F.lit(1)).alias("n_orders"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+
+
+def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of conversations as queries whose stages found what their numbers say."""
+    t = table(spark, sf_dir, "conversations")
+    n, k = F.col("conv_id").cast("int"), F.col("turn").cast("int")
+    contexts = F.transform(F.sequence(F.lit(1), 1 + n % 4), lambda i: F.struct(F.concat(F.lit("c"), i.cast("string")).alias("chunk_id"), F.when(i + n % 3 == 3, "").otherwise("text").alias("text")))
+    generated = F.when((n + k) % 13 != 0, F.struct(F.col("text").alias("answer"), F.transform(F.sequence(F.lit(1), F.lit(2)), lambda i: F.concat(F.lit("c"), (i * (1 + n % 5)).cast("string"))).alias("cited_chunk_ids"), (n % 11 != 0).alias("used_context")))
+    return t.select(
+        F.concat_ws(":", "conv_id", "turn").alias("qid"), "text", (F.lit(0.65) + F.lit(0.05) * (n % 9)).alias("similarity"), (F.lit(0.70) + F.lit(0.03) * (k % 7)).alias("top_score"),
+        (F.lit(1.02) + F.lit(0.02) * (n % 7)).alias("flatness"), contexts.alias("contexts"), generated.alias("generated"), (F.lit(0.5) + F.lit(0.08) * (k % 6)).alias("grounded"),
+    )
+
+
+@query(f"""WITH r AS (SELECT conv_id || ':' || turn AS qid, trim(text) AS tr, text, CAST(conv_id AS INTEGER) AS n, CAST(turn AS INTEGER) AS k FROM conversations),
+c AS (SELECT *, list_filter(range(1, 2 + n % 4), lambda i: i + n % 3 <> 3) AS ids, [1 + n % 5, 2 * (1 + n % 5)] AS cited FROM r),
+f AS (SELECT *, list_filter(ids, lambda i: list_contains(cited, i)) AS kept, CASE WHEN length(tr) < 2 THEN 1 WHEN {guard_sql(answers.INJECTION_V2).replace("text", "tr")} THEN 1 WHEN {guard_sql(answers.UNSAFE_V2)} THEN 2 WHEN 0.65 + 0.05 * (n % 9) < 0.70 THEN 3
+ WHEN 0.70 + 0.03 * (k % 7) < 0.72 OR 1.02 + 0.02 * (n % 7) < 1.04 THEN 4 WHEN len(ids) = 0 THEN 5 WHEN (n + k) % 13 = 0 THEN 6 WHEN n % 11 = 0 THEN 7 WHEN len(list_intersect(cited, ids)) = 0 THEN 8 WHEN 0.5 + 0.08 * (k % 6) < 0.60 THEN 9 ELSE 10 END AS stop FROM c)
+SELECT qid, CASE stop WHEN 1 THEN CASE WHEN length(tr) < 2 THEN 'unsafe_input' ELSE 'prompt_injection' END WHEN 2 THEN 'unsafe_input' WHEN 3 THEN 'off_topic' WHEN 4 THEN 'low_retrieval_confidence' WHEN 5 THEN 'low_retrieval_confidence' WHEN 6 THEN 'generation_failed'
+ WHEN 7 THEN 'low_retrieval_confidence' WHEN 8 THEN 'invalid_citations' WHEN 9 THEN 'ungrounded_output' END AS refusal_reason,
+ CASE stop WHEN 1 THEN 'G1-' WHEN 2 THEN 'G1+G2-' WHEN 3 THEN 'G1+G2+G3-' WHEN 4 THEN 'G1+G2+G3+G4-' WHEN 5 THEN 'G1+G2+G3+G4+' WHEN 6 THEN 'G1+G2+G3+G4+' WHEN 7 THEN 'G1+G2+G3+G4+G4b-' WHEN 8 THEN 'G1+G2+G3+G4+G6-' WHEN 9 THEN 'G1+G2+G3+G4+G6+G5-' ELSE 'G1+G2+G3+G4+G6+G5+' END AS checks,
+ CASE WHEN stop < 4 THEN '' ELSE array_to_string(list_transform(CASE WHEN stop < 10 THEN ids WHEN len(kept) > 0 THEN kept ELSE ids[1:3] END, lambda i: 'c' || i), ',') END AS citations FROM f""")
+def query_path(spark, sf_dir):
+    """The guards in their order, each turn up to the first that refuses."""
+    got = service.answered_v2(turns(spark, sf_dir))
+    marks = F.array_join(F.transform("checks", lambda c: F.concat(c["guard"], F.when(c["passed"], "+").otherwise("-"))), "")
+    return got.select("qid", "refusal_reason", marks.alias("checks"), F.array_join("citations", ",").alias("citations"))
+
+
+@query(f"""WITH {DOCS}, a AS (SELECT doc_id, text FROM n WHERE text <> ''),
+b AS (SELECT doc_id, trim(substr(text, CAST(k * 320 + 1 AS BIGINT), 400)) AS text FROM n, unnest(range(0, CAST(greatest(0, ceil((length(text) - 400) / 320.0)) AS BIGINT) + 1)) AS u(k) WHERE text <> ''),
+x AS (SELECT 'passage_native' AS strategy, doc_id, text FROM a UNION ALL SELECT 'fixed_size', doc_id, text FROM b WHERE text <> '')
+SELECT strategy, count(*) AS n_chunks, count(DISTINCT doc_id) AS n_docs, CAST(sum(len(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+')) + 2) AS BIGINT) AS n_tokens FROM x GROUP BY strategy""")
+def index_chunks(spark, sf_dir):
+    """Chunks of several strategies as one table."""
+    chunks = index.chunked(normalized(spark, sf_dir), ["passage_native", "fixed_size"])
+    return chunks.groupBy("strategy").agg(F.count(F.lit(1)).alias("n_chunks"), F.count_distinct("doc_id").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
+
+
+@query(f"""WITH {DENSE}, t AS (SELECT qid, chunk_id // 2 AS doc_id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS rank FROM x), d AS (SELECT qid, doc_id, min(rank) AS best FROM t WHERE rank <= 200 GROUP BY qid, doc_id),
+r AS (SELECT qid, doc_id, row_number() OVER (PARTITION BY qid ORDER BY best) AS rank FROM d), q AS (SELECT DISTINCT vec_id AS qid, label FROM embeddings WHERE vec_id % 50 = 0), l AS (SELECT DISTINCT qid, v.vec_id // 2 AS doc_id FROM q JOIN embeddings v USING (label))
+SELECT l.qid, count(*) AS relevant, coalesce(min(r.rank) <= 1, false) AS hit_at_1, coalesce(min(r.rank) <= 10, false) AS hit_at_10 FROM l LEFT JOIN r ON l.qid = r.qid AND l.doc_id = r.doc_id GROUP BY l.qid""")
+def hit_flags(spark, sf_dir):
+    v = vectors(spark, sf_dir)
+    found = evaluate.documents_of(retrieval.dense_top_k(v, vector_queries(spark, sf_dir), evaluate.CANDIDATES).withColumn("doc_id", F.expr("chunk_id DIV 2")))
+    asked_for = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), "label")
+    return evaluate.hit_flags(found, evaluate.qrels(asked_for.join(v.select(F.expr("vec_id DIV 2").alias("doc_id"), "label"), "label"), "qid", "doc_id"))
+
+
+@query("SELECT source, count(*) AS n, round(count(*) / max(count(*)) OVER (), 4) AS width FROM documents WHERE coalesce(source, '') <> '' GROUP BY source")
+def count_bars(spark, sf_dir):
+    return evaluate.bars(table(spark, sf_dir, "documents"), "source")
+
+
+@query("SELECT event_type, list_sort(list(value))[CAST(floor(count(*) * 0.5) AS BIGINT) + 1] AS p50, list_sort(list(value))[CAST(floor(count(*) * 0.9) AS BIGINT) + 1] AS p90, max(value) AS p100 FROM events GROUP BY event_type")
+def probe_percentiles(spark, sf_dir):
+    return evaluate.probe_latency(table(spark, sf_dir, "events"), "event_type", "value")
+
+
+@query(f"SELECT conv_id, turn, {' OR '.join(f'contains(lower(text), {chr(39)}{m.replace(chr(39), chr(39) * 2)}{chr(39)})' for m in answers.HEDGES)} AS hedged FROM conversations")
+def hedged_turns(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", answers.hedged(F.col("text")).alias("hedged"))
+
+
+@query("""SELECT q.item_id AS qid, count(*) AS n_chunks FROM benchmark q JOIN documents d ON d.lang = CASE q.item_id % 2 WHEN 0 THEN 'en' ELSE 'de' END GROUP BY q.item_id""")
+def scope_counts(spark, sf_dir):
+    """How many documents each query sees in its own language."""
+    queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.when(F.col("item_id") % 2 == 0, "en").otherwise("de").alias("lang"))
+    return service.scoped(table(spark, sf_dir, "documents").select(F.col("lang").alias("language")), queries, "same").groupBy("qid").agg(F.count(F.lit(1)).alias("n_chunks"))
+
+
+@query("SELECT user_id, round(sum(value) FILTER (event_type = 'click'), 3) AS clicks, count(*) AS n FROM events GROUP BY user_id HAVING sum(value) FILTER (event_type = 'click') >= 100")
+def thresholded(spark, sf_dir):
+    """A score threshold after an aggregate."""
+    return service.above(table(spark, sf_dir, "events").groupBy("user_id").agg(F.sum(F.when(F.col("event_type") == "click", F.col("value"))).alias("score"), F.count(F.lit(1)).alias("n")), 100).select("user_id", F.round("score", 3).alias("clicks"), "n")
+
+
+@query()
+def grounded_answers(spark, sf_dir):
+    """Assistant turns against the other turns of their conversation."""
+    said = table(spark, sf_dir, "conversations")
+    passages = said.where("role <> 'assistant'").groupBy("conv_id").agg(F.collect_list("text").alias("passages"))
+    return answers.grounded_v1(said.where("role = 'assistant'").select("conv_id", F.concat_ws(":", "conv_id", "turn").alias("aid"), F.col("text").alias("answer")).join(passages, "conv_id"))

@@ -9,7 +9,7 @@ from quillstone.functions import text as T
 from quillstone.functions import vectors as V
 from quillstone.operators import analytics, answers, chunking, corpus, evaluate, index, retrieval, service
 from quillstone.plans import queries as catalogue
-from quillstone.plans.engine import Engine
+from quillstone.plans.engine import Engine, Settings
 from quillstone.sources import tables
 from quillstone.streaming import telemetry
 
@@ -325,8 +325,29 @@ def test_engine(spark):
     engine = Engine(chunks, vectors)
     best = engine.retrieve(queries.where("qid = 1")).orderBy("rank").first()
     assert best.doc_id == 2 and best.context == "topic plum text"
-    got = {r.qid: r for r in engine.query(queries).collect()}
-    assert got[1].answer == "topic plum text" and got[2].refusal_reason == "PROMPT_INJECTION" and got[2].answer is None
+    got = {r.qid: r for r in engine.query(queries, debug=True).collect()}
+    assert got[1].answer == "topic plum text" and got[1].citations == ["2"] and got[1].retrieved[0].text == "topic plum text"
+    assert got[2].refusal_reason == "prompt_injection" and got[2].answer is None and [c.guard for c in got[2].checks] == ["G1"]
+    assert engine.retrieve(queries, ["bm25"], explain=True).where("qid = 1").first().strategies == {"bm25": 1}
+    assert engine.retrieve(queries.where("qid = 1"), diverse=True).where("rank = 1").first().doc_id == 2
+    assert engine.health()["ready"] and engine.health()["strategies"] == {"sentence": 4}
+    with pytest.raises(ValueError, match="indexed"):
+        engine.search(queries, ["nothing"])
+    with pytest.raises(ValueError, match="dense"):
+        Engine(chunks, vectors.limit(0))
+    far = spark.createDataFrame([(0, [1.0, 0.0, 0.0, 0.0])], "cid int, centroid array<double>")
+    same = lambda texts: np.array([[1.0, 0.0] if "plum" in t else [0.0, 1.0] for t in texts])
+    gated = Engine(chunks, vectors, centroids=far, embed=same)
+    assert {r.qid: r.refusal_reason for r in gated.query(queries).collect()} == {1: "off_topic", 2: "prompt_injection"}
+    invented = lambda rows: rows.withColumn("generated", F.expr("named_struct('answer', 'Penguins live in the far south.', 'cited_chunk_ids', array('2'), 'used_context', true)"))
+    only = Settings(top_k=1)
+    assert Engine(chunks, vectors, only, generate=invented, embed=same).query(queries.where("qid = 1")).first().refusal_reason == "ungrounded_output"
+    assert Engine(chunks, vectors, only, embed=same).query(queries.where("qid = 1")).first().answered
+
+
+def test_settings_from_the_environment():
+    got = Settings.from_environment(environment={"QUILLSTONE_TOP_K": "3", "QUILLSTONE_OFFTOPIC_TAU": "0.5", "OTHER": "x"})
+    assert (got.top_k, got.offtopic_tau, got.pool) == (3, 0.5, 50)
 
 
 def test_stream_is_like_batch(spark, tmp_path):
@@ -519,3 +540,23 @@ def test_breakers_as_streams(spark, tmp_path):
     assert [v1[i] for i in range(8)] == ["closed", "closed", "open", "skipped", "skipped", "open", "skipped", "closed"]
     v2 = {r.id: r.state for r in streamed(spark, tmp_path, "breaker2", rows, ddl, lambda s: telemetry.breaker(s, 4, 30.0, "v2"), 1)}
     assert [v2[i] for i in range(8)] == ["closed", "closed", "closed", "open", "skipped", "closed", "closed", "closed"]
+
+
+def test_jobs(spark, tmp_path):
+    from quillstone.__main__ import main
+
+    rows = [(5, "q", "plum tree", None, None, "entity", (["a long text about the plum tree and all that grows on it", "b" * 10], ["ein langer Text vom Pflaumenbaum und was daran so alles wächst"], [1, 0]))]
+    ddl = "query_id long, query string, Eng_Query string, Answer string, Eng_Answer string, query_type string, passages struct<English_passages:array<string>,Translated_passages:array<string>,is_selected:array<long>>"
+    path = lambda name: str(tmp_path / name)
+    spark.createDataFrame(rows, ddl).selectExpr("'hi' AS source_lang", "'en' AS target_lang", "*").write.parquet(path("src/train/hintrain.parquet"))
+    main(["build-corpus", path("src"), path("docs"), "--languages", "hi"])
+    assert spark.read.parquet(path("docs")).count() == 2
+    main(["build-index", path("docs"), path("i"), "--strategies", "sentence", "passage_native"])
+    spark.createDataFrame([(1, "plum tree")], "qid long, text string").write.parquet(path("q"))
+    main(["search", path("i"), path("q"), path("hits"), "--top", "2"])
+    assert spark.read.parquet(path("hits")).count() == 2
+    spark.createDataFrame([(1, "5:hi:0:en")], "qid long, doc_id string").write.parquet(path("rel"))
+    main(["bake-off", path("i"), path("q"), path("rel"), path("best")])
+    assert {r.strategy: r.recall_10 for r in spark.read.parquet(path("best")).collect()} == {"sentence": 1.0, "passage_native": 1.0}
+    with pytest.raises(SystemExit):
+        main(["unknown"])
