@@ -124,13 +124,13 @@ class Bands:
         sizes = sorted({low, *range(low, top, max(1, (top - low) // 16)), top})
         if all(min(s, 2) > self.spoiled(s, band) for s in sizes):
             return 1
-        return self.fewest(band, 0.1 * top, sizes, self.units) if top > 40 else 0
+        return self.fewest(band, 0.1 * top, sizes, self.units, 1000 * top) if top > 40 else 0
 
-    def fewest(self, band: int, m: float, sizes: list[int], enough) -> int:
-        """The number of segments from ``m`` on that gives all sizes enough; 0 if none up to a thousand an element does."""
+    def fewest(self, band: int, m: float, sizes: list[int], enough, most: float = math.inf) -> int:
+        """The number of segments from ``m`` on that gives all sizes enough; 0 if none up to ``most`` does."""
         while not all(enough(s, m) >= self.spoiled(s, band) + 1 for s in sizes):
             m *= 1.03
-            if m > 1000 * self.tops[band]:
+            if m > most:
                 return 0
         return int(m) + 1
 
@@ -331,23 +331,38 @@ def needed_sql(bands: Bands) -> str:
     return f"CASE WHEN greatest({low}, {high} - 8) <= {high} THEN ({spoiled} + 1) * {sign} ELSE {sign} END"
 
 
-def sets_of(docs: DataFrame, vertices: DataFrame, n: int) -> DataFrame:
-    """v, own array<long>: the sets of these documents, each read again from its text."""
+def sets_of(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
+    """The wanted rows (v and whatever else) with own array<long>: the sets of these documents, each read again from its text."""
+    others = [c for c in wanted.columns if c != "v"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, SLICE):
                 part = batch.slice(start, SLICE)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingles(t.as_py(), n).view(np.int64) for t in part.column(1)], pa.list_(pa.int64()))], names=["v", "own"])
+                own = pa.array([shingles(t.as_py(), n).view(np.int64) for t in part.column(0)], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], own], names=["v", *others, "own"])
+
+    ddl = ", ".join(f"{c} {wanted.schema[c].dataType.simpleString()}" for c in ("v", *others))
+    return docs.join(wanted.withColumnRenamed("v", "doc_id").hint("merge"), "doc_id").select("text", F.col("doc_id").alias("v"), *others).mapInArrow(run, f"{ddl}, own array<bigint>")
+
+
+def linked(both: DataFrame, percent: int) -> DataFrame:
+    """Those pairs of (v, own, w, other) whose sets reach the threshold."""
+    common = both.withColumn("common", F.size(F.array_intersect("own", "other")))
+    return common.where(100 * F.col("common") >= percent * (F.size("own") + F.size("other") - F.col("common"))).select("v", "w")
+
 
-    wanted = vertices.select(F.col("v").alias("doc_id")).hint("merge")
-    return docs.join(wanted, "doc_id").select(F.col("doc_id").alias("v"), "text").mapInArrow(run, "v bigint, own array<bigint>")
+#: Vertices up to which those of few pairs are broadcast, to leave the other sets where they are.
+FEW = 100_000
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those pairs (v, w) whose sets reach the threshold."""
+    ends = pairs.select(F.explode(F.array("v", "w")).alias("v")).distinct()
+    if ends.limit(FEW + 1).count() <= FEW:
+        sets = sets.join(F.broadcast(ends), "v", "left_semi")
     left, right = sets.select("v", "own"), sets.select(F.col("v").alias("w"), F.col("own").alias("other"))
-    both = pairs.join(left, "v").join(right, "w").withColumn("common", F.size(F.array_intersect("own", "other")))
-    return both.where(100 * F.col("common") >= percent * (F.size("own") + F.size("other") - F.col("common"))).select("v", "w")
+    return linked(pairs.join(left.hint("merge"), "v").join(right.hint("merge"), "w"), percent)
 
 
 def across_components(unsettled: DataFrame, sets: DataFrame, percent: int) -> Scratch:
@@ -430,26 +445,32 @@ def join(docs: DataFrame, n: int = 5, percent: int = 75, id_col: str = "doc_id",
     chosen = Scratch.write(allocated)
 
     groups = chosen.read().groupBy("sig").agg(F.min("v").alias("least"), F.max("v").alias("most")).where("least < most")
-    stars = chosen.read().join(groups, "sig").where("v <> least").select("v", F.col("least").alias("w")).distinct()
+    stars = chosen.read().join(groups.hint("merge"), "sig").where("v <> least").select("v", F.col("least").alias("w")).distinct()
     pairs = Scratch.write(stars)
-    vertices = pairs.read().select("v").union(pairs.read().select("w")).distinct()
+    # a set travels with the centres it is to be compared with, so that it is sent to each of them once
+    spokes = pairs.read().groupBy("v").agg(F.collect_list("w").alias("ws"))
+    hubs = pairs.read().select(F.col("w").alias("v")).distinct().withColumn("hub", F.lit(True))
+    vertices = spokes.join(hubs.hint("merge"), "v", "full_outer")
     candidates = Scratch.write(sets_of(src, vertices, n))
-    links = Scratch.write(verified(pairs.read(), candidates.read(), percent))
-    first = components(vertices, links.read())
+    rays = candidates.read().select("v", "own", F.explode("ws").alias("w"))
+    centres = candidates.read().where("hub").select(F.col("v").alias("w"), F.col("own").alias("other"))
+    links = Scratch.write(linked(rays.join(centres.hint("merge"), "w"), percent))
+    first = components(candidates.read(), links.read())
 
-    labelled = chosen.read().join(first.read().select("v", "label"), "v")
+    labelled = chosen.read().join(first.read().select("v", "label").hint("merge"), "v")
     open_groups = labelled.groupBy("sig").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least < most").select("sig")
-    unsettled = labelled.join(open_groups, "sig").select("v", "label").distinct()
-    across = across_components(unsettled, candidates.read(), percent)
+    unsettled = Scratch.write(labelled.join(open_groups.hint("merge"), "sig").select("v", "label").distinct())
+    across = across_components(unsettled.read(), candidates.read().select("v", "own"), percent)
     more = Scratch.write(verified(across.read(), candidates.read(), percent))
-    final = components(vertices, links.read().unionByName(more.read()))
+    # where nothing links two components, they stay as they are
+    final = components(candidates.read(), links.read().unionByName(more.read())) if more.read().limit(1).count() else first
 
     whole = rows.select("doc_id", "high", "low", "size")
     # written, so that the join with all documents is split where many of them have the same set
-    named = Scratch.write(filled.select("high", "low", "v").join(final.read().select("v", "label"), "v", "left").select("high", "low", F.coalesce("label", "v").alias("component"))).read()
-    for done in (sets, chosen, pairs, candidates, links, first, across, more, final):
+    named = Scratch.write(filled.select("high", "low", "v").join(final.read().select("v", "label"), "v", "left").select("high", "low", F.coalesce("label", "v").alias("component")))
+    for done in (sets, chosen, pairs, candidates, links, first, unsettled, across, more, final):
         done.drop()
-    out = whole.join(named, ["high", "low"], "left")
+    out = whole.join(named.read(), ["high", "low"], "left")
     return out.select("doc_id", F.col("size").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.when(F.col("size") > 0, F.col("component")).otherwise(F.col("doc_id"))).alias("component_id"))
 
 
