@@ -2,7 +2,12 @@
 
 Each stage is written as Parquet to the folder that the cluster shares and read again by the next: a lost executor costs
 tasks, not stages. A stage works on all that its predecessor kept, and returns the columns of documents; the last returns
-the pieces of the packed sequences.
+the pieces of the packed sequences. A stage's table is deleted when the next one is written.
+
+Defined results. Null, empty and wordless texts aren't toxic, and go with the quality rules. Rows with the same id are one
+document from the n-gram join on; of copies the least id stays. Rows without an id aren't compared with any others: they stay,
+and their pieces have a null id. Without labels of both kinds nothing is toxic. Extra columns travel as far as the packing. No
+rows: no pieces.
 """
 
 from __future__ import annotations
@@ -52,7 +57,12 @@ STAGES: list[tuple[str, Stage]] = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, last = table(spark, sf_dir, "documents"), None
     for _, stage in STAGES[:-1]:
-        docs = Scratch.write(stage(spark, docs, sf_dir)).read()
-    return STAGES[-1][1](spark, docs, sf_dir)
+        written = Scratch.write(stage(spark, docs, sf_dir))
+        if last:
+            last.drop()
+        docs, last = written.read(), written
+    packed = STAGES[-1][1](spark, docs, sf_dir)  # has read all of its input when it returns
+    last.drop()
+    return packed
