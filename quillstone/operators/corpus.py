@@ -92,3 +92,14 @@ def stratified_sample(docs: DataFrame, group: str, key: str, per_group: int, see
 
 def statistics(docs: DataFrame) -> DataFrame:
     return docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n_chars").alias("sum_chars"), F.min("n_chars").alias("min_chars"), F.max("n_chars").alias("max_chars"), F.round(F.avg("n_chars"), 2).alias("avg_chars"))
+
+
+def build_statistics(rows: DataFrame, docs: DataFrame, key: str = "doc_hash") -> DataFrame:
+    """What a build read and made, one row: source rows read, skipped (no query or no passages), labelled and their gold passages; documents, different ones, repeats."""
+    text = (F.coalesce("query", F.lit("")) != "") | (F.coalesce("Eng_Query", F.lit("")) != "")
+    n_passages = F.coalesce(F.size("passages.English_passages"), F.lit(0)) + F.coalesce(F.size("passages.Translated_passages"), F.lit(0))
+    kept = text & (n_passages > 0)
+    gold = F.coalesce(F.size(F.filter("passages.is_selected", lambda s: s == 1)), F.lit(0))
+    read = rows.agg(F.count(F.lit(1)).alias("rows_read"), F.count_if(~kept).alias("rows_skipped"), F.count_if(kept & (gold > 0)).alias("rows_labelled"), F.sum(F.when(kept, gold).otherwise(0)).alias("gold"))
+    made = docs.groupBy(key).count().agg(F.sum("count").alias("documents"), F.count(F.lit(1)).alias("unique")).withColumn("repeats", F.col("documents") - F.col("unique"))
+    return read.crossJoin(made)

@@ -257,19 +257,27 @@ def kmeans_centroids(vectors: DataFrame, seed: int = 1234, iterations: int = 20)
     return vectors.sparkSession.createDataFrame(rows, "cid int, centroid array<double>")
 
 
+#: Strategies in the order that settles ties; others come after them, by name.
+STRATEGY_ORDER = ("fixed", "fixed_tokens", "sentence", "semantic", "contextual")
+
+
 def rrf(hits: DataFrame, weights: dict[str, float] | None = None, k: int = RRF_K) -> DataFrame:
     """Document-level weighted reciprocal-rank fusion of hits (qid, strategy, rank, chunk_id, doc_id, score).
 
-    A document counts once a strategy, by its best chunk's own rank; ranks aren't closed up. BM25 has no say in the best dense chunk.
+    A document counts once a strategy, by its best chunk's own rank; ranks aren't closed up. BM25 has no say in the best dense
+    chunk, for which only each strategy's best one competes; of equal scores the first strategy's wins.
     """
     best = hits.groupBy("qid", "strategy", "doc_id").agg(F.min("rank").alias("rank"), F.min_by("chunk_id", "rank").alias("chunk_id"), F.min_by("score", "rank").alias("score"))
     weight = F.lit(1.0)
     for name, w in (WEIGHTS if weights is None else weights).items():
         weight = F.when(F.col("strategy") == name, w).otherwise(weight)
     dense = F.col("strategy") != "bm25"
+    order = F.lit(len(STRATEGY_ORDER))
+    for place, name in enumerate(STRATEGY_ORDER):
+        order = F.when(F.col("strategy") == name, place).otherwise(order)
     fused = best.groupBy("qid", "doc_id").agg(
         F.round(F.sum(weight / (k + F.col("rank"))), 8).alias("rrf_score"),
-        F.coalesce(F.max(F.when(dense, F.struct("score", "chunk_id")))["chunk_id"], F.min("chunk_id")).alias("best_chunk_id"),
+        F.coalesce(F.min(F.when(dense, F.struct((-F.col("score")).alias("s"), order.alias("o"), "strategy", "chunk_id")))["chunk_id"], F.min("chunk_id")).alias("best_chunk_id"),
         F.coalesce(F.max(F.when(dense, F.col("score"))), F.lit(0.0)).alias("best_dense_score"),
         F.count(F.lit(1)).alias("n_strategies"),
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("strategy", "rank")))).alias("strategies"),

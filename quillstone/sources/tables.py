@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
+from typing import TypeVar
+
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+T = TypeVar("T")
+
 #: The columns of a source row that anything reads; its meta struct is never scanned.
 SOURCE_COLUMNS = ["source_lang", "target_lang", "query", "Eng_Query", "Answer", "Eng_Answer", "query_id", "query_type", "passages"]
 
@@ -54,9 +61,22 @@ def source_path(root: str, language: str, split: str) -> str:
     return f"{root}/{split}/{row[4]}{'val' if split == 'validation' else split}.parquet"
 
 
-def read_source(spark: SparkSession, path: str, limit: int | None = None, order: str = "query_id") -> DataFrame:
-    """Projected scan; a limit takes the first rows in an order, as a Spark limit alone has none."""
-    rows = spark.read.parquet(path).select(*SOURCE_COLUMNS)
+def with_retries(call: Callable[[], T], attempts: int = 3, wait: Callable[[float], None] = time.sleep) -> T:
+    """What the call gives, asked again after 2, 4, ... seconds where it fails."""
+    for n in range(1, attempts + 1):
+        try:
+            return call()
+        except (OSError, PySparkException):
+            if n == attempts:
+                raise
+            wait(2.0**n)
+    raise AssertionError
+
+
+def read_source(spark: SparkSession, path: str, limit: int | None = None, order: str = "query_id", columns: list[str] | None = SOURCE_COLUMNS) -> DataFrame:
+    """Projected scan, or of all columns; a limit takes the first rows in an order, as a Spark limit alone has none."""
+    rows = with_retries(lambda: spark.read.parquet(path))
+    rows = rows.select(*columns) if columns else rows
     return rows.orderBy(order).limit(limit) if limit else rows
 
 
@@ -80,6 +100,40 @@ def exists(spark: SparkSession, path: str) -> bool:
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
 
 
+#: Rows of a saved corpus and of its queries.
+CORPUS_DDL = "text string, language string, flores_code string, is_english boolean, doc_hash string, query_type string, is_selected boolean, source_query_ids array<long>"
+QUERIES_DDL = "query_id long, text string, language string, flores_code string, query_type string, relevant_hashes array<string>, candidate_hashes array<string>, english_text string, reference_answer string"
+
+
+def save_corpus(folder: str, language: str, corpus: DataFrame, queries: DataFrame | None = None, stats: DataFrame | None = None) -> None:
+    for name, df in (("corpus", corpus), ("queries", queries), ("stats", stats)):
+        if df is not None:
+            write_jsonl(df, f"{folder}/{name}_{language}.jsonl")
+
+
+def load_corpus(spark: SparkSession, folder: str, language: str) -> tuple[DataFrame, DataFrame, dict]:
+    """The corpus, which must be there; queries and statistics, which are empty where they aren't."""
+    path = lambda name: f"{folder}/{name}_{language}.jsonl"
+    if not exists(spark, path("corpus")):
+        raise FileNotFoundError(f"no saved corpus at {path('corpus')}")
+    queries = read_jsonl(spark, path("queries"), QUERIES_DDL, ("english_text", "reference_answer")) if exists(spark, path("queries")) else spark.createDataFrame([], QUERIES_DDL)
+    stats = spark.read.json(path("stats")).first().asDict() if exists(spark, path("stats")) else {}
+    return read_jsonl(spark, path("corpus"), CORPUS_DDL), queries, stats
+
+
+def create_collection(spark: SparkSession, path: str, ddl: str, partitions: tuple[str, ...] = ("strategy", "language"), recreate: bool = False) -> DataFrame:
+    """An empty table, partitioned by what searches filter on; one that is there stays as it is unless it is to be made anew."""
+    if recreate or not exists(spark, path):
+        spark.createDataFrame([], ddl).write.mode("overwrite").partitionBy(*partitions).parquet(path)
+    return spark.read.schema(ddl).parquet(path)
+
+
+def export_latency(summary: DataFrame, records: DataFrame, folder: str) -> None:
+    """A summary beside the records that it sums up."""
+    write_jsonl(summary.coalesce(1), f"{folder}/summary.json")
+    write_jsonl(records, f"{folder}/records.json")
+
+
 def cached(spark: SparkSession, path: str, build, refresh: bool = False) -> DataFrame:
     """The table at the path; built and written first if it isn't there, or to refresh it."""
     if refresh or not exists(spark, path):

@@ -560,3 +560,44 @@ def test_jobs(spark, tmp_path):
     assert {r.strategy: r.recall_10 for r in spark.read.parquet(path("best")).collect()} == {"sentence": 1.0, "passage_native": 1.0}
     with pytest.raises(SystemExit):
         main(["unknown"])
+
+
+def test_ties_between_strategies_go_to_the_first(spark):
+    hits = spark.createDataFrame([(1, "contextual", 1, "c", "d1", 0.9), (1, "fixed", 2, "a", "d1", 0.9), (1, "other", 1, "z", "d1", 0.8)], "qid long, strategy string, rank long, chunk_id string, doc_id string, score double")
+    assert retrieval.rrf(hits).first().best_chunk_id == "a"
+
+
+def test_saved_corpora_collections_and_retries(spark, tmp_path):
+    folder = str(tmp_path / "c")
+    corpus_rows = spark.createDataFrame([("t", "hi", "hin_Deva", False, "h", "ENTITY", True, [1, 2])], tables.CORPUS_DDL)
+    with pytest.raises(FileNotFoundError):
+        tables.load_corpus(spark, folder, "hi")
+    tables.save_corpus(folder, "hi", corpus_rows)
+    got, queries, stats = tables.load_corpus(spark, folder, "hi")
+    assert got.first().source_query_ids == [1, 2] and queries.count() == 0 and stats == {}
+    tables.save_corpus(folder, "hi", corpus_rows, spark.createDataFrame([(1, "q")], "query_id long, text string"), spark.createDataFrame([(1,)], "rows_read long"))
+    _, queries, stats = tables.load_corpus(spark, folder, "hi")
+    assert queries.first().english_text == "" and stats == {"rows_read": 1}
+    ddl, path = "chunk_id long, strategy string, language string", str(tmp_path / "col")
+    assert tables.create_collection(spark, path, ddl).count() == 0
+    spark.createDataFrame([(1, "s", "en")], ddl).write.mode("append").partitionBy("strategy", "language").parquet(path)
+    assert tables.create_collection(spark, path, ddl).count() == 1 and tables.create_collection(spark, path, ddl, recreate=True).count() == 0
+    waits, left = [], [OSError(), OSError()]
+
+    def call():
+        if left:
+            raise left.pop()
+        return 7
+
+    assert tables.with_retries(call, wait=waits.append) == 7 and waits == [2.0, 4.0]
+    with pytest.raises(OSError):
+        tables.with_retries(lambda: (_ for _ in ()).throw(OSError()), 2, lambda s: None)
+    tables.export_latency(corpus_rows.groupBy("language").count(), corpus_rows, folder)
+    assert spark.read.json(f"{folder}/summary.json").first()["count"] == 1
+
+
+def test_build_statistics(spark):
+    ddl = "query_id long, query string, Eng_Query string, passages struct<English_passages:array<string>,Translated_passages:array<string>,is_selected:array<long>>"
+    rows = spark.createDataFrame([(1, "q", "", (["a"], ["b"], [1])), (2, "", "", (["a"], ["b"], [1])), (3, "q", "", ([], [], [])), (4, "q", "", (["a"], [], [0]))], ddl)
+    docs = spark.createDataFrame([("x",), ("x",), ("y",)], "doc_hash string")
+    assert corpus.build_statistics(rows, docs).first().asDict() == {"rows_read": 4, "rows_skipped": 2, "rows_labelled": 1, "gold": 1, "documents": 3, "unique": 2, "repeats": 1}
