@@ -110,6 +110,53 @@ def test_fingerprints_and_edits(spark, docs, texts):
         assert r.near_next == spotsigs.likeness(spotsigs.signatures(text), spotsigs.signatures(following))
 
 
+def chains(text):
+    """Signatures as strings: each anchor with the two words after it that aren't anchors; all words' chains where there are none."""
+    words = re.findall(r"\w+", text.lower())
+    found = set()
+    for k, w in enumerate(words):
+        after = [x for x in words[k:] if x not in spotsigs.ANCHORS][:2] if w in spotsigs.ANCHORS else []
+        if len(after) == 2:
+            found.add((w, *after))
+    if not found:
+        found = {tuple(words[k : k + 3]) for k in range(max(1, len(words) - 2))} if words else {(text,)}
+    return found
+
+
+def test_likenesses_equal_those_of_chains(spark, texts):
+    order = sorted(i for i in texts if len(texts[i]) < 6000)
+    rows = {r.doc_id: r for r in spotsigs.fingerprints(spark.createDataFrame([(i, texts[i]) for i in order], "doc_id long, text string")).collect()}
+    for k, i in enumerate(order):
+        text, following = texts[i], texts[order[(k + 1) % len(order)]]
+        n = len(text) // 2
+        own, changed, after = (chains(t) for t in (text, text[: len(text) - n] + following[:n], following))
+        assert len(rows[i].fingerprint) == 10 * len(own)
+        assert rows[i].near_edited == pytest.approx(len(own & changed) / len(own | changed)) and rows[i].near_next == pytest.approx(len(own & after) / len(own | after))
+
+
+def test_empty_tables_have_no_pairs_and_no_rows(spark, awkward):
+    members, pairs = spotsigs.near_pairs(awkward.limit(0))
+    assert members.count() == pairs.count() == 0 and ngram_join.one_of_each(awkward.limit(0)).count() == 0
+    members, pairs = spotsigs.near_pairs(awkward)
+    assert members.count() == 8
+
+
+def test_documents_of_one_common_passage_are_not_compared_with_each_other(spark):
+    """A passage is three quarters of many texts: too little to link, too much for rare elements alone."""
+    rnd = random.Random(4)
+    passage = [f"p{k}" for k in range(80)]
+    rows = [(k, " ".join([*passage, *(f"d{k}x{j}" for j in range(24))])) for k in range(300)]
+    rows += [(1000 + k, " ".join([*passage[: 76 + k], f"e{k}"])) for k in range(4)]
+    rnd.shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    label, _ = brute(rows)
+    assert {r.doc_id: r.component_id for r in ngram_join.join(df).collect()} == label
+    own = spark.createDataFrame([(i, ngram_join.shingles(t).astype("int64").tolist()) for i, t in rows if i < 1000], "v long, own array<long>")
+    across = ngram_join.across_components(own.selectExpr("v", "v AS label"), own, 75)
+    assert across.read().count() == 0
+    across.drop()
+
+
 def test_fingerprint_cases(spark, awkward):
     rows = spotsigs.fingerprints(awkward).collect()
     assert len(rows) == 9

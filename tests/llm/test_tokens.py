@@ -124,6 +124,14 @@ def test_packing(spark, docs, texts):
     assert used <= 1.02 * -(-sum(r.length for r in rows) // 512) + 1
 
 
+def test_packing_with_production_parameters(spark):
+    library = Tokenizer.from_file(JSON)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = packing.pack(docs, JSON).collect()
+    used = packed_well(rows, {r.doc_id: r.text for r in docs.collect()}, library, 2048)
+    assert used <= 1.01 * -(-sum(r.length for r in rows) // 2048) + 1
+
+
 def test_packing_cases(spark, awkward):
     library = Tokenizer.from_file(JSON)
     once = awkward.dropDuplicates(["doc_id"])
