@@ -356,11 +356,14 @@ def linked(both: DataFrame, percent: int) -> DataFrame:
 FEW = 100_000
 
 
+def only(sets: DataFrame, vertices: DataFrame) -> DataFrame:
+    """The sets of these vertices where they are few, so that the others needn't be moved; else all, for a join to choose from."""
+    return sets.join(F.broadcast(vertices), "v", "left_semi") if vertices.limit(FEW + 1).count() <= FEW else sets
+
+
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those pairs (v, w) whose sets reach the threshold."""
-    ends = pairs.select(F.explode(F.array("v", "w")).alias("v")).distinct()
-    if ends.limit(FEW + 1).count() <= FEW:
-        sets = sets.join(F.broadcast(ends), "v", "left_semi")
+    sets = only(sets, pairs.select(F.explode(F.array("v", "w")).alias("v")).distinct())
     left, right = sets.select("v", "own"), sets.select(F.col("v").alias("w"), F.col("own").alias("other"))
     return linked(pairs.join(left.hint("merge"), "v").join(right.hint("merge"), "w"), percent)
 
@@ -375,7 +378,7 @@ def across_components(unsettled: DataFrame, sets: DataFrame, percent: int) -> Sc
     percent) never shows them as the smaller one, and sets that only such sets show are compared with nobody. Sets meet
     only where their sizes are in the same or neighbouring classes.
     """
-    held = sets.join(unsettled.hint("merge"), "v").select("v", "label", F.size("own").alias("size"), F.explode("own").alias("element"))
+    held = only(sets, unsettled.select("v")).join(unsettled.hint("merge"), "v").select("v", "label", F.size("own").alias("size"), F.explode("own").alias("element"))
     many = held.groupBy("element").agg(F.count(F.lit(1)).alias("many")).where("many > 1")
     placed = held.join(many.hint("merge"), "element", "left").withColumn("place", F.expr("row_number() OVER (PARTITION BY v ORDER BY many, element) - 1"))
     prefix = Scratch.write(placed.where(f"many > 1 AND place <= size - ({percent} * size + 99) DIV 100").select("v", "label", "size", "element", "place", F.floor(F.log(F.col("size").cast("double")) / math.log(100 / percent) if percent < 100 else F.lit(0)).cast("int").alias("class")))
@@ -457,9 +460,9 @@ def join(docs: DataFrame, n: int = 5, percent: int = 75, id_col: str = "doc_id",
     links = Scratch.write(linked(rays.join(centres.hint("merge"), "w"), percent))
     first = components(candidates.read(), links.read())
 
-    labelled = chosen.read().join(first.read().select("v", "label").hint("merge"), "v")
-    open_groups = labelled.groupBy("sig").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least < most").select("sig")
-    unsettled = Scratch.write(labelled.join(open_groups.hint("merge"), "sig").select("v", "label").distinct())
+    labelled = Scratch.write(chosen.read().select("v", "sig").join(first.read().select("v", "label").hint("merge"), "v"))
+    open_groups = labelled.read().groupBy("sig").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least < most").select("sig")
+    unsettled = Scratch.write(labelled.read().join(open_groups.hint("merge"), "sig").select("v", "label").distinct())
     across = across_components(unsettled.read(), candidates.read().select("v", "own"), percent)
     more = Scratch.write(verified(across.read(), candidates.read(), percent))
     # where nothing links two components, they stay as they are
@@ -468,7 +471,7 @@ def join(docs: DataFrame, n: int = 5, percent: int = 75, id_col: str = "doc_id",
     whole = rows.select("doc_id", "high", "low", "size")
     # written, so that the join with all documents is split where many of them have the same set
     named = Scratch.write(filled.select("high", "low", "v").join(final.read().select("v", "label"), "v", "left").select("high", "low", F.coalesce("label", "v").alias("component")))
-    for done in (sets, chosen, pairs, candidates, links, first, unsettled, across, more, final):
+    for done in (sets, chosen, pairs, candidates, links, first, labelled, unsettled, across, more, final):
         done.drop()
     out = whole.join(named.read(), ["high", "low"], "left")
     return out.select("doc_id", F.col("size").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.when(F.col("size") > 0, F.col("component")).otherwise(F.col("doc_id"))).alias("component_id"))
