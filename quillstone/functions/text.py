@@ -45,8 +45,8 @@ def _unicode(form: str) -> Callable[[Column], Column]:
 
 
 def nfc(text: Column) -> Column:
-    """Canonical composition, which Spark has no function for: an Arrow batch at a time."""
-    return _unicode("NFC")(text)
+    """Canonical composition, which Spark has no function for: an Arrow batch at a time. Plain ASCII isn't sent there."""
+    return F.coalesce(_unicode("NFC")(F.when(~text.rlike("^[\\x00-\\x7F]*$"), text)), text)
 
 
 def collapse(text: Column) -> Column:
