@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Callable
 
@@ -32,6 +33,8 @@ SCRIPTS = (
 #: Characters that can't be seen.
 INVISIBLE = "[\\u200B-\\u200F\\u202A-\\u202E\\u2060-\\u2064\\uFEFF]"
 TOKEN = "[\\p{L}\\p{N}_]+"
+#: The same class in the standard library's syntax.
+WORD = re.compile(r"\w+")
 GAP = "[^\\p{L}\\p{N}_]"
 
 
@@ -164,3 +167,12 @@ def without_tail(text: Column) -> Column:
 def within_limit(text: Column, limit: Column | int) -> Column:
     """The text itself if a model takes it, else slices of it, each of so many tokens at most, from a token's first character to a token's last."""
     return F.when(count_tokens(text) <= limit, F.array(text)).otherwise(F.when(n_tokens(text) == 0, F.array(text)).otherwise(F.transform(token_slices(text, limit), without_tail)))
+
+
+def token_offsets(text: Column) -> Column:
+    """start and end, in characters, of each token."""
+    @F.pandas_udf("array<struct<start:int,end:int>>")
+    def offsets(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: [{"start": m.start(), "end": m.end()} for m in WORD.finditer(t)], na_action="ignore")
+
+    return offsets(text)

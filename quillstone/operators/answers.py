@@ -215,6 +215,19 @@ def parse_answer(raw: Column) -> Column:
     return F.when(text == "", plain).otherwise(F.coalesce(_object(body, False), _object(within, True), truncated, plain))
 
 
+#: Characters that an answer takes from a passage when no model answers.
+EXTRACT = {"v1": 600, "v2": 800}
+
+
+def extractive(passages: Column, profile: str = "v2") -> Column:
+    """The beginning of the first passage, in v1 behind a sentence that says why; v1 also has a sentence for no passages."""
+    first = F.substring(F.trim(F.get(passages, F.lit(0))), 1, EXTRACT[profile])
+    if profile == "v2":
+        return first
+    none, lead = "No relevant passages were found for this question.", "Answer generation is currently unavailable, so here is the most relevant passage retrieved for this question:\n\n"
+    return F.when(F.size(passages) == 0, none).otherwise(F.concat(F.lit(lead), first))
+
+
 def kept_citations(cited: Column, available: Column, profile: str = "v2") -> Column:
     """The available citations that are cited; if none is, the first three (v2) or the first (v1)."""
     kept = F.filter(available, lambda c: F.array_contains(cited, c))

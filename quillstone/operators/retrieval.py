@@ -11,7 +11,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstone.functions import text as T
@@ -318,6 +318,12 @@ def mmr(hits: DataFrame, vectors: DataFrame | None, top: int = 5, pool: int = 30
     return few.groupBy("qid").applyInPandas(pick, f"qid bigint, doc_id {kind}, place bigint")
 
 
-def rerank(candidates: DataFrame, score, top: int) -> DataFrame:
-    """Candidates (qid, chunk_id, query, text) by the sigmoid of a scoring column."""
-    return top_k(candidates.withColumn("rerank_score", V.sigmoid(score)), top, "rerank_score")
+def rerank(candidates: DataFrame, score: Column | None, top: int | None = None, normalize: bool = True) -> DataFrame:
+    """Candidates (qid, chunk_id, query, text, rank) in the order of a scoring column, its sigmoid by default, new ranks from 0; of equal scores
+    the earlier candidate stays first. Without a score, because the model can't be had, they stay as they are and say so (``degraded``)."""
+    if score is None:
+        scored, order = candidates.withColumn("rerank_score", F.lit(None).cast("double")), [F.col("rank")]
+    else:
+        scored, order = candidates.withColumn("rerank_score", V.sigmoid(score) if normalize else score.cast("double")), [F.desc(F.coalesce("rerank_score", F.lit(0.0))), F.col("rank")]
+    placed = scored.withColumn("rank", (F.row_number().over(Window.partitionBy("qid").orderBy(*order, "chunk_id")) - 1).cast("long")).withColumn("degraded", F.lit(score is None))
+    return placed.where(F.col("rank") < top) if top else placed

@@ -601,3 +601,42 @@ def test_build_statistics(spark):
     rows = spark.createDataFrame([(1, "q", "", (["a"], ["b"], [1])), (2, "", "", (["a"], ["b"], [1])), (3, "q", "", ([], [], [])), (4, "q", "", (["a"], [], [0]))], ddl)
     docs = spark.createDataFrame([("x",), ("x",), ("y",)], "doc_hash string")
     assert corpus.build_statistics(rows, docs).first().asDict() == {"rows_read": 4, "rows_skipped": 2, "rows_labelled": 1, "gold": 1, "documents": 3, "unique": 2, "repeats": 1}
+
+
+def test_offsets_late_vectors_and_distances(spark):
+    text = "Ärger, no_1 (two)! नि"
+    assert [(o.start, o.end) for o in one(spark, text, T.token_offsets(F.col("text")))] == [(0, 5), (7, 11), (13, 16), (19, 20)]
+    long = " ".join(f"Sentence number {k} tells of things that go on and on for a good while here." for k in range(12))
+    docs = spark.createDataFrame([(1, long), (2, "")], "doc_id long, text string")
+
+    def encode(texts):
+        out = []
+        for t in texts:
+            offsets = [(0, 0), *(m.span() for m in T.WORD.finditer(t)), (0, 0)]
+            out.append((np.array([[a, b - a, 1.0] for a, b in offsets]), offsets))
+        return out
+
+    chunks = [r.text for r in chunking.late_chunking(docs).orderBy("ordinal").collect()]
+    rows = chunking.late_vectors(docs, encode).orderBy("ordinal").collect()
+    assert [r.text for r in rows] == chunks and len(rows) > 2
+    first = np.mean([[a, b - a, 1.0] for a, b in (m.span() for m in T.WORD.finditer(long)) if a < len(chunks[0])], axis=0)
+    assert np.allclose(rows[0].embedding, first / np.linalg.norm(first))
+    pooled = chunking.mean_pooled(np.array([[[1.0, 0], [0, 1.0], [9, 9]], [[5.0, 5], [1, 1], [1, 1]]]), np.array([[1, 1, 0], [0, 0, 0]]))
+    assert np.allclose(pooled, [[2**-0.5, 2**-0.5], [0, 0]])
+    vectors = [[1.0, 0.0], [1.0, 0.0], [0.0, 1.0], [0.0, 1.0]]
+    df = spark.createDataFrame([(1, k, v) for k, v in enumerate(vectors)], "doc_id long, ordinal long, embedding array<double>")
+    got = chunking.neighbour_distances(df, 50).orderBy("ordinal").collect()
+    assert [r.distance for r in got] == [0.0, 1.0, 0.0, None] and [r.cuts for r in got] == [False, True, False, False]
+
+
+def test_reranking_and_its_fallback(spark):
+    c = spark.createDataFrame([(1, "a", 0.0, 0), (1, "b", 3.0, 1), (1, "c", 0.0, 2)], "qid long, chunk_id string, logit double, rank long")
+    assert [(r.chunk_id, r["rank"]) for r in retrieval.rerank(c, F.col("logit"), 2).orderBy("rank").collect()] == [("b", 0), ("a", 1)]
+    assert [(r.chunk_id, r.degraded) for r in retrieval.rerank(c, None).orderBy("rank").collect()] == [("a", True), ("b", True), ("c", True)]
+
+
+def test_extractive_answers(spark):
+    df = spark.createDataFrame([(["x" * 900],), ([],)], "p array<string>")
+    assert [len(r[0] or "") for r in df.select(answers.extractive(F.col("p"))).collect()] == [800, 0]
+    v1 = [r[0] for r in df.select(answers.extractive(F.col("p"), "v1")).collect()]
+    assert v1[0].endswith("x" * 600) and "unavailable" in v1[0] and v1[1].startswith("No relevant")
