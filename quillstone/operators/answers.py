@@ -206,7 +206,8 @@ def parse_answer(raw: Column) -> Column:
     text = F.trim(F.regexp_replace(F.coalesce(raw, F.lit("")), r"^\s+|\s+$", ""))
     body = F.when(text.rlike(r"(?s)^```(?:json)?\s*.*?\s*```$"), F.regexp_extract(text, r"(?s)^```(?:json)?\s*(.*?)\s*```$", 1)).otherwise(text)
     within = F.regexp_extract(body, r"(?s)\{.*\}", 0)
-    quoted = r'(?s)"answer"\s*:\s*"((?:[^"\\]|\\.)*)"'
+    # possessive, for a long answer would take a frame of the stack for each character
+    quoted = r'(?s)"answer"\s*:\s*"((?:[^"\\]++|\\.)*+)"'
     said = F.regexp_extract(body, quoted, 1)
     unescaped = F.coalesce(F.try_variant_get(F.try_parse_json(F.concat(F.lit('"'), said, F.lit('"'))), "$", "string"), said)
     listed = F.flatten(F.transform(F.regexp_extract_all(body, F.lit(r'"citations"\s*:\s*\[([\d,\s]*)\]'), F.lit(1)), lambda x: F.regexp_extract_all(x, F.lit(r"\d+"), F.lit(0))))

@@ -187,6 +187,48 @@ def chunk_parent_child(spark, sf_dir):
     return chunks_of("parent_child", spark, sf_dir)
 
 
+def packed_sql(profile: str, size: str, budget: str, overlap: int, alone: bool, limit: str | None = None) -> str:
+    """From n (doc_id, head, text) to chunk (doc_id, ordinal, text, head): sentences walked one by one, groups cut where they overflow, slices of what is over the limit."""
+    tokens = "regexp_extract_all({}, '[\\p{{L}}\\p{{N}}_]+')"
+    stands = f"size >= {budget}" if alone else "false"
+    whole = f"len(t) + 2 <= {limit} OR len(t) = 0" if limit else "true"
+    step = limit or "1"
+    return f"""{sentences_sql(profile)},
+z AS MATERIALIZED (SELECT doc_id, k, sentence, head, size, {budget} AS budget, {stands} AS alone FROM (SELECT doc_id, k, sentence, head, {size.format(tokens=tokens.format('sentence'))} AS size, CASE WHEN head = '' THEN 0 ELSE len({tokens.format('head')}) + 2 END AS head_size FROM sent JOIN n USING (doc_id))),
+walk AS (SELECT doc_id, k, 1 AS g, k AS first, CASE WHEN alone THEN 0 ELSE size END AS running, alone AS closed, size FROM z WHERE k = 1
+UNION ALL SELECT z.doc_id, z.k, CASE WHEN z.alone OR w.closed OR w.running + z.size > z.budget THEN g + 1 ELSE g END, CASE WHEN z.alone OR w.closed THEN z.k WHEN w.running + z.size > z.budget THEN z.k - {overlap} ELSE w.first END,
+ CASE WHEN z.alone THEN 0 WHEN w.closed THEN z.size WHEN w.running + z.size > z.budget THEN {overlap} * w.size + z.size ELSE w.running + z.size END, z.alone, z.size FROM walk w JOIN z ON z.doc_id = w.doc_id AND z.k = w.k + 1),
+grouped AS (SELECT doc_id, g, min(first) AS first, max(k) AS last FROM walk GROUP BY doc_id, g),
+joined AS (SELECT q.doc_id, g, any_value(head) AS head, any_value(budget) AS budget, string_agg(sentence, ' ' ORDER BY k) AS text FROM grouped q JOIN z ON z.doc_id = q.doc_id AND k BETWEEN first AND last GROUP BY q.doc_id, g),
+cut AS (SELECT *, {tokens.format('text')} AS t, string_split_regex(text, '[\\p{{L}}\\p{{N}}_]+') AS gaps FROM joined),
+piece AS (SELECT doc_id, g, j, head, CASE WHEN {whole} THEN text ELSE array_to_string(list_transform(range(j * {step} + 1, least((j + 1) * {step}, len(t)) + 1), lambda i: CASE WHEN i > j * {step} + 1 THEN gaps[i] ELSE '' END || t[i]), '') END AS text
+ FROM cut, unnest(range(0, CASE WHEN {whole} THEN 1 ELSE CAST(ceil(len(t) / {step}) AS BIGINT) END)) AS u(j)),
+chunk AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY g, j) - 1 AS ordinal, head, text FROM piece)"""
+
+
+def headed_sql(head: str) -> str:
+    return f"plain AS (SELECT doc_id, lang, source, {NORM} AS text FROM documents), n AS (SELECT doc_id, {head} AS head, text FROM plain)"
+
+
+@query(f"WITH RECURSIVE {headed_sql(chr(39) * 2)}, {packed_sql('v2', 'len({tokens}) + 2', '200', 1, True, '200')} SELECT doc_id, ordinal, text, text AS display_text FROM chunk")
+def chunk_sentence(spark, sf_dir):
+    return chunks_of("sentence", spark, sf_dir)
+
+
+@query(f"WITH RECURSIVE {headed_sql(chr(39) * 2)}, {packed_sql('v1', 'length(sentence)', '400', 1, False)} SELECT doc_id, ordinal, text, text AS display_text FROM chunk")
+def chunk_sentence_v1(spark, sf_dir):
+    return chunks_of("sentence_v1", spark, sf_dir)
+
+
+CONTEXT_SQL = packed_sql("v2", "len({tokens}) + 2", "greatest(200 - head_size, 64)", 0, False, "budget")
+
+
+@query(f"""WITH RECURSIVE {headed_sql("CASE WHEN coalesce(lang, '') = '' THEN '' ELSE '[' || lang || ']' END")}, {CONTEXT_SQL}
+SELECT doc_id, ordinal, CASE WHEN head = '' THEN text ELSE head || ' | ' || text END AS text, text AS display_text FROM chunk""")
+def chunk_contextual(spark, sf_dir):
+    return chunks_of("contextual", spark, sf_dir)
+
+
 def _unchecked(name: str, strategy: str) -> None:
     def f(spark, sf_dir):
         return chunks_of(strategy, spark, sf_dir)
@@ -195,7 +237,7 @@ def _unchecked(name: str, strategy: str) -> None:
     query()(f)
 
 
-for _name, _strategy in (("chunk_sentence", "sentence"), ("chunk_sentence_v1", "sentence_v1"), ("chunk_contextual", "contextual"), ("chunk_semantic", "semantic"), ("chunk_semantic_v1", "semantic_v1"), ("chunk_recursive", "recursive_character"), ("chunk_late", "late_chunking")):
+for _name, _strategy in (("chunk_semantic", "semantic"), ("chunk_semantic_v1", "semantic_v1"), ("chunk_recursive", "recursive_character"), ("chunk_late", "late_chunking")):
     _unchecked(_name, _strategy)
 
 
@@ -384,10 +426,18 @@ def json_props(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k BIGINT")["k"].alias("k"))
 
 
-@query()
+@query("""SELECT conv_id, turn, CASE WHEN turn % 5 = 4 THEN trim(text) ELSE text END AS answer, CASE turn % 5 WHEN 0 THEN '1,2' WHEN 3 THEN '3,4' ELSE '' END AS citations, turn % 5 <> 1 AS sufficient_context, turn % 5 > 1 AS repaired
+FROM conversations WHERE trim(text) <> ''""")
 def json_repair(spark, sf_dir):
-    raw = table(spark, sf_dir, "conversations").where("role = 'assistant'").select("conv_id", "turn", F.concat(F.lit('```json\n{"answer": '), F.to_json(F.struct("text")), F.lit(', "citations": [1]}\n```')).alias("raw"))
-    return raw.select("conv_id", "turn", answers.parse_answer(F.col("raw")).alias("a")).select("conv_id", "turn", "a.*")
+    """What models make of an answer: an object, fenced, within prose, cut off, or no object at all."""
+    said = table(spark, sf_dir, "conversations").where(F.trim("text") != "").withColumn("q", F.regexp_extract(F.to_json(F.struct("text")), r'(?s)^\{"text":(.*)\}$', 1))
+    shapes = ('{{"answer": {}, "citations": [1, 2]}}', '```json\n{{"answer": {}, "sufficient_context": false}}\n```', 'Sure: {{"answer": {}}} done', '{{"answer": {}, "citations": [3, 4], "x')
+    raw = F.col("text")
+    for k, shape in enumerate(shapes):
+        before, after = shape.replace("{{", "{").replace("}}", "}").split("{}")
+        raw = F.when(F.col("turn") % 5 == k, F.concat(F.lit(before), F.col("q"), F.lit(after))).otherwise(raw)
+    parsed = said.select("conv_id", "turn", answers.parse_answer(raw).alias("a"))
+    return parsed.select("conv_id", "turn", "a.answer", F.array_join(F.col("a.citations").cast("array<string>"), ",").alias("citations"), "a.sufficient_context", "a.repaired")
 
 
 def guard_sql(pattern: str) -> str:
@@ -423,7 +473,21 @@ def citations_validate(spark, sf_dir):
     return checked.select("conv_id", F.array_join(F.col("c.valid").cast("array<string>"), ",").alias("valid"), "c.verdict", F.round("c.ratio", 6).alias("ratio"))
 
 
-@query()
+def claims_sql() -> str:
+    """From conversations to judged (aid, k, claim, score, supported): every claim of an assistant against every other turn, one pair a row."""
+    clean = "lower(regexp_replace({}, '\\[\\s*\\d+(?:\\s*,\\s*\\d+)*\\s*\\]', ' ', 'g'))"
+    numbers = f"list_distinct(regexp_extract_all({clean}, '\\b\\d[\\d,.\\-/]*\\b'))"
+    words = f"list_filter(regexp_extract_all({clean}, '[\\p{{{{L}}}}\\p{{{{N}}}}_]+'), lambda w: NOT regexp_matches(w, '^[\\x00-\\x7F]{{{{1,3}}}}$'))"
+    tokens = f"list_distinct(list_concat({numbers}, {words}))"
+    return f"""n AS (SELECT conv_id || ':' || turn AS doc_id, {NORM} AS text FROM conversations WHERE role = 'assistant'), {sentences_sql('v1')},
+own AS (SELECT doc_id AS aid, k, sentence AS claim, {tokens.format('sentence', 'sentence')} AS cs, {numbers.format('sentence')} AS ns FROM sent),
+heard AS (SELECT conv_id, {tokens.format('text', 'text')} AS ps FROM conversations WHERE role <> 'assistant'),
+met AS (SELECT aid, k, claim, (len(list_intersect(cs, ps)) + len(list_intersect(list_intersect(cs, ps), ns))) / (len(cs) + len(list_intersect(cs, ns))) AS raw, len(list_filter(ns, lambda x: NOT list_contains(ps, x))) > 0 AS missing
+ FROM own JOIN heard ON split_part(aid, ':', 1) = CAST(conv_id AS VARCHAR) WHERE len(cs) > 0),
+judged AS (SELECT aid, k, claim, round(max(CASE WHEN missing THEN least(raw, 0.9 * 0.35) ELSE raw END), 4) AS score, bool_or(raw >= 0.35 AND NOT missing) AS supported FROM met GROUP BY aid, k, claim)"""
+
+
+@query(f"WITH {claims_sql()} SELECT aid, claim, score, supported FROM judged")
 def grounding_lexical(spark, sf_dir):
     turns = table(spark, sf_dir, "conversations")
     asked_of = turns.where("role <> 'assistant'").groupBy("conv_id").agg(F.collect_list("text").alias("passages"))
@@ -629,9 +693,15 @@ def thresholded(spark, sf_dir):
     return service.above(table(spark, sf_dir, "events").groupBy("user_id").agg(F.sum(F.when(F.col("event_type") == "click", F.col("value"))).alias("score"), F.count(F.lit(1)).alias("n")), 100).select("user_id", F.round("score", 3).alias("clicks"), "n")
 
 
-@query()
+HEDGED = f"({' OR '.join(f'contains(lower(text), {chr(39)}{m.replace(chr(39), chr(39) * 2)}{chr(39)})' for m in answers.HEDGES)})"
+
+
+@query(f"""WITH {claims_sql()}, sums AS (SELECT aid, count(*) AS n, count(*) FILTER (supported) AS s, list(substr(claim, 1, 120) ORDER BY k) FILTER (NOT supported) AS u FROM judged GROUP BY aid),
+a AS (SELECT conv_id || ':' || turn AS aid, text FROM conversations WHERE role = 'assistant' AND conv_id IN (SELECT conv_id FROM conversations WHERE role <> 'assistant'))
+SELECT aid, CASE WHEN trim(text) = '' THEN 'block:empty' WHEN {HEDGED} THEN 'pass:hedge' WHEN n IS NULL THEN 'warn:no_claims' WHEN s / n < 0.5 THEN 'block' WHEN s < n THEN 'warn' ELSE 'pass' END AS verdict,
+ CASE WHEN trim(text) <> '' AND {HEDGED} THEN 1.0 ELSE round(s / n, 4) END AS ratio, coalesce(n, 0) AS n_claims, coalesce(s, 0) AS supported, array_to_string(coalesce(u[1:3], []), '|') AS unsupported FROM a LEFT JOIN sums USING (aid)""")
 def grounded_answers(spark, sf_dir):
     """Assistant turns against the other turns of their conversation."""
     said = table(spark, sf_dir, "conversations")
     passages = said.where("role <> 'assistant'").groupBy("conv_id").agg(F.collect_list("text").alias("passages"))
-    return answers.grounded_v1(said.where("role = 'assistant'").select("conv_id", F.concat_ws(":", "conv_id", "turn").alias("aid"), F.col("text").alias("answer")).join(passages, "conv_id"))
+    return answers.grounded_v1(said.where("role = 'assistant'").select("conv_id", F.concat_ws(":", "conv_id", "turn").alias("aid"), F.col("text").alias("answer")).join(passages, "conv_id")).withColumn("unsupported", F.array_join("unsupported", "|"))
