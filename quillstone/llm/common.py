@@ -32,6 +32,16 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Bytes of the input for each bucket at most.
+BUCKET_BYTES = 64 << 20
+
+
+def buckets_for(docs: DataFrame) -> int:
+    """At least as many as shuffle partitions, more where the planner knows the input to hold more bytes than they should."""
+    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return max(shuffle_partitions(docs.sparkSession), min(size // BUCKET_BYTES, 1 << 20) if size < 1 << 60 else 0)
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder that the cluster names in spark.checkpoint.dir; one of its own only where none is set and all tasks run in this process."""
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
@@ -43,6 +53,10 @@ def scratch_dir(spark: SparkSession) -> str:
     return configured
 
 
+#: What parts words in bytes: the same that bytes.split() takes.
+SPACE = re.compile(rb"[\x20\x09-\x0D]")
+
+
 @dataclass
 class Scratch:
     """A table written to the shared folder: it cuts the lineage and outlives any executor."""
@@ -101,3 +115,15 @@ def in_slices(texts: list, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
             start, size = i + 1, 0
     if start < len(texts):
         yield start, len(texts)
+
+
+def word_runs(raw: bytes, limit: int = 1 << 20) -> Iterator[list[bytes]]:
+    """The words of a text (maximal runs without ASCII white space) in lists of about ``limit`` bytes, so that a very long one is never held in words."""
+    start = 0
+    while len(raw) - start > limit:
+        cut = SPACE.search(raw, start + limit)
+        if not cut:
+            break
+        yield raw[start : cut.start()].split()
+        start = cut.end()
+    yield raw[start:].split()

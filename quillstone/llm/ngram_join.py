@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import Scratch, pick, shuffle_partitions
+from quillstone.llm.common import Scratch, buckets_for, pick
 
 U64 = np.uint64
 #: Odd multipliers for the words of an n-gram and for mixing.
@@ -48,8 +48,6 @@ ODD = [U64(x | 1) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E
 SLICE = 1500
 #: Signature records that a task packs at a time, the fewest for which a bucket's are parted, and into how many packs at most (powers of 2).
 RECORDS, PACK, RUNS = 1 << 20, 64, 6
-#: Bytes of the input for each bucket at most.
-BUCKET_BYTES = 64 << 20
 SIG_BITS, NODE_BITS = 39, 48
 #: The cost of a signature's meeting unrelated sets, in signatures, and the share of elements that unrelated sets have in common.
 MEETING, COMMON = 50, 0.05
@@ -207,12 +205,6 @@ def as_numbers(values: np.ndarray, n: int) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def buckets_for(docs: DataFrame) -> int:
-    """At least as many as shuffle partitions, more where the planner knows the input to hold more bytes than they should."""
-    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return max(shuffle_partitions(docs.sparkSession), min(size // BUCKET_BYTES, 1 << 20) if size < 1 << 60 else 0)
-
-
 def dealt(docs: DataFrame, n: int, bands: Bands, buckets: int) -> DataFrame:
     """Packed records: each document's digest, size and what its signatures are worth (run -1); each signature with its set's digest.
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quillstone.llm import byte_bpe, html_extract, license_scan, ngram_join, packing, quality_rules, secret_scan, spotsigs, token_counts, toxicity
+from quillstone.llm import byte_bpe, filter_audit, gray_simhash, html_extract, license_scan, ngram_join, packing, quality_rules, secret_scan, source_divergence, spotsigs, token_counts, toxicity
 from quillstone.llm.common import table
 
 CAPACITY = 2048
@@ -53,6 +53,18 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence.divergences(table(spark, sf_dir, "documents"))
+
+
+def op13_gray_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gray_simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -66,10 +78,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_quality_rules,
         op9_spotsigs,
         op10_html_extraction,
+        op11_filter_audit,
+        op12_source_divergence,
+        op13_gray_simhash,
     )
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op4_license_scan": license_scan.license_sql(),
     "op8_quality_rules": quality_rules.QUALITY_SQL,
+    "op11_filter_audit": filter_audit.AUDIT_SQL,
+    "op12_source_divergence": source_divergence.DIVERGENCE_SQL,
 }
