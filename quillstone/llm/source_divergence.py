@@ -155,6 +155,8 @@ def matrices(docs: DataFrame, buckets: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def sent(counts: Counts) -> Iterator[pa.RecordBatch]:
             key, n, own = counts.total()
+            if not len(key):
+                return
             names = [*counts.terms]
             bucket_of = np.fromiter((xxhash.xxh32_intdigest(s) % buckets for s in names), np.int64, len(names))
             langs: dict[str, list[int]] = {}
@@ -168,7 +170,7 @@ def matrices(docs: DataFrame, buckets: int) -> DataFrame:
             order = np.lexsort((group, term, bucket_of[term], lang_of[group]))
             group, term, n, own = group[order], term[order], n[order], own[order]
             lang, bucket = lang_of[group], bucket_of[term]
-            edges = np.flatnonzero(np.append(True, (lang[1:] != lang[:-1]) | (bucket[1:] != bucket[:-1]))).tolist() if len(group) else []
+            edges = np.flatnonzero(np.append(True, (lang[1:] != lang[:-1]) | (bucket[1:] != bucket[:-1]))).tolist()
             by_number = [*langs]
             for a, b in zip(edges, [*edges[1:], len(group)], strict=True):
                 present, column = np.unique(group[a:b], return_inverse=True)
