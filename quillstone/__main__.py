@@ -49,7 +49,7 @@ def bake_off(spark: SparkSession, a: argparse.Namespace) -> None:
     found = []
     for s in sorted(r["strategy"] for r in parts["chunks"].select("strategy").distinct().collect()):
         own = parts["chunks"].where(F.col("strategy") == s)
-        hits = retrieval.bm25(own.select(F.xxhash64("chunk_id").alias("chunk_id"), "text"), queries, evaluate.CANDIDATES).join(own.select(F.xxhash64("chunk_id").alias("chunk_id"), "doc_id"), "chunk_id")
+        hits = retrieval.bm25(own.select("chunk_id", "text"), queries, evaluate.CANDIDATES).join(own.select("chunk_id", "doc_id"), "chunk_id")
         found.append(evaluate.documents_of(hits).withColumn("strategy", F.lit(s)))
     tables.write_table(evaluate.bake_off(reduce(DataFrame.unionByName, found), relevant), a.target)
 

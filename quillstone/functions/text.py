@@ -57,13 +57,43 @@ def collapse(text: Column) -> Column:
 
 
 def normalize(text: Column, profile: str = "v2") -> Column:
-    """NFC, white space collapsed; v2 also drops zero-width spaces and byte order marks. Null: empty."""
-    composed = nfc(F.coalesce(text, F.lit("")))
-    return collapse(F.regexp_replace(composed, "[\\u200B\\uFEFF]", "") if profile == "v2" else composed)
+    """NFC, white space collapsed; v2 also drops zero-width spaces and byte order marks. Null: empty.
+
+    All of it in one Arrow function: Spark has none for the composition, and on 25 MB of documents in four languages the rest
+    as regular expressions over its result took three times as long.
+    """
+    @F.pandas_udf("string")
+    def normalized(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: plain(t, profile))
+
+    return normalized(F.coalesce(text, F.lit("")))
+
+
+def plain(text: str, profile: str) -> str:
+    """A text as ``normalize`` makes it."""
+    if not text.isascii():
+        text = unicodedata.normalize("NFC", text)
+        text = text.replace("\u200b", "").replace("\ufeff", "") if profile == "v2" else text
+    return " ".join(text.split())
+
+
+def normalize_each(texts: Column, profile: str = "v2") -> Column:
+    """The same for every text of an array."""
+    @F.pandas_udf("array<string>")
+    def normalized(arrays: pd.Series) -> pd.Series:
+        return arrays.map(lambda own: [plain(t or "", profile) for t in own], na_action="ignore")
+
+    return normalized(texts)
+
+
+def folded(text: Column) -> Column:
+    """Without invisible characters, compatibility forms as the characters they stand for. Plain ASCII isn't sent to Python."""
+    seen = F.regexp_replace(text, INVISIBLE, "")
+    return F.coalesce(_unicode("NFKC")(F.when(~seen.rlike("^[\\x00-\\x7F]*$"), seen)), seen)
 
 
 def sanitize(text: Column) -> Column:
-    return F.trim(_unicode("NFKC")(F.regexp_replace(text, INVISIBLE, "")))
+    return F.trim(folded(text))
 
 
 def invisible_removed(text: Column) -> Column:

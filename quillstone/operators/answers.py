@@ -49,7 +49,16 @@ def guard_input_v2(text: Column) -> Column:
 
 
 def guard_input_v1(text: Column, most: int = 1000) -> Column:
-    return F.when(F.trim(text) == "", "block:empty").when(F.length(text) > most, "block:too_long").when(matches(text, UNSAFE_V1), "block:unsafe_content").when(matches(text, INJECTION_V1), "block:prompt_injection").when(T.invisible_removed(text) > 0, "warn:invisible").otherwise("pass")
+    """Length and patterns are of the text without invisible characters and compatibility forms; where nothing blocks, hidden characters warn. Null is empty."""
+    seen = T.folded(text)
+    return (
+        F.when(text.isNull() | text.rlike("(?U)^[\\s\\x1C-\\x1F]*$"), "block:empty")
+        .when(F.length(seen) > most, "block:too_long")
+        .when(matches(seen, UNSAFE_V1), "block:unsafe_content")
+        .when(matches(seen, INJECTION_V1), "block:prompt_injection")
+        .when(T.invisible_removed(text) > 0, "warn:invisible")
+        .otherwise("pass")
+    )
 
 
 def guard_offtopic_v1(text: Column) -> Column:
@@ -116,9 +125,11 @@ def overlap(claim: Column, numbers: Column, passage: Column) -> Column:
 def grounding_v1(answers: DataFrame, tau: float = 0.35) -> DataFrame:
     """For (aid, claim, passages array<string>): score, the best overlap, and whether a passage reaches tau and has all of the claim's numbers.
 
-    A passage that lacks one of them counts for 0.9 tau at most. Claims without tokens aren't claims.
+    A passage that lacks one of them counts for 0.9 tau at most. Claims without tokens aren't claims. Passages are normalized
+    here, as answers are before they are split.
     """
-    sets = answers.withColumns({"claim_set": claim_tokens(F.col("claim")), "numbers": numbers_of(F.col("claim")), "passage_sets": F.transform("passages", claim_tokens)}).where(F.size("claim_set") > 0)
+    composed = answers.withColumn("passages", T.normalize_each(F.col("passages"), "v1"))
+    sets = composed.withColumns({"claim_set": claim_tokens(F.col("claim")), "numbers": numbers_of(F.col("claim")), "passage_sets": F.transform("passages", claim_tokens)}).where(F.size("claim_set") > 0)
     each = F.transform("passage_sets", lambda p: F.struct(overlap(F.col("claim_set"), F.col("numbers"), p).alias("raw"), (F.size(F.array_except("numbers", p)) > 0).alias("missing")))
     scored = sets.withColumn("each", each)
     best = F.coalesce(F.array_max(F.transform("each", lambda e: F.when(e["missing"], F.least(e["raw"], F.lit(0.9 * tau))).otherwise(e["raw"]))), F.lit(0.0))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillstone.functions import text as T
 from quillstone.operators import ranks
+from quillstone.sources import tables
 
 MIN_CHARS = {"v1": 20, "v2": 40}
 
@@ -63,7 +64,8 @@ def merged(docs: DataFrame, key: Column, order: str, ids: str, flag: str, listed
 
     ``members`` has all ids of all keys, a row each.
     """
-    keyed = docs.withColumn("dedup_key", key)
+    # texts are read, and keys made of them, once
+    keyed = tables.written(docs.withColumn("dedup_key", key).select("dedup_key", "lang", flag, *{order: 1, ids: 1}))
     one = keyed.groupBy("dedup_key").agg(F.min(order).alias(order), F.min_by("lang", order).alias("lang"), F.bool_or(flag).alias(flag), F.count(F.lit(1)).alias("n_copies"))
     # each task keeps its own first ones before the shuffle
     nth = F.row_number().over(Window.partitionBy("dedup_key").orderBy(ids))

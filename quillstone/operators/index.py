@@ -1,6 +1,15 @@
 """Indexes as tables: chunks of all strategies, dense vectors with their sign bits, BM25 postings; built, saved, loaded, dropped.
 
-A folder holds ``chunks``, ``vectors``, ``postings``, ``terms`` and ``stats``. What is stored once isn't computed by each query.
+A folder holds ``chunks``, ``rows``, ``vectors``, ``postings``, ``terms``, ``stats`` and ``manifest``. What is stored once isn't
+computed by each query.
+
+Chunks have ids of text, ``{strategy}:{doc_id}:{ordinal}``, and a row: their place, from 0 without gaps, in the order of ids.
+Searches carry rows, and hits of equal scores come in the order of rows, which is that of ids; only what a query finds is
+looked up by row. Files hold neighbouring rows, so that statistics tell which of them a lookup needs.
+
+Postings are in blocks: what a term has in ``SPAN`` neighbouring rows, with the largest weight in it. The sum of a query's
+largest weights in a span bounds what any of its rows can score, so a search works off the spans with the highest bounds
+first, and of the others reads only those whose bound reaches the k-th score found.
 """
 
 from __future__ import annotations
@@ -8,7 +17,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillstone.functions import text as T
@@ -31,7 +40,7 @@ def chunked(docs: DataFrame, strategies: list[str], **options: dict) -> DataFram
         raise ValueError(f"Unknown strategies {unknown}. Available: {', '.join(sorted(chunking.STRATEGIES))}")
     parts = [chunking.get_strategy(s)(docs.where(F.trim("text") != ""), **options.get(s, {})).withColumn("strategy", F.lit(s)) for s in strategies]
     every = reduce(DataFrame.unionByName, parts)
-    return every.select(F.concat_ws("::", "doc_id", "strategy", "ordinal").alias("chunk_id"), "doc_id", "strategy", "ordinal", "text", "display_text", T.count_tokens(F.col("text")).cast("long").alias("n_tokens"))
+    return every.select(F.concat_ws(":", "strategy", "doc_id", "ordinal").alias("chunk_id"), "doc_id", "strategy", "ordinal", "text", "display_text", T.count_tokens(F.col("text")).cast("long").alias("n_tokens"))
 
 
 def embedded(chunks: DataFrame, embed: Callable, sizes: bool = True) -> DataFrame:
@@ -55,47 +64,124 @@ def checked(vectors: DataFrame, chunks: DataFrame) -> DataFrame:
     return vectors
 
 
-def save(folder: str, chunks: DataFrame, vectors: DataFrame | None = None) -> None:
-    """Writes the index of these chunks; dense parts by strategy, with their sign bits."""
-    tables.write_table(chunks, f"{folder}/chunks", ("strategy",))
-    stored = chunks.sparkSession.read.parquet(f"{folder}/chunks")
-    if vectors is not None:
-        tables.write_table(checked(vectors, stored).withColumn("bits", V.sign_words(F.col("embedding"))), f"{folder}/vectors", ("strategy",))
+#: Neighbouring rows whose postings of a term are one block, and spans that a query reads before it knows a bound.
+SPAN, FIRST = 1024, 4
+PARTS = ("chunks", "rows", "vectors", "postings", "terms", "stats", "manifest")
+
+
+def numbered(chunks: DataFrame, starts: DataFrame) -> DataFrame:
+    """Stored chunks with their row: the place within their file's task, after the rows of the tasks before it."""
+    task = F.shiftright("place", 33).cast("int")
+    return chunks.withColumn("task", task).join(F.broadcast(starts), "task").withColumn("row", F.col("start") + F.col("place").bitwiseAND(F.lit((1 << 33) - 1))).drop("task", "start", "place")
+
+
+def weight(avgdl: float) -> Column:
+    """BM25's weight of a posting but for the term's rarity."""
+    k1, b = retrieval.K1, retrieval.B
+    return F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(avgdl)))
+
+
+def blocks(chunks: DataFrame, avgdl: float) -> DataFrame:
+    """term, span, rows (places in the span, ascending), tf, dl, weight (the largest), n: at most ``SPAN`` postings to a block, whatever the term."""
+    words = chunks.select("row", T.tokens(F.col("text")).alias("tokens"))
+    counted = words.select("row", F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).groupBy("row", "term").agg(F.count(F.lit(1)).cast("int").alias("tf"), F.first("dl").alias("dl"))
+    each = counted.select("term", F.expr(f"row DIV {SPAN}").alias("span"), F.expr(f"CAST(row % {SPAN} AS SMALLINT)").alias("row"), "tf", "dl", weight(avgdl).alias("weight"))
+    gathered = each.groupBy("term", "span").agg(F.array_sort(F.collect_list(F.struct("row", "tf", "dl"))).alias("held"), F.max("weight").alias("weight"), F.count(F.lit(1)).alias("n"))
+    return gathered.select("term", "span", F.col("held.row").alias("rows"), F.col("held.tf").alias("tf"), F.col("held.dl").alias("dl"), "weight", "n")
+
+
+def save(folder: str, chunks: DataFrame, vectors: DataFrame | None = None, lexical: list[str] | None = None) -> None:
+    """Writes the index of these chunks; dense parts, of those strategies that have vectors, with their sign bits; postings of the ``lexical`` strategies, or all."""
     spark = chunks.sparkSession
-    index = retrieval.postings(stored.select("chunk_id", "text"))
-    tables.write_table(index.repartition("term").sortWithinPartitions("term", "chunk_id"), f"{folder}/postings")
-    size = stored.agg(F.count(F.lit(1)).alias("n"), F.avg(T.n_tokens(F.lower("text"))).alias("avgdl"))
-    tables.write_table(size, f"{folder}/stats")
-    n = spark.read.parquet(f"{folder}/stats").first()["n"]
-    tables.write_table(retrieval.term_statistics(spark.read.parquet(f"{folder}/postings"), n), f"{folder}/terms")
+    placed = tables.written(chunks).repartitionByRange("chunk_id").sortWithinPartitions("chunk_id").withColumn("place", F.monotonically_increasing_id())
+    tables.write_table(placed, f"{folder}/chunks", ("strategy",))
+    tasks = spark.read.parquet(f"{folder}/chunks").groupBy(F.shiftright("place", 33).cast("int").alias("task")).agg(F.count(F.lit(1)).alias("n"))
+    before = Window.orderBy("task").rowsBetween(Window.unboundedPreceding, -1)  # one row a task
+    tables.write_table(tasks.select("task", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start")), f"{folder}/rows")
+    stored = numbered(spark.read.parquet(f"{folder}/chunks"), spark.read.parquet(f"{folder}/rows"))
+    if vectors is not None:
+        dense = stored.join(F.broadcast(vectors.select("strategy").distinct()), "strategy", "left_semi").select("chunk_id", "row")
+        keyed = checked(vectors, dense).join(dense, "chunk_id").withColumn("bits", V.sign_words(F.col("embedding")))
+        tables.write_table(keyed.repartitionByRange("row").sortWithinPartitions("strategy", "row"), f"{folder}/vectors", ("strategy",))
+    searched = stored.where(F.col("strategy").isin(lexical)) if lexical else stored
+    tables.write_table(searched.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size(T.tokens(F.col("text")))).alias("avgdl")), f"{folder}/stats")
+    size = spark.read.parquet(f"{folder}/stats").first()
+    held = blocks(searched, size["avgdl"] or 1.0)
+    tables.write_table(held.repartitionByRange("term", "span").sortWithinPartitions("term", "span"), f"{folder}/postings")
+    df = spark.read.parquet(f"{folder}/postings").groupBy("term").agg(F.sum("n").alias("df"))
+    tables.write_table(df.withColumn("idf", F.log(1 + (size["n"] - F.col("df") + 0.5) / (F.col("df") + 0.5))), f"{folder}/terms")
     tables.write_table(tables.manifest(stored), f"{folder}/manifest")
 
 
 def load(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
-    """The parts that there are; sign bits are computed where an index has none; without chunks there is no index."""
-    parts = {name: spark.read.parquet(f"{folder}/{name}") for name in ("chunks", "vectors", "postings", "terms", "stats", "manifest") if tables.exists(spark, f"{folder}/{name}")}
+    """The parts that there are, chunks with their rows; sign bits are computed where an index has none; without chunks there is no index."""
+    parts = {name: spark.read.parquet(f"{folder}/{name}") for name in PARTS if tables.exists(spark, f"{folder}/{name}")}
     if "chunks" not in parts:
         raise FileNotFoundError(f"no index in {folder}")
+    parts["chunks"] = numbered(parts["chunks"], parts["rows"])
     if "vectors" in parts and "bits" not in parts["vectors"].columns:
         parts["vectors"] = parts["vectors"].withColumn("bits", V.sign_words(F.col("embedding")))
     return parts
 
 
+def built(spark: SparkSession, inputs: list[str], name: str, build: Callable[[str], None]) -> dict[str, DataFrame]:
+    """The index of these files for this application: built the first time, and again when one of them has changed."""
+    folder = f"{tables.shared_folder(spark)}/{name}-{spark.sparkContext.applicationId}-{tables.version_of(spark, inputs)}"
+    if not tables.exists(spark, f"{folder}/manifest/_SUCCESS"):
+        build(folder)
+    return load(spark, folder)
+
+
 def drop(spark: SparkSession, folder: str) -> bool:
     """Deletes an index; whether there was one."""
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def bm25(parts: dict[str, DataFrame], queries: DataFrame, k: int = 10) -> DataFrame:
-    """qid, chunk_id, score, rank from a stored index: no text is read, and only the postings of the query's terms."""
+def _asked(parts: dict[str, DataFrame], queries: DataFrame) -> DataFrame:
+    """qid, term, times: how often each query names each indexed term, times its rarity; broadcast up to a number of terms."""
     wanted = queries.select("qid", F.explode(T.tokens(F.col("text"))).alias("term")).groupBy("qid", "term").agg(F.count(F.lit(1)).alias("qtf"))
     few = wanted.limit(retrieval.BROADCAST_TERMS + 1).count() <= retrieval.BROADCAST_TERMS
-    asked = F.broadcast(wanted) if few else wanted
+    known = parts["terms"].join(F.broadcast(wanted) if few else wanted, "term").select("qid", "term", (F.col("qtf") * F.col("idf")).alias("times"))
+    return F.broadcast(known) if few else known
+
+
+def _scored(parts: dict[str, DataFrame], asked: DataFrame, cells: DataFrame) -> DataFrame:
+    """qid, row, score of all rows of the cells (qid, span) that hold a term."""
     avgdl = parts["stats"].first()["avgdl"] or 1.0
-    hits = parts["postings"].join(asked.join(parts["terms"].select("term", "idf"), "term"), "term")
-    weight = F.col("idf") * F.col("tf") * (retrieval.K1 + 1) / (F.col("tf") + retrieval.K1 * (1 - retrieval.B + retrieval.B * F.col("dl") / avgdl))
-    return retrieval.top_k(hits.groupBy("qid", "chunk_id").agg(F.round(F.sum(F.col("qtf") * weight), 4).alias("score")), k)
+    met = parts["postings"].select("term", "span", "rows", "tf", "dl").join(asked, "term").join(cells.select("qid", "span"), ["qid", "span"])
+    each = met.select("qid", "times", "span", F.explode(F.arrays_zip("rows", "tf", "dl")).alias("x")).select("qid", "times", (F.col("span") * SPAN + F.col("x.rows")).alias("row"), F.col("x.tf").alias("tf"), F.col("x.dl").alias("dl"))
+    return each.groupBy("qid", "row").agg(F.round(F.sum(F.col("times") * weight(avgdl)), 4).alias("score"))
+
+
+def bounded(parts: dict[str, DataFrame], asked: DataFrame) -> DataFrame:
+    """qid, span, bound (what a row in it scores at most), blocks, place by bound."""
+    heads = parts["postings"].select("term", "span", "weight").join(asked, "term")
+    bounds = heads.groupBy("qid", "span").agg(F.sum(F.col("times") * F.col("weight")).alias("bound"), F.count(F.lit(1)).alias("blocks"))
+    return bounds.withColumn("place", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("bound"), "span")))
+
+
+def searched(parts: dict[str, DataFrame], queries: DataFrame, k: int = 10) -> tuple[DataFrame, DataFrame]:
+    """The best rows (qid, row, score, rank), and for each query how many blocks there are for its terms and how many were read."""
+    asked = _asked(parts, queries)
+    spans = tables.written(bounded(parts, asked))
+    first = tables.written(retrieval.top_k(_scored(parts, asked, spans.where(F.col("place") <= FIRST)), k, item="row"))
+    least = first.groupBy("qid").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("least"))
+    # scores are rounded to four places, bounds aren't
+    rest = spans.where(F.col("place") > FIRST).join(least, "qid", "left").where(F.col("least").isNull() | (F.col("bound") + 1e-4 >= F.col("least")))
+    found = retrieval.top_k(first.select("qid", "row", "score").unionByName(_scored(parts, asked, rest)), k, item="row")
+    read = spans.where(F.col("place") <= FIRST).select("qid", "blocks").unionByName(rest.select("qid", "blocks")).groupBy("qid").agg(F.sum("blocks").alias("blocks_read"))
+    return found, spans.groupBy("qid").agg(F.sum("blocks").alias("blocks")).join(read, "qid")
+
+
+def named(parts: dict[str, DataFrame], hits: DataFrame, *columns: str) -> DataFrame:
+    """Hits by row with their chunk's id and what else is asked for of it."""
+    return hits.join(parts["chunks"].select("row", "chunk_id", *columns), "row")
+
+
+def bm25(parts: dict[str, DataFrame], queries: DataFrame, k: int = 10) -> DataFrame:
+    """qid, chunk_id, score, rank from a stored index: no text is read, and of the query's terms only the blocks that can hold one of the first k."""
+    return named(parts, searched(parts, queries, k)[0]).select("qid", "chunk_id", "score", "rank")
 
 
 def bucketed(vectors: DataFrame, centroids: DataFrame) -> DataFrame:

@@ -1,15 +1,21 @@
 """Ranks, running sums and order statistics within groups of any size: no group is gathered by one task.
 
-A group is dealt into ``PARTS`` ranges of its order by approximate quantiles, one small aggregate. What a range's rows add up
+Sums over rows in order deal a group into ``PARTS`` ranges of its order by approximate quantiles, one small aggregate. What a range's rows add up
 to is known after a second small aggregate, so that windows only run within ranges; the results are exact whatever the
 quantiles' error, which only decides how even the ranges are.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillstone.sources import tables
+
 PARTS = 256
 
 
@@ -34,9 +40,41 @@ def running(df: DataFrame, group: str, order: str, value: Column, name: str, tie
 
 
 def counted(df: DataFrame, group: str, value: str) -> DataFrame:
-    """One row for each group and different value: c, how many rows have it; to, how many have it or less; n, the group's rows."""
+    """One row for each group and different value: c, how many rows have it; to, how many have it or less; n, the group's rows.
+
+    Equal values are counted first. The rest is dealt into ranges of (group, value), where a task adds up what it holds in
+    order; what lies before a range in its group is a sum over ranges, of which a group has as many as its values fill.
+    """
     own = df.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.count(F.lit(1)).alias("c"))
-    return running(own, group, value, F.col("c"), "to").withColumnRenamed("group_total", "n")
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = own.repartitionByRange(partitions, group, value).sortWithinPartitions(group, value).withColumn("part", F.spark_partition_id())
+
+    def upto(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held = None, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            names = batch.column(group).dictionary_encode()
+            code = np.where(names.indices.is_null().to_numpy(zero_copy_only=False), -1, names.indices.fill_null(-1).to_numpy(zero_copy_only=False))
+            c = batch.column("c").to_numpy()
+            total = np.cumsum(c)
+            starts = np.flatnonzero(np.append(True, code[1:] != code[:-1]))
+            lengths = np.diff(np.append(starts, len(code)))
+            total -= np.repeat(total[starts] - c[starts], lengths)
+            first, end = batch.column(group)[0].as_py(), batch.column(group)[-1].as_py()
+            if first == last:
+                total[: lengths[0]] += held
+            last, held = end, int(total[-1])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(total)], names=[*batch.schema.names, "upto"])
+
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in dealt.schema.fields)
+    rows = tables.written(dealt.mapInArrow(upto, f"{ddl}, upto bigint"))
+    sums = rows.groupBy(group, "part").agg(F.max("upto").alias("held"))
+    every = Window.partitionBy(group)
+    base = F.coalesce(F.sum("held").over(every.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sums.select(F.col(group).alias("group_of_part"), F.col("part").alias("part_of_sums"), base.alias("base"), F.sum("held").over(every).alias("n"))
+    joined = rows.join(starts, F.col(group).eqNullSafe(F.col("group_of_part")) & (F.col("part") == F.col("part_of_sums")))
+    return joined.select(group, value, "c", (F.col("upto") + F.col("base")).alias("to"), "n")
 
 
 def at_rank(value: str, rank: Column) -> Column:

@@ -83,10 +83,10 @@ def bm25(chunks: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     for r in wanted.collect():  # at most ``BLOCK`` queries
         asked.setdefault(place[r["term"]], []).append((ids.setdefault(r["qid"], len(ids)), float(r["qtf"])))
     by_term = {t: (np.array([q for q, _ in own]), np.array([x for _, x in own]) * idf[t]) for t, own in asked.items()}
-    qids = list(ids)
+    qids, kind = list(ids), id_kind(words, "chunk_id")
 
     def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        value_set, best = pa.array(terms, pa.string()), Best(len(qids), k)
+        value_set, best = pa.array(terms, pa.string()), Best(len(qids), k, kind)
         for whole in batches:
             for start in range(0, whole.num_rows, 1024):
                 batch = whole.slice(start, 1024)
@@ -98,19 +98,35 @@ def bm25(chunks: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
                     if len(own):
                         q, x = by_term[int(term[own[0]])]
                         total[np.ix_(row[own], q)] += weight[own, None] * x[None, :]
-                best.add(batch.column(0).to_numpy(zero_copy_only=False), np.round(total, 4), total > 0)
-        yield best.batch(qids, pa.int64())
+                best.add(ids_of(batch.column(0), kind), np.round(total, 4), total > 0)
+        yield best.batch(qids)
 
-    found = words.withColumn("chunk_id", F.col("chunk_id").cast("long")).mapInArrow(scores, "qid bigint, chunk_id bigint, score double")
+    found = with_ids(words, "chunk_id").mapInArrow(scores, f"qid bigint, chunk_id {kind}, score double")
     return top_k(found, k)
 
 
+def id_kind(df: DataFrame, column: str) -> str:
+    """bigint for ids that are whole numbers, string for any others."""
+    return "bigint" if df.schema[column].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint") else "string"
+
+
+def with_ids(df: DataFrame, column: str) -> DataFrame:
+    return df.withColumn(column, F.col(column).cast(id_kind(df, column)))
+
+
+def ids_of(values: pa.Array | list, kind: str) -> np.ndarray:
+    """Ids as an array that sorts as Spark sorts them."""
+    if kind == "bigint":
+        return values.to_numpy(zero_copy_only=False).astype(np.int64) if isinstance(values, pa.Array) else np.array(values, np.int64)
+    return np.array(values.to_pylist() if isinstance(values, pa.Array) else values, np.str_)
+
+
 class Best:
     """A task's own top k of each query, by score and then id; what ties at the end is settled by id."""
 
-    def __init__(self, queries: int, k: int):
-        self.k = k
-        self.ids: list[np.ndarray] = [np.empty(0, np.int64)] * queries
+    def __init__(self, queries: int, k: int, kind: str = "bigint"):
+        self.k, self.kind = k, kind
+        self.ids: list[np.ndarray] = [ids_of([], kind)] * queries
         self.scores: list[np.ndarray] = [np.empty(0)] * queries
 
     def add(self, ids: np.ndarray, scores: np.ndarray, valid: np.ndarray | None = None) -> None:
@@ -131,11 +147,11 @@ class Best:
             order = np.lexsort((i, -s))[: self.k]
             self.scores[q], self.ids[q] = s[order], i[order]
 
-    def batch(self, qids: list, kind: pa.DataType) -> pa.RecordBatch:
-        n = [len(x) for x in self.ids]
-        q = [qid for qid, m in zip(qids, n, strict=True) for _ in range(m)]
+    def batch(self, qids: list) -> pa.RecordBatch:
+        q = [qid for qid, own in zip(qids, self.ids, strict=True) for _ in own]
         flat = lambda parts, empty: np.concatenate([empty, *parts]) if parts else empty
-        return pa.RecordBatch.from_arrays([pa.array(q, kind), pa.array(flat(self.ids, np.empty(0, np.int64)), pa.int64()), pa.array(flat(self.scores, np.empty(0)))], names=["qid", "chunk_id", "score"])
+        ids = flat(self.ids, ids_of([], self.kind))
+        return pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(ids, pa.int64()) if self.kind == "bigint" else pa.array(ids.tolist(), pa.string()), pa.array(flat(self.scores, np.empty(0)))], names=["qid", "chunk_id", "score"])
 
 
 def bm25_by_postings(index: DataFrame, size: DataFrame, wanted: DataFrame, k: int = 10) -> DataFrame:
@@ -166,68 +182,91 @@ BLOCK, VECTORS = 4096, 16_384
 BROADCAST_BLOCKS = 16
 
 
-def packed(rows: DataFrame, id_col: str, size: int) -> DataFrame:
-    """ids and their vectors end to end, at most ``size`` to a row; nothing is moved."""
+def packed(rows: DataFrame, id_col: str, size: int, column: str = "embedding") -> DataFrame:
+    """ids and what a column holds for them (vectors of numbers, or words of sign bits) end to end, at most ``size`` to a row; nothing is moved."""
+    kind, number = id_kind(rows, id_col), np.int64 if column == "bits" else np.float64
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for start in range(0, whole.num_rows, size):
                 batch = whole.slice(start, size)
-                vectors = np.array(batch.column(1).to_pylist(), np.float64)
-                yield pa.RecordBatch.from_arrays([pa.array([batch.column(0).to_pylist()], pa.list_(pa.int64())), pa.array([vectors.tobytes()], pa.binary())], names=["ids", "vectors"])
+                own = np.array(batch.column(1).to_pylist(), number)
+                yield pa.RecordBatch.from_arrays([pa.array([batch.column(0).to_pylist()]), pa.array([own.tobytes()], pa.binary())], names=["ids", "vectors"])
 
-    return rows.where(F.col(id_col).isNotNull() & F.col("embedding").isNotNull()).select(F.col(id_col).cast("long"), "embedding").mapInArrow(run, "ids array<bigint>, vectors binary")
+    return with_ids(rows.where(F.col(id_col).isNotNull() & F.col(column).isNotNull()).select(id_col, column), id_col).mapInArrow(run, f"ids array<{kind}>, vectors binary")
 
 
-def blocks_met(vectors: DataFrame, queries: DataFrame) -> DataFrame:
-    """Each block of the stated queries (qids, asked) beside each block of vectors (ids, vectors)."""
-    q = packed(queries.coalesce(1) if queries.limit(BLOCK + 1).count() <= BLOCK else queries, "qid", BLOCK).select(F.col("ids").alias("qids"), F.col("vectors").alias("asked"))
-    few = queries.limit(BROADCAST_BLOCKS * BLOCK + 1).count() <= BROADCAST_BLOCKS * BLOCK
-    return packed(vectors, "vec_id", VECTORS).crossJoin(F.broadcast(q) if few else q)
+def blocks_met(vectors: DataFrame, queries: DataFrame, column: str = "embedding") -> DataFrame:
+    """Each block of the stated queries (qids, asked) beside each block of vectors (ids, vectors).
 
+    Queries of a few blocks travel to the vectors. More are laid out as a grid: each block of vectors belongs to one of its
+    columns, each block of queries goes to every column once, and those of a column meet; the vectors move once.
+    """
+    q = packed(queries.coalesce(1) if queries.limit(BLOCK + 1).count() <= BLOCK else queries, "qid", BLOCK, column).select(F.col("ids").alias("qids"), F.col("vectors").alias("asked"))
+    own = packed(vectors, "vec_id", VECTORS, column)
+    if queries.limit(BROADCAST_BLOCKS * BLOCK + 1).count() <= BROADCAST_BLOCKS * BLOCK:
+        return own.crossJoin(F.broadcast(q))
+    columns = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    everywhere = q.withColumn("column", F.explode(F.sequence(F.lit(0), F.lit(columns - 1))))
+    return own.withColumn("column", F.pmod(F.xxhash64("ids"), F.lit(columns)).cast("int")).join(everywhere, "column").drop("column")
 
-def _matrices(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, list, np.ndarray]]:
+
+def _matrices(batch: pa.RecordBatch, kind: str, number: type = np.float64) -> Iterator[tuple[np.ndarray, np.ndarray, list, np.ndarray]]:
     for k in range(batch.num_rows):
-        ids, qids = np.array(batch.column(0)[k].as_py(), np.int64), batch.column(2)[k].as_py()
-        yield ids, np.frombuffer(batch.column(1)[k].as_py()).reshape(len(ids), -1), qids, np.frombuffer(batch.column(3)[k].as_py()).reshape(len(qids), -1)
+        ids, qids = ids_of(batch.column(0)[k].as_py(), kind), batch.column(2)[k].as_py()
+        yield ids, np.frombuffer(batch.column(1)[k].as_py(), number).reshape(len(ids), -1), qids, np.frombuffer(batch.column(3)[k].as_py(), number).reshape(len(qids), -1)
 
 
 def dense_candidates(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """Each task's own top k, to be ranked; candidates of several strategies are united before they are ranked.
 
-    Exact inner products of blocks of queries with blocks of vectors, by matrix products where the vectors are.
+    Exact inner products of blocks of queries with blocks of vectors, by matrix products where the vectors are. Ids of vectors may be of any type.
     """
+    kind = id_kind(vectors, "vec_id")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for ids, own, qids, asked in _matrices(batch):
-                best = Best(len(qids), k)
+            for ids, own, qids, asked in _matrices(batch, kind):
+                best = Best(len(qids), k, kind)
                 for start in range(0, len(ids), 1024):
                     best.add(ids[start : start + 1024], np.round(own[start : start + 1024] @ asked.T, 6))
-                yield best.batch(qids, pa.int64())
+                yield best.batch(qids)
 
-    return blocks_met(vectors, queries).mapInArrow(run, "qid bigint, chunk_id bigint, score double")
+    return blocks_met(vectors, queries).mapInArrow(run, f"qid bigint, chunk_id {kind}, score double")
 
 
-def binary_search(vectors: DataFrame, queries: DataFrame, limit: int = 10, oversampling: int = 3, filtered: bool = False) -> DataFrame:
-    """Shortlist by Hamming distance of sign bits, then cosine of the shortlist. Queries are a stated batch, met in blocks."""
-    short = max(limit * oversampling, 3 * limit, 64) * (4 if filtered else 1)
+def sign_shortlist(signs: DataFrame, queries: DataFrame, short: int) -> DataFrame:
+    """qid, chunk_id, hamming, place up to ``short``: the vectors (vec_id, bits) whose sign bits differ least from the query's (qid, bits). No float is read."""
+    kind = id_kind(signs, "vec_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for ids, own, qids, asked in _matrices(batch):
-                bits, q_bits = np.where(own > 0, 1.0, -1.0), np.where(asked > 0, 1.0, -1.0)
-                best, place = Best(len(qids), short), {int(i): n for n, i in enumerate(ids)}
+            for ids, own, qids, asked in _matrices(batch, kind, np.uint64):
+                best = Best(len(qids), short, kind)
                 for start in range(0, len(ids), 1024):
-                    # the fewer signs differ, the higher their product
-                    best.add(ids[start : start + 1024], bits[start : start + 1024] @ q_bits.T)
-                out = best.batch(qids, pa.int64())
-                rows, column = [place[i] for i in out.column(1).to_pylist()], np.repeat(np.arange(len(qids)), [len(x) for x in best.ids])
-                hamming = ((own.shape[1] - out.column(2).to_numpy()) / 2).astype(np.int64)
-                score = np.round((own[rows] * asked[column]).sum(axis=1), 6)
-                yield pa.RecordBatch.from_arrays([out.column(0), out.column(1), pa.array(hamming), pa.array(score)], names=["qid", "chunk_id", "hamming", "score"])
-
-    near = blocks_met(vectors, queries).mapInArrow(run, "qid bigint, chunk_id bigint, hamming bigint, score double")
-    order = Window.partitionBy("qid").orderBy("hamming", "chunk_id")
-    return top_k(near.withColumn("place", F.row_number().over(order)).where(F.col("place") <= short).drop("place"), limit)
+                    apart = np.bitwise_count(own[start : start + 1024, None, :] ^ asked[None, :, :]).sum(axis=2, dtype=np.int64)
+                    best.add(ids[start : start + 1024], -apart.astype(np.float64))
+                yield best.batch(qids)
+
+    near = blocks_met(signs, queries, "bits").mapInArrow(run, f"qid bigint, chunk_id {kind}, score double")
+    order = Window.partitionBy("qid").orderBy(F.desc("score"), "chunk_id")
+    return near.withColumn("place", F.row_number().over(order)).where(F.col("place") <= short).select("qid", "chunk_id", (-F.col("score")).cast("long").alias("hamming"), "place")
+
+
+def binary_search(vectors: DataFrame, queries: DataFrame, limit: int = 10, oversampling: int = 3, filtered: bool = False) -> DataFrame:
+    """Shortlist by Hamming distance of sign bits, then cosine of the shortlist. Queries (qid, embedding) are a stated batch.
+
+    The first phase reads the words of sign bits that an index stores beside the vectors (vec_id, embedding, bits), or makes
+    them where there are none; the second fetches the floats of the shortlist alone, by key.
+    """
+    short = max(limit * oversampling, 3 * limit, 64) * (4 if filtered else 1)
+    signs = vectors.select("vec_id", "bits" if "bits" in vectors.columns else V.sign_words(F.col("embedding")).alias("bits"))
+    listed = sign_shortlist(signs, queries.select("qid", V.sign_words(F.col("embedding")).alias("bits")), short)
+    few = queries.limit(BLOCK + 1).count() <= BLOCK  # then the list has at most BLOCK * short rows of numbers
+    floats = vectors.select(F.col("vec_id").alias("chunk_id"), "embedding").join(F.broadcast(listed) if few else listed, "chunk_id")
+    asked = queries.select("qid", F.col("embedding").alias("asked"))
+    scored = floats.join(F.broadcast(asked) if few else asked, "qid").select("qid", "chunk_id", "hamming", F.round(V.dot(F.col("embedding"), F.col("asked")), 6).alias("score"))
+    return top_k(scored, limit)
 
 
 def centroid_gate(vectors: DataFrame, centroids: DataFrame, threshold: float = 0.70) -> DataFrame:

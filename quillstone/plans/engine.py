@@ -11,7 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstone.functions import text as T
-from quillstone.operators import answers, retrieval, service
+from quillstone.operators import answers, index, retrieval, service
+
+
+def _flag(value: str) -> bool:
+    return value.strip().lower() in ("1", "true", "yes", "on")
 
 
 @dataclass(frozen=True)
@@ -20,6 +24,8 @@ class Settings:
 
     top_k: int = 8
     pool: int = 50
+    sign_bits: bool = False
+    oversampling: int = 3
     rrf_k: int = 60
     mmr_weight: float = 0.7
     mmr_pool: int = 30
@@ -39,7 +45,7 @@ class Settings:
     @classmethod
     def from_environment(cls, prefix: str = "QUILLSTONE_", environment: Mapping[str, str] | None = None) -> Settings:
         found = os.environ if environment is None else environment
-        return cls(**{f.name: type(f.default)(found[prefix + f.name.upper()]) for f in fields(cls) if prefix + f.name.upper() in found})
+        return cls(**{f.name: (_flag if isinstance(f.default, bool) else type(f.default))(found[prefix + f.name.upper()]) for f in fields(cls) if prefix + f.name.upper() in found})
 
 
 def session(master: str | None = None, partitions: int | None = None) -> SparkSession:
@@ -67,6 +73,14 @@ class Engine:
     centroids: DataFrame | None = None
     generate: Callable[[DataFrame], DataFrame] | None = None
     embed: Callable | None = None
+    parts: dict[str, DataFrame] | None = None
+
+    @classmethod
+    def from_index(cls, parts: dict[str, DataFrame], **options) -> Engine:
+        """Over a stored index, as index.load gives it: searches by its rows, its postings and, if settings say so, its sign bits."""
+        if "vectors" not in parts:
+            raise ValueError("no dense index: at least one strategy must have vectors")
+        return cls(parts["chunks"], parts["vectors"].withColumnRenamed("chunk_id", "vec_id"), parts=parts, **options)
 
     def __post_init__(self) -> None:
         if not self.vectors.limit(1).count():
@@ -74,15 +88,23 @@ class Engine:
 
     def search(self, queries: DataFrame, strategies: list[str] | None = None) -> DataFrame:
         """Hits of the dense strategies and of BM25 for queries (qid, text, embedding), ranked in one window; all strategies, or those named."""
-        pool = self.settings.pool
+        pool, stored = self.settings.pool, self.parts
         names = [r["strategy"] for r in self.vectors.select("strategy").distinct().collect() if strategies is None or r["strategy"] in strategies]
-        parts = [retrieval.dense_candidates(self.vectors.where(F.col("strategy") == s), queries, pool).withColumn("strategy", F.lit(s)) for s in names]
+        key = "row" if stored else "vec_id"
+        parts = [self._near(self.vectors.where(F.col("strategy") == s).drop(*{"row", "vec_id"} - {key}).withColumnRenamed(key, "vec_id"), queries).withColumn("strategy", F.lit(s)) for s in names]
         if strategies is None or "bm25" in strategies:
-            parts.append(retrieval.bm25(self.chunks.select("chunk_id", "text"), queries.select("qid", "text"), pool).select("qid", "chunk_id", "score").withColumn("strategy", F.lit("bm25")))
+            asked = queries.select("qid", "text")
+            lexical = index.searched(stored, asked, pool)[0].withColumnRenamed("row", "chunk_id") if stored else retrieval.bm25(self.chunks.select("chunk_id", "text"), asked, pool)
+            parts.append(lexical.select("qid", "chunk_id", "score").withColumn("strategy", F.lit("bm25")))
         if not parts:
             raise ValueError(f"none of {strategies} is indexed")
         ranked = retrieval.top_k(reduce(DataFrame.unionByName, parts), pool, partition=("qid", "strategy"))
-        return ranked.join(self.chunks.select("chunk_id", "doc_id"), "chunk_id")
+        return index.named(stored, ranked.withColumnRenamed("chunk_id", "row"), "doc_id").drop("row") if stored else ranked.join(self.chunks.select("chunk_id", "doc_id"), "chunk_id")
+
+    def _near(self, vectors: DataFrame, queries: DataFrame) -> DataFrame:
+        if self.settings.sign_bits:
+            return retrieval.binary_search(vectors, queries, self.settings.pool, self.settings.oversampling).select("qid", "chunk_id", "score")
+        return retrieval.dense_candidates(vectors, queries, self.settings.pool)
 
     def gate(self, queries: DataFrame) -> DataFrame:
         """qid, similarity with the nearest centroid; null without centroids."""

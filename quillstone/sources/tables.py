@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+import tempfile
 import time
+import uuid
 from collections.abc import Callable
 from typing import TypeVar
 
@@ -95,6 +99,35 @@ def read_jsonl(spark: SparkSession, path: str, ddl: str, optional: tuple[str, ..
     return rows.withColumns({c: F.coalesce(c, F.lit("")) for c in optional}) if optional else rows
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir; one of its own only where none is set and all tasks run in this process."""
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not configured:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quillstone-"))
+        configured = spark.sparkContext.getCheckpointDir()
+    return configured
+
+
+def written(df: DataFrame) -> DataFrame:
+    """The rows, written to the shared folder and read again: what is used more than once is computed once, and outlives any executor."""
+    path = f"{shared_folder(df.sparkSession)}/quillstone-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def version_of(spark: SparkSession, paths: list[str]) -> str:
+    """Changes when a file below the paths is added, removed or written again."""
+    hadoop, seen = spark.sparkContext._jvm.org.apache.hadoop.fs, []
+    for path in paths:
+        where = hadoop.Path(path)
+        found = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(hadoop.Path(path)) or []
+        below = [x for f in found for x in (where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(f.getPath()) if f.isDirectory() else [f])]
+        seen += sorted(f"{f.getPath()} {f.getLen()} {f.getModificationTime()}" for f in below)
+    return hashlib.sha256("\n".join(seen).encode()).hexdigest()[:16]
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
@@ -136,7 +169,7 @@ def export_latency(summary: DataFrame, records: DataFrame, folder: str) -> None:
 
 def cached(spark: SparkSession, path: str, build, refresh: bool = False) -> DataFrame:
     """The table at the path; built and written first if it isn't there, or to refresh it."""
-    if refresh or not exists(spark, path):
+    if refresh or not exists(spark, f"{path}/_SUCCESS"):
         write_table(build(), path)
     return spark.read.parquet(path)
 
