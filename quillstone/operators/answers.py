@@ -227,6 +227,9 @@ def parse_answer(raw: Column) -> Column:
     return F.when(text == "", plain).otherwise(F.coalesce(_object(body, False), _object(within, True), truncated, plain))
 
 
+#: What v1 says without passages, and before the passage that stands for an answer.
+NO_PASSAGE = "No relevant passages were found for this question."
+LEAD = "Answer generation is currently unavailable, so here is the most relevant passage retrieved for this question:\n\n"
 #: Characters that an answer takes from a passage when no model answers.
 EXTRACT = {"v1": 600, "v2": 800}
 
@@ -236,8 +239,7 @@ def extractive(passages: Column, profile: str = "v2") -> Column:
     first = F.substring(F.trim(F.get(passages, F.lit(0))), 1, EXTRACT[profile])
     if profile == "v2":
         return first
-    none, lead = "No relevant passages were found for this question.", "Answer generation is currently unavailable, so here is the most relevant passage retrieved for this question:\n\n"
-    return F.when(F.size(passages) == 0, none).otherwise(F.concat(F.lit(lead), first))
+    return F.when(F.size(passages) == 0, NO_PASSAGE).otherwise(F.concat(F.lit(LEAD), first))
 
 
 def kept_citations(cited: Column, available: Column, profile: str = "v2") -> Column:

@@ -34,13 +34,14 @@ def union_of_languages(parts: list[DataFrame], key: Column, order: str) -> DataF
 
 
 def chunked(docs: DataFrame, strategies: list[str], **options: dict) -> DataFrame:
-    """chunk_id, doc_id, strategy, ordinal, text, display_text, n_tokens of all strategies; unknown names are refused."""
+    """chunk_id, doc_id, strategy, ordinal, text, display_text, n_tokens of all strategies, and lang where documents have one; unknown names are refused."""
     unknown = sorted(set(strategies) - set(chunking.STRATEGIES))
     if unknown:
         raise ValueError(f"Unknown strategies {unknown}. Available: {', '.join(sorted(chunking.STRATEGIES))}")
     parts = [chunking.get_strategy(s)(docs.where(F.trim("text") != ""), **options.get(s, {})).withColumn("strategy", F.lit(s)) for s in strategies]
     every = reduce(DataFrame.unionByName, parts)
-    return every.select(F.concat_ws(":", "strategy", "doc_id", "ordinal").alias("chunk_id"), "doc_id", "strategy", "ordinal", "text", "display_text", T.count_tokens(F.col("text")).cast("long").alias("n_tokens"))
+    out = every.select(F.concat_ws(":", "strategy", "doc_id", "ordinal").alias("chunk_id"), "doc_id", "strategy", "ordinal", "text", "display_text", T.count_tokens(F.col("text")).cast("long").alias("n_tokens"))
+    return out.join(docs.select("doc_id", "lang"), "doc_id", "left").select(*out.columns, "lang") if "lang" in docs.columns else out
 
 
 def embedded(chunks: DataFrame, embed: Callable, sizes: bool = True) -> DataFrame:
@@ -100,7 +101,7 @@ def save(folder: str, chunks: DataFrame, vectors: DataFrame | None = None, lexic
     tables.write_table(tasks.select("task", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start")), f"{folder}/rows")
     stored = numbered(spark.read.parquet(f"{folder}/chunks"), spark.read.parquet(f"{folder}/rows"))
     if vectors is not None:
-        dense = stored.join(F.broadcast(vectors.select("strategy").distinct()), "strategy", "left_semi").select("chunk_id", "row")
+        dense = stored.join(F.broadcast(vectors.select("strategy").distinct()), "strategy", "left_semi").select("chunk_id", "row", *{"lang"} & {*stored.columns})
         keyed = checked(vectors, dense).join(dense, "chunk_id").withColumn("bits", V.sign_words(F.col("embedding")))
         tables.write_table(keyed.repartitionByRange("row").sortWithinPartitions("strategy", "row"), f"{folder}/vectors", ("strategy",))
     searched = stored.where(F.col("strategy").isin(lexical)) if lexical else stored

@@ -32,13 +32,23 @@ def prefixed(text: Column, kind: str) -> Column:
     return F.concat(F.lit({"query": "query: ", "passage": "passage: "}[kind]), text)
 
 
-def scoped(chunks: DataFrame, queries: DataFrame, scope: str = "all") -> DataFrame:
-    """Pairs of queries (qid, lang) and chunks (language) within the scope: all, same (the query's language) or english."""
-    asked = queries.select("qid", F.col("lang").alias("query_lang"))
+SCOPES = ("all", "same", "english")
+
+
+def within(scope: str, language: Column, query_lang: Column) -> Column:
+    """Whether a query sees a chunk: any chunk, those in its own language, or English ones. A predicate, so that no pairs are made for it."""
+    if scope not in SCOPES:
+        raise ValueError(f"scope {scope} isn't one of {', '.join(SCOPES)}")
+    return {"all": F.lit(True), "same": F.coalesce(language == query_lang, F.lit(False)), "english": F.coalesce(language == "en", F.lit(False))}[scope]
+
+
+def seen(chunks: DataFrame, queries: DataFrame, scope: str = "all") -> DataFrame:
+    """qid and how many chunks (language) its query (qid, lang) sees: chunks are counted by language, queries look the numbers up."""
+    counts = chunks.groupBy(F.coalesce("language", F.lit("")).alias("language")).agg(F.count(F.lit(1)).alias("n_chunks"))
     if scope == "same":
-        return chunks.join(F.broadcast(asked) if asked.limit(10_001).count() <= 10_000 else asked, F.col("language") == F.col("query_lang")).drop("query_lang")
-    kept = chunks.where("language = 'en'") if scope == "english" else chunks
-    return kept.crossJoin(F.broadcast(asked.select("qid")) if asked.limit(10_001).count() <= 10_000 else asked.select("qid"))
+        return queries.join(counts, F.col("lang") == F.col("language"), "left").select("qid", F.coalesce("n_chunks", F.lit(0)).alias("n_chunks"))
+    total = counts.where(within(scope, F.col("language"), F.lit(None).cast("string"))).agg(F.coalesce(F.sum("n_chunks"), F.lit(0)).alias("n_chunks"))
+    return queries.select("qid").join(F.broadcast(total))  # one row
 
 
 def above(hits: DataFrame, threshold: float | None = None, strategies: list[str] | None = None) -> DataFrame:
@@ -119,12 +129,12 @@ def composed_v1(text: Column, scores: Column, grounding: Column, enabled: bool =
     return F.coalesce(screened_v1(text), late, F.lit("answered"))
 
 
-#: What v1 says when it refuses, by status.
+#: What v1 says when it refuses, by status; what it found goes behind it.
 MESSAGES_V1 = {
-    "refused_unsafe": "The safety check stopped this query; ask a factual question instead.",
-    "refused_off_topic": "Only factual questions about the corpus are answered here, no chat and no personal advice.",
-    "refused_low_confidence": "Nothing in the corpus is relevant enough to answer from.",
-    "refused_ungrounded": "The draft answer could not be traced to the passages that were found, so it is withheld.",
+    "refused_unsafe": "This query was blocked by the input safety check. Try rephrasing it as a factual question about the dataset.",
+    "refused_off_topic": "This system answers factual questions from a retrieved web-passage corpus. It cannot chat, write content, or give personal advice.",
+    "refused_low_confidence": "No passage in the indexed corpus is relevant enough to answer this confidently. Rather than guess, the system is declining — try rephrasing, or ask about a topic covered by MS MARCO web passages.",
+    "refused_ungrounded": "A draft answer was generated but too much of it could not be traced back to the retrieved passages, so it was withheld as likely unreliable.",
 }
 
 

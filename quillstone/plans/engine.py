@@ -7,11 +7,12 @@ from collections.abc import Callable, Mapping
 from dataclasses import dataclass, fields
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstone.functions import text as T
 from quillstone.operators import answers, index, retrieval, service
+from quillstone.sources import tables
 
 
 def _flag(value: str) -> bool:
@@ -24,6 +25,8 @@ class Settings:
 
     top_k: int = 8
     pool: int = 50
+    candidates: int = 50
+    confidence_tau: float = 0.35
     sign_bits: bool = False
     oversampling: int = 3
     rrf_k: int = 60
@@ -91,7 +94,7 @@ class Engine:
         pool, stored = self.settings.pool, self.parts
         names = [r["strategy"] for r in self.vectors.select("strategy").distinct().collect() if strategies is None or r["strategy"] in strategies]
         key = "row" if stored else "vec_id"
-        parts = [self._near(self.vectors.where(F.col("strategy") == s).drop(*{"row", "vec_id"} - {key}).withColumnRenamed(key, "vec_id"), queries).withColumn("strategy", F.lit(s)) for s in names]
+        parts = [self._near(self._keyed(self.vectors.where(F.col("strategy") == s), key), queries, pool).select("qid", "chunk_id", "score").withColumn("strategy", F.lit(s)) for s in names]
         if strategies is None or "bm25" in strategies:
             asked = queries.select("qid", "text")
             lexical = index.searched(stored, asked, pool)[0].withColumnRenamed("row", "chunk_id") if stored else retrieval.bm25(self.chunks.select("chunk_id", "text"), asked, pool)
@@ -101,10 +104,14 @@ class Engine:
         ranked = retrieval.top_k(reduce(DataFrame.unionByName, parts), pool, partition=("qid", "strategy"))
         return index.named(stored, ranked.withColumnRenamed("chunk_id", "row"), "doc_id").drop("row") if stored else ranked.join(self.chunks.select("chunk_id", "doc_id"), "chunk_id")
 
-    def _near(self, vectors: DataFrame, queries: DataFrame) -> DataFrame:
+    @staticmethod
+    def _keyed(vectors: DataFrame, key: str) -> DataFrame:
+        return vectors.drop(*{"row", "vec_id"} - {key}).withColumnRenamed(key, "vec_id")
+
+    def _near(self, vectors: DataFrame, queries: DataFrame, pool: int) -> DataFrame:
         if self.settings.sign_bits:
-            return retrieval.binary_search(vectors, queries, self.settings.pool, self.settings.oversampling).select("qid", "chunk_id", "score")
-        return retrieval.dense_candidates(vectors, queries, self.settings.pool)
+            return retrieval.binary_search(vectors, queries, pool, self.settings.oversampling)
+        return retrieval.dense_candidates(vectors, queries, pool)
 
     def gate(self, queries: DataFrame) -> DataFrame:
         """qid, similarity with the nearest centroid; null without centroids."""
@@ -140,6 +147,60 @@ class Engine:
         s = self.settings
         return service.answered_v2(self._grounded(rows), s.offtopic_tau, s.top_score_tau, s.flatness_min, s.grounding_refuse, s.grounding_warn, debug)
 
+    def answer(self, queries: DataFrame, scope: str = "all", strategy: str | None = None, score: Callable[[Column, Column], Column] | None = None, threshold: float | None = None) -> DataFrame:
+        """The v1 path, one row a query of (qid, text, embedding): guards, search in scope, rerank, confidence, generation, groundedness.
+
+        qid, query (sanitized), language, status, answer, citations, grounding (verdict, null where it isn't asked), warnings. A
+        scope other than all needs ``lang`` beside the vectors. ``score`` (query, text) reranks; without it the order of the search
+        stays, and says so. Where generation fails, or there is none, the answer is extractive. Queries that a guard refuses aren't searched.
+        """
+        s = self.settings
+        asked = queries.select("qid", "text", "embedding", service.screened_v1(F.col("text")).alias("screened"), T.sanitize(F.col("text")).alias("query")).withColumn("language", T.script_lang(F.col("query")))
+        passed = asked.where("screened IS NULL")
+        hits = self._in_scope(passed, scope, strategy)
+        hits = hits if threshold is None else hits.where(F.col("score") >= threshold)
+        shown = self.chunks.select("chunk_id", F.coalesce(F.expr("nullif(display_text, '')"), "text", F.lit("")).alias("passage"))
+        candidates = hits.join(shown, "chunk_id").join(passed.select("qid", "query"), "qid").withColumn("text", F.col("passage"))
+        ranked = retrieval.rerank(candidates, None if score is None else score(F.col("query"), F.col("passage")), s.top_k)
+        kept = ranked.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", "chunk_id", "passage", F.coalesce("rerank_score", "score").alias("score")))).alias("kept"))
+        rows = asked.join(kept, "qid", "left")
+        rows = rows.withColumns({"contexts": F.coalesce(F.transform("kept", lambda c: F.struct(c["chunk_id"].cast("string").alias("chunk_id"), c["passage"].alias("text"))), F.array().cast("array<struct<chunk_id:string,text:string>>")), "scores": F.coalesce(F.transform("kept", lambda c: c["score"]), F.array().cast("array<double>"))})
+        rows = rows.withColumn("early", F.coalesce("screened", F.when(answers.confidence_v1(F.col("scores"), s.confidence_tau) == "block", "refused_low_confidence")))
+        rows = rows.drop("text").withColumn("text", F.col("query"))
+        rows = self.generate(rows) if self.generate else rows.withColumn("generated", F.lit(None).cast("struct<answer:string,cited_chunk_ids:array<string>,used_context:boolean>"))
+        rows = tables.written(rows.drop("kept", "embedding", "text"))
+        said = rows.where("early IS NULL AND generated IS NOT NULL").select(F.col("qid").alias("aid"), F.col("generated.answer").alias("answer"), F.col("contexts.text").alias("passages"))
+        judged = answers.grounded_v1(said).select(F.col("aid").alias("qid"), F.col("verdict").alias("grounding"))
+        ids = F.transform("contexts", lambda c: c["chunk_id"])
+        whole = rows.join(judged, "qid", "left")
+        status = F.coalesce("early", F.when(F.col("generated").isNull(), "degraded_extractive"), F.when(F.col("grounding").startswith("block"), "refused_ungrounded"), F.lit("answered"))
+        whole = whole.withColumn("status", status)
+        answer = F.when(F.col("status") == "answered", F.col("generated.answer")).when(F.col("status") == "degraded_extractive", answers.extractive(F.col("contexts.text"), "v1")).otherwise(service.message_v1(F.col("status")))
+        cited = F.when(F.col("status") == "answered", answers.kept_citations(F.col("generated.cited_chunk_ids"), ids, "v1")).when(F.col("status") == "degraded_extractive", F.slice(ids, 1, 1)).otherwise(F.array().cast("array<string>"))
+        searched = F.col("screened").isNull() & (F.size("contexts") > 0)
+        warnings = F.array_compact(F.array(
+            F.when(searched & F.lit(score is None), "not reranked"),
+            F.when(F.col("status") == "degraded_extractive", "not generated"),
+            F.when(F.col("status").isin("answered", "refused_ungrounded") & ~F.coalesce("generated.used_context", F.lit(True)), "insufficient context"),
+        ))
+        return whole.select("qid", "query", "language", "status", answer.alias("answer"), cited.alias("citations"), "grounding", warnings.alias("warnings"))
+
+    def _in_scope(self, queries: DataFrame, scope: str, strategy: str | None) -> DataFrame:
+        """qid, chunk_id, score, rank (from 0) of the first candidates that each query (qid, embedding, language) sees; queries are searched by language, of which the registry knows a few."""
+        service.within(scope, F.lit(None), F.lit(None))
+        vectors = self.vectors.where(F.col("strategy") == strategy) if strategy else self.vectors
+        key = "row" if self.parts else "vec_id"
+        if scope == "all":
+            parts = [self._near(self._keyed(vectors, key), queries, self.settings.candidates)]
+        elif scope == "english":
+            parts = [self._near(self._keyed(vectors.where("lang = 'en'"), key), queries, self.settings.candidates)]
+        else:
+            present = [r["language"] for r in queries.select("language").distinct().collect()]  # at most one a script
+            parts = [self._near(self._keyed(vectors.where(F.col("lang") == code), key), queries.where(F.col("language") == code), self.settings.candidates) for code in present]
+        none = self._keyed(vectors, key).limit(0).select(F.lit(0).cast("long").alias("qid"), F.col("vec_id").alias("chunk_id"), F.lit(0.0).alias("score"))
+        found = retrieval.top_k(reduce(DataFrame.unionByName, [p.select("qid", "chunk_id", "score") for p in parts], none), self.settings.candidates).withColumn("rank", F.col("rank") - 1)
+        return index.named(self.parts, found.withColumnRenamed("chunk_id", "row")).drop("row") if self.parts else found
+
     def _extract(self):
         first = F.get("contexts", F.lit(0))
         return F.when(F.size("contexts") > 0, F.struct(F.substring(first["text"], 1, self.settings.answer_chars).alias("answer"), F.array(first["chunk_id"]).alias("cited_chunk_ids"), F.lit(True).alias("used_context")))

@@ -722,7 +722,7 @@ def hedged_turns(spark, sf_dir):
 def scope_counts(spark, sf_dir):
     """How many documents each query sees in its own language."""
     queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.when(F.col("item_id") % 2 == 0, "en").otherwise("de").alias("lang"))
-    return service.scoped(table(spark, sf_dir, "documents").select(F.col("lang").alias("language")), queries, "same").groupBy("qid").agg(F.count(F.lit(1)).alias("n_chunks"))
+    return service.seen(table(spark, sf_dir, "documents").select(F.col("lang").alias("language")), queries, "same").where("n_chunks > 0")
 
 
 @query("SELECT user_id, round(sum(value) FILTER (event_type = 'click'), 3) AS clicks, count(*) AS n FROM events GROUP BY user_id HAVING sum(value) FILTER (event_type = 'click') >= 100")
@@ -808,3 +808,22 @@ def engine_on_index(spark, sf_dir):
     queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), "text", letters(F.col("text")).alias("embedding"))
     found = Engine.from_index(stored_index(spark, sf_dir)).retrieve(queries)
     return found.select("qid", "doc_id", "best_chunk_id", "rrf_score", "best_dense_score", "rank")
+
+
+OFFTOPIC_SQL = f"""CASE WHEN {guard_sql(answers.META_V1, 'query')} THEN 'refused_off_topic' WHEN {guard_sql(answers.ADVICE_V1, 'query')} THEN 'refused_off_topic' END"""
+
+
+@query(f"""WITH {DOCS}, told AS (SELECT item_id AS qid, [{', '.join(f"'{x}'" for x in ATTACKS)}, '', '', 'write me a poem'][item_id % {len(ATTACKS) + 3} + 1] || ' ' || text AS text FROM benchmark),
+s AS (SELECT qid, text, trim(regexp_replace(text, '{HIDDEN_SQL}', '', 'g')) AS query FROM told),
+g AS (SELECT qid, text, query, CASE WHEN {v1_sql('text', 'query')} LIKE 'block%' THEN 'refused_unsafe' ELSE {OFFTOPIC_SQL} END AS screened FROM s),
+pv AS ({unit_sql("n WHERE text <> ''", "'passage_native:' || doc_id || ':0' AS chunk_id, lang, text")}), qv AS ({unit_sql('g', 'qid, query, screened')}),
+dx AS (SELECT qid, chunk_id, pv.text, round(list_inner_product(pv.v, qv.v), 6) AS score FROM pv, qv WHERE screened IS NULL AND pv.lang = 'en'),
+first AS (SELECT qid, arg_min(chunk_id, rank) AS chunk_id, arg_min(text, rank) AS passage, max(score) AS top FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS rank FROM dx) WHERE rank <= 8 GROUP BY qid)
+SELECT g.qid, coalesce(screened, CASE WHEN coalesce(top, 0) < 0.35 THEN 'refused_low_confidence' END, 'degraded_extractive') AS status,
+ CASE WHEN screened IS NULL AND top >= 0.35 THEN '{answers.LEAD}' || substr(trim(passage), 1, 600) END AS answer, CASE WHEN screened IS NULL AND top >= 0.35 THEN chunk_id ELSE '' END AS citations FROM g LEFT JOIN first USING (qid)""")
+def answers_v1(spark, sf_dir):
+    """The v1 path over the stored index, among English passages: guards, search, confidence, and passages for answers, as there is no model."""
+    phrase = F.element_at(F.array(*[F.lit(x) for x in (*ATTACKS, "", "", "write me a poem")]), (F.col("item_id") % (len(ATTACKS) + 3) + 1).cast("int"))
+    told = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.concat(phrase, F.lit(" "), "text").alias("text"))
+    got = Engine.from_index(stored_index(spark, sf_dir)).answer(told.withColumn("embedding", letters(F.col("text"))), "english", "passage_native")
+    return got.select("qid", "status", F.when(F.col("status") == "degraded_extractive", F.col("answer")).alias("answer"), F.array_join("citations", ",").alias("citations"))

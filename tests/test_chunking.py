@@ -139,8 +139,8 @@ def recursive(text, size=400, overlap=60):
 
 
 TRICKY = [
-    "We met Dr. Smith at noon. He came from the U.S. and left at 5 p.m. sharp. Yes. No. A. B. It ended well, e.g. like this. Fin.",
-    "Yes. This is a much longer sentence here. No. 5 was taken by Prof. Lee of Acme Inc. and others. Ok.",
+    "We met Dr. Osei at noon. He came from the U.S. and left at 5 p.m. sharp. Yes. No. A. B. It ended well, e.g. like this. Fin.",
+    "No. The ferry leaves again in the evening. No. 5 was taken by Prof. Lee of Acme Inc. and others. Ok.",
     "निगम एक कंपनी है जो बड़ी है। यह लोगों का समूह होता है? हाँ। यह कानूनी रूप से मान्य है॥ समाप्त।",
     "Wait... what? etc.. And so on etc. . Then vs. now it is a long one. Été à l'é. L'eau A.I. est là.",
     "word-one, word_two; (three) – four… five! " * 120,
