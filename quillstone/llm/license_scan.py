@@ -10,7 +10,7 @@ intersection. The templates are a fixed parameter of bounded size, so they are l
 the scan, and no row is shuffled or collected but one count for each template word.
 
 Defined results. Null and empty texts have no words, no places and no labels. Repeated rows: one result each. A word
-with equal frequency as another is ordered by its spelling. Of equally good windows the first counts. Texts are scanned
+with equal frequency as another is ordered by its spelling. Of overlapping windows that are equally good the first is the block. Texts are scanned
 whole. No rows: no rows. Extra columns are ignored.
 """
 
@@ -129,8 +129,8 @@ def starts_of(phrase: str) -> str:
 def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = 0.95, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score (the highest containment), matches.
 
-    ``matches`` holds for each matching template the label, the containment of its best block, and that block's first word
-    (its place, from 0) and words.
+    ``matches`` holds every block that matches a template, template by template: the label, the block's containment, its first
+    word (its place, from 0) and its words. Of overlapping windows that match the same template the best one is the block.
     """
     src = pick(docs, doc_id=id_col, text=text_col).withColumn("text", text_or_empty(F.col("text")))
     sets = [(label, template_words(text), window_of(text)) for label, text in templates]
@@ -159,14 +159,15 @@ def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, th
         AND least(size(own) - array_position(own, array_intersect(own, t.prefix)[0]),
                   size(t.words) - array_position(t.words, array_intersect(own, t.prefix)[0])) + 1 >= t.need
         AND size(array_intersect(own, t.words)) >= t.need) END"""))
-    # windows that begin with one of the template's words and reach one of its prefix
-    anchored = passed.withColumn("anchored", F.expr("""transform(passed, t -> named_struct('t', t, 'starts', filter(
-        array_distinct(flatten(transform(filter(sequence(0, size(words) - 1), i -> array_contains(t.prefix, words[i])), i -> sequence(greatest(0, i - t.window + 1), i)))),
-        i -> array_contains(t.words, words[i]))))"""))
-    best = anchored.withColumn("best", F.expr("""transform(anchored, x -> named_struct('t', x.t,
-        'top', array_max(transform(x.starts, i -> named_struct('n', size(array_intersect(x.t.words, slice(words, i + 1, x.t.window))), 'start', -i)))))"""))
-    matched = best.withColumn("matches", F.expr("""transform(filter(best, x -> x.top.n >= x.t.need), x -> named_struct('label', x.t.label, 'score', CAST(x.top.n AS DOUBLE) / size(x.t.words),
-        'start', -x.top.start, 'block', array_join(slice(words, 1 - x.top.start, x.t.window), ' ')))""")).drop("words", "own", "passed", "anchored", "best")
+    # windows that begin with one of the template's words and reach one of its prefix; of those that match and overlap, the best
+    blocks = """transform(passed, t -> named_struct('t', t, 'found', aggregate(
+        filter(transform(filter(sequence(0, size(words) - 1), i -> array_contains(t.words, words[i]) AND arrays_overlap(t.prefix, slice(words, i + 1, t.window))),
+                         i -> named_struct('n', size(array_intersect(t.words, slice(words, i + 1, t.window))), 'start', i)), w -> w.n >= t.need),
+        CAST(array() AS ARRAY<STRUCT<n:INT,start:INT>>),
+        (kept, w) -> CASE WHEN size(kept) = 0 OR w.start >= element_at(kept, -1).start + t.window THEN concat(kept, array(w))
+                          WHEN w.n > element_at(kept, -1).n THEN concat(slice(kept, 1, size(kept) - 1), array(w)) ELSE kept END)))"""
+    matched = passed.withColumn("blocks", F.expr(blocks)).withColumn("matches", F.expr("""flatten(transform(blocks, x -> transform(x.found, w -> named_struct('label', x.t.label,
+        'score', CAST(w.n AS DOUBLE) / size(x.t.words), 'start', w.start, 'block', array_join(slice(words, w.start + 1, x.t.window), ' ')))))""")).drop("words", "own", "passed", "blocks")
     places = F.concat(*[F.col(f"at_{label}") for label in PHRASES.values()])
     base = F.array_compact(F.array(*[F.when(F.size(f"at_{label}") > 0, F.lit(label)) for label in PHRASES.values()]))
     out = matched.select("doc_id", "n_words", places.alias("places"), base.alias("base"), "matches")

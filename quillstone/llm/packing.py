@@ -11,7 +11,7 @@ The plan is made on the histogram of piece lengths, which has at most ``capacity
 Each step is made for a run of equal sequences at once, so that the plan is a short table of runs: pieces of this
 length with these ranks go to sequences from this one on, at this offset. A piece finds its run by its rank among the
 pieces of its length; ranks are counted in two levels, (length, bucket) and within it, so that a length that a third of
-all pieces share isn't ranked by one task.
+all pieces share isn't ranked by one task. Buckets follow ids and what the pieces hold, so that rows without an id are dealt out too.
 
 Defined results. Null and empty texts are one piece, the closing id. Repeated rows are packed once each. A document
 longer than the capacity is cut so that its first piece is the short one. No rows: no pieces. Extra columns are ignored.
@@ -219,7 +219,7 @@ def plan(histogram: dict[int, int], capacity: int, groups: int = 1000, small: in
 
 def ranked(pieces_df: DataFrame, partitions: int) -> DataFrame:
     """With rank: from 0 among the pieces of the same length."""
-    bucketed = pieces_df.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(partitions)).cast("int"))
+    bucketed = pieces_df.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32"), F.lit(partitions)).cast("int"))
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = bucketed.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("n")).select("length", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     within = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32")) - 1

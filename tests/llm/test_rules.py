@@ -74,6 +74,32 @@ def test_quality_order_never_changes_verdicts(spark, docs):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {i for i, k in want.items() if k}
 
 
+def test_a_dear_rule_that_rejects_little_goes_last(spark, docs):
+    """Costs are counted: ten of ten runs agree, and neither a cheap rule nor one that rejects much comes after the dear one."""
+    dear = quality_rules.Rule("dear", "n_repeat_words > 1000000 AND n_different > 0")
+    rules = (dear, *quality_rules.RULES, quality_rules.Rule("much", "n_words < 400"))
+    runs = [[r.name for r in quality_rules.ordered_rules(docs, rules=rules)] for _ in range(10)]
+    assert all(r == runs[0] for r in runs) and runs[0][0] == "much" and runs[0][-1] == "dear"
+    found = quality_rules.estimates(docs, "text", rules, 10**6)
+    words = {r.doc_id: len(SPACE.findall(r.text or "")) for r in docs.collect()}
+    assert found["much"][0] == sum(n < 400 for n in words.values()) and found["dear"][0] == 0
+    assert found["dear"][1] > 4 * found["symbols"][1] > found["much"][1]
+    assert set(quality_rules.TOUCHED) == set(quality_rules.MEASURES)
+
+
+def test_every_block_of_a_licence_is_found(spark):
+    """A text that repeats notices thousands of times: each is a block of its own, none twice."""
+    notice, label = license_scan.TEMPLATES[0][1], license_scan.TEMPLATES[0][0]
+    gap = " ".join(f"w{k}" for k in range(20))
+    rows = [(1, f"{gap} {notice} {gap} {notice} {gap}"), (2, f"{notice} " * 3000), (3, gap)]
+    got = {r.doc_id: r for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [m.start for m in got[1].matches if m.label == label and m.score == 1][:2] == [20, 45]
+    starts = [m.start for m in got[2].matches]
+    size = license_scan.window_of(notice)
+    assert len(starts) == len(set(starts)) >= 3000 * 5 // size - 1 and all(b - a >= size for a, b in zip(starts, starts[1:], strict=False))
+    assert got[2].score == 1 and got[3].matches == []
+
+
 def test_license_cases(spark, awkward):
     rows = license_scan.scan(awkward).collect()
     got = {r.doc_id: r for r in rows}
@@ -129,6 +155,47 @@ def test_secrets_equal_brute_force(spark, awkward, docs):
     assert secret_scan.scan(awkward.limit(0)).count() == 0
 
 
+def found_thresholds(mixed, rate):
+    """The false-discovery rule from single p-values: the lowest bin's edge above which few enough of the runs are expected to be ordinary."""
+    out = []
+    for band, reached in enumerate(secret_scan.NULL):
+        own = [min(int(p * secret_scan.BINS), secret_scan.BINS - 1) for b, p in mixed if b == band]
+        allowed = []
+        for edge in range(secret_scan.BINS):
+            reported = sum(x >= edge for x in own)
+            ordinary = min((share for share, p in zip(secret_scan.SHARES, reached, strict=True) if p <= edge / secret_scan.BINS), default=1) * len(own)
+            if reported and ordinary <= rate * reported:
+                allowed.append(edge / secret_scan.BINS)
+        out.append(min(allowed, default=2.0))
+    return out
+
+
+def planted(spark, length, alphabet, n=200, words=2000):
+    rnd = np.random.default_rng(length)
+    plain = [w for (w,) in [("-".join(rnd.choice(["alpha", "beta", "gamma", "delta", "omega", "theta"], 4)) + str(k),) for k in range(words)]]
+    keys = ["".join(rnd.choice(list(alphabet), length)) for _ in range(n)]
+    rows = [(k, f"see {x} here") for k, x in enumerate(keys)] + [(10_000 + k, f"a {w} b") for k, w in enumerate(plain)]
+    return spark.createDataFrame(rows, "doc_id long, text string")
+
+
+def test_false_discovery_rule_equals_brute_force(spark):
+    df = planted(spark, 24, "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789").unionByName(planted(spark, 40, "0123456789abcdef", 30))
+    runs = secret_scan.quoted(secret_scan.RUN)
+    tested = df.selectExpr(f"transform(regexp_extract_all(text, {runs}, 0), x -> named_struct('kind', 3, 's', 0L, 'e', 0L, 'x', x)) AS runs").selectExpr(f"inline({secret_scan.battery('runs')})").where("mixed").collect()
+    for rate in (0.01, 0.05, 0.3):
+        assert secret_scan.thresholds(df, rate) == found_thresholds([(r.band, r.p) for r in tested], rate)
+
+
+@pytest.mark.parametrize("length", [20, 21, 22, 23])
+def test_recall_of_short_keys(spark, length):
+    """Twenty characters give weak tests: of base64 keys among ten times as many ordinary runs at least 0.8 are found."""
+    df = planted(spark, length, "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
+    got = secret_scan.digest(secret_scan.scan(df)).where("spans <> ''").select("doc_id").collect()
+    keys = sum(r.doc_id < 10_000 for r in got)
+    print("recall", length, keys / 200, "false", len(got) - keys)
+    assert keys >= 160 and len(got) - keys <= 0.1 * len(got)
+
+
 def test_random_runs_are_found_and_words_are_not(spark):
     import random
 
