@@ -238,10 +238,45 @@ def _unchecked(name: str, strategy: str) -> None:
     query()(f)
 
 
-for _name, _strategy in (("chunk_semantic", "semantic"), ("chunk_semantic_v1", "semantic_v1"), ("chunk_recursive", "recursive_character"), ("chunk_late", "late_chunking")):
+for _name, _strategy in (("chunk_semantic", "semantic"), ("chunk_semantic_v1", "semantic_v1")):
     _unchecked(_name, _strategy)
 
 
+@query(f"""WITH RECURSIVE {DOCS}, {sentences_sql('v1')},
+e AS MATERIALIZED (SELECT doc_id, k, length(sentence) AS size, sum(length(sentence) + 1) OVER (PARTITION BY doc_id ORDER BY k) - 1 AS b FROM sent),
+walk AS (SELECT doc_id, k, 1 AS g, b - size AS first, b FROM e WHERE k = 1
+UNION ALL SELECT e.doc_id, e.k, CASE WHEN e.b - w.first <= 300 THEN w.g ELSE w.g + 1 END, CASE WHEN e.b - w.first <= 300 THEN w.first ELSE e.b - e.size END, e.b FROM walk w JOIN e ON e.doc_id = w.doc_id AND e.k = w.k + 1),
+gr AS (SELECT doc_id, g, min(first) AS a, max(b) AS b FROM walk GROUP BY doc_id, g),
+folded AS (SELECT *, sum(CASE WHEN g = 1 OR b - a >= 80 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY g) AS og FROM gr),
+sp AS (SELECT doc_id, og, min(a) AS a, max(b) AS b FROM folded GROUP BY doc_id, og)
+SELECT doc_id, CAST(og - 1 AS BIGINT) AS ordinal, substr(text, CAST(a + 1 AS BIGINT), CAST(b - a AS BIGINT)) AS text, substr(text, CAST(a + 1 AS BIGINT), CAST(b - a AS BIGINT)) AS display_text FROM sp JOIN n USING (doc_id)""")
+def chunk_late(spark, sf_dir):
+    return chunks_of("late_chunking", spark, sf_dir)
+
+
+def recursive_sql(size: int = 400, overlap: int = 60) -> str:
+    """From n (doc_id, text) to cut (doc_id, k, text): a step for each separator, which parts what is over the size; then pieces are walked one by one."""
+    steps, last = ["s0 AS (SELECT doc_id, CAST([] AS INTEGER[]) AS path, text AS span FROM n WHERE text <> '')"], "s0"
+    for at, mark in enumerate(chunking.SEPARATORS[:-1], 1):
+        m = "chr(10) || chr(10)" if mark == "\n\n" else "chr(10)" if mark == "\n" else f"'{mark}'"
+        kept = f" || {m}" if mark.strip() else ""
+        steps.append(f"""s{at} AS (SELECT doc_id, list_append(path, i) AS path, CASE WHEN parted THEN parts[i]{kept} ELSE span END AS span FROM (
+            SELECT *, length(span) > {size} AND contains(span, {m}) AS parted, CASE WHEN length(span) > {size} AND contains(span, {m}) THEN string_split(span, {m}) ELSE [span] END AS parts FROM {last}), unnest(range(1, len(parts) + 1)) AS u(i))""")
+        last = f"s{at}"
+    return f"""{', '.join(steps)},
+sliced AS (SELECT doc_id, list_append(path, CAST(i AS INTEGER)) AS path, substr(span, CAST(i * {size} + 1 AS BIGINT), {size}) AS piece FROM {last}, unnest(range(0, greatest(1, CAST(ceil(length(span) / {size}.0) AS BIGINT)))) AS u(i)),
+pieces AS MATERIALIZED (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY path) AS k, piece, count(*) OVER (PARTITION BY doc_id) AS n FROM sliced),
+walk AS (SELECT doc_id, k, n, piece AS now, CAST(NULL AS VARCHAR) AS out FROM pieces WHERE k = 1
+UNION ALL SELECT p.doc_id, p.k, p.n, CASE WHEN full_ THEN right(w.now, {overlap}) ELSE w.now END || p.piece, CASE WHEN full_ THEN w.now END
+ FROM (SELECT w.*, p.piece, p.k AS k2, w.now <> '' AND length(w.now) + length(p.piece) > {size} AS full_ FROM walk w JOIN pieces p ON p.doc_id = w.doc_id AND p.k = w.k + 1) w JOIN pieces p ON p.doc_id = w.doc_id AND p.k = w.k2),
+cut AS (SELECT doc_id, k, trim(out) AS text FROM walk WHERE out IS NOT NULL UNION ALL SELECT doc_id, k + 1, trim(now) FROM walk WHERE k = n)"""
+
+
+@query(f"WITH RECURSIVE {DOCS}, {recursive_sql()} SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS ordinal, text, text AS display_text FROM cut WHERE text <> ''")
+def chunk_recursive(spark, sf_dir):
+    return chunks_of("recursive_character", spark, sf_dir)
+
+
 @query(f"""WITH {DOCS}, c AS (SELECT doc_id, trim(substr(text, CAST(k * 320 + 1 AS BIGINT), 400)) AS text FROM n, unnest(range(0, CAST(greatest(0, ceil((length(text) - 400) / 320.0)) AS BIGINT) + 1)) AS u(k) WHERE text <> '')
 SELECT count(*) AS n_out, CAST(sum(length(text)) AS BIGINT) AS total_chars, CAST(min(length(text)) AS BIGINT) AS min_chars, CAST(max(length(text)) AS BIGINT) AS max_chars, round(avg(length(text)), 2) AS avg_chars,
 (SELECT count(*) FROM n WHERE text <> '') AS n_in, round(count(*) / (SELECT count(*) FROM n WHERE text <> ''), 4) AS expansion FROM c WHERE text <> ''""")
@@ -360,7 +395,21 @@ def confidence_gate(spark, sf_dir):
     return gate.select("qid", answers.confidence_v2(F.col("top"), F.col("flatness"), F.col("n_candidates")).alias("verdict"))
 
 
-@query()
+def mmr_sql(top: int = 5, pool: int = 30, weight: float = 0.7) -> str:
+    """From b and fu to chosen: a step for each place, where the best of the rest joins the list."""
+    near = DOT.format("x.embedding", "y.embedding").removeprefix("round(").removesuffix(", 6)")
+    steps = [f"""bc AS (SELECT qid, doc_id, chunk_id AS best FROM (SELECT *, row_number() OVER (PARTITION BY qid, doc_id ORDER BY score DESC, CASE strategy WHEN 'sentence' THEN 2 ELSE 4 END, chunk_id) AS i FROM b) WHERE i = 1),
+cand AS MATERIALIZED (SELECT fu.qid, fu.doc_id, fu.rank, fu.rrf_score, embedding FROM fu JOIN bc USING (qid, doc_id) JOIN embeddings ON vec_id = best WHERE rank <= {pool}),
+p1 AS (SELECT qid, doc_id, 1 AS place FROM cand WHERE rank = 1)"""]
+    for place in range(2, top + 1):
+        before = " UNION ALL ".join(f"SELECT * FROM p{k}" for k in range(1, place))
+        steps.append(f"""p{place} AS (SELECT qid, doc_id, {place} AS place FROM (SELECT qid, doc_id, row_number() OVER (PARTITION BY qid ORDER BY s DESC, rank) AS i FROM (
+  SELECT x.qid, x.doc_id, x.rank, {weight} * any_value(x.rrf_score) * 100 - {round(1 - weight, 6)} * max({near}) AS s FROM cand x JOIN ({before}) c ON c.qid = x.qid JOIN cand y ON y.qid = c.qid AND y.doc_id = c.doc_id
+  WHERE NOT EXISTS (SELECT 1 FROM ({before}) o WHERE o.qid = x.qid AND o.doc_id = x.doc_id) GROUP BY x.qid, x.doc_id, x.rank)) WHERE i = 1)""")
+    return ", ".join(steps) + ", chosen AS (" + " UNION ALL ".join(f"SELECT * FROM p{k}" for k in range(1, top + 1)) + ")"
+
+
+@query(f"WITH {HITS}, {mmr_sql()} SELECT qid, doc_id, CAST(place AS BIGINT) AS place FROM chosen")
 def mmr_rerank(spark, sf_dir):
     """Each document by the vector of its own best chunk."""
     return retrieval.mmr(retrieval.rrf(hits(spark, sf_dir)), vectors(spark, sf_dir).select(F.col("vec_id").alias("best_chunk_id"), "embedding"), key="best_chunk_id")
