@@ -86,6 +86,11 @@ def holdout(docs: DataFrame, group: str, order: str, share: float = 0.85) -> Dat
     return docs.join(first, F.col(group).eqNullSafe(F.col("group_of_first"))).withColumn("is_heldout", F.coalesce(F.col(order) >= F.col("first_heldout"), F.lit(False))).drop("group_of_first", "first_heldout")
 
 
+def holdout_asked(rows: DataFrame, asked: int, place: str = "place", share: float = 0.85) -> DataFrame:
+    """Of the first ``asked`` rows of a source, by their place: is_heldout from position int(asked * share) on. A file with fewer rows holds out fewer, or none."""
+    return rows.where(F.col(place) < asked).withColumn("is_heldout", F.col(place) >= int(asked * share))
+
+
 def stratified_sample(docs: DataFrame, group: str, key: str, per_group: int, seed: int = 7) -> DataFrame:
     """per_group rows of each group, those with the smallest hash."""
     draw = F.sha2(F.concat_ws("-", F.col(key).cast("string"), F.lit(seed)), 256)

@@ -6,6 +6,7 @@ the telemetry (event_type a stage, value its milliseconds, user_id a request), c
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,7 +17,7 @@ from quillstone.functions import vectors as V
 from quillstone.operators import analytics, answers, chunking, corpus, evaluate, index, ranks, retrieval, service
 from quillstone.plans.engine import Engine
 from quillstone.shipping import ship
-from quillstone.sources import tables
+from quillstone.sources import tables, versions
 from quillstone.streaming import telemetry
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -876,3 +877,30 @@ def answers_v1(spark, sf_dir):
     told = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.concat(phrase, F.lit(" "), "text").alias("text"))
     got = Engine.from_index(stored_index(spark, sf_dir)).answer(told.withColumn("embedding", letters(F.col("text"))), "english", "passage_native")
     return got.select("qid", "status", F.when(F.col("status") == "degraded_extractive", F.col("answer")).alias("answer"), F.array_join("citations", ",").alias("citations"))
+
+
+@query("SELECT doc_id, place, place >= 765 AS is_heldout FROM (SELECT doc_id, row_number() OVER () - 1 AS place FROM documents) WHERE place < 900")
+def holdout_by_place(spark, sf_dir):
+    """The split of the rows that were asked for, in the order of the source's files."""
+    return corpus.holdout_asked(tables.with_place(spark, f"{sf_dir}/documents.parquet", columns=["doc_id"]), 900).select("doc_id", "place", "is_heldout")
+
+
+@query("SELECT doc_id, CASE WHEN l.doc_id IS NULL THEN d.lang ELSE 'labelled' END AS lang, CASE WHEN l.doc_id IS NULL THEN d.n_chars ELSE l.quality END AS n_chars FROM documents d FULL JOIN (SELECT doc_id, CAST(quality AS BIGINT) AS quality FROM labels WHERE toxic = 0) l USING (doc_id)")
+def upserted(spark, sf_dir):
+    """Documents as a table by key, labels upserted into it; read at the last version."""
+    ship(spark)
+    rows = table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars")
+    held = versions.KeyedTable.create(f"{tables.shared_folder(spark)}/keyed-{uuid.uuid4().hex}", rows, "doc_id", 16)
+    held.upsert(table(spark, sf_dir, "labels").where("toxic = 0").select("doc_id", F.lit("labelled").alias("lang"), F.col("quality").cast("long").alias("n_chars")))
+    return held.read()
+
+
+@query("SELECT doc_id, lang, n_chars FROM documents WHERE doc_id > (SELECT doc_id FROM documents ORDER BY doc_id LIMIT 1 OFFSET 119) ORDER BY doc_id LIMIT 40")
+def page_by_key(spark, sf_dir):
+    """The fourth page of 40 documents, each from the key where the one before ended."""
+    path = f"{tables.shared_folder(spark)}/ordered-{uuid.uuid4().hex}"
+    versions.write_ordered(table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars"), path, "doc_id")
+    after = None
+    for _ in range(4):
+        page, after = versions.page_after(spark, path, "doc_id", after, 40)
+    return page

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from typing import TypeVar
 
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 T = TypeVar("T")
@@ -77,11 +77,22 @@ def with_retries(call: Callable[[], T], attempts: int = 3, wait: Callable[[float
     raise AssertionError
 
 
-def read_source(spark: SparkSession, path: str, limit: int | None = None, order: str = "query_id", columns: list[str] | None = SOURCE_COLUMNS) -> DataFrame:
-    """Projected scan, or of all columns; a limit takes the first rows in an order, as a Spark limit alone has none."""
+def read_source(spark: SparkSession, path: str, limit: int | None = None, columns: list[str] | None = SOURCE_COLUMNS) -> DataFrame:
+    """Projected scan, or of all columns; a limit takes the first rows as they stand in the files."""
+    if limit:
+        return with_place(spark, path, "place_of_row", columns).where(F.col("place_of_row") < limit).drop("place_of_row")
     rows = with_retries(lambda: spark.read.parquet(path))
-    rows = rows.select(*columns) if columns else rows
-    return rows.orderBy(order).limit(limit) if limit else rows
+    return rows.select(*columns) if columns else rows
+
+
+def with_place(spark: SparkSession, path: str, name: str = "place", columns: list[str] | None = None) -> DataFrame:
+    """The rows of Parquet files with their place, from 0: files by name, rows as they stand in their file. Nothing is sorted."""
+    rows = with_retries(lambda: spark.read.parquet(path))
+    at = rows.select(*(columns or rows.columns), F.col("_metadata.file_path").alias("file_of_row"), F.col("_metadata.row_index").alias("row_in_file"))
+    sizes = at.groupBy("file_of_row").agg((F.max("row_in_file") + 1).alias("n"))
+    before = Window.orderBy("file_of_row").rowsBetween(Window.unboundedPreceding, -1)  # one row a file
+    starts = sizes.select("file_of_row", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start_of_file"))
+    return at.join(starts, "file_of_row").withColumn(name, F.col("start_of_file") + F.col("row_in_file")).drop("file_of_row", "row_in_file", "start_of_file")
 
 
 def write_table(df: DataFrame, path: str, partitions: tuple[str, ...] = ()) -> None:

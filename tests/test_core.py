@@ -12,7 +12,7 @@ from quillstone.functions import vectors as V
 from quillstone.operators import analytics, answers, chunking, corpus, evaluate, index, retrieval, service
 from quillstone.plans import queries as catalogue
 from quillstone.plans.engine import Engine, Settings
-from quillstone.sources import tables
+from quillstone.sources import tables, versions
 from quillstone.streaming import telemetry
 
 SF = "/root/testdata/sf0.001"
@@ -761,3 +761,70 @@ def test_extractive_answers(spark):
     assert [len(r[0] or "") for r in df.select(answers.extractive(F.col("p"))).collect()] == [800, 0]
     v1 = [r[0] for r in df.select(answers.extractive(F.col("p"), "v1")).collect()]
     assert v1[0].endswith("x" * 600) and "unavailable" in v1[0] and v1[1].startswith("No relevant")
+
+
+def test_a_table_by_key_is_versioned(spark, tmp_path):
+    path = str(tmp_path / "k")
+    rows = lambda df: {r.k: r.v for r in df.collect()}
+    base = spark.createDataFrame([(k, "old") for k in range(60)], "k long, v string")
+    held = versions.KeyedTable.create(path, base, "k", 8)
+    with pytest.raises(FileExistsError):
+        versions.KeyedTable.create(path, base, "k", 8)
+    before = held.manifest()["folders"]
+    assert held.upsert(spark.createDataFrame([(3, "new"), (100, "new")], "k long, v string")) == 2
+    after = held.manifest()["folders"]
+    touched = {b for b in after if after[b] != before.get(b)}
+    assert 1 <= len(touched) <= 2 and all(after[b] == before[b] for b in before if b not in touched)
+    assert rows(held.read()) == {k: "old" for k in range(60)} | {3: "new", 100: "new"} and rows(held.read(1)) == rows(base)
+    failing = spark.createDataFrame([(5, "x")], "k long, v string").withColumn("v", F.raise_error(F.lit("lost")).cast("string"))
+    with pytest.raises(Exception, match="lost"):
+        held.upsert(failing)
+    assert held.versions() == [1, 2] and rows(held.read())[5] == "old"
+    assert held.delete(spark.createDataFrame([(3,), (7,)], "k long")) == 3 and not {3, 7} & set(rows(held.read()))
+    slow = versions.KeyedTable(spark, path, "k")
+    at_once = slow.manifest()
+    held.upsert(spark.createDataFrame([(9, "first")], "k long, v string"))
+    with pytest.raises(FileExistsError):
+        slow._commit(at_once["version"] + 1, 8, {"schema": at_once["schema"], "folders": at_once["folders"]})
+    want = rows(held.read())
+    assert held.vacuum() and held.versions() == [4] and rows(held.read()) == want and want[9] == "first"
+    assert held.vacuum() == []
+    with pytest.raises(FileNotFoundError):
+        held.read(1)
+
+
+def test_pages_by_key_read_the_files_they_need(spark, tmp_path):
+    path = str(tmp_path / "p")
+    df = spark.createDataFrame([(k * 3, None if k % 10 == 0 else [1.0 * k]) for k in range(500)], "k long, embedding array<double>").repartition(8)
+    versions.write_ordered(df, path, "k", 8)
+    seen, after, pages = [], None, 0
+    while True:
+        page, after = versions.page_after(spark, path, "k", after, 64)
+        seen += [r.k for r in page.orderBy("k").collect()]
+        pages += 1
+        assert len(page.inputFiles()) <= 3
+        if after is None:
+            break
+    assert seen == [3 * k for k in range(500)] and pages == 8
+    assert versions.page_after(spark, path, "k", 5000)[0].count() == 0
+    plan = page._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrderedAndProject" in plan and "rangepartitioning" not in plan
+    target = str(tmp_path / "t")
+    steps, made = versions.migrate_ordered(spark, path, target, files=2)
+    assert steps == made >= 2
+    import shutil
+
+    shutil.rmtree(f"{target}/step=000001")
+    assert versions.migrate_ordered(spark, path, target, files=2) == (steps, 1)
+    assert spark.read.parquet(target).count() == 450
+
+
+def test_rows_have_their_place_in_the_source(spark, tmp_path):
+    for k, part in enumerate(([5, 3, 9], [1], [], [8, 2])):
+        spark.createDataFrame([(x,) for x in part], "x long").coalesce(1).write.parquet(str(tmp_path / "s" / f"part={k}"))
+    placed = tables.with_place(spark, str(tmp_path / "s" / "*"))
+    assert [r.x for r in placed.orderBy("place").collect()] == [5, 3, 9, 1, 8, 2]
+    assert sorted(r.x for r in tables.read_source(spark, str(tmp_path / "s" / "*"), 4, None).collect()) == [1, 3, 5, 9]
+    assert "Sort" not in placed.where("place < 4")._jdf.queryExecution().optimizedPlan().toString()
+    split = lambda n: [r.is_heldout for r in corpus.holdout_asked(placed, n).orderBy("place").collect()]
+    assert split(6) == [False] * 5 + [True] and split(4) == [False] * 3 + [True] and split(100) == [False] * 6
