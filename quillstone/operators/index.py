@@ -67,7 +67,7 @@ def checked(vectors: DataFrame, chunks: DataFrame) -> DataFrame:
 
 #: Neighbouring rows whose postings of a term are one block, and spans that a query reads before it knows a bound.
 SPAN, FIRST = 1024, 4
-PARTS = ("chunks", "rows", "vectors", "postings", "terms", "stats", "manifest")
+PARTS = ("chunks", "rows", "vectors", "centroids", "graph", "postings", "terms", "stats", "manifest")
 
 
 def numbered(chunks: DataFrame, starts: DataFrame) -> DataFrame:
@@ -91,8 +91,9 @@ def blocks(chunks: DataFrame, avgdl: float) -> DataFrame:
     return gathered.select("term", "span", F.col("held.row").alias("rows"), F.col("held.tf").alias("tf"), F.col("held.dl").alias("dl"), "weight", "n")
 
 
-def save(folder: str, chunks: DataFrame, vectors: DataFrame | None = None, lexical: list[str] | None = None) -> None:
-    """Writes the index of these chunks; dense parts, of those strategies that have vectors, with their sign bits; postings of the ``lexical`` strategies, or all."""
+def save(folder: str, chunks: DataFrame, vectors: DataFrame | None = None, lexical: list[str] | None = None, centroids: DataFrame | None = None) -> None:
+    """Writes the index of these chunks; dense parts, of those strategies that have vectors, with their sign bits and, where
+    centroids (cid, centroid) are given, each strategy's graph; postings of the ``lexical`` strategies, or all."""
     spark = chunks.sparkSession
     placed = tables.written(chunks).repartitionByRange("chunk_id").sortWithinPartitions("chunk_id").withColumn("place", F.monotonically_increasing_id())
     tables.write_table(placed, f"{folder}/chunks", ("strategy",))
@@ -104,6 +105,14 @@ def save(folder: str, chunks: DataFrame, vectors: DataFrame | None = None, lexic
         dense = stored.join(F.broadcast(vectors.select("strategy").distinct()), "strategy", "left_semi").select("chunk_id", "row", *{"lang"} & {*stored.columns})
         keyed = checked(vectors, dense).join(dense, "chunk_id").withColumn("bits", V.sign_words(F.col("embedding")))
         tables.write_table(keyed.repartitionByRange("row").sortWithinPartitions("strategy", "row"), f"{folder}/vectors", ("strategy",))
+        if centroids is not None:
+            from quillstone.operators import graph
+
+            tables.write_table(centroids, f"{folder}/centroids")
+            held = spark.read.parquet(f"{folder}/vectors").select("strategy", F.col("row").alias("vec_id"), "embedding")
+            names = [r["strategy"] for r in held.select("strategy").distinct().collect()]
+            walked = [graph.build(held.where(F.col("strategy") == s), spark.read.parquet(f"{folder}/centroids")).withColumn("strategy", F.lit(s)) for s in names]
+            tables.write_table(reduce(DataFrame.unionByName, walked), f"{folder}/graph", ("strategy",))
     searched = stored.where(F.col("strategy").isin(lexical)) if lexical else stored
     tables.write_table(searched.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size(T.tokens(F.col("text")))).alias("avgdl")), f"{folder}/stats")
     size = spark.read.parquet(f"{folder}/stats").first()
@@ -194,11 +203,16 @@ def bucketed(vectors: DataFrame, centroids: DataFrame) -> DataFrame:
     return vectors.crossJoin(one_row).withColumn("bucket", nearest["cid"]).drop("centroids")
 
 
-def approximate_top_k(vectors: DataFrame, queries: DataFrame, centroids: DataFrame, k: int = 10, probes: int = 8) -> DataFrame:
-    """qid, chunk_id, score, rank over the ``probes`` buckets nearest to each query; all buckets make it exact."""
+def nearest_buckets(queries: DataFrame, centroids: DataFrame, probes: int) -> DataFrame:
+    """qid, asked (the query's vector), bucket: the ``probes`` buckets whose centroids are nearest."""
     rows = centroids.agg(F.array_sort(F.collect_list(F.struct("cid", "centroid"))).alias("centroids"))
     near = F.sort_array(F.transform("centroids", lambda c: F.struct(V.dot(F.col("embedding"), c["centroid"]).alias("near"), c["cid"].alias("cid"))), asc=False)
-    asked = queries.crossJoin(F.broadcast(rows)).select("qid", F.col("embedding").alias("asked"), F.explode(F.transform(F.slice(near, 1, probes), lambda x: x["cid"])).alias("bucket"))
+    return queries.crossJoin(F.broadcast(rows)).select("qid", F.col("embedding").alias("asked"), F.explode(F.transform(F.slice(near, 1, probes), lambda x: x["cid"])).alias("bucket"))
+
+
+def approximate_top_k(vectors: DataFrame, queries: DataFrame, centroids: DataFrame, k: int = 10, probes: int = 8) -> DataFrame:
+    """qid, chunk_id, score, rank over the ``probes`` buckets nearest to each query; all buckets make it exact."""
+    asked = nearest_buckets(queries, centroids, probes)
     few = queries.limit(retrieval.BLOCK + 1).count() <= retrieval.BLOCK
     met = vectors.join(F.broadcast(asked) if few else asked, "bucket")
     return retrieval.top_k(met.select("qid", F.col("vec_id").alias("chunk_id"), F.round(V.dot(F.col("embedding"), F.col("asked")), 6).alias("score")), k)

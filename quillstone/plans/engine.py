@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstone.functions import text as T
-from quillstone.operators import answers, index, retrieval, service
+from quillstone.operators import answers, graph, index, retrieval, service
 from quillstone.sources import tables
 
 
@@ -29,6 +29,9 @@ class Settings:
     confidence_tau: float = 0.35
     sign_bits: bool = False
     oversampling: int = 3
+    by_graph: bool = False
+    probes: int = 3
+    beam: int = 64
     rrf_k: int = 60
     mmr_weight: float = 0.7
     mmr_pool: int = 30
@@ -80,7 +83,7 @@ class Engine:
 
     @classmethod
     def from_index(cls, parts: dict[str, DataFrame], **options) -> Engine:
-        """Over a stored index, as index.load gives it: searches by its rows, its postings and, if settings say so, its sign bits."""
+        """Over a stored index, as index.load gives it: searches by its rows, its postings and, if settings say so, its sign bits or its graphs."""
         if "vectors" not in parts:
             raise ValueError("no dense index: at least one strategy must have vectors")
         return cls(parts["chunks"], parts["vectors"].withColumnRenamed("chunk_id", "vec_id"), parts=parts, **options)
@@ -94,7 +97,7 @@ class Engine:
         pool, stored = self.settings.pool, self.parts
         names = [r["strategy"] for r in self.vectors.select("strategy").distinct().collect() if strategies is None or r["strategy"] in strategies]
         key = "row" if stored else "vec_id"
-        parts = [self._near(self._keyed(self.vectors.where(F.col("strategy") == s), key), queries, pool).select("qid", "chunk_id", "score").withColumn("strategy", F.lit(s)) for s in names]
+        parts = [self._near(self._keyed(self.vectors.where(F.col("strategy") == s), key), queries, pool, s).select("qid", "chunk_id", "score").withColumn("strategy", F.lit(s)) for s in names]
         if strategies is None or "bm25" in strategies:
             asked = queries.select("qid", "text")
             lexical = index.searched(stored, asked, pool)[0].withColumnRenamed("row", "chunk_id") if stored else retrieval.bm25(self.chunks.select("chunk_id", "text"), asked, pool)
@@ -108,7 +111,11 @@ class Engine:
     def _keyed(vectors: DataFrame, key: str) -> DataFrame:
         return vectors.drop(*{"row", "vec_id"} - {key}).withColumnRenamed(key, "vec_id")
 
-    def _near(self, vectors: DataFrame, queries: DataFrame, pool: int) -> DataFrame:
+    def _near(self, vectors: DataFrame, queries: DataFrame, pool: int, strategy: str | None = None) -> DataFrame:
+        """Exact, unless settings say otherwise: by the stored graph of a strategy (a scope has none of its own), or by sign bits."""
+        if self.settings.by_graph and strategy and self.parts and "graph" in self.parts:
+            walked = self.parts["graph"].where(F.col("strategy") == strategy)
+            return graph.top_k(walked, queries, self.parts["centroids"], pool, self.settings.probes, max(self.settings.beam, pool))
         if self.settings.sign_bits:
             return retrieval.binary_search(vectors, queries, pool, self.settings.oversampling)
         return retrieval.dense_candidates(vectors, queries, pool)

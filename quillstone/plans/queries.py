@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from quillstone.functions import text as T
 from quillstone.functions import vectors as V
-from quillstone.operators import analytics, answers, chunking, corpus, evaluate, index, ranks, retrieval, service
+from quillstone.operators import analytics, answers, chunking, corpus, evaluate, graph, index, ranks, retrieval, service
 from quillstone.plans.engine import Engine
 from quillstone.shipping import ship
 from quillstone.sources import tables, versions
@@ -358,6 +358,14 @@ def centroid_gate(spark, sf_dir):
     return retrieval.centroid_gate(vectors(spark, sf_dir), retrieval.label_centroids(vectors(spark, sf_dir)))
 
 
+@query()
+def graph_topk(spark, sf_dir):
+    """By walks over the neighbour graphs of the three labels whose centroids are nearest; approximate, so no SQL gives the same rows."""
+    v = vectors(spark, sf_dir)
+    centroids = retrieval.label_centroids(v).select(F.col("label").alias("cid"), "centroid")
+    return graph.top_k(graph.build(v, centroids), vector_queries(spark, sf_dir), centroids, 10)
+
+
 @query()
 def kmeans_centroids(spark, sf_dir):
     return retrieval.kmeans_centroids(vectors(spark, sf_dir))

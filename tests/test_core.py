@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quillstone.functions import text as T
 from quillstone.functions import vectors as V
-from quillstone.operators import analytics, answers, chunking, corpus, evaluate, index, retrieval, service
+from quillstone.operators import analytics, answers, chunking, corpus, evaluate, graph, index, retrieval, service
 from quillstone.plans import queries as catalogue
 from quillstone.plans.engine import Engine, Settings
 from quillstone.sources import tables, versions
@@ -828,3 +828,44 @@ def test_rows_have_their_place_in_the_source(spark, tmp_path):
     assert "Sort" not in placed.where("place < 4")._jdf.queryExecution().optimizedPlan().toString()
     split = lambda n: [r.is_heldout for r in corpus.holdout_asked(placed, n).orderBy("place").collect()]
     assert split(6) == [False] * 5 + [True] and split(4) == [False] * 3 + [True] and split(100) == [False] * 6
+
+
+def test_graph_search_finds_what_exact_search_finds(spark):
+    """All ids divisible by 50 of the largest table, at most a few of whose vectors are looked at."""
+    v = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    q = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), "embedding")
+    centroids = retrieval.label_centroids(v).select(F.col("label").alias("cid"), "centroid")
+    built = tables.written(graph.build(v, centroids, 100))
+    assert built.agg(F.sum(F.size("ids"))).first()[0] == v.count() and built.count() > centroids.count()
+    found = tables.written(graph.walks(built, q, centroids, 10, 3, 64))
+    exact = retrieval.dense_top_k(v, q, 10)
+    share = graph.recall(retrieval.top_k(found.select("qid", "chunk_id", "score"), 10), exact).agg(F.avg("recall")).first()[0]
+    looked = found.select("qid", "looked", "held").distinct().groupBy("qid").agg(F.sum("looked").alias("n")).agg(F.avg("n")).first()[0] / v.count()
+    print("recall", share, "looked at", looked)
+    assert share >= 0.9 and looked < 0.5
+
+
+def test_walks_reach_every_vector():
+    rnd = np.random.default_rng(4)
+    for n in (1, 2, 3, 40, 700):
+        own = rnd.normal(size=(n, 16))
+        own /= np.linalg.norm(own, axis=1, keepdims=True)
+        edges = graph.linked(own)
+        everything, _, looked = graph.walked(own, edges, 0, own[n - 1], n, n)
+        assert sorted(everything.tolist()) == list(range(n)) and looked == n
+    same = np.ones((50, 4)) / 2
+    assert len(graph.walked(same, graph.linked(same), 0, same[0], 50, 50)[0]) == 50
+    hits = [len(set(graph.walked(own, edges, 0, q, 10, 64)[0]) & set(np.argsort(-(own @ q))[:10])) for q in own[::20]]
+    assert np.mean(hits) >= 9.5
+
+
+def test_engine_walks_stored_graphs(spark, tmp_path):
+    docs, chunks = toy_index(spark)
+    vectors = index.embedded(chunks, chunking.hashing_embedder)
+    centroids = spark.createDataFrame([(0, [1.0] + [0.0] * 63), (1, [0.0, 1.0] + [0.0] * 62)], "cid int, centroid array<double>")
+    index.save(str(tmp_path / "i"), chunks, vectors, centroids=centroids)
+    parts = index.load(spark, str(tmp_path / "i"))
+    assert {"graph", "centroids"} <= set(parts)
+    queries = spark.createDataFrame([(1, "what is told about plum", chunking.hashing_embedder(["what is told about plum"])[0].tolist())], "qid long, text string, embedding array<double>")
+    rows = lambda engine: [(r.doc_id, r.best_chunk_id, round(r.rrf_score, 6)) for r in engine.retrieve(queries).orderBy("rank").collect()]
+    assert rows(Engine.from_index(parts, settings=Settings(by_graph=True))) == rows(Engine.from_index(parts))
