@@ -1,7 +1,8 @@
 """Approximate search by neighbour graphs: vectors in cells of a bounded size, a navigable graph for each as a row of a table.
 
-Vectors are dealt to their nearest centroid, and each centroid's to as many cells as its vectors fill, so that a cell holds
-``CELL`` vectors or few more, whatever the centroids are. A cell's graph links each vector with near ones that aren't nearer
+Vectors are dealt to their nearest centroid, where centroids are given, and each centroid's to as many cells as its vectors
+fill, so that a cell holds ``CELL`` vectors or few more, whatever the centroids are. Without centroids all cells are walked:
+the share of its vectors that a walk looks at falls as a cell grows, and is what saves work where vectors aren't in clusters. A cell's graph links each vector with near ones that aren't nearer
 to each other, and with the nearest of those that came before it in a random order: the first of these links are long, and
 every vector can be reached. A query goes to the cells of its nearest centroids and walks there, best first, with a beam.
 """
@@ -91,10 +92,11 @@ def walked(own: np.ndarray, edges: np.ndarray, entry: int, query: np.ndarray, k:
     return np.array([j for _, j in found], np.int64), np.array([s for s, _ in found]), looked
 
 
-def build(vectors: DataFrame, centroids: DataFrame, cell: int = CELL) -> DataFrame:
+def build(vectors: DataFrame, centroids: DataFrame | None = None, cell: int = CELL) -> DataFrame:
     """One row a cell: ids, vectors and edges of the vectors (vec_id, embedding) dealt to it, and where a walk begins."""
     kind = retrieval.id_kind(vectors, "vec_id")
-    dealt = index.bucketed(retrieval.with_ids(vectors.where("vec_id IS NOT NULL AND embedding IS NOT NULL").select("vec_id", "embedding"), "vec_id"), centroids)
+    known = retrieval.with_ids(vectors.where("vec_id IS NOT NULL AND embedding IS NOT NULL").select("vec_id", "embedding"), "vec_id")
+    dealt = known.withColumn("bucket", F.lit(0)) if centroids is None else index.bucketed(known, centroids)
     cells = dealt.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / cell).cast("int").alias("cells"))  # one row a centroid
     placed = dealt.join(F.broadcast(cells), "bucket").withColumn("cell", F.pmod(F.xxhash64("vec_id"), F.col("cells")).cast("int"))
 
@@ -109,10 +111,10 @@ def build(vectors: DataFrame, centroids: DataFrame, cell: int = CELL) -> DataFra
     return placed.select("bucket", "cell", "vec_id", "embedding").groupBy("bucket", "cell").applyInArrow(graph, GRAPH.format(kind))
 
 
-def walks(graph: DataFrame, queries: DataFrame, centroids: DataFrame, k: int = 10, probes: int = 3, beam: int = 64) -> DataFrame:
+def walks(graph: DataFrame, queries: DataFrame, centroids: DataFrame | None = None, k: int = 10, probes: int = 3, beam: int = 64) -> DataFrame:
     """qid, chunk_id, score, looked (how many vectors the walk looked at in that cell), held (how many the cell has): a cell's best k."""
     kind = graph.schema["ids"].dataType.elementType.simpleString()
-    near = index.nearest_buckets(queries, centroids, probes)
+    near = queries.select("qid", F.col("embedding").alias("asked"), F.lit(0).alias("bucket")) if centroids is None else index.nearest_buckets(queries, centroids, probes)
     asked = near.withColumn("run", F.pmod(F.xxhash64("qid"), F.lit(max(1, queries.count() // ASKED + 1)))).groupBy("bucket", "run").agg(F.collect_list("qid").alias("qids"), F.collect_list("asked").alias("asked"))
     few = queries.limit(retrieval.BLOCK + 1).count() <= retrieval.BLOCK
 
@@ -131,7 +133,7 @@ def walks(graph: DataFrame, queries: DataFrame, centroids: DataFrame, k: int = 1
     return met.mapInArrow(run, f"qid bigint, chunk_id {kind}, score double, looked bigint, held bigint")
 
 
-def top_k(graph: DataFrame, queries: DataFrame, centroids: DataFrame, k: int = 10, probes: int = 3, beam: int = 64) -> DataFrame:
+def top_k(graph: DataFrame, queries: DataFrame, centroids: DataFrame | None = None, k: int = 10, probes: int = 3, beam: int = 64) -> DataFrame:
     """qid, chunk_id, score, rank of the best that the walks found."""
     return retrieval.top_k(walks(graph, queries, centroids, k, probes, beam).select("qid", "chunk_id", "score"), k)
 

@@ -360,10 +360,8 @@ def centroid_gate(spark, sf_dir):
 
 @query()
 def graph_topk(spark, sf_dir):
-    """By walks over the neighbour graphs of the three labels whose centroids are nearest; approximate, so no SQL gives the same rows."""
-    v = vectors(spark, sf_dir)
-    centroids = retrieval.label_centroids(v).select(F.col("label").alias("cid"), "centroid")
-    return graph.top_k(graph.build(v, centroids), vector_queries(spark, sf_dir), centroids, 10)
+    """By walks over neighbour graphs; approximate, so no SQL gives the same rows."""
+    return graph.top_k(graph.build(vectors(spark, sf_dir)), vector_queries(spark, sf_dir), k=10, beam=32)
 
 
 @query()
