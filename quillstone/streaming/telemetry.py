@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import time
-from collections import deque
 from collections.abc import Iterator
 from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from quillstone.operators.answers import Breaker
 
@@ -39,36 +39,103 @@ def deduplicated(events: DataFrame, key: str = "event_id") -> DataFrame:
     return events.dropDuplicatesWithinWatermark([key])
 
 
-def last_n(events: DataFrame, key: str, n: int) -> DataFrame:
-    """Bounded buffer of a key's last n values, as state: emits key, size and mean after each batch."""
-    def update(k: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        values = deque(state.get[0] if state.exists else (), maxlen=n)
-        for b in batches:
-            values.extend(b["value"].tolist()[-n:])
-        state.update((list(values),))
-        yield pd.DataFrame({"key": [str(k[0])], "size": [len(values)], "mean": [sum(values) / len(values) if values else 0.0]})
+#: Typed state lives in this store.
+STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-    return events.groupBy(key).applyInPandasWithState(update, "key string, size long, mean double", "values array<double>", "update", "NoTimeout")
 
+def typed_state(spark: SparkSession) -> None:
+    """Sets the session's state store to one that holds lists, maps and timers."""
+    if spark.conf.get(STORE, "") != ROCKSDB:
+        spark.conf.set(STORE, ROCKSDB)
 
-def anchored_cap(requests: DataFrame, cap: int, window_s: float = 86_400.0, key: str | None = None) -> DataFrame:
-    """Whether each request (id, at in seconds) is allowed: a window begins with the first request, or the first after the last
-    one's end; up to ``cap`` requests of it are allowed. State is kept for each key; without one there is a single window."""
-    def update(k: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        start, n = state.get if state.exists else (None, 0)
+
+class Ring(StatefulProcessor):
+    """A key's last n values: a value lies in slot (how many came before it) % n, so a batch writes the slots that its own values take and no others.
+
+    With ``idle_s``, a key that has had no rows for so long is forgotten.
+    """
+
+    def __init__(self, n: int, idle_s: float | None = None):
+        self.n, self.idle_s = n, idle_s
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.slots = handle.getMapState("slots", "slot int", "value double")
+        self.came = handle.getValueState("came", "n long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
+        came = self.came.get()[0] if self.came.exists() else 0
+        arrived = pd.concat([b[["at", "id", "value"]] for b in rows]).sort_values(["at", "id"])["value"].tolist()
+        for k, value in enumerate(arrived):
+            if len(arrived) - k <= self.n:
+                self.slots.updateValue(((came + k) % self.n,), (value,))
+        came += len(arrived)
+        self.came.update((came,))
+        if self.idle_s is not None:
+            for timer in [*self.handle.listTimers()]:
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + int(1000 * self.idle_s))
+        values = [v[0] for v in self.slots.values()]
+        yield pd.DataFrame({"key": [str(key[0])], "size": [len(values)], "mean": [sum(values) / len(values)]})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802
+        self.slots.clear()
+        self.came.clear()
+        yield pd.DataFrame({"key": [str(key[0])], "size": [0], "mean": [0.0]})
+
+    def close(self) -> None:
+        pass
+
+
+def last_n(events: DataFrame, key: str, n: int, at: str = EVENT_TIME, ident: str = "event_id", value: str = "value", idle_s: float | None = None) -> DataFrame:
+    """A key's last n values as typed state: emits key, size and mean after each batch with rows of the key."""
+    typed_state(events.sparkSession)
+    rows = events.select(F.col(key).cast("string").alias("key"), F.col(at).alias("at"), F.col(ident).alias("id"), F.col(value).cast("double").alias("value"))
+    mode = "None" if idle_s is None else "ProcessingTime"
+    return rows.groupBy("key").transformWithStateInPandas(Ring(n, idle_s), "key string, size long, mean double", "Update", mode)
+
+
+class AnchoredCap(StatefulProcessor):
+    """The window's start and how many of its requests were allowed."""
+
+    def __init__(self, cap: int, window_s: float, began: float | None):
+        self.cap, self.window_s, self.began = cap, window_s, began
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.window = handle.getValueState("window", "start double, n long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
+        start, n = self.window.get() if self.window.exists() else (self.began, 0)
         # a batch's parts are rows of one key in no order; their ids and times are all that is held
-        rows = pd.concat([b[["id", "at"]] for b in batches]).sort_values(["at", "id"])
+        batch = pd.concat([b[["id", "at", "counts"]] for b in rows]).sort_values(["at", "id"])
         out = []
-        for i, at in zip(rows["id"].tolist(), rows["at"].tolist(), strict=True):
-            if start is None or at - start >= window_s:
+        for i, at, counts in zip(batch["id"].tolist(), batch["at"].tolist(), batch["counts"].tolist(), strict=True):
+            if not counts:
+                out.append((i, True))
+                continue
+            if start is None or at - start >= self.window_s:
                 start, n = at, 0
-            out.append((i, n < cap))
-            n += n < cap
-        state.update((start, n))
+            out.append((i, n < self.cap))
+            n += n < self.cap
+        if start is not None:
+            self.window.update((start, n))
         yield pd.DataFrame(out, columns=["id", "allowed"])
 
-    keyed = requests.withColumn("scope", F.col(key).cast("string") if key else F.lit("all"))
-    return keyed.groupBy("scope").applyInPandasWithState(update, "id long, allowed boolean", "start double, n long", "append", "NoTimeout")
+    def close(self) -> None:
+        pass
+
+
+def anchored_cap(requests: DataFrame, cap: int, window_s: float = 86_400.0, key: str | None = None, began: float | None = None, counts: str | None = None) -> DataFrame:
+    """Whether each request (id, at in seconds) is allowed: up to ``cap`` requests of a window are.
+
+    The first window begins when the service did (``began``; without it, with the first request), any other with the first
+    request after the last one's end. Requests for which the condition ``counts`` doesn't hold are allowed and not counted.
+    State is kept for each key; without one there is a single window.
+    """
+    typed_state(requests.sparkSession)
+    keyed = requests.select((F.col(key).cast("string") if key else F.lit("all")).alias("scope"), "id", "at", (F.coalesce(F.expr(counts), F.lit(False)) if counts else F.lit(True)).alias("counts"))
+    return keyed.groupBy("scope").transformWithStateInPandas(AnchoredCap(cap, window_s, began), "id long, allowed boolean", "Append", "None")
 
 
 def breaker(attempts: DataFrame, threshold: int, cooldown: float, profile: str) -> DataFrame:

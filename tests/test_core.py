@@ -873,3 +873,30 @@ def test_engine_walks_stored_graphs(spark, tmp_path):
     queries = spark.createDataFrame([(1, "what is told about plum", chunking.hashing_embedder(["what is told about plum"])[0].tolist())], "qid long, text string, embedding array<double>")
     rows = lambda engine: [(r.doc_id, r.best_chunk_id, round(r.rrf_score, 6)) for r in engine.retrieve(queries).orderBy("rank").collect()]
     assert rows(Engine.from_index(parts, settings=Settings(by_graph=True))) == rows(Engine.from_index(parts))
+
+
+def test_last_values_as_typed_state(spark, tmp_path):
+    """Three triggers and a restart from the checkpoint: the stream is what the batch says after each of them."""
+    rnd = random.Random(6)
+    ddl = "event_id long, event_type string, at double, value double"
+    rows, folder = [(i, rnd.choice("ab"), float(i // 3), rnd.random()) for i in range(90)], str(tmp_path / "in")
+    for k in range(3):
+        part = rows[30 * k : 30 * (k + 1)] + ([(1000, "late only", 5.0, 0.5)] if k == 1 else [])
+        spark.createDataFrame(part, ddl).repartition(2).write.mode("append").parquet(folder)
+        stream = telemetry.last_n(spark.readStream.schema(ddl).parquet(folder), "event_type", 7, at="at")
+        q = stream.writeStream.foreachBatch(lambda df, n, k=k: df.write.mode("overwrite").parquet(str(tmp_path / f"out{k}"))).outputMode("update")
+        q.option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination(180)
+        got = {r.key: (r["size"], round(r["mean"], 9)) for r in spark.read.parquet(str(tmp_path / f"out{k}")).collect()}
+        seen = rows[: 30 * (k + 1)]
+        want = {}
+        for key in {r[1] for r in rows[30 * k : 30 * (k + 1)]}:
+            last = [r[3] for r in seen if r[1] == key][-7:]
+            want[key] = (len(last), round(sum(last) / len(last), 9))
+        assert got == want | ({"late only": (1, 0.5)} if k == 1 else {})
+
+
+def test_cap_anchored_at_the_start_of_the_service(spark, tmp_path):
+    rows = [(i, float(at), kind) for i, (at, kind) in enumerate([(10, "POST"), (20, "GET"), (30, "POST"), (99, "POST"), (100, "POST"), (101, "GET"), (150, "POST"), (199, "POST"), (205, "POST")])]
+    build = lambda s: telemetry.anchored_cap(s, 2, 100.0, began=0.0, counts="kind = 'POST'")
+    got = {r.id: r.allowed for r in streamed(spark, tmp_path, "anchored", rows, "id long, at double, kind string", build, 1)}
+    assert [got[i] for i in range(9)] == [True, True, True, False, True, True, True, False, True]
