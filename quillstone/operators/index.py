@@ -14,6 +14,7 @@ first, and of the others reads only those whose bound reaches the k-th score fou
 
 from __future__ import annotations
 
+import inspect
 from collections.abc import Callable
 from functools import reduce
 
@@ -22,6 +23,7 @@ from pyspark.sql import functions as F
 
 from quillstone.functions import text as T
 from quillstone.functions import vectors as V
+from quillstone.functions.subwords import Vocabulary
 from quillstone.operators import chunking, corpus, retrieval
 from quillstone.sources import tables
 
@@ -33,14 +35,19 @@ def union_of_languages(parts: list[DataFrame], key: Column, order: str) -> DataF
     return corpus.first_wins(every, key, order, tuple(kept)).select(order, *kept)
 
 
-def chunked(docs: DataFrame, strategies: list[str], **options: dict) -> DataFrame:
-    """chunk_id, doc_id, strategy, ordinal, text, display_text, n_tokens of all strategies, and lang where documents have one; unknown names are refused."""
+def chunked(docs: DataFrame, strategies: list[str], tokenizer: Vocabulary | None = None, **options: dict) -> DataFrame:
+    """chunk_id, doc_id, strategy, ordinal, text, display_text, n_tokens of all strategies, and lang where documents have one; unknown names are refused.
+
+    With a tokenizer, strategies that count tokens count its own.
+    """
     unknown = sorted(set(strategies) - set(chunking.STRATEGIES))
     if unknown:
         raise ValueError(f"Unknown strategies {unknown}. Available: {', '.join(sorted(chunking.STRATEGIES))}")
-    parts = [chunking.get_strategy(s)(docs.where(F.trim("text") != ""), **options.get(s, {})).withColumn("strategy", F.lit(s)) for s in strategies]
+    sized = {s: {"tokenizer": tokenizer} if tokenizer and "tokenizer" in inspect.signature(chunking.get_strategy(s)).parameters else {} for s in strategies}
+    count = tokenizer.count if tokenizer else T.count_tokens
+    parts = [chunking.get_strategy(s)(docs.where(F.trim("text") != ""), **sized[s] | options.get(s, {})).withColumn("strategy", F.lit(s)) for s in strategies]
     every = reduce(DataFrame.unionByName, parts)
-    out = every.select(F.concat_ws(":", "strategy", "doc_id", "ordinal").alias("chunk_id"), "doc_id", "strategy", "ordinal", "text", "display_text", T.count_tokens(F.col("text")).cast("long").alias("n_tokens"))
+    out = every.select(F.concat_ws(":", "strategy", "doc_id", "ordinal").alias("chunk_id"), "doc_id", "strategy", "ordinal", "text", "display_text", count(F.col("text")).cast("long").alias("n_tokens"))
     return out.join(docs.select("doc_id", "lang"), "doc_id", "left").select(*out.columns, "lang") if "lang" in docs.columns else out
 
 

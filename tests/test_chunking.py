@@ -5,6 +5,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quillstone.functions import text as T
 from quillstone.operators import chunking
@@ -201,3 +202,41 @@ def test_slices_keep_case_and_punctuation(spark):
     got = [r.text for r in rows_of(spark, [text], "fixed_tokens")[0]]
     assert all(c in text for c in got) and got[0].startswith("Word-0, (N0)!")
     assert [c for c in limited(text, 50)] == [r.text for r in chunking.enforce_limit(spark.createDataFrame([(1, text)], "doc_id long, text string"), 50).orderBy("ordinal").collect()]
+
+
+def test_chunks_by_a_vocabulary(spark):
+    """Windows and packs in a model's tokens: from the library's own offsets, text by text."""
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    from quillstone.functions.subwords import Vocabulary
+    from quillstone.operators import index
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library, vocabulary = Tokenizer.from_file(path), Vocabulary(path)
+    texts = ["", "short", "naïve café 漢字 😀 " * 40, "An unbroken antidisestablishmentarianism. " * 30, "Dr. Osei waits. " + "word " * 300 + ". And then more words follow here.", "x" * 900]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = lambda df: {i: [r.text for r in sorted((r for r in df.collect() if r.doc_id == i), key=lambda r: r.ordinal)] for i in range(len(texts))}
+    got = rows(chunking.fixed_tokens(docs, 50, 10, vocabulary))
+    for i, t in enumerate(texts):
+        offsets = library.encode(t, add_special_tokens=False).offsets
+        want, k = [], 0
+        while k < len(offsets):
+            window = offsets[k : k + 50]
+            if len(offsets) <= 50:
+                want = [t]
+                break
+            if k and len(window) <= 10:
+                break
+            want.append(t[window[0][0] : window[-1][1]].strip())
+            k += 40
+        assert got[i] == want
+    sizes = {r.text: r.n for r in docs.select("text", vocabulary.count(F.col("text")).alias("n")).collect()}
+    assert sizes == {t: len(library.encode(t, add_special_tokens=False).ids) + 2 for t in texts}
+    for strategy in ("sentence", "contextual"):
+        packs = rows(chunking.get_strategy(strategy)(docs, budget=80, tokenizer=vocabulary))
+        assert packs[1] == ["short"] and packs[0] == []
+        assert all(vocabulary.size(c) <= 82 for own in packs.values() for c in own) and max(vocabulary.size(c) for c in packs[3]) > 60
+        assert all("".join(c.split()) in "".join(t.split()) for i, t in enumerate(texts) for c in packs[i])
+    chunks = index.chunked(docs, ["fixed_tokens", "passage_native"], vocabulary).collect()
+    assert {r.strategy for r in chunks} == {"fixed_tokens", "passage_native"} and all(r.n_tokens == vocabulary.size(r.text) for r in chunks)
