@@ -13,7 +13,7 @@ from quillstone.operators import analytics, answers, chunking, corpus, evaluate,
 from quillstone.plans import queries as catalogue
 from quillstone.plans.engine import Engine, Settings
 from quillstone.sources import tables, versions
-from quillstone.streaming import telemetry
+from quillstone.streaming import progress, telemetry
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -900,3 +900,32 @@ def test_cap_anchored_at_the_start_of_the_service(spark, tmp_path):
     build = lambda s: telemetry.anchored_cap(s, 2, 100.0, began=0.0, counts="kind = 'POST'")
     got = {r.id: r.allowed for r in streamed(spark, tmp_path, "anchored", rows, "id long, at double, kind string", build, 1)}
     assert [got[i] for i in range(9)] == [True, True, True, False, True, True, True, False, True]
+
+
+def test_events_of_streams_and_jobs(spark, tmp_path):
+    """Micro-batches, observed stages and failures are rows that the reports read."""
+    events = progress.EventTable(spark, str(tmp_path / "events"), 50)
+    listener = progress.StreamEvents(events)
+    spark.streams.addListener(listener)
+    try:
+        ddl = "k long"
+        for k in range(2):
+            spark.range(10 * k, 10 * k + 10).withColumnRenamed("id", "k").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(ddl).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        stream.writeStream.format("noop").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination(120)
+        broken = stream.select(F.raise_error(F.lit("lost")).alias("x")).writeStream.format("noop").option("checkpointLocation", str(tmp_path / "d")).trigger(availableNow=True).start()
+        with pytest.raises(Exception, match="lost"):
+            broken.awaitTermination(120)
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    finally:
+        spark.streams.removeListener(listener)
+    job = progress.Observed(events, "job")
+    assert job.run("count", spark.range(7), lambda df: df.count()) == 7
+    with pytest.raises(Exception, match="gone"):
+        job.run("fail", spark.range(3).select(F.raise_error(F.lit("gone"))), lambda df: df.collect())
+    got = events.read()
+    assert {(r.stage, r.ok, r.detail.split(",")[0]) for r in got.where("request = 'job'").collect()} == {("count", True, "rows 7"), ("fail", False, got.where("stage = 'fail'").first().detail)}
+    batches = got.where("stage = 'total'").collect()
+    assert len([r for r in batches if r.detail == "10 rows"]) == 2 and got.where("stage = 'terminated' AND NOT ok").count() == 1
+    report = analytics.percentiles(got.where("request <> 'job'"), "stage", "ms").collect()
+    assert {"total", "addBatch"} <= {r.stage for r in report}
