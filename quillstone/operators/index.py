@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from quillstone.functions import text as T
 from quillstone.functions import vectors as V
 from quillstone.functions.subwords import Vocabulary
-from quillstone.operators import chunking, corpus, retrieval
+from quillstone.operators import chunking, corpus, retrieval, service
 from quillstone.sources import tables
 
 
@@ -51,8 +51,13 @@ def chunked(docs: DataFrame, strategies: list[str], tokenizer: Vocabulary | None
     return out.join(docs.select("doc_id", "lang"), "doc_id", "left").select(*out.columns, "lang") if "lang" in docs.columns else out
 
 
-def embedded(chunks: DataFrame, embed: Callable, sizes: bool = True) -> DataFrame:
-    """chunk_id, strategy, embedding; a task's texts go to the model by length, so that a batch's texts need little padding."""
+def embedded(chunks: DataFrame, embed: Callable, sizes: bool = True, kind: str | None = None) -> DataFrame:
+    """chunk_id, strategy, embedding; a task's texts go to the model by length, so that a batch's texts need little padding.
+
+    ``kind`` (query or passage) puts what the embedding model wants before a text.
+    """
+    text = F.col("text") if kind is None else service.prefixed(F.col("text"), kind)
+
     @F.pandas_udf("array<double>")
     def run(texts):
         import pandas as pd
@@ -60,7 +65,7 @@ def embedded(chunks: DataFrame, embed: Callable, sizes: bool = True) -> DataFram
         return pd.Series(list(embed(list(texts))), dtype=object)
 
     ordered = chunks.sortWithinPartitions(F.length("text")) if sizes else chunks
-    return ordered.select("chunk_id", "strategy", run("text").alias("embedding"))
+    return ordered.select("chunk_id", "strategy", run(text).alias("embedding"))
 
 
 def checked(vectors: DataFrame, chunks: DataFrame) -> DataFrame:

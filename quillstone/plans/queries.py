@@ -692,10 +692,36 @@ def index_manifest(spark, sf_dir):
     return tables.manifest(chunks)
 
 
-@query("""SELECT page_id, CASE WHEN octet_length(encode(html)) > 5000 THEN 'too_large' WHEN length(trim(html)) = 0 THEN 'empty' ELSE 'ok' END AS verdict FROM pages""")
+UPLOAD_KINDS = {"en": "audio/wav; rate=8000", "de": "AUDIO/MPEG", "fr": "video/mp4"}
+
+
+@query(f"""SELECT doc_id, CASE WHEN octet_length(encode(text)) = 0 THEN 'empty' WHEN octet_length(encode(text)) > 5000 THEN 'too_large'
+WHEN lang NOT IN ('en', 'de') THEN 'unsupported' WHEN trim(text) = '' THEN 'no_speech' ELSE 'ok' END AS verdict FROM documents""")
 def upload_checks(spark, sf_dir):
-    """Size limit and emptiness, as uploads are checked."""
-    return table(spark, sf_dir, "pages").select("page_id", F.when(F.octet_length("html") > 5000, "too_large").when(F.length(F.trim("html")) == 0, "empty").otherwise("ok").alias("verdict"))
+    """Documents as uploads of their bytes, with a media type by language: what each fails by."""
+    kind = F.coalesce(*[F.when(F.col("lang") == lang, F.lit(k)) for lang, k in UPLOAD_KINDS.items()], F.lit("text/plain"))
+    return table(spark, sf_dir, "documents").select("doc_id", service.upload(F.col("text"), F.octet_length("text"), kind, 5000).alias("verdict"))
+
+
+@query(f"""WITH {DOCS}, c AS (SELECT doc_id, trim(substr(text, CAST(k * 320 + 1 AS BIGINT), 400)) AS text FROM n, unnest(range(0, CAST(greatest(0, ceil((length(text) - 400) / 320.0)) AS BIGINT) + 1)) AS u(k) WHERE text <> '')
+SELECT (SELECT count(*) FROM n WHERE text <> '') AS unique_passages, (SELECT count(*) FROM benchmark) AS queries, count(*) AS chunks, round(avg(length(text)), 1) AS avg_chunk_chars,
+ (SELECT count(*) FROM embeddings) AS vectors_indexed, (SELECT CAST(max(len(embedding)) AS INTEGER) FROM embeddings) AS dimension, round(count(*) / (SELECT count(*) FROM n WHERE text <> ''), 3) AS expansion_ratio,
+ (SELECT string_agg(lang || '=' || m, ',' ORDER BY lang) FROM (SELECT coalesce(lang, '') AS lang, count(*) AS m FROM n WHERE text <> '' GROUP BY coalesce(lang, ''))) AS per_language FROM c WHERE text <> ''""")
+def ingest_manifest(spark, sf_dir):
+    docs = normalized(spark, sf_dir).where("text <> ''").withColumnRenamed("lang", "language")
+    made = tables.ingest_manifest(docs, table(spark, sf_dir, "benchmark"), chunks_of("fixed_size", spark, sf_dir), vectors(spark, sf_dir))
+    listed = F.transform(F.map_entries("per_language"), lambda e: F.concat_ws("=", e["key"], e["value"]))
+    return made.withColumn("per_language", F.array_join(listed, ","))
+
+
+@query("""WITH t AS (SELECT doc_id, lang, CASE doc_id % 3 WHEN 0 THEN 'NUMERIC' WHEN 1 THEN '' END AS query_type, CASE doc_id % 2 WHEN 0 THEN 'what of ' || source END AS eng_query FROM documents)
+SELECT doc_id, array_to_string(list_filter([CASE WHEN coalesce(query_type, '') <> '' THEN '[' || query_type || ']' END, CASE WHEN coalesce(lang, '') <> '' THEN '[' || lang || ']' END, CASE WHEN coalesce(eng_query, '') <> '' THEN 'Q: ' || eng_query END], lambda x: x IS NOT NULL), ' ') AS header FROM t""")
+def context_headers(spark, sf_dir):
+    """Headers of contextual chunks: type, language and question, those that there are."""
+    kind = F.when(F.col("doc_id") % 3 == 0, "NUMERIC").when(F.col("doc_id") % 3 == 1, "")
+    asked_for = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("what of "), "source"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", kind.alias("query_type"), asked_for.alias("eng_query"))
+    return docs.select("doc_id", chunking.context_header(docs).alias("header"))
 
 
 @query("""SELECT l.label, count(*) AS n_pairs FROM embeddings l JOIN embeddings r ON l.label = r.label AND l.vec_id < r.vec_id GROUP BY l.label""")

@@ -219,6 +219,24 @@ def manifest(chunks: DataFrame) -> DataFrame:
     return sizes.join(chunks.groupBy("strategy").agg(F.count_distinct("doc_id").alias("n_docs")), "strategy")
 
 
+def ingest_manifest(passages: DataFrame, queries: DataFrame, chunks: DataFrame, vectors: DataFrame) -> DataFrame:
+    """What an ingest made, one row: unique passages, queries, chunks, expansion, mean characters of a chunk, vectors and their
+    dimension, and passages by language; each input is counted where it lies."""
+    of = lambda df, *sums: df.agg(*sums)
+    per_language = passages.groupBy(F.coalesce("language", F.lit("")).alias("language")).agg(F.count(F.lit(1)).alias("n"))  # a row a language
+    parts = (
+        of(passages, F.count(F.lit(1)).alias("unique_passages")),
+        of(queries, F.count(F.lit(1)).alias("queries")),
+        of(chunks, F.count(F.lit(1)).alias("chunks"), F.round(F.avg(F.length("text")), 1).alias("avg_chunk_chars")),
+        of(vectors, F.count(F.lit(1)).alias("vectors_indexed"), F.max(F.size("embedding")).alias("dimension")),
+        of(per_language, F.map_from_entries(F.array_sort(F.collect_list(F.struct("language", "n")))).alias("per_language")),
+    )
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.crossJoin(part)  # one row each
+    return whole.withColumn("expansion_ratio", F.round(F.when(F.col("unique_passages") > 0, F.col("chunks") / F.col("unique_passages")).otherwise(0.0), 3))
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 
