@@ -263,6 +263,33 @@ def test_labels_that_hold_grades_are_taken_as_they_are(spark):
     assert sum(got[i] == i % 4 for i in range(400)) > 380
 
 
+def test_vocabulary_and_markers_equal_brute_force(spark):
+    """Which words tell most, and which are markers for either half by the other: counted and computed text by text."""
+    rnd = np.random.default_rng(12)
+    words = [f"w{k}" for k in range(60)]
+    rows = []
+    for i in range(700):
+        grade = int(rnd.random() < 0.3)
+        own = {w for k, w in enumerate(words) if rnd.random() < (0.5 if grade and k < 12 else 0.05 + 0.3 * (k % 3 == 0))}
+        rows.append((grade, int(rnd.integers(2)), sorted(own)))
+
+    def telling(a, n_a, b, n_b):
+        odds = math.log((a + 0.5) / (n_a - a + 0.5)) - math.log((b + 0.5) / (n_b - b + 0.5))
+        return odds / math.sqrt(1 / (a + 0.5) + 1 / (n_a - a + 0.5) + 1 / (b + 0.5) + 1 / (n_b - b + 0.5))
+
+    def numbers(word, halves):
+        toxic = [r for r in rows if r[0] and r[1] in halves]
+        other = [r for r in rows if not r[0] and r[1] in halves]
+        held = lambda part: sum(word in r[2] for r in part)
+        return held(toxic), len(toxic), held(other), len(other)
+
+    known = [w for w in words if sum(w in r[2] for r in rows) >= 5]
+    order = sorted(known, key=lambda w: (-abs(telling(*numbers(w, (0, 1)))), w))[:20]
+    want = [(w, telling(*numbers(w, (1,))) > toxicity.BEYOND_DOUBT, telling(*numbers(w, (0,))) > toxicity.BEYOND_DOUBT) for w in order]
+    assert any(m for _, m, _ in want) and not all(m for _, m, _ in want)
+    assert toxicity.vocabulary_of(spark.createDataFrame(rows, "grade int, half int, words array<string>"), 20, 5) == want
+
+
 def test_toxicity_cases(spark, awkward):
     labels = spark.createDataFrame([(4, 1), (4, 0), (7, 0), (None, 1), (6, None)], "doc_id long, toxic int")
     rows = toxicity.toxicity(awkward, labels).collect()
