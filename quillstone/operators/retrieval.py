@@ -190,7 +190,7 @@ def packed(rows: DataFrame, id_col: str, size: int, column: str = "embedding") -
         for whole in batches:
             for start in range(0, whole.num_rows, size):
                 batch = whole.slice(start, size)
-                own = np.array(batch.column(1).to_pylist(), number)
+                own = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(number)
                 yield pa.RecordBatch.from_arrays([pa.array([batch.column(0).to_pylist()]), pa.array([own.tobytes()], pa.binary())], names=["ids", "vectors"])
 
     return with_ids(rows.where(F.col(id_col).isNotNull() & F.col(column).isNotNull()).select(id_col, column), id_col).mapInArrow(run, f"ids array<{kind}>, vectors binary")
@@ -202,9 +202,10 @@ def blocks_met(vectors: DataFrame, queries: DataFrame, column: str = "embedding"
     Queries of a few blocks travel to the vectors. More are laid out as a grid: each block of vectors belongs to one of its
     columns, each block of queries goes to every column once, and those of a column meet; the vectors move once.
     """
-    q = packed(queries.coalesce(1) if queries.limit(BLOCK + 1).count() <= BLOCK else queries, "qid", BLOCK, column).select(F.col("ids").alias("qids"), F.col("vectors").alias("asked"))
+    known = queries.limit(BROADCAST_BLOCKS * BLOCK + 1).count()
+    q = packed(queries.coalesce(1) if known <= BLOCK else queries, "qid", BLOCK, column).select(F.col("ids").alias("qids"), F.col("vectors").alias("asked"))
     own = packed(vectors, "vec_id", VECTORS, column)
-    if queries.limit(BROADCAST_BLOCKS * BLOCK + 1).count() <= BROADCAST_BLOCKS * BLOCK:
+    if known <= BROADCAST_BLOCKS * BLOCK:
         return own.crossJoin(F.broadcast(q))
     columns = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     everywhere = q.withColumn("column", F.explode(F.sequence(F.lit(0), F.lit(columns - 1))))
