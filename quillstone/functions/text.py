@@ -66,7 +66,8 @@ def normalize(text: Column, profile: str = "v2") -> Column:
     def normalized(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: plain(t, profile))
 
-    return normalized(F.coalesce(text, F.lit("")))
+    # as one that isn't deterministic it is called once, where a filter on its result would have Spark call it twice
+    return normalized.asNondeterministic()(F.coalesce(text, F.lit("")))
 
 
 def plain(text: str, profile: str) -> str:
