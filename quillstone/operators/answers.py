@@ -122,9 +122,15 @@ def overlap(claim: Column, numbers: Column, passage: Column) -> Column:
     return F.when(F.size(claim) > 0, weight(F.array_intersect(claim, passage)) / weight(claim)).otherwise(0.0)
 
 
-def grounding_v1(answers: DataFrame, tau: float = 0.35) -> DataFrame:
+#: Fixed value: passages that a claim names as its support at most.
+SUPPORTING = 3
+
+
+def grounding_v1(answers: DataFrame, tau: float = 0.35, ids: str | None = None) -> DataFrame:
     """For (aid, claim, passages array<string>): score, the best overlap, and whether a passage reaches tau and has all of the claim's numbers.
 
+    ``supporting`` has the first such passages: their places, from 0, or what the array column ``ids`` has there.
+
     A passage that lacks one of them counts for 0.9 tau at most. Claims without tokens aren't claims. Passages are normalized
     here, as answers are before they are split.
     """
@@ -133,7 +139,10 @@ def grounding_v1(answers: DataFrame, tau: float = 0.35) -> DataFrame:
     each = F.transform("passage_sets", lambda p: F.struct(overlap(F.col("claim_set"), F.col("numbers"), p).alias("raw"), (F.size(F.array_except("numbers", p)) > 0).alias("missing")))
     scored = sets.withColumn("each", each)
     best = F.coalesce(F.array_max(F.transform("each", lambda e: F.when(e["missing"], F.least(e["raw"], F.lit(0.9 * tau))).otherwise(e["raw"]))), F.lit(0.0))
-    return scored.select("aid", "claim", F.round(best, 4).alias("score"), F.exists("each", lambda e: (e["raw"] >= tau) & ~e["missing"]).alias("supported"))
+    holds = lambda e: (e["raw"] >= tau) & ~e["missing"]
+    places = F.slice(F.filter(F.transform("each", lambda e, i: F.when(holds(e), i)), lambda i: i.isNotNull()), 1, SUPPORTING)
+    named = F.transform(places, lambda i: F.get(F.col(ids), i)) if ids else places
+    return scored.select("aid", "claim", F.round(best, 4).alias("score"), F.exists("each", holds).alias("supported"), named.alias("supporting"))
 
 
 def grounded_v1(answers: DataFrame, tau: float = 0.35, least: float = 0.5) -> DataFrame:

@@ -575,18 +575,22 @@ def claims_sql() -> str:
     tokens = f"list_distinct(list_concat({numbers}, {words}))"
     return f"""n AS (SELECT conv_id || ':' || turn AS doc_id, {NORM} AS text FROM conversations WHERE role = 'assistant'), {sentences_sql('v1')},
 own AS (SELECT doc_id AS aid, k, sentence AS claim, {tokens.format('sentence', 'sentence')} AS cs, {numbers.format('sentence')} AS ns FROM sent),
-heard AS (SELECT conv_id, {tokens.format('text', 'text')} AS ps FROM conversations WHERE role <> 'assistant'),
-met AS (SELECT aid, k, claim, (len(list_intersect(cs, ps)) + len(list_intersect(list_intersect(cs, ps), ns))) / (len(cs) + len(list_intersect(cs, ns))) AS raw, len(list_filter(ns, lambda x: NOT list_contains(ps, x))) > 0 AS missing
+heard AS (SELECT conv_id, turn, {tokens.format('text', 'text')} AS ps FROM conversations WHERE role <> 'assistant'),
+met AS (SELECT aid, k, claim, turn, (len(list_intersect(cs, ps)) + len(list_intersect(list_intersect(cs, ps), ns))) / (len(cs) + len(list_intersect(cs, ns))) AS raw, len(list_filter(ns, lambda x: NOT list_contains(ps, x))) > 0 AS missing
  FROM own JOIN heard ON split_part(aid, ':', 1) = CAST(conv_id AS VARCHAR) WHERE len(cs) > 0),
-judged AS (SELECT aid, k, claim, round(max(CASE WHEN missing THEN least(raw, 0.9 * 0.35) ELSE raw END), 4) AS score, bool_or(raw >= 0.35 AND NOT missing) AS supported FROM met GROUP BY aid, k, claim)"""
+judged AS (SELECT aid, k, claim, round(max(CASE WHEN missing THEN least(raw, 0.9 * 0.35) ELSE raw END), 4) AS score, bool_or(raw >= 0.35 AND NOT missing) AS supported,
+ list(turn ORDER BY turn) FILTER (raw >= 0.35 AND NOT missing) AS by_turns FROM met GROUP BY aid, k, claim)"""
 
 
-@query(f"WITH {claims_sql()} SELECT aid, claim, score, supported FROM judged")
+@query(f"WITH {claims_sql()} SELECT aid, claim, score, supported, array_to_string(coalesce(by_turns[1:{answers.SUPPORTING}], []), ',') AS supporting FROM judged")
 def grounding_lexical(spark, sf_dir):
+    """Claims, how well they are supported, and the first turns that support each."""
     turns = table(spark, sf_dir, "conversations")
-    asked_of = turns.where("role <> 'assistant'").groupBy("conv_id").agg(F.collect_list("text").alias("passages"))
+    heard = turns.where("role <> 'assistant'").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("heard"))
+    asked_of = heard.select("conv_id", F.col("heard.text").alias("passages"), F.col("heard.turn").alias("turns"))
     said = turns.where("role = 'assistant'").select("conv_id", F.concat_ws(":", "conv_id", "turn").alias("aid"), F.explode(T.split_sentences(T.normalize(F.col("text")), "v1")).alias("claim"))
-    return answers.grounding_v1(said.join(asked_of, "conv_id"))
+    judged = answers.grounding_v1(said.join(asked_of, "conv_id"), ids="turns")
+    return judged.withColumn("supporting", F.array_join(F.col("supporting").cast("array<string>"), ","))
 
 
 @query("SELECT event_type, CAST(time_bucket(INTERVAL '1 day', ts) AS TIMESTAMP) AS window_start, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
