@@ -138,9 +138,9 @@ def request_totals(spans: DataFrame) -> DataFrame:
 def save_report(report: dict[str, DataFrame], folder: str) -> None:
     """Each part as JSON, and as CSV with a header where it is flat."""
     for name, df in report.items():
-        df.coalesce(1).write.mode("overwrite").json(f"{folder}/{name}.json")
+        df.write.mode("overwrite").json(f"{folder}/{name}.json")
         if not any(kind.startswith(("array", "map", "struct")) for _, kind in df.dtypes):
-            df.coalesce(1).write.mode("overwrite").option("header", True).csv(f"{folder}/{name}.csv")
+            df.write.mode("overwrite").option("header", True).csv(f"{folder}/{name}.csv")
 
 
 def format_report(spark: SparkSession, folder: str) -> str:

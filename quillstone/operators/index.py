@@ -103,9 +103,9 @@ def blocks(chunks: DataFrame, avgdl: float) -> DataFrame:
     return gathered.select("term", "span", F.col("held.row").alias("rows"), F.col("held.tf").alias("tf"), F.col("held.dl").alias("dl"), "weight", "n")
 
 
-def save(folder: str, chunks: DataFrame, vectors: DataFrame | None = None, lexical: list[str] | None = None, centroids: DataFrame | None = None) -> None:
-    """Writes the index of these chunks; dense parts, of those strategies that have vectors, with their sign bits and, where
-    centroids (cid, centroid) are given, each strategy's graph; postings of the ``lexical`` strategies, or all."""
+def save(folder: str, chunks: DataFrame, vectors: DataFrame | None = None, lexical: list[str] | None = None, graphs: bool = False, centroids: DataFrame | None = None) -> None:
+    """Writes the index of these chunks; dense parts, of those strategies that have vectors, with their sign bits and, if
+    asked for, each strategy's ``graphs``, dealt by centroids (cid, centroid) where there are some; postings of the ``lexical`` strategies, or all."""
     spark = chunks.sparkSession
     placed = tables.written(chunks).repartitionByRange("chunk_id").sortWithinPartitions("chunk_id").withColumn("place", F.monotonically_increasing_id())
     tables.write_table(placed, f"{folder}/chunks", ("strategy",))
@@ -117,13 +117,14 @@ def save(folder: str, chunks: DataFrame, vectors: DataFrame | None = None, lexic
         dense = stored.join(F.broadcast(vectors.select("strategy").distinct()), "strategy", "left_semi").select("chunk_id", "row", *{"lang"} & {*stored.columns})
         keyed = checked(vectors, dense).join(dense, "chunk_id").withColumn("bits", V.sign_words(F.col("embedding")))
         tables.write_table(keyed.repartitionByRange("row").sortWithinPartitions("strategy", "row"), f"{folder}/vectors", ("strategy",))
-        if centroids is not None:
+        if graphs:
             from quillstone.operators import graph
 
-            tables.write_table(centroids, f"{folder}/centroids")
+            if centroids is not None:
+                tables.write_table(centroids, f"{folder}/centroids")
             held = spark.read.parquet(f"{folder}/vectors").select("strategy", F.col("row").alias("vec_id"), "embedding")
             names = [r["strategy"] for r in held.select("strategy").distinct().collect()]
-            walked = [graph.build(held.where(F.col("strategy") == s), spark.read.parquet(f"{folder}/centroids")).withColumn("strategy", F.lit(s)) for s in names]
+            walked = [graph.build(held.where(F.col("strategy") == s), spark.read.parquet(f"{folder}/centroids") if centroids is not None else None).withColumn("strategy", F.lit(s)) for s in names]
             tables.write_table(reduce(DataFrame.unionByName, walked), f"{folder}/graph", ("strategy",))
     searched = stored.where(F.col("strategy").isin(lexical)) if lexical else stored
     tables.write_table(searched.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size(T.tokens(F.col("text")))).alias("avgdl")), f"{folder}/stats")

@@ -8,7 +8,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
@@ -340,22 +339,27 @@ def mmr(hits: DataFrame, vectors: DataFrame | None, top: int = 5, pool: int = 30
     kind = few.schema["doc_id"].dataType.simpleString()
     few = few.join(vectors.select(key, "embedding"), key, "left") if vectors is not None else few.withColumn("embedding", F.lit(None).cast("array<double>"))
 
-    def pick(group: pd.DataFrame) -> pd.DataFrame:
-        rest = group.sort_values("rank").to_dict("records")
-        chosen: list[dict] = []
-        while rest and len(chosen) < top:
-            best, best_score = 0, None
-            for i, r in enumerate(rest):
-                near = max((float(np.dot(r["embedding"], c["embedding"])) for c in chosen if r["embedding"] is not None and c["embedding"] is not None), default=0.0)
-                s = weight * r["rrf_score"] * 100 - (1 - weight) * near
-                if not chosen:
-                    break
-                if best_score is None or s > best_score:
-                    best, best_score = i, s
-            chosen.append(rest.pop(best))
-        return pd.DataFrame({"qid": [c["qid"] for c in chosen], "doc_id": [c["doc_id"] for c in chosen], "place": range(1, len(chosen) + 1)})
-
-    return few.groupBy("qid").applyInPandas(pick, f"qid bigint, doc_id {kind}, place bigint")
+    gathered = few.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", "doc_id", F.col("rrf_score").cast("double").alias("rrf_score"), F.col("embedding").cast("array<double>").alias("embedding")))).alias("hits"))  # at most ``pool``
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            qids, docs, places = [], [], []
+            for qid, own in zip(batch.column("qid").to_pylist(), batch.column("hits").to_pylist(), strict=True):
+                known = np.array([h["embedding"] is not None for h in own])
+                size = next((len(h["embedding"]) for h in own if h["embedding"] is not None), 0)
+                held = np.array([h["embedding"] if h["embedding"] is not None else [0.0] * size for h in own]).reshape(len(own), size)
+                score, nearest = weight * 100 * np.array([h["rrf_score"] for h in own]), np.full(len(own), -np.inf)
+                rest, at = np.ones(len(own), bool), 0  # the first hit leads
+                for place in range(1, min(top, len(own)) + 1):
+                    qids.append(qid), docs.append(own[at]["doc_id"]), places.append(place)
+                    rest[at] = False
+                    if known[at]:
+                        nearest = np.where(known, np.maximum(nearest, held @ held[at]), nearest)
+                    gain = score - (1 - weight) * np.where(np.isneginf(nearest), 0.0, nearest)
+                    at = int(np.where(rest, gain, -np.inf).argmax())
+            yield pa.RecordBatch.from_arrays([pa.array(qids, pa.int64()), pa.array(docs, batch.schema.field("hits").type.value_type.field("doc_id").type), pa.array(places, pa.int64())], names=["qid", "doc_id", "place"])
+
+    return gathered.mapInArrow(pick, f"qid bigint, doc_id {kind}, place bigint")
 
 
 def rerank(candidates: DataFrame, score: Column | None, top: int | None = None, normalize: bool = True) -> DataFrame:

@@ -115,7 +115,7 @@ class Engine:
         """Exact, unless settings say otherwise: by the stored graph of a strategy (a scope has none of its own), or by sign bits."""
         if self.settings.by_graph and strategy and self.parts and "graph" in self.parts:
             walked = self.parts["graph"].where(F.col("strategy") == strategy)
-            return graph.top_k(walked, queries, self.parts["centroids"], pool, self.settings.probes, max(self.settings.beam, pool))
+            return graph.top_k(walked, queries, self.parts.get("centroids"), pool, self.settings.probes, max(self.settings.beam, pool))
         if self.settings.sign_bits:
             return retrieval.binary_search(vectors, queries, pool, self.settings.oversampling)
         return retrieval.dense_candidates(vectors, queries, pool)

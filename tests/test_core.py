@@ -867,12 +867,15 @@ def test_engine_walks_stored_graphs(spark, tmp_path):
     docs, chunks = toy_index(spark)
     vectors = index.embedded(chunks, chunking.hashing_embedder)
     centroids = spark.createDataFrame([(0, [1.0] + [0.0] * 63), (1, [0.0, 1.0] + [0.0] * 62)], "cid int, centroid array<double>")
-    index.save(str(tmp_path / "i"), chunks, vectors, centroids=centroids)
+    index.save(str(tmp_path / "i"), chunks, vectors, graphs=True, centroids=centroids)
     parts = index.load(spark, str(tmp_path / "i"))
     assert {"graph", "centroids"} <= set(parts)
+    index.save(str(tmp_path / "j"), chunks, vectors, graphs=True)
+    whole = index.load(spark, str(tmp_path / "j"))
+    assert "graph" in whole and "centroids" not in whole
     queries = spark.createDataFrame([(1, "what is told about plum", chunking.hashing_embedder(["what is told about plum"])[0].tolist())], "qid long, text string, embedding array<double>")
     rows = lambda engine: [(r.doc_id, r.best_chunk_id, round(r.rrf_score, 6)) for r in engine.retrieve(queries).orderBy("rank").collect()]
-    assert rows(Engine.from_index(parts, settings=Settings(by_graph=True))) == rows(Engine.from_index(parts))
+    assert rows(Engine.from_index(parts, settings=Settings(by_graph=True))) == rows(Engine.from_index(parts)) == rows(Engine.from_index(whole, settings=Settings(by_graph=True)))
 
 
 def test_last_values_as_typed_state(spark, tmp_path):
