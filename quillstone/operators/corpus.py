@@ -60,16 +60,17 @@ LISTED = 50
 
 
 def merged(docs: DataFrame, key: Column, order: str, ids: str, flag: str, listed: int = LISTED) -> DataFrame:
-    """One row a key: the first ``listed`` ids in order, the number of all, flag true if any is; the rest from the first row.
+    """One row a key: the first ``listed`` ids in the order of their rows, repeats included, the number of all, flag true if any is; the rest from the first row.
 
     ``members`` has all ids of all keys, a row each.
     """
     # texts are read, and keys made of them, once
     keyed = tables.written(docs.withColumn("dedup_key", key).select("dedup_key", "lang", flag, *{order: 1, ids: 1}))
     one = keyed.groupBy("dedup_key").agg(F.min(order).alias(order), F.min_by("lang", order).alias("lang"), F.bool_or(flag).alias(flag), F.count(F.lit(1)).alias("n_copies"))
-    # each task keeps its own first ones before the shuffle
-    nth = F.row_number().over(Window.partitionBy("dedup_key").orderBy(ids))
-    some = keyed.select("dedup_key", ids).withColumn("nth", nth).where(F.col("nth") <= listed).groupBy("dedup_key").agg(F.array_sort(F.collect_list(ids)).alias("ids"))
+    # in the order of the rows, as they were concatenated; each task keeps its own first ones before the shuffle
+    nth = F.row_number().over(Window.partitionBy("dedup_key").orderBy(order, ids))
+    first = keyed.select("dedup_key", F.col(order).alias("at"), F.col(ids).alias("id"), nth.alias("nth")).where(F.col("nth") <= listed)
+    some = first.groupBy("dedup_key").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "id"))), lambda x: x["id"]).alias("ids"))
     return one.join(some, "dedup_key")
 
 

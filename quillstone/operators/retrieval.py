@@ -253,20 +253,27 @@ def sign_shortlist(signs: DataFrame, queries: DataFrame, short: int) -> DataFram
     return near.withColumn("place", F.row_number().over(order)).where(F.col("place") <= short).select("qid", "chunk_id", (-F.col("score")).cast("long").alias("hamming"), "place")
 
 
-def binary_search(vectors: DataFrame, queries: DataFrame, limit: int = 10, oversampling: int = 3, filtered: bool = False) -> DataFrame:
+def binary_search(vectors: DataFrame, queries: DataFrame, limit: int = 10, oversampling: int = 3, filtered: bool = False, rescore: bool = True, threshold: float | None = None) -> DataFrame:
     """Shortlist by Hamming distance of sign bits, then cosine of the shortlist. Queries (qid, embedding) are a stated batch.
 
+    Without ``rescore`` no float is read at all: the score is the share of equal signs, from -1 to 1. Only hits whose score
+    reaches ``threshold`` are returned.
+
     The first phase reads the words of sign bits that an index stores beside the vectors (vec_id, embedding, bits), or makes
     them where there are none; the second fetches the floats of the shortlist alone, by key.
     """
     short = max(limit * oversampling, 3 * limit, 64) * (4 if filtered else 1)
     signs = vectors.select("vec_id", "bits" if "bits" in vectors.columns else V.sign_words(F.col("embedding")).alias("bits"))
     listed = sign_shortlist(signs, queries.select("qid", V.sign_words(F.col("embedding")).alias("bits")), short)
+    reached = lambda df: df if threshold is None else df.where(F.col("score") >= threshold)
+    if not rescore:
+        sizes = queries.select("qid", F.size("embedding").alias("size"))
+        return top_k(reached(listed.join(sizes, "qid").select("qid", "chunk_id", "hamming", F.round(1 - 2 * F.col("hamming") / F.col("size"), 6).alias("score"))), limit)
     few = queries.limit(BLOCK + 1).count() <= BLOCK  # then the list has at most BLOCK * short rows of numbers
     floats = vectors.select(F.col("vec_id").alias("chunk_id"), "embedding").join(F.broadcast(listed) if few else listed, "chunk_id")
     asked = queries.select("qid", F.col("embedding").alias("asked"))
     scored = floats.join(F.broadcast(asked) if few else asked, "qid").select("qid", "chunk_id", "hamming", F.round(V.dot(F.col("embedding"), F.col("asked")), 6).alias("score"))
-    return top_k(scored, limit)
+    return top_k(reached(scored), limit)
 
 
 def centroid_gate(vectors: DataFrame, centroids: DataFrame, threshold: float = 0.70) -> DataFrame:

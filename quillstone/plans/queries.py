@@ -350,6 +350,14 @@ def binary_rescore(spark, sf_dir):
     return retrieval.binary_search(signed_vectors(spark, sf_dir), vector_queries(spark, sf_dir)).select("qid", "chunk_id", "hamming", "score", "rank")
 
 
+@query(f"""WITH {HAMMING}, z AS (SELECT qid, chunk_id, hamming, round(1 - 2 * hamming / 64.0, 6) AS score FROM s)
+SELECT qid, chunk_id, hamming, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS rank FROM z WHERE score >= 0.25) WHERE rank <= 10""")
+def binary_only(spark, sf_dir):
+    """The shortlist's own order, with a score threshold: no vector of the table is read."""
+    found = retrieval.binary_search(signed_vectors(spark, sf_dir), vector_queries(spark, sf_dir), rescore=False, threshold=0.25)
+    return found.select("qid", "chunk_id", "hamming", "score", "rank")
+
+
 @query("""WITH c AS (SELECT label, i, avg(CAST(embedding[i] AS DOUBLE)) AS x FROM embeddings, unnest(range(1, 65)) AS u(i) GROUP BY label, i),
 m AS (SELECT label, list(x ORDER BY i) AS v FROM c GROUP BY label), k AS (SELECT label, list_transform(v, lambda x: x / sqrt(list_inner_product(v, v))) AS v FROM m),
 g AS (SELECT vec_id, round(max(list_inner_product(CAST(embedding AS DOUBLE[]), v)), 6) AS similarity FROM embeddings, k GROUP BY vec_id)

@@ -932,3 +932,11 @@ def test_events_of_streams_and_jobs(spark, tmp_path):
     assert len([r for r in batches if r.detail == "10 rows"]) == 2 and got.where("stage = 'terminated' AND NOT ok").count() == 1
     report = analytics.percentiles(got.where("request <> 'job'"), "stage", "ms").collect()
     assert {"total", "addBatch"} <= {r.stage for r in report}
+
+
+def test_merged_ids_stand_in_the_order_of_their_rows(spark):
+    rows = [(3, "same", 5, "en", False), (1, "same", 9, "de", False), (2, "same", 5, "fr", True), (4, "other", 1, "en", False)]
+    df = spark.createDataFrame(rows, "place long, text string, query_id long, lang string, selected boolean")
+    got = {r.dedup_key: r for r in corpus.merged(df, F.col("text"), "place", "query_id", "selected").collect()}
+    assert got["same"].ids == [9, 5, 5] and got["same"].lang == "de" and got["same"].selected and got["same"].n_copies == 3 and got["other"].ids == [1]
+    assert corpus.merged(df, F.col("text"), "place", "query_id", "selected", 2).where("dedup_key = 'same'").first().ids == [9, 5]
