@@ -11,9 +11,8 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def l2_normalize(v: Column) -> Column:
-    """Unit length; a zero vector stays."""
-    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x))
-    return F.transform(v, lambda x: F.when(norm > 0, x / norm).otherwise(x))
+    """Unit length; a zero vector stays. The sum of squares is made once, not for each value."""
+    return F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x, lambda s: F.transform(v, lambda x: F.when(s > 0, x / F.sqrt(s)).otherwise(x.cast("double"))))
 
 
 def sign_words(v: Column) -> Column:

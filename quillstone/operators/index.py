@@ -45,10 +45,14 @@ def chunked(docs: DataFrame, strategies: list[str], tokenizer: Vocabulary | None
         raise ValueError(f"Unknown strategies {unknown}. Available: {', '.join(sorted(chunking.STRATEGIES))}")
     sized = {s: {"tokenizer": tokenizer} if tokenizer and "tokenizer" in inspect.signature(chunking.get_strategy(s)).parameters else {} for s in strategies}
     count = tokenizer.count if tokenizer else T.count_tokens
-    parts = [chunking.get_strategy(s)(docs.where(F.trim("text") != ""), **sized[s] | options.get(s, {})).withColumn("strategy", F.lit(s)) for s in strategies]
+    # the language travels within the id, so that no text is moved to get it back
+    with_lang = "lang" in docs.columns
+    keyed = docs.withColumn("doc_id", F.struct("doc_id", F.col("lang").alias("doc_lang"))) if with_lang else docs
+    parts = [chunking.get_strategy(s)(keyed.where(F.trim("text") != ""), **sized[s] | options.get(s, {})).withColumn("strategy", F.lit(s)) for s in strategies]
     every = reduce(DataFrame.unionByName, parts)
-    out = every.select(F.concat_ws(":", "strategy", "doc_id", "ordinal").alias("chunk_id"), "doc_id", "strategy", "ordinal", "text", "display_text", count(F.col("text")).cast("long").alias("n_tokens"))
-    return out.join(docs.select("doc_id", "lang"), "doc_id", "left").select(*out.columns, "lang") if "lang" in docs.columns else out
+    if with_lang:
+        every = every.withColumns({"lang": F.col("doc_id.doc_lang"), "doc_id": F.col("doc_id.doc_id")})
+    return every.select(F.concat_ws(":", "strategy", "doc_id", "ordinal").alias("chunk_id"), "doc_id", "strategy", "ordinal", "text", "display_text", count(F.col("text")).cast("long").alias("n_tokens"), *(["lang"] if with_lang else []))
 
 
 def embedded(chunks: DataFrame, embed: Callable, sizes: bool = True, kind: str | None = None) -> DataFrame:
@@ -107,16 +111,20 @@ def save(folder: str, chunks: DataFrame, vectors: DataFrame | None = None, lexic
     """Writes the index of these chunks; dense parts, of those strategies that have vectors, with their sign bits and, if
     asked for, each strategy's ``graphs``, dealt by centroids (cid, centroid) where there are some; postings of the ``lexical`` strategies, or all."""
     spark = chunks.sparkSession
-    placed = tables.written(chunks).repartitionByRange("chunk_id").sortWithinPartitions("chunk_id").withColumn("place", F.monotonically_increasing_id())
+    # written first: texts are chunked once, and vectors computed once, however often they are looked at
+    made, known = tables.written(chunks), None if vectors is None else tables.written(vectors)
+    placed = made.repartitionByRange("chunk_id").sortWithinPartitions("chunk_id").withColumn("place", F.monotonically_increasing_id())
     tables.write_table(placed, f"{folder}/chunks", ("strategy",))
+    tables.drop_written(made)
     tasks = spark.read.parquet(f"{folder}/chunks").groupBy(F.shiftright("place", 33).cast("int").alias("task")).agg(F.count(F.lit(1)).alias("n"))
     before = Window.orderBy("task").rowsBetween(Window.unboundedPreceding, -1)  # one row a task
     tables.write_table(tasks.select("task", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start")), f"{folder}/rows")
     stored = numbered(spark.read.parquet(f"{folder}/chunks"), spark.read.parquet(f"{folder}/rows"))
-    if vectors is not None:
-        dense = stored.join(F.broadcast(vectors.select("strategy").distinct()), "strategy", "left_semi").select("chunk_id", "row", *{"lang"} & {*stored.columns})
-        keyed = checked(vectors, dense).join(dense, "chunk_id").withColumn("bits", V.sign_words(F.col("embedding")))
+    if known is not None:
+        dense = stored.join(F.broadcast(known.select("strategy").distinct()), "strategy", "left_semi").select("chunk_id", "row", *{"lang"} & {*stored.columns})
+        keyed = checked(known, dense).join(dense, "chunk_id").withColumn("bits", V.sign_words(F.col("embedding")))
         tables.write_table(keyed.repartitionByRange("row").sortWithinPartitions("strategy", "row"), f"{folder}/vectors", ("strategy",))
+        tables.drop_written(known)
         if graphs:
             from quillstone.operators import graph
 

@@ -128,6 +128,14 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def drop_written(df: DataFrame) -> None:
+    """Deletes what ``written`` wrote, when nothing that is still to be computed reads it."""
+    for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        where = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        if "/quillstone-" in path:
+            where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def version_of(spark: SparkSession, paths: list[str]) -> str:
     """Changes when a file below the paths is added, removed or written again."""
     hadoop, seen = spark.sparkContext._jvm.org.apache.hadoop.fs, []
