@@ -15,9 +15,12 @@ first, and of the others reads only those whose bound reaches the k-th score fou
 from __future__ import annotations
 
 import inspect
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -83,6 +86,8 @@ def checked(vectors: DataFrame, chunks: DataFrame) -> DataFrame:
 
 #: Neighbouring rows whose postings of a term are one block, and spans that a query reads before it knows a bound.
 SPAN, FIRST = 1024, 4
+#: Queries that are scored against a span at a time.
+QUERIES = 1024
 PARTS = ("chunks", "rows", "vectors", "centroids", "graph", "postings", "terms", "stats", "manifest")
 
 
@@ -92,27 +97,52 @@ def numbered(chunks: DataFrame, starts: DataFrame) -> DataFrame:
     return chunks.withColumn("task", task).join(F.broadcast(starts), "task").withColumn("row", F.col("start") + F.col("place").bitwiseAND(F.lit((1 << 33) - 1))).drop("task", "start", "place")
 
 
-def weight(avgdl: float) -> Column:
-    """BM25's weight of a posting but for the term's rarity."""
-    k1, b = retrieval.K1, retrieval.B
-    return F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(avgdl)))
-
-
 def blocks(chunks: DataFrame, avgdl: float) -> DataFrame:
-    """term, span, rows (places in the span, ascending), tf, dl, weight (the largest), n: at most ``SPAN`` postings to a block, whatever the term."""
-    words = chunks.select("row", T.tokens(F.col("text")).alias("tokens"))
-    counted = words.select("row", F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).groupBy("row", "term").agg(F.count(F.lit(1)).cast("int").alias("tf"), F.first("dl").alias("dl"))
-    each = counted.select("term", F.expr(f"row DIV {SPAN}").alias("span"), F.expr(f"CAST(row % {SPAN} AS SMALLINT)").alias("row"), "tf", "dl", weight(avgdl).alias("weight"))
-    gathered = each.groupBy("term", "span").agg(F.array_sort(F.collect_list(F.struct("row", "tf", "dl"))).alias("held"), F.max("weight").alias("weight"), F.count(F.lit(1)).alias("n"))
-    return gathered.select("term", "span", F.col("held.row").alias("rows"), F.col("held.tf").alias("tf"), F.col("held.dl").alias("dl"), "weight", "n")
+    """term, span, rows (places in the span, ascending), tf, dl, weight (the largest), n: at most ``SPAN`` postings to a block, whatever the term.
 
+    Stored chunks lie in the order of rows, so each Arrow batch makes the blocks of its spans where they are and no token is moved;
+    a span that two batches share has a block of a term from each, whose rows are different.
+    """
+    words = chunks.select("row", T.tokens(F.col("text")).alias("tokens"))
+    k1, b = retrieval.K1, retrieval.B
 
-def save(folder: str, chunks: DataFrame, vectors: DataFrame | None = None, lexical: list[str] | None = None, graphs: bool = False, centroids: DataFrame | None = None) -> None:
+    def gathered(rows: np.ndarray, tokens: pa.ListArray) -> pa.RecordBatch:
+        lengths = tokens.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        coded = tokens.flatten().dictionary_encode()
+        place = rows % SPAN
+        pairs, tf = np.unique(coded.indices.to_numpy(zero_copy_only=False).astype(np.int64) * SPAN + np.repeat(place, lengths), return_counts=True)
+        term, at = pairs // SPAN, pairs % SPAN
+        size = np.zeros(SPAN, np.int64)
+        size[place] = lengths
+        dl = size[at]
+        starts = np.flatnonzero(np.append(True, term[1:] != term[:-1])) if len(term) else np.empty(0, np.int64)
+        ends = pa.array(np.append(starts, len(term)), pa.int32())
+        listed = lambda values, kind: pa.ListArray.from_arrays(ends, pa.array(values, kind))
+        most = np.maximum.reduceat(tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / avgdl)), starts) if len(starts) else np.empty(0)
+        span = pa.array(np.full(len(starts), rows[0] // SPAN), pa.int64())
+        columns = [coded.dictionary.take(pa.array(term[starts])), span, listed(at, pa.int16()), listed(tf, pa.int32()), listed(dl, pa.int32()), pa.array(most), pa.array(np.diff(np.append(starts, len(term))), pa.int64())]
+        return pa.RecordBatch.from_arrays(columns, names=["term", "span", "rows", "tf", "dl", "weight", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch.column(0).to_numpy()
+            order = np.argsort(rows, kind="stable")
+            for own in np.split(order, np.flatnonzero(np.diff(rows[order] // SPAN)) + 1):
+                if len(own):
+                    yield gathered(rows[own], batch.column(1).take(pa.array(own)))
+
+    return words.mapInArrow(run, "term string, span bigint, rows array<smallint>, tf array<int>, dl array<int>, weight double, n bigint")
+
+
+def save(folder: str, chunks: DataFrame, vectors: DataFrame | Callable[[DataFrame], DataFrame] | None = None, lexical: list[str] | None = None, graphs: bool = False, centroids: DataFrame | None = None) -> None:
     """Writes the index of these chunks; dense parts, of those strategies that have vectors, with their sign bits and, if
-    asked for, each strategy's ``graphs``, dealt by centroids (cid, centroid) where there are some; postings of the ``lexical`` strategies, or all."""
+    asked for, each strategy's ``graphs``, dealt by centroids (cid, centroid) where there are some; postings of the ``lexical`` strategies, or all.
+
+    ``vectors`` may be a function of the chunks, which then gets them as they were written, so that they aren't made again."""
     spark = chunks.sparkSession
     # written first: texts are chunked once, and vectors computed once, however often they are looked at
-    made, known = tables.written(chunks), None if vectors is None else tables.written(vectors)
+    made = tables.written(chunks)
+    known = None if vectors is None else tables.written(vectors(made) if callable(vectors) else vectors)
     placed = made.repartitionByRange("chunk_id").sortWithinPartitions("chunk_id").withColumn("place", F.monotonically_increasing_id())
     tables.write_table(placed, f"{folder}/chunks", ("strategy",))
     tables.drop_written(made)
@@ -137,8 +167,9 @@ def save(folder: str, chunks: DataFrame, vectors: DataFrame | None = None, lexic
     searched = stored.where(F.col("strategy").isin(lexical)) if lexical else stored
     tables.write_table(searched.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size(T.tokens(F.col("text")))).alias("avgdl")), f"{folder}/stats")
     size = spark.read.parquet(f"{folder}/stats").first()
-    held = blocks(searched, size["avgdl"] or 1.0)
+    held = tables.written(blocks(searched, size["avgdl"] or 1.0))  # ranges are drawn from a sample, which would make the blocks again
     tables.write_table(held.repartitionByRange("term", "span").sortWithinPartitions("term", "span"), f"{folder}/postings")
+    tables.drop_written(held)
     df = spark.read.parquet(f"{folder}/postings").groupBy("term").agg(F.sum("n").alias("df"))
     tables.write_table(df.withColumn("idf", F.log(1 + (size["n"] - F.col("df") + 0.5) / (F.col("df") + 0.5))), f"{folder}/terms")
     tables.write_table(tables.manifest(stored), f"{folder}/manifest")
@@ -173,16 +204,56 @@ def _asked(parts: dict[str, DataFrame], queries: DataFrame) -> DataFrame:
     """qid, term, times: how often each query names each indexed term, times its rarity; broadcast up to a number of terms."""
     wanted = queries.select("qid", F.explode(T.tokens(F.col("text"))).alias("term")).groupBy("qid", "term").agg(F.count(F.lit(1)).alias("qtf"))
     few = wanted.limit(retrieval.BROADCAST_TERMS + 1).count() <= retrieval.BROADCAST_TERMS
-    known = parts["terms"].join(F.broadcast(wanted) if few else wanted, "term").select("qid", "term", (F.col("qtf") * F.col("idf")).alias("times"))
+    known = tables.written(parts["terms"].join(F.broadcast(wanted) if few else wanted, "term").select("qid", "term", (F.col("qtf") * F.col("idf")).alias("times")))
     return F.broadcast(known) if few else known
 
 
-def _scored(parts: dict[str, DataFrame], asked: DataFrame, cells: DataFrame) -> DataFrame:
-    """qid, row, score of all rows of the cells (qid, span) that hold a term."""
-    avgdl = parts["stats"].first()["avgdl"] or 1.0
-    met = parts["postings"].select("term", "span", "rows", "tf", "dl").join(asked, "term").join(cells.select("qid", "span"), ["qid", "span"])
-    each = met.select("qid", "times", "span", F.explode(F.arrays_zip("rows", "tf", "dl")).alias("x")).select("qid", "times", (F.col("span") * SPAN + F.col("x.rows")).alias("row"), F.col("x.tf").alias("tf"), F.col("x.dl").alias("dl"))
-    return each.groupBy("qid", "row").agg(F.round(F.sum(F.col("times") * weight(avgdl)), 4).alias("score"))
+def _scored(parts: dict[str, DataFrame], asked: DataFrame, cells: DataFrame, k: int) -> DataFrame:
+    """qid, row, score of the first k rows that each query finds in each of the cells (qid, span).
+
+    The blocks of a span that any query asks for meet the span's queries once, in one group of at most ``SPAN`` rows and a
+    block of queries at a time: what a term adds to rows and queries is a matrix, and no posting is multiplied by the queries.
+    """
+    avgdl, k1, b = parts["stats"].first()["avgdl"] or 1.0, retrieval.K1, retrieval.B
+    met = parts["postings"].select("term", "span", "rows", "tf", "dl").join(asked.select("term").distinct(), "term", "left_semi").join(cells.select("span").distinct(), "span", "left_semi")
+    terms = cells.select("qid", "span").join(asked.groupBy("qid").agg(F.collect_list(F.struct("term", "times")).alias("terms")), "qid")
+    kind = asked.schema["qid"].dataType.simpleString()
+
+    def scored(blocks: pa.Table, queries: pa.Table) -> pa.Table:
+        held = blocks.combine_chunks()
+        qids, listed = queries.column("qid").combine_chunks(), queries.column("terms").combine_chunks()
+        value = lambda name: held.column(name).combine_chunks() if held.num_rows else None
+        out_q, out_row, out_score = [], [], []
+        if held.num_rows and queries.num_rows:
+            span, names = blocks.column("span")[0].as_py(), value("term")
+            rows, tf, dl = (value(c).flatten().to_numpy(zero_copy_only=False) for c in ("rows", "tf", "dl"))
+            ends = np.append(0, np.cumsum(value("rows").value_lengths().to_numpy(zero_copy_only=False)))
+            weights = tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / avgdl))
+            different = names.unique()
+            of_block = pc.index_in(names, value_set=different).to_numpy(zero_copy_only=False)
+            pairs = listed.flatten()
+            term = pc.fill_null(pc.index_in(pairs.field("term"), value_set=different), -1).to_numpy(zero_copy_only=False)
+            query = np.repeat(np.arange(len(qids)), listed.value_lengths().to_numpy(zero_copy_only=False))
+            times = pairs.field("times").to_numpy(zero_copy_only=False)
+            for start in range(0, len(qids), QUERIES):
+                here = (query >= start) & (query < start + QUERIES) & (term >= 0)
+                order = np.argsort(term[here], kind="stable")
+                own_term, own_query, own_times = term[here][order], query[here][order] - start, times[here][order]
+                low, high = (np.searchsorted(own_term, np.arange(len(different)), side) for side in ("left", "right"))
+                total = np.zeros((min(QUERIES, len(qids) - start), SPAN))
+                for i, t in enumerate(of_block):
+                    q = own_query[low[t] : high[t]]
+                    if len(q):
+                        total[q[:, None], rows[ends[i] : ends[i + 1]]] += own_times[low[t] : high[t], None] * weights[ends[i] : ends[i + 1]]
+                best = retrieval.Best(len(total), k)
+                best.add(np.arange(SPAN) + span * SPAN, np.round(total.T, 4), total.T > 0)
+                for q, (ids, scores) in enumerate(zip(best.ids, best.scores, strict=True)):
+                    out_q += [start + q] * len(ids)
+                    out_row.append(ids), out_score.append(scores)
+        flat = lambda parts, number: np.concatenate([np.empty(0, number), *parts])
+        return pa.table({"qid": qids.take(pa.array(out_q, pa.int64())), "row": pa.array(flat(out_row, np.int64)), "score": pa.array(flat(out_score, np.float64))})
+
+    return met.groupBy("span").cogroup(terms.groupBy("span")).applyInArrow(scored, f"qid {kind}, row bigint, score double")
 
 
 def bounded(parts: dict[str, DataFrame], asked: DataFrame) -> DataFrame:
@@ -196,11 +267,11 @@ def searched(parts: dict[str, DataFrame], queries: DataFrame, k: int = 10) -> tu
     """The best rows (qid, row, score, rank), and for each query how many blocks there are for its terms and how many were read."""
     asked = _asked(parts, queries)
     spans = tables.written(bounded(parts, asked))
-    first = tables.written(retrieval.top_k(_scored(parts, asked, spans.where(F.col("place") <= FIRST)), k, item="row"))
+    first = tables.written(retrieval.top_k(_scored(parts, asked, spans.where(F.col("place") <= FIRST), k), k, item="row"))
     least = first.groupBy("qid").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("least"))
     # scores are rounded to four places, bounds aren't
     rest = spans.where(F.col("place") > FIRST).join(least, "qid", "left").where(F.col("least").isNull() | (F.col("bound") + 1e-4 >= F.col("least")))
-    found = retrieval.top_k(first.select("qid", "row", "score").unionByName(_scored(parts, asked, rest)), k, item="row")
+    found = retrieval.top_k(first.select("qid", "row", "score").unionByName(_scored(parts, asked, rest, k)), k, item="row")
     read = spans.where(F.col("place") <= FIRST).select("qid", "blocks").unionByName(rest.select("qid", "blocks")).groupBy("qid").agg(F.sum("blocks").alias("blocks_read"))
     return found, spans.groupBy("qid").agg(F.sum("blocks").alias("blocks")).join(read, "qid")
 
