@@ -66,6 +66,25 @@ def hit_flags(hits: DataFrame, relevant: DataFrame) -> DataFrame:
     return sizes.join(found, "qid", "left").select("qid", "relevant", *[F.coalesce(F.col("first") <= k, F.lit(False)).alias(f"hit_at_{k}") for k in (1, 10)])
 
 
+def hit_flags_by_label(hits: DataFrame, queries: DataFrame, documents: DataFrame) -> DataFrame:
+    """``hit_flags`` where a query's relevant documents are those of its label: hits, queries (qid, label) and documents (doc_id, label).
+
+    Documents are counted a label and hits look theirs up, so that no pair of a query and a relevant document is made. A query
+    may have several labels, and a document too; a document counts once a query.
+    """
+    asked = queries.where("qid IS NOT NULL").select("qid", "label").distinct()
+    known = documents.where("doc_id IS NOT NULL").select("doc_id", "label").distinct()
+    wanted = asked.groupBy("qid").agg(F.array_sort(F.collect_set("label")).alias("labels"))  # labels of one query
+    held = known.groupBy("doc_id").agg(F.collect_set("label").alias("own"))  # labels of one document
+    # a document of several of the query's labels counts once: each set of labels that documents have is one kind
+    kinds = held.groupBy(F.array_sort("own").alias("own")).agg(F.count(F.lit(1)).alias("n"))
+    sought = wanted.select("labels").distinct().select("labels", F.explode("labels").alias("label")).join(kinds.select("own", "n", F.explode("own").alias("label")), "label")
+    asked_kinds = sought.select("labels", "own", "n").distinct().groupBy("labels").agg(F.sum("n").alias("relevant"))
+    sizes = wanted.join(asked_kinds, "labels").select("qid", "relevant")
+    found = hits.join(wanted, "qid").join(held, "doc_id").where(F.arrays_overlap("labels", "own")).groupBy("qid").agg(F.min("rank").alias("first"))
+    return sizes.join(found, "qid", "left").select("qid", "relevant", *[F.coalesce(F.col("first") <= k, F.lit(False)).alias(f"hit_at_{k}") for k in (1, 10)])
+
+
 #: Rows that a report lists at most, and the candidates that an evaluation asks for.
 LISTED, CANDIDATES = 200, 200
 
