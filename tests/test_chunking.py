@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quillstone.functions import text as T
 from quillstone.operators import chunking
+from quillstone.plans import queries
 
 SF = "/root/testdata/sf0.001"
 #: As the default tokenizer sees words; \w with combining marks left out.
@@ -241,3 +242,22 @@ def test_chunks_by_a_vocabulary(spark):
         assert all("".join(c.split()) in "".join(t.split()) for i, t in enumerate(texts) for c in packs[i])
     chunks = index.chunked(docs, ["fixed_tokens", "passage_native"], vocabulary).collect()
     assert {r.strategy for r in chunks} == {"fixed_tokens", "passage_native"} and all(r.n_tokens == vocabulary.size(r.text) for r in chunks)
+
+
+def test_a_stored_result_of_parent_child_holds_each_text_once(spark, tmp_path):
+    """The rows repeat a text beside each of its pairs; written, they grow with the texts and not with the square of their length."""
+    rnd = random.Random(5)
+    word = lambda: "".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=rnd.randint(3, 9)))
+    long = [" ".join(" ".join(word() for _ in range(25)) + "." for _ in range(200)) for _ in range(50)]
+    # more rows than a writer looks at first that repeat nothing, one text that is longer than its dictionary, one that is no text
+    texts = [*long, *(" ".join(word() for _ in range(400)) for _ in range(150)), " ".join(word() for _ in range(170_000)) + ". It ends. Or doesn't it now?", "", None, "Short."]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("*", "'en' AS lang", "'a' AS source").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    queries.chunk_parent_child(spark, str(tmp_path)).write.parquet(f"{tmp_path}/out")
+    written = sum(p.stat().st_size for p in (tmp_path / "out").glob("*.parquet"))
+    assert written < 5 * sum(len(t or "") for t in texts)
+    stored, got = spark.read.parquet(f"{tmp_path}/out"), {}
+    assert {tuple(r) for r in stored.select("doc_id", "display_text").distinct().collect()} == {(k, t) for k, t in enumerate(texts) if t}
+    for r in stored.select("doc_id", "ordinal", "text").collect():
+        got.setdefault(r.doc_id, []).append((r.ordinal, r.text))
+    for k, t in enumerate(texts):
+        assert sorted(got.get(k, [])) == list(enumerate(parent_child(t) if t else []))
